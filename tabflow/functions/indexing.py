@@ -2,68 +2,100 @@
 
 ``row_number()`` / ``sum() over (order by ...)`` without ``partitionBy`` puts a
 whole table into one task, and ``partitionBy(group)`` puts a hot group into one
-task.  Both helpers below sort once with range partitioning (a hot group is
-split over many ranges), take each row's position inside its partition from
-``monotonically_increasing_id`` and add per-(partition, group) offsets from a
-small side table whose size is bounded by partitions x groups-per-partition.
-Order keys must be unique for the result to be deterministic under re-execution.
+task.  Both helpers here cut the first order key into buckets of about
+``rows_per_bucket`` rows at explicit cut points (``approx_percentile``, fitted
+once), number rows *inside* (group, bucket) with an ordinary window, and add
+per-(group, bucket) offsets from a small side table (groups x buckets rows).
+
+Every expression is deterministic, so a re-executed task after an executor loss
+produces the same positions; nothing depends on physical partition ids.
+Rows that tie on the first order key share a bucket, so order first by a
+well-spread key (a hash fraction, a unique key or a distinct score).
 """
 
 from __future__ import annotations
 
+import bisect
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 10_000
+MAX_BROADCAST_ROWS = 200_000   # offsets side table: broadcast only below this size
+
+
+def col_or_name(c) -> Column:
+    return F.col(f"`{c}`") if isinstance(c, str) else c
+
 
-_LOCAL_BITS = 33
-MAX_OFFSET_ROWS = 200_000   # broadcast bound for the offsets side table
+def _is_orderable_number(df: DataFrame, c) -> bool:
+    if not isinstance(c, str):
+        return False
+    return isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _sorted_with_position(df: DataFrame, keys: list, num_partitions: int | None) -> DataFrame:
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mid = F.monotonically_increasing_id()
-    return (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", mid)
-              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int) -> Column:
+    """Bucket number of each row from explicit cut points on the first order key."""
+    if not _is_orderable_number(df, first_key):
+        return F.lit(0)
+    k = F.col(f"`{first_key}`").cast("double")
+    n = df.count()
+    buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / max(1, rows_per_bucket)))))
+    if buckets == 1:
+        return F.lit(0)
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(k, probs, 10 * buckets).alias("c")).first()["c"] or []
+    cuts = sorted(set(c for c in cuts if c is not None))
+    if not cuts:
+        return F.lit(0)
+    # bucket = number of cut points <= key, via a balanced CASE over the sorted cuts
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return F.coalesce(build(0, len(cuts)), F.lit(0))
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], bound_rows: int) -> DataFrame:
-    """Broadcast ``small`` only when its (cheaply counted) size is within the bound."""
-    if small.count() <= bound_rows:
+def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Broadcast ``small`` only when its counted size is within the bound."""
+    if small.count() <= MAX_BROADCAST_ROWS:
         return big.join(F.broadcast(small), on)
     return big.join(small, on)
 
 
 def with_index(df: DataFrame, order_by: list, group_by: list[str] | None = None,
-               name: str = "index", num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based position in ``order_by`` order, restarting per ``group_by`` group."""
+               name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add a 0-based position in ``order_by`` order, restarting per ``group_by`` group.
+    Order keys must be unique (within a group) for a deterministic result."""
     group_by = list(group_by or [])
-    keys = [F.col(g) for g in group_by] + [F.col(c) if isinstance(c, str) else c for c in order_by]
-    s = _sorted_with_position(df, keys, num_partitions)
-    part = s.groupBy("_pid", *group_by).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*group_by) if group_by else Window).orderBy("_pid") \
+    keys = [col_or_name(c) for c in order_by]
+    b = df.withColumn("_bkt", _bucket_expr(df, order_by[0], rows_per_bucket))
+    sizes = b.groupBy(*group_by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*group_by) if group_by else Window).orderBy("_bkt") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = _join_small(s, offsets, ["_pid", *group_by], MAX_OFFSET_ROWS)
-    return (out.withColumn(name, (F.col("_start") + F.col("_pos") - F.col("_first")).cast("long"))
-               .drop("_mid", "_pid", "_pos", "_first", "_n", "_start"))
+    offsets = sizes.select(*group_by, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    local = Window.partitionBy(*group_by, "_bkt").orderBy(*keys)
+    numbered = b.withColumn("_local", F.row_number().over(local) - 1)
+    return (_join_small(numbered, offsets, [*group_by, "_bkt"])
+            .withColumn(name, (F.col("_start") + F.col("_local")).cast("long"))
+            .drop("_bkt", "_start", "_local"))
 
 
-def running_total(df: DataFrame, order_by: list, values: list[str],
-                  num_partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+def running_total(df: DataFrame, order_by: list, values: list[str], suffix: str = "_cum",
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order_by`` order over the whole table."""
-    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    s = _sorted_with_position(df, keys, num_partitions)
-    part = s.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}")
-                                    for v in values])
-    local = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
-    out = _join_small(s, offsets, ["_pid"], MAX_OFFSET_ROWS)
+    keys = [col_or_name(c) for c in order_by]
+    b = df.withColumn("_bkt", _bucket_expr(df, order_by[0], rows_per_bucket))
+    sizes = b.groupBy("_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bkt", *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}")
+                                     for v in values])
+    local = Window.partitionBy("_bkt").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = b.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
+    out = _join_small(numbered, offsets, ["_bkt"])
     return (out.select("*", *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}{suffix}") for v in values])
-               .drop("_mid", "_pid", "_pos", *[f"_o_{v}" for v in values], *[f"_l_{v}" for v in values]))
-
-
-def col_or_name(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+               .drop("_bkt", *[f"_o_{v}" for v in values], *[f"_l_{v}" for v in values]))

@@ -1 +1,108 @@
-"""placeholder"""
+"""Encoding and scaling: label codes, population standard scaling, label shifts, assembly."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MISSING_TOKEN = "nan"   # a missing value encoded as text becomes this string, and gets its own code
+
+
+def _c(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "", keep_original: bool = False) -> DataFrame:
+    """Replace each column by the 0-based rank of its text value among the sorted distinct values.
+
+    ``StringIndexer(stringOrderType='alphabetAsc')`` fits with one distributed
+    ``groupBy`` and keeps the distinct labels as model state; missing values are
+    encoded as the text ``'nan'`` first, so they get their own code.
+    """
+    if not cols:
+        return df
+    staged = df.select("*", *[F.coalesce(_c(c).cast("string"), F.lit(MISSING_TOKEN)).alias(f"__txt_{c}")
+                              for c in cols])
+    indexer = StringIndexer(inputCols=[f"__txt_{c}" for c in cols], outputCols=[f"__idx_{c}" for c in cols],
+                            stringOrderType="alphabetAsc", handleInvalid="keep")
+    out = indexer.fit(staged).transform(staged)
+    for c in cols:
+        target = f"{c}{suffix}"
+        out = out.withColumn(target, F.col(f"__idx_{c}").cast("int"))
+        if suffix and not keep_original:
+            out = out.drop(c)
+    return out.drop(*[f"__txt_{c}" for c in cols], *[f"__idx_{c}" for c in cols])
+
+
+@dataclass
+class ScaleStats:
+    """Per-column mean and population standard deviation (0 replaced by 1)."""
+    columns: list
+    means: list
+    scales: list
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(zip(self.columns, self.means, self.scales)),
+                                     "feature string, mean double, scale double")
+
+    @staticmethod
+    def from_df(stats: DataFrame) -> "ScaleStats":
+        rows = stats.collect()
+        return ScaleStats([r["feature"] for r in rows], [r["mean"] for r in rows], [r["scale"] for r in rows])
+
+
+def fit_scale(df: DataFrame, cols: list[str]) -> ScaleStats:
+    """Fit (x - mean) / std_pop in one aggregate; a zero deviation scales by 1."""
+    row = df.agg(*[F.avg(_c(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(_c(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    scales = [row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0 for i in range(len(cols))]
+    return ScaleStats(list(cols), [row[f"m{i}"] for i in range(len(cols))], scales)
+
+
+def apply_scale(df: DataFrame, stats: ScaleStats | DataFrame) -> DataFrame:
+    """Scale the stats' columns of new rows with stored statistics (literals, no join)."""
+    if isinstance(stats, DataFrame):
+        stats = ScaleStats.from_df(stats)
+    scaled = {c: ((_c(c).cast("double") - F.lit(m)) / F.lit(s)).alias(c)
+              for c, m, s in zip(stats.columns, stats.means, stats.scales)}
+    return df.select(*[scaled.get(c, _c(c)) for c in df.columns])
+
+
+def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, ScaleStats]:
+    stats = fit_scale(df, cols)
+    return apply_scale(df, stats), stats
+
+
+def shift_labels(df: DataFrame, y: str) -> tuple[DataFrame, float]:
+    """y - min(y) when min(y) != 0 (labels start at 0); returns the offset to shift back."""
+    mn = df.agg(F.min(_c(y)).alias("m")).first()["m"]
+    if mn is None or mn == 0:
+        return df, 0
+    return df.withColumn(y, _c(y) - F.lit(mn)), mn
+
+
+def expand_arrays(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Numeric array columns become one double column per element (``<col>_<i>``)."""
+    out, names = df, []
+    for c in cols:
+        dt = df.schema[c].dataType
+        if isinstance(dt, T.ArrayType):
+            width = df.agg(F.max(F.size(_c(c))).alias("w")).first()["w"] or 0
+            parts = [F.element_at(_c(c), i + 1).cast("double").alias(f"{c}_{i}") for i in range(width)]
+            out = out.select("*", *parts).drop(c)
+            names += [f"{c}_{i}" for i in range(width)]
+        else:
+            names.append(c)
+    return out, names
+
+
+def assemble(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
+    """Numeric columns (arrays expanded first) -> one ``VectorUDT`` column."""
+    df, names = expand_arrays(df, features)
+    cast = df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in names else F.col(f"`{c}`")
+                       for c in df.columns])
+    return VectorAssembler(inputCols=names, outputCol=output, handleInvalid="keep").transform(cast)
