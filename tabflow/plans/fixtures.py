@@ -40,3 +40,32 @@ def documents_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = label_encode(joined, ["lang"], suffix="_code")
     return coded.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
                         F.col("lang_code").cast("double").alias("lang_code"), "quality")
+
+
+def part_regression(spark: SparkSession, sf_dir: str, test_size: float = 0.2):
+    """part: p_retailprice from p_partkey and p_size; features scaled on all rows, hash split on p_partkey."""
+    from tabflow.operators.encode import apply_scale, fit_scale
+    from tabflow.operators.split import train_test_split
+    p = load_table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_partkey").cast("double").alias("f_partkey"),
+        F.col("p_size").cast("double").alias("f_size"), "p_retailprice")
+    stats = fit_scale(p, ["f_partkey", "f_size"])
+    return train_test_split(apply_scale(p, stats), "p_partkey", test_size, seed=42), stats
+
+
+def docs_classification(spark: SparkSession, sf_dir: str, test_size: float = 0.2):
+    """documents joined to labels: quality from n_chars and lang code; scaled, stratified split on doc_id."""
+    from tabflow.operators.encode import apply_scale, fit_scale
+    from tabflow.operators.split import stratified_split
+    d = documents_labeled(spark, sf_dir)
+    stats = fit_scale(d, ["n_chars", "lang_code"])
+    return stratified_split(apply_scale(d, stats), "doc_id", "quality", test_size, seed=42), stats
+
+
+def embeddings_classification(spark: SparkSession, sf_dir: str, test_size: float = 0.2):
+    """embeddings: label from the 64 vector elements (expanded, scaled); 10 classes, so a plain hash split."""
+    from tabflow.operators.encode import apply_scale, expand_arrays, fit_scale
+    from tabflow.operators.split import train_test_split
+    e, names = expand_arrays(load_table(spark, sf_dir, "embeddings"), ["embedding"])
+    stats = fit_scale(e, names)
+    return train_test_split(apply_scale(e, stats), "vec_id", test_size, seed=42), stats, names
