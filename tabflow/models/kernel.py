@@ -61,7 +61,7 @@ def fit_svr(train: DataFrame, features: list[str], label: str, C: float = 1.0, g
     n = train.count()
     data = assembled(train.select(F.col(f"`{label}`").cast("double").alias(label), *cols), names)
     est = LinearRegression(featuresCol=FEATURES, labelCol=label, loss="huber", regParam=1.0 / (C * n),
-                           elasticNetParam=0.0, standardization=False, maxIter=200)
+                           elasticNetParam=0.0, standardization=False, maxIter=100)
     model = est.fit(data)
 
     def transform(df: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def fit_svc(train: DataFrame, features: list[str], label: str, C: float = 1.0, g
     cols, names = _rff_columns(features, g, n_components)
     n = train.count()
     data = assembled(index_labels(train, label, classes).select(LABEL_IDX, *cols), names)
-    svc = LinearSVC(featuresCol=FEATURES, labelCol=LABEL_IDX, regParam=1.0 / (C * n), maxIter=200)
+    svc = LinearSVC(featuresCol=FEATURES, labelCol=LABEL_IDX, regParam=1.0 / (C * n), maxIter=100)
     if len(classes) > 2:
         svm = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=LABEL_IDX).fit(data)
     else:
@@ -89,7 +89,7 @@ def fit_svc(train: DataFrame, features: list[str], label: str, C: float = 1.0, g
     platt = None
     if len(classes) == 2:
         platt = LogisticRegression(featuresCol="_mvec", labelCol=LABEL_IDX, regParam=0.0).fit(
-            assembled_margin(scored))
+            assembled_margin(scored).drop("prediction", "rawPrediction"))
 
     def transform(df: DataFrame) -> DataFrame:
         z = assembled(df.select("*", *cols), names)

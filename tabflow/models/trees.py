@@ -32,12 +32,23 @@ def _subset(colsample):
     return str(float(colsample))
 
 
+def _deep(est, train):
+    """Deep trees: cache node ids and checkpoint them in the shared checkpoint folder."""
+    from tabflow.session import checkpoint_dir
+    if est.getOrDefault("maxDepth") > 10:
+        checkpoint_dir(train.sparkSession)
+        est.setCacheNodeIds(True).setCheckpointInterval(10)
+    return est
+
+
 def _regressor(est, name, train, features, label, params):
+    est = _deep(est, train)
     data = assembled(train.withColumn(label, F.col(f"`{label}`").cast("double")), features)
     return FittedModel(name, "regression", features, label, params, spark_model=est.fit(data))
 
 
 def _classifier(est, name, train, features, label, params, multiclass_ovr=False):
+    est = _deep(est, train)
     classes = class_list(train, label)
     data = assembled(index_labels(train, label, classes), features)
     has_prob = True

@@ -9,6 +9,7 @@ partitioning, so a big class is spread over many tasks.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +33,25 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     if not exact:
         return df.withColumn(split_col, F.when(frac < F.lit(test_size), "test").otherwise("train"))
     n = df.count()
-    n_test = int(math.ceil(n * test_size))
+    n_test = math.ceil(n * _ratio(test_size))
     ranked = with_index(df.withColumn("_frac", frac), ["_frac", key], name="_rank")
     return (ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train"))
                   .drop("_frac", "_rank"))
 
 
+def _ratio(test_size: float) -> Fraction:
+    """The ratio as an exact decimal fraction, so quotas do not depend on float rounding."""
+    return Fraction(str(test_size))
+
+
 def class_quotas(counts: dict, test_size: float) -> dict:
     """Test rows per class: floor(n_c * r) plus one for the largest remainders until the
-    total is ceil(n * r); remainder ties go to the smaller class value."""
+    total is ceil(n * r); remainder ties go to the smaller class value.  Exact arithmetic."""
+    r = _ratio(test_size)
     n = sum(counts.values())
-    total = int(math.ceil(n * test_size))
-    base = {c: int(math.floor(k * test_size)) for c, k in counts.items()}
-    rem = sorted(counts, key=lambda c: (-(counts[c] * test_size - base[c]), c))
+    total = math.ceil(n * r)
+    base = {c: math.floor(k * r) for c, k in counts.items()}
+    rem = sorted(counts, key=lambda c: (-(counts[c] * r - base[c]), c))
     extra = total - sum(base.values())
     for c in rem[:max(extra, 0)]:
         base[c] += 1

@@ -1 +1,36 @@
-"""Checked queries."""
+"""Checked queries: sources and SQL text."""
+
+from __future__ import annotations
+
+from tabflow.plans.registry import register
+from tabflow.sources.parquet import load_table
+from tabflow.sources.sql import sql, table_preview
+
+
+@register("parquet_source_region", sql="SELECT * FROM region")
+def parquet_source_region(spark, sf):
+    return load_table(spark, sf, "region")
+
+
+_USER_SQL = """SELECT o_orderstatus, count(*) AS n_orders, sum(o_totalprice) AS total_price,
+  count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY o_orderstatus"""
+
+
+@register("sql_text_orders", sql=_USER_SQL, round={"total_price": 2})
+def sql_text_orders(spark, sf):
+    return sql(spark, {"orders": load_table(spark, sf, "orders")}, _USER_SQL)
+
+
+_JOIN_SQL = """SELECT n.n_name, count(*) AS n_customers, avg(c.c_acctbal) AS avg_acctbal
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name"""
+
+
+@register("sql_text_customer_nation", sql=_JOIN_SQL, round={"avg_acctbal": 6})
+def sql_text_customer_nation(spark, sf):
+    return sql(spark, {"customer": load_table(spark, sf, "customer"), "nation": load_table(spark, sf, "nation")},
+               _JOIN_SQL)
+
+
+@register("table_preview_lineitem", sql="SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000")
+def table_preview_lineitem(spark, sf):
+    return table_preview(load_table(spark, sf, "lineitem"), 1000, ["l_orderkey", "l_linenumber"])
