@@ -37,65 +37,96 @@ def _is_orderable_number(df: DataFrame, c) -> bool:
     return isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int) -> Column:
-    """Bucket number of each row from explicit cut points on the first order key."""
+GRID = 1_000
+
+
+def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | None = None) -> tuple[Column, int]:
+    """Bucket number of each row from explicit cut points on the first order key.
+
+    One aggregate returns the row count and a sketch of the key at ``GRID``
+    fractions; bucket edges are every (GRID / buckets)-th sketch value.  Only
+    beyond GRID buckets (more than GRID x rows_per_bucket rows) a second,
+    finer sketch is taken.  A caller that knows the row count passes ``n_rows``;
+    a table that fits one bucket then costs no job at all.
+    """
     if not _is_orderable_number(df, first_key):
-        return F.lit(0)
+        return F.lit(0), 1
+    if n_rows is not None and n_rows <= rows_per_bucket:
+        return F.lit(0), 1
     k = F.col(f"`{first_key}`").cast("double")
-    n = df.count()
+    grid = [i / GRID for i in range(1, GRID)]
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(k, grid, 10 * GRID).alias("g")).first()
+    n = r["n"]
     buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / max(1, rows_per_bucket)))))
-    if buckets == 1:
-        return F.lit(0)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(k, probs, 10 * buckets).alias("c")).first()["c"] or []
+    if buckets == 1 or not r["g"]:
+        return F.lit(0), 1
+    if buckets <= GRID:
+        step = GRID / buckets
+        cuts = [r["g"][int(round(i * step)) - 1] for i in range(1, buckets)]
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = df.agg(F.percentile_approx(k, probs, 10 * buckets).alias("c")).first()["c"] or []
     cuts = sorted(set(c for c in cuts if c is not None))
     if not cuts:
-        return F.lit(0)
-    # bucket = number of cut points <= key, via a balanced CASE over the sorted cuts
-    def build(lo: int, hi: int) -> Column:
+        return F.lit(0), 1
+
+    def build(lo: int, hi: int) -> Column:       # bucket = number of cut points <= key
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return F.coalesce(build(0, len(cuts)), F.lit(0))
+    return F.coalesce(build(0, len(cuts)), F.lit(0)), len(cuts) + 1
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Broadcast ``small`` only when its counted size is within the bound."""
-    if small.count() <= MAX_BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on)
-    return big.join(small, on)
+def _offsets(sizes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Exclusive running sums of ``values`` over buckets per group, from the small sizes table.
+
+    The table has one row per (group, bucket); when it is within the broadcast
+    bound it is collected once and re-enters the plan as a local relation (no
+    recomputation of the input); otherwise it stays a distributed side of a join.
+    """
+    group_keys = [k for k in keys if k != "_bkt"]
+    w = (Window.partitionBy(*group_keys) if group_keys else Window).orderBy("_bkt") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(*keys, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_o_{v}") for v in values])
+    rows = offs.limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(rows) <= MAX_BROADCAST_ROWS:
+        return F.broadcast(sizes.sparkSession.createDataFrame(rows, offs.schema))
+    return offs
 
 
 def with_index(df: DataFrame, order_by: list, group_by: list[str] | None = None,
-               name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+               name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
     """Add a 0-based position in ``order_by`` order, restarting per ``group_by`` group.
     Order keys must be unique (within a group) for a deterministic result."""
     group_by = list(group_by or [])
     keys = [col_or_name(c) for c in order_by]
-    b = df.withColumn("_bkt", _bucket_expr(df, order_by[0], rows_per_bucket))
-    sizes = b.groupBy(*group_by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*group_by) if group_by else Window).orderBy("_bkt") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group_by, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    bucket, n_buckets = _bucket_expr(df, order_by[0], rows_per_bucket, n_rows)
+    b = df.withColumn("_bkt", bucket)
     local = Window.partitionBy(*group_by, "_bkt").orderBy(*keys)
     numbered = b.withColumn("_local", F.row_number().over(local) - 1)
-    return (_join_small(numbered, offsets, [*group_by, "_bkt"])
-            .withColumn(name, (F.col("_start") + F.col("_local")).cast("long"))
-            .drop("_bkt", "_start", "_local"))
+    if n_buckets == 1:                                  # every offset is zero
+        return numbered.withColumn(name, F.col("_local").cast("long")).drop("_bkt", "_local")
+    sizes = b.groupBy(*group_by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _offsets(sizes, [*group_by, "_bkt"], ["_n"])
+    return (numbered.join(offsets, [*group_by, "_bkt"])
+            .withColumn(name, (F.col("_o__n") + F.col("_local")).cast("long"))
+            .drop("_bkt", "_o__n", "_local"))
 
 
 def running_total(df: DataFrame, order_by: list, values: list[str], suffix: str = "_cum",
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order_by`` order over the whole table."""
     keys = [col_or_name(c) for c in order_by]
-    b = df.withColumn("_bkt", _bucket_expr(df, order_by[0], rows_per_bucket))
-    sizes = b.groupBy("_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bkt", *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}")
-                                     for v in values])
+    bucket, n_buckets = _bucket_expr(df, order_by[0], rows_per_bucket, n_rows)
+    b = df.withColumn("_bkt", bucket)
     local = Window.partitionBy("_bkt").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     numbered = b.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
-    out = _join_small(numbered, offsets, ["_bkt"])
+    if n_buckets == 1:
+        return (numbered.select("*", *[F.col(f"_l_{v}").alias(f"{v}{suffix}") for v in values])
+                        .drop("_bkt", *[f"_l_{v}" for v in values]))
+    sizes = b.groupBy("_bkt").agg(*[F.sum(v).alias(v) for v in values])
+    offsets = _offsets(sizes, ["_bkt"], values)
+    out = numbered.join(offsets, ["_bkt"])
     return (out.select("*", *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}{suffix}") for v in values])
                .drop("_bkt", *[f"_o_{v}" for v in values], *[f"_l_{v}" for v in values]))

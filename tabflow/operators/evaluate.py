@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.functions.indexing import running_total, with_index
+from tabflow.session import cut_lineage
 
 
 def _c(name: str) -> Column:
@@ -76,15 +77,19 @@ def classification_metrics(scored: DataFrame, label: str = "label", prediction:
 
 
 def _positive_counts(scored: DataFrame, label: str, score: str, positive) -> DataFrame:
+    """(score, pos, neg) per distinct score, checkpointed into the shared checkpoint folder:
+    the curve steps below read it several times and must not re-run the scoring plan."""
     pos = (_c(label) == F.lit(positive)).cast("long")
-    return (scored.groupBy(_c(score).cast("double").alias("score"))
-                  .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
+    g = (scored.groupBy(_c(score).cast("double").alias("score"))
+               .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
+    return cut_lineage(g)
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
     """Area under the ROC curve: P(score_pos > score_neg) + P(tie)/2, from grouped counts."""
     g = _positive_counts(scored, label, score, positive)
-    cum = running_total(g, ["score"], ["neg"])          # negatives with score <= this one
+    n = g.count()
+    cum = running_total(g, ["score"], ["neg"], n_rows=n)          # negatives with score <= this one
     return cum.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_cum") - 0.5 * F.col("neg"))),
                                 F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
@@ -92,13 +97,18 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", posit
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", positive=1,
               drop_intermediate: bool = True) -> DataFrame:
     """(position, threshold, fpr, tpr): distinct scores descending, starting at (0, 0) with an
-    infinite threshold; with ``drop_intermediate`` collinear points are removed."""
-    g = _positive_counts(scored, label, score, positive).withColumn("neg_key", -F.col("score"))
-    cum = running_total(g, ["neg_key"], ["pos", "neg"])
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()     # one row: P and N
-    start = g.sparkSession.createDataFrame([(float("inf"), 0, 0)], "score double, pos_cum long, neg_cum long")
-    pts = start.unionByName(cum.select("score", "pos_cum", "neg_cum"))
-    pts = with_index(pts.withColumn("_o", -F.col("score")), ["_o"], name="position").drop("_o")
+    infinite threshold; with ``drop_intermediate`` collinear points are removed.
+
+    Positions come from a running count over the distinct scores (no global
+    window); neighbours are found by equi-joins on position +- 1.
+    """
+    g = _positive_counts(scored, label, score, positive)
+    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("n")).first()
+    staged = g.withColumn("neg_key", -F.col("score")).withColumn("one", F.lit(1))
+    cum = running_total(staged, ["neg_key"], ["pos", "neg", "one"], n_rows=tot["n"])
+    start = g.sparkSession.createDataFrame([(float("inf"), 0, 0, 0)],
+                                           "score double, pos_cum long, neg_cum long, position long")
+    pts = start.unionByName(cum.select("score", "pos_cum", "neg_cum", F.col("one_cum").cast("long").alias("position")))
     if drop_intermediate:
         prev = pts.select((F.col("position") + 1).alias("position"), F.col("pos_cum").alias("tp_prev"),
                           F.col("neg_cum").alias("fp_prev"))
@@ -108,8 +118,10 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", pos
         corner = (F.col("tp_prev").isNull() | F.col("tp_next").isNull()
                   | (F.col("tp_next") - 2 * F.col("pos_cum") + F.col("tp_prev") != 0)
                   | (F.col("fp_next") - 2 * F.col("neg_cum") + F.col("fp_prev") != 0))
-        pts = j.where(corner).select("score", "pos_cum", "neg_cum")
-        pts = with_index(pts.withColumn("_o", -F.col("score")), ["_o"], name="position").drop("_o")
+        kept = j.select("score", "pos_cum", "neg_cum", "position", corner.cast("long").alias("keep"))
+        kept = running_total(kept, ["position"], ["keep"], n_rows=tot["n"] + 1)
+        pts = kept.where(F.col("keep") == 1).select("score", "pos_cum", "neg_cum",
+                                                     (F.col("keep_cum") - 1).alias("position"))
     return pts.select("position", F.col("score").alias("threshold"),
                       F.try_divide(F.col("neg_cum").cast("double"), F.lit(tot["N"])).alias("fpr"),
                       F.try_divide(F.col("pos_cum").cast("double"), F.lit(tot["P"])).alias("tpr"))
@@ -140,7 +152,8 @@ def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str =
 def classification_report(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row per class (precision, recall, f1_score; support dropped) plus 'accuracy'
     (repeated over the three columns), 'macro avg' and 'weighted avg'."""
-    per = _per_class(confusion_counts(scored, label, prediction)).cache()
+    per = _per_class(confusion_counts(scored, label, prediction))
+    per = scored.sparkSession.createDataFrame(per.collect(), per.schema)    # one row per class
     classes = per.select(F.col("class").cast("string").alias("row"), F.lit(0).alias("block"),
                          "class", "precision", "recall", F.col("f1").alias("f1_score"))
     acc = per.agg(F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("a"))

@@ -34,7 +34,7 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
         return df.withColumn(split_col, F.when(frac < F.lit(test_size), "test").otherwise("train"))
     n = df.count()
     n_test = math.ceil(n * _ratio(test_size))
-    ranked = with_index(df.withColumn("_frac", frac), ["_frac", key], name="_rank")
+    ranked = with_index(df.withColumn("_frac", frac), ["_frac", key], name="_rank", n_rows=n)
     return (ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train"))
                   .drop("_frac", "_rank"))
 
@@ -71,7 +71,7 @@ def stratified_split(df: DataFrame, key: str, y: str, test_size: float = 0.2, se
     quotas = class_quotas(counts, test_size)
     qmap = F.create_map(*[x for c, q in quotas.items() for x in (F.lit(c), F.lit(q))])
     ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key],
-                        group_by=[y], name="_rank")
+                        group_by=[y], name="_rank", n_rows=sum(counts.values()))
     return (ranked.withColumn(split_col, F.when(F.col("_rank") < qmap[_c(y)], "test").otherwise("train"))
                   .drop("_frac", "_rank"))
 
