@@ -7,7 +7,7 @@ at scale.  Here exact quantiles are found by *selection*:
 1. one fused pass: ``count``, ``min``, ``max`` and a GK sketch
    (``approx_percentile`` over a grid of fractions) per column, plus any extra
    aggregates the caller wants in the same scan;
-2. while a target order statistic's bracket holds more than ``max_bracket``
+2. while a target order statistic's bracket holds more than ``max_bracket // 2``
    distinct values (HyperLogLog estimate), narrow it: one pass counts rows below/inside the bracket exactly
    (``count_if``) and sketches the inside again.  The GK rank error bound makes
    every pass shrink the bracket by about ``grid/2``; the exact counts verify it;
@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000          # GK relative rank error 1/ACCURACY
-GRID = 1_000               # sketch fractions per bracket
-MAX_BRACKET = 1_000_000    # distinct values of a bracket resolved by an exact pick
+GRID = 200                 # sketch fractions per bracket
+MAX_BRACKET = 2_000_000    # a bracket with at most half this many distinct values is picked exactly
 MAX_ROUNDS = 12
 
 

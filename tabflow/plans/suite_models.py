@@ -325,3 +325,72 @@ def knn_embeddings(spark, sf):
     data, _, names = embeddings_classification(spark, sf)
     m = catalog.fit("knn", data.where(F.col("split") == "train"), names, "label", key="vec_id")
     return m.transform(data.where(F.col("split") == "test")).select("vec_id", "prediction")
+
+
+# ---------- lasso, search, parameters, summaries, re-scoring ----------
+@register("lasso_part", sql=f"""WITH {_PD}, {_SCALED_PART},
+ zt AS (SELECT * FROM z WHERE frac >= 0.2),
+ s AS (SELECT covar_pop(z1, y) AS c, var_pop(z1) AS v, avg(z1) AS mz, avg(y) AS my FROM zt),
+ w AS (SELECT sign(c) * greatest(abs(c) - 1.0, 0) / v AS w1, mz, my FROM s)
+SELECT z.p_partkey, z.y AS label, w.my + w.w1 * (z.z1 - w.mz) AS prediction FROM z, w WHERE z.frac < 0.2""",
+          round={"prediction": 4})
+def lasso_part(spark, sf):
+    data, _ = part_regression(spark, sf)
+    m = catalog.fit("lasso", data.where(F.col("split") == "train"), ["f_partkey"], "p_retailprice", alpha=1.0)
+    return m.transform(data.where(F.col("split") == "test")).select(
+        "p_partkey", F.col("p_retailprice").alias("label"), "prediction")
+
+
+@register("score_test_part", sql=f"""WITH {_PD}, {_SCALED_PART},
+ zt AS (SELECT * FROM z WHERE frac >= 0.2),
+ mm AS (SELECT count(*) AS n, covar_pop(z1, z1) AS s11, covar_pop(z2, z2) AS s22, covar_pop(z1, z2) AS s12,
+    covar_pop(z1, y) AS s1y, covar_pop(z2, y) AS s2y, avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my FROM zt),
+ a AS (SELECT n * s11 + 10 AS a11, n * s22 + 10 AS a22, n * s12 AS a12, n * s1y AS r1, n * s2y AS r2, m1, m2, my FROM mm),
+ w AS (SELECT (a22 * r1 - a12 * r2) / (a11 * a22 - a12 * a12) AS w1, (a11 * r2 - a12 * r1) / (a11 * a22 - a12 * a12) AS w2,
+    m1, m2, my FROM a)
+SELECT z.p_partkey, w.my + w.w1 * (z.z1 - w.m1) + w.w2 * (z.z2 - w.m2) AS prediction FROM z, w WHERE z.frac < 0.2""",
+          round={"prediction": 3})
+def score_test_part(spark, sf):
+    data, _ = part_regression(spark, sf)
+    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+    models = {"linear_regression": catalog.fit("linear_regression", train, _F, "p_retailprice"),
+              "ridge": catalog.fit("ridge", train, _F, "p_retailprice", alpha=10.0)}
+    return score.score_test(models, test, "ridge").select("p_partkey", "prediction")
+
+
+@register("grid_search_ridge_part")
+def grid_search_ridge_part(spark, sf):
+    data, _ = part_regression(spark, sf)
+    res = tune.grid_search(data.where(F.col("split") == "train"), "p_partkey", _F, "p_retailprice", "ridge",
+                           "regression", k=3)
+    return res.cv_results
+
+
+@register("random_search_tree_part")
+def random_search_tree_part(spark, sf):
+    data, _ = part_regression(spark, sf)
+    res = tune.random_search(data.where(F.col("split") == "train"), "p_partkey", _F, "p_retailprice",
+                             "decision_tree_regression", "regression", n_iter=5, k=3)
+    return res.cv_results
+
+
+@register("model_params_part")
+def model_params_part(spark, sf):
+    data, _ = part_regression(spark, sf)
+    m = catalog.fit("random_forest_regression", data.where(F.col("split") == "train"), _F, "p_retailprice",
+                    n_estimators=20, max_depth=8)
+    return catalog.model_params(m, spark, all_params=True)
+
+
+@register("model_summary_docs")
+def model_summary_docs(spark, sf):
+    data, _ = docs_classification(spark, sf)
+    counts = {r["split"]: r["n"] for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    m = catalog.fit("logistic_regression", data.where(F.col("split") == "train"), ["n_chars", "lang_code"], "quality")
+    return catalog.model_summary(m, "classification", counts.get("train", 0), counts.get("test", 0), spark)
+
+
+@register("class_counts_test_docs", sql=f"""WITH {_DS} SELECT quality AS class, count(*) AS n FROM sp WHERE split = 'test' GROUP BY quality""")
+def class_counts_test_docs(spark, sf):
+    data, _ = docs_classification(spark, sf)
+    return evaluate.test_class_counts(data, "quality")
