@@ -7,6 +7,8 @@ plan that Catalyst pushes into the scan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +119,23 @@ def clean(df: DataFrame, strategy: str = "drop") -> DataFrame:
     return {"drop": drop_missing, "mean": fill_mean, "median": fill_median, "mode": fill_mode}[strategy](df)
 
 
+def _within(df: DataFrame, col: str, lo: float, hi: float) -> Column:
+    """lo <= x <= hi as a predicate Parquet can push down: integral columns compare with
+    integer bounds (ceil / floor, an exact equivalent) instead of casting the column."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _c(col).between(F.lit(math.ceil(lo)), F.lit(math.floor(hi)))
+    return _c(col).between(F.lit(float(lo)), F.lit(float(hi)))
+
+
+def _outside(df: DataFrame, col: str, lo: float, hi: float) -> Column:
+    """x < lo or x > hi (missing values are not outside)."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return (_c(col) < F.lit(math.ceil(lo))) | (_c(col) > F.lit(math.floor(hi)))
+    return (_c(col) < F.lit(float(lo))) | (_c(col) > F.lit(float(hi)))
+
+
 def sigma_bounds(df: DataFrame, col: str) -> tuple:
     row = df.agg(F.avg(_c(col).cast("double")).alias("m"), F.stddev_samp(_c(col).cast("double")).alias("s")).first()
     if row["m"] is None or row["s"] is None:
@@ -150,7 +169,7 @@ def remove_outliers(df: DataFrame, cols: list[str], method: str = "3sigma", exac
         if lo is None:
             out = out.where(F.lit(False))
         else:
-            out = out.where(_c(c).cast("double").between(F.lit(lo), F.lit(hi)))
+            out = out.where(_within(out, c, lo, hi))
     return out
 
 
@@ -186,5 +205,4 @@ def outlier_rows(df: DataFrame, col: str, method: str = "iqr", exact: bool = Tru
     lo, hi = sigma_bounds(df, col) if method == "3sigma" else iqr_bounds(df, col, exact)
     if lo is None:
         return df.where(F.lit(False))
-    x = _c(col).cast("double")
-    return df.where((x < F.lit(lo)) | (x > F.lit(hi)))
+    return df.where(_outside(df, col, lo, hi))

@@ -62,17 +62,20 @@ def _edges(mn, mx):
     return mn, mx
 
 
-def _binned(long: DataFrame, edges: dict, bins: int, tag_cols: list[str]) -> DataFrame:
-    """long has columns k (feature position), feature, v and ``tag_cols``; edges maps k -> (lo, hi)."""
+def _binned(long: DataFrame, edges: dict, bins: int, tag_cols: list[str], features: dict,
+            tag_values: list[tuple] = ((),)) -> DataFrame:
+    """long has columns k (feature position), feature, v and ``tag_cols``; edges maps k -> (lo, hi);
+    features maps k -> name; tag_values lists the tag combinations to report."""
     spark = long.sparkSession
     lo_map = F.create_map(*[x for k, (lo, _) in edges.items() for x in (F.lit(k), F.lit(lo))])
     w_map = F.create_map(*[x for k, (lo, hi) in edges.items() for x in (F.lit(k), F.lit((hi - lo) / bins))])
     b = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo_map[F.col("k")]) / w_map[F.col("k")])).cast("int")
     counts = (long.where(F.col("v").isNotNull() & F.col("k").isin(list(edges)))
                   .groupBy(*tag_cols, "k", "feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    grid = (long.select(*tag_cols, "k", "feature").distinct()
-                .where(F.col("k").isin(list(edges)))
-                .select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
+    grid = spark.createDataFrame(                       # every (tag, feature, bin): a small local relation
+        [(*tags, k, name, b) for tags in tag_values for k, name in features.items() if k in edges
+         for b in range(bins)],
+        ", ".join([f"{t} string" for t in tag_cols] + ["k int", "feature string", "bin int"]))
     lo = lo_map[F.col("k")] + F.col("bin") * w_map[F.col("k")]
     hi = F.when(F.col("bin") == bins - 1, lo_map[F.col("k")] + w_map[F.col("k")] * bins) \
           .otherwise(lo_map[F.col("k")] + (F.col("bin") + 1) * w_map[F.col("k")])
@@ -90,7 +93,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     edges = {k: e for k, e in edges.items() if e[0] is not None}
     long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(c).alias("feature"),
                                                  _c(c).cast("double").alias("v")) for i, c in enumerate(cols)])))
-    return _binned(long, edges, bins, [])
+    return _binned(long, edges, bins, [], {i: c for i, c in enumerate(cols)})
 
 
 def histogram_compare(before: DataFrame, after: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -104,7 +107,7 @@ def histogram_compare(before: DataFrame, after: DataFrame, col: str, bins: int =
     long = (before.select(F.lit("before").alias("stage"), F.lit(0).alias("k"), F.lit(col).alias("feature"), x.alias("v"))
             .unionByName(after.select(F.lit("after").alias("stage"), F.lit(0).alias("k"),
                                       F.lit(col).alias("feature"), x.alias("v"))))
-    return _binned(long, edges, bins, ["stage"])
+    return _binned(long, edges, bins, ["stage"], {0: col}, [("before",), ("after",)])
 
 
 def kde(df: DataFrame, col: str, points: int = 1000) -> DataFrame:
