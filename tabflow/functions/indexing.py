@@ -49,10 +49,12 @@ def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | N
     finer sketch is taken.  A caller that knows the row count passes ``n_rows``;
     a table that fits one bucket then costs no job at all.
     """
-    if not _is_orderable_number(df, first_key):
+    if not isinstance(first_key, str):
         return F.lit(0), 1
     if n_rows is not None and n_rows <= rows_per_bucket:
         return F.lit(0), 1
+    if not _is_orderable_number(df, first_key):
+        return _sampled_buckets(df, first_key, rows_per_bucket, n_rows)
     k = F.col(f"`{first_key}`").cast("double")
     grid = [i / GRID for i in range(1, GRID)]
     r = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(k, grid, 10 * GRID).alias("g")).first()
@@ -78,6 +80,32 @@ def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | N
     return F.coalesce(build(0, len(cuts)), F.lit(0)), len(cuts) + 1
 
 
+SAMPLE_PER_BUCKET = 50
+
+
+def _sampled_buckets(df: DataFrame, first_key: str, rows_per_bucket: int, n_rows: int | None):
+    """Cut points for keys without a numeric sketch (text): a seeded sample of about
+    ``SAMPLE_PER_BUCKET`` keys per bucket (bounded) is sorted on the driver."""
+    k = F.col(f"`{first_key}`")
+    n = n_rows if n_rows is not None else df.count()
+    buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / max(1, rows_per_bucket)))))
+    if buckets == 1:
+        return F.lit(0), 1
+    frac = min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, n))
+    sample = sorted(r[0] for r in df.select(k).where(k.isNotNull()).sample(fraction=frac, seed=17)
+                    .limit(buckets * SAMPLE_PER_BUCKET * 2).collect())
+    if not sample:
+        return F.lit(0), 1
+    cuts = sorted(set(sample[int(i * len(sample) / buckets)] for i in range(1, buckets)))
+
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return F.coalesce(build(0, len(cuts)), F.lit(0)), len(cuts) + 1
+
+
 def _offsets(sizes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Exclusive running sums of ``values`` over buckets per group, from the small sizes table.
 

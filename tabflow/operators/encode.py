@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,26 +16,48 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "", keep_original: bool = False) -> DataFrame:
-    """Replace each column by the 0-based rank of its text value among the sorted distinct values.
+def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): 0-based rank of each distinct text value in sorted order.
 
-    ``StringIndexer(stringOrderType='alphabetAsc')`` fits with one distributed
-    ``groupBy`` and keeps the distinct labels as model state; missing values are
-    encoded as the text ``'nan'`` first, so they get their own code.
+    Distinct values are ranked with ``with_index`` (range buckets, no single-task
+    window), so a column with billions of distinct values never reaches the
+    driver.  Missing values are the text ``'nan'`` and get their own code.
     """
-    if not cols:
-        return df
-    staged = df.select("*", *[F.coalesce(_c(c).cast("string"), F.lit(MISSING_TOKEN)).alias(f"__txt_{c}")
-                              for c in cols])
-    indexer = StringIndexer(inputCols=[f"__txt_{c}" for c in cols], outputCols=[f"__idx_{c}" for c in cols],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-    out = indexer.fit(staged).transform(staged)
+    from tabflow.functions.indexing import with_index
+    distinct = df.select(F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN)).alias("value")).distinct()
+    return with_index(distinct, ["value"], name="code").select("value", F.col("code").cast("int").alias("code"))
+
+
+CODES_BROADCAST_ROWS = 1_000_000
+
+
+def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | None = None) -> DataFrame:
+    """Replace ``col`` (or add ``target``) by its code; the code table is broadcast only when it
+    has at most ``CODES_BROADCAST_ROWS`` rows, otherwise it is a shuffle join."""
+    target = target or col
+    key = F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN))
+    small = codes.limit(CODES_BROADCAST_ROWS + 1).count() <= CODES_BROADCAST_ROWS
+    side = codes.select(F.col("value").alias(f"__v_{col}"), F.col("code").alias(f"__code_{col}"))
+    joined = df.join(F.broadcast(side) if small else side, key == F.col(f"__v_{col}"), "left")
+    out = [F.col(f"__code_{col}").alias(target) if c == col and target == col else _c(c) for c in df.columns]
+    if target != col:
+        out.append(F.col(f"__code_{col}").alias(target))
+    return joined.select(*out)
+
+
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "", keep_original: bool = False) -> DataFrame:
+    """Replace each column by the 0-based rank of its text value among the sorted distinct values
+    (missing values encoded as the text ``'nan'``)."""
+    out = df
     for c in cols:
-        target = f"{c}{suffix}"
-        out = out.withColumn(target, F.col(f"__idx_{c}").cast("int"))
-        if suffix and not keep_original:
-            out = out.drop(c)
-    return out.drop(*[f"__txt_{c}" for c in cols], *[f"__idx_{c}" for c in cols])
+        codes = fit_label_codes(out, c)
+        if suffix:
+            out = apply_label_codes(out, c, codes, target=f"{c}{suffix}")
+            if not keep_original:
+                out = out.drop(c)
+        else:
+            out = apply_label_codes(out, c, codes)
+    return out
 
 
 @dataclass

@@ -57,3 +57,18 @@ def test_running_total(spark):
     for i in range(1000):
         acc += i % 7
         assert got[i] == pytest.approx(acc)
+
+
+def test_with_index_text_keys(spark):
+    rows = [(f"k{(i * 7919) % 5000:05d}",) for i in range(5000)]
+    df = spark.createDataFrame(rows, "s string")
+    got = with_index(df, ["s"], rows_per_bucket=300)
+    want = df.withColumn("i2", F.row_number().over(Window.orderBy("s")) - 1)
+    assert got.join(want, "s").where("index != i2").count() == 0
+
+
+def test_label_encode_codes(spark):
+    from tabflow.operators.encode import label_encode
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", 4)], "s string, k int")
+    got = {r["k"]: r["s"] for r in label_encode(df, ["s"]).collect()}
+    assert got == {1: 1, 2: 0, 3: 2, 4: 1}        # a < b < nan
