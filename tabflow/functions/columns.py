@@ -45,6 +45,20 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def num(name: str) -> Column:
+    """A column as double with NaN read as missing: for use inside aggregates and value
+    expressions, so the raw column stays visible to filter pushdown."""
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or NaN for floating columns."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation over pairwise-complete rows; NULL when a side is constant.
 

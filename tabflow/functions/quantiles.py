@@ -52,7 +52,7 @@ class _Target:
 
 
 def _colref(name: str) -> Column:
-    return F.col(f"`{name}`").cast("double")
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))     # NaN is missing
 
 
 def _in_bracket(t: _Target) -> Column:

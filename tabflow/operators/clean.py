@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.functions.columns import is_numeric, numeric_columns
+from tabflow.functions.columns import is_missing, is_numeric, num, numeric_columns
 from tabflow.functions.quantiles import quantiles
 
 STRATEGIES = ("drop", "mean", "median", "mode")
@@ -38,8 +38,7 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 
 def _missing_by_column(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.count_if(_c(c).isNull() | (F.isnan(_c(c)) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.lit(False))).alias(f"m{i}")
-                   for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     return {c: int(row[f"m{i}"]) for i, c in enumerate(cols)}
 
 
@@ -64,8 +63,8 @@ def fill_mean(df: DataFrame) -> DataFrame:
     cols = numeric_columns(df)
     if not cols:
         return df
-    row = df.agg(*[F.avg(_c(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.count_if(_c(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(num(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+                 *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     values = {c: row[f"a{i}"] for i, c in enumerate(cols) if row[f"m{i}"] > 0}
     return _fill(df, values, as_double=True)
 
@@ -75,7 +74,7 @@ def fill_median(df: DataFrame, exact: bool = True) -> DataFrame:
     cols = numeric_columns(df)
     if not cols:
         return df
-    missing = {f"m{i}": F.count_if(_c(c).isNull()) for i, c in enumerate(cols)}
+    missing = {f"m{i}": F.count_if(is_missing(df, c)) for i, c in enumerate(cols)}
     q, m = quantiles(df, cols, [0.5], exact=exact, extra=missing)
     values = {c: q[c][0] for i, c in enumerate(cols) if m[f"m{i}"] > 0}
     return _fill(df, values, as_double=True)
@@ -92,10 +91,10 @@ def mode_values(df: DataFrame, cols: list[str]) -> dict[str, object]:
         return {}
     cells = []
     for i, c in enumerate(cols):
-        num = is_numeric(df.schema[c].dataType)
+        numeric = is_numeric(df.schema[c].dataType)
         cells.append(F.struct(F.lit(i).alias("k"),
-                              (_c(c).cast("double") if num else F.lit(None).cast("double")).alias("d"),
-                              (F.lit(None).cast("string") if num else _c(c).cast("string")).alias("s")))
+                              (num(c) if numeric else F.lit(None).cast("double")).alias("d"),
+                              (F.lit(None).cast("string") if numeric else _c(c).cast("string")).alias("s")))
     long = df.select(F.inline(F.array(*cells))).where(F.col("d").isNotNull() | F.col("s").isNotNull())
     freq = long.groupBy("k", "d", "s").agg(F.count(F.lit(1)).alias("n"))
     best = freq.groupBy("k").agg(F.min_by(F.struct("d", "s"), F.struct((-F.col("n")).alias("n"), "d", "s")).alias("v"))
@@ -133,11 +132,12 @@ def _outside(df: DataFrame, col: str, lo: float, hi: float) -> Column:
     dt = df.schema[col].dataType
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return (_c(col) < F.lit(math.ceil(lo))) | (_c(col) > F.lit(math.floor(hi)))
-    return (_c(col) < F.lit(float(lo))) | (_c(col) > F.lit(float(hi)))
+    outside = (_c(col) < F.lit(float(lo))) | (_c(col) > F.lit(float(hi)))
+    return outside & ~F.isnan(_c(col))          # NaN compares above every value in Spark
 
 
 def sigma_bounds(df: DataFrame, col: str) -> tuple:
-    row = df.agg(F.avg(_c(col).cast("double")).alias("m"), F.stddev_samp(_c(col).cast("double")).alias("s")).first()
+    row = df.agg(F.avg(num(col)).alias("m"), F.stddev_samp(num(col)).alias("s")).first()
     if row["m"] is None or row["s"] is None:
         return None, None
     return row["m"] - 3 * row["s"], row["m"] + 3 * row["s"]
@@ -180,7 +180,7 @@ REPORT_SCHEMA = ("column string, q1 double, q3 double, iqr double, iqr_lower dou
 
 def outlier_report(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """IQR and 3-sigma bounds of one column and how many rows fall strictly outside each."""
-    x = _c(col).cast("double")
+    x = num(col)
     q, st = quantiles(df, [col], [0.25, 0.75], exact=exact,
                       extra={"m": F.avg(x), "s": F.stddev_samp(x)})
     q1, q3 = q[col]

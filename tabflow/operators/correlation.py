@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.functions.columns import numeric_columns, safe_corr
+from tabflow.functions.columns import num, numeric_columns, safe_corr
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`").cast("double")
+    return num(name)
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

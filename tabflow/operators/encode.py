@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabflow.functions.columns import num
+
 MISSING_TOKEN = "nan"   # a missing value encoded as text becomes this string, and gets its own code
 
 
@@ -79,8 +81,8 @@ class ScaleStats:
 
 def fit_scale(df: DataFrame, cols: list[str]) -> ScaleStats:
     """Fit (x - mean) / std_pop in one aggregate; a zero deviation scales by 1."""
-    row = df.agg(*[F.avg(_c(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(_c(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     scales = [row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0 for i in range(len(cols))]
     return ScaleStats(list(cols), [row[f"m{i}"] for i in range(len(cols))], scales)
 
@@ -101,9 +103,11 @@ def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, ScaleStat
 
 def shift_labels(df: DataFrame, y: str) -> tuple[DataFrame, float]:
     """y - min(y) when min(y) != 0 (labels start at 0); returns the offset to shift back."""
-    mn = df.agg(F.min(_c(y)).alias("m")).first()["m"]
+    mn = df.agg(F.min(num(y) if isinstance(df.schema[y].dataType, T.NumericType) else _c(y)).alias("m")).first()["m"]
     if mn is None or mn == 0:
         return df, 0
+    if isinstance(df.schema[y].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        mn = int(mn)                                    # integer labels stay integers
     return df.withColumn(y, _c(y) - F.lit(mn)), mn
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.indexing import with_index
+from tabflow.functions.columns import num
 from tabflow.functions.quantiles import quantiles
 from tabflow.operators.reshape import melt
 
@@ -37,7 +38,7 @@ def box_stats(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     aggs, rows = [], []
     for i, c in enumerate(cols):
         q1, med, q3 = q[c]
-        x = _c(c).cast("double")
+        x = num(c)
         if q1 is None:
             lo = hi = None
         else:
@@ -87,18 +88,18 @@ def _binned(long: DataFrame, edges: dict, bins: int, tag_cols: list[str], featur
 def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     """(feature, bin, lo, hi, n): ``bins`` equal-width bins over [min, max], last bin closed,
     empty bins kept.  One aggregate fits the ranges, one shuffle counts all columns."""
-    row = df.agg(*[F.min(_c(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
-                 *[F.max(_c(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.min(num(c)).alias(f"mn{i}") for i, c in enumerate(cols)],
+                 *[F.max(num(c)).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
     edges = {i: _edges(row[f"mn{i}"], row[f"mx{i}"]) for i in range(len(cols))}
     edges = {k: e for k, e in edges.items() if e[0] is not None}
     long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(c).alias("feature"),
-                                                 _c(c).cast("double").alias("v")) for i, c in enumerate(cols)])))
+                                                 num(c).alias("v")) for i, c in enumerate(cols)])))
     return _binned(long, edges, bins, [], {i: c for i, c in enumerate(cols)})
 
 
 def histogram_compare(before: DataFrame, after: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Histograms of one column before and after cleaning on shared bin edges."""
-    x = _c(col).cast("double")
+    x = num(col)
     rb = before.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     ra = after.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     mins = [v for v in (rb["mn"], ra["mn"]) if v is not None]
@@ -118,7 +119,7 @@ def kde(df: DataFrame, col: str, points: int = 1000) -> DataFrame:
     partial sums; a ``groupBy`` on the grid index adds them up, so only
     partitions x points rows are shuffled, whatever the table size.
     """
-    x = _c(col).cast("double")
+    x = num(col)
     st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("s"), F.min(x).alias("mn"),
                 F.max(x).alias("mx")).first()
     n, s, mn, mx = st["n"], st["s"], st["mn"], st["mx"]

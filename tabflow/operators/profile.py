@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.functions.columns import (categorical_columns, column_class, format_fixed,
-                                       is_numeric, numeric_columns)
+from tabflow.functions.columns import (categorical_columns, column_class, format_fixed, is_missing,
+                                       is_numeric, num, numeric_columns)
 from tabflow.functions.quantiles import quantiles
 
 DESCRIBE_SCHEMA = ("column string, count long, mean double, std double, min double, "
@@ -26,7 +26,7 @@ def data_info(df: DataFrame) -> DataFrame:
     """One row per column: position, type, class, table shape and missing count (one scan)."""
     fields = df.schema.fields
     agg = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(_c(f.name).isNull()).alias(f"_m{i}") for i, f in enumerate(fields)])
+                 *[F.count_if(is_missing(df, f.name)).alias(f"_m{i}") for i, f in enumerate(fields)])
     rows = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                      F.lit(f.dataType.simpleString()).alias("dtype"),
                      F.lit(column_class(f.dataType)).alias("column_class"),
@@ -45,7 +45,7 @@ def validate(df: DataFrame) -> DataFrame:
     """
     fields = df.schema.fields
     numeric = numeric_columns(df)
-    missing = [F.count_if(_c(f.name).isNull()) for f in fields]
+    missing = [F.count_if(is_missing(df, f.name)) for f in fields]
     total_missing = sum(missing[1:], missing[0]) if missing else F.lit(0)
     agg = df.agg(F.count(F.lit(1)).alias("n_rows"), total_missing.cast("long").alias("total_missing"))
     empty = F.col("n_rows") == 0
@@ -77,7 +77,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -
     cols = list(cols) if cols is not None else numeric_columns(df)
     extra = {}
     for i, c in enumerate(cols):
-        x = _c(c).cast("double")
+        x = num(c)
         extra.update({f"n{i}": F.count(x), f"a{i}": F.avg(x), f"s{i}": F.stddev_samp(x),
                       f"lo{i}": F.min(x), f"hi{i}": F.max(x)})
     q, st = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact, extra=extra)
@@ -111,8 +111,8 @@ def extrema_flags(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    row = df.agg(*[F.max(_c(c)).alias(f"mx{i}") for i, c in enumerate(cols)],
-                 *[F.min(_c(c)).alias(f"mn{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.max(num(c)).alias(f"mx{i}") for i, c in enumerate(cols)],
+                 *[F.min(num(c)).alias(f"mn{i}") for i, c in enumerate(cols)]).first()
     out = []
     for i, c in enumerate(cols):
         out.append(F.coalesce(_c(c) == F.lit(row[f"mx{i}"]), F.lit(False)).alias(f"{c}_is_max"))
@@ -131,7 +131,8 @@ def problem_type(df: DataFrame, target: str) -> DataFrame:
     """'regression' when the target is numeric with more than 10 distinct values, else
     'classification'; a missing value counts as one more distinct value."""
     numeric = is_numeric(df.schema[target].dataType)
-    agg = df.agg((F.count_distinct(_c(target)) + F.max(_c(target).isNull().cast("int"))).alias("n_distinct"))
+    x = num(target) if numeric else _c(target)
+    agg = df.agg((F.count_distinct(x) + F.max(x.isNull().cast("int"))).alias("n_distinct"))
     n = F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long")
     kind = F.when(F.lit(numeric) & (n > 10), "regression").otherwise("classification")
     return agg.select(F.lit(target).alias("target"), n.alias("n_distinct"), kind.alias("problem_type"))
@@ -150,7 +151,7 @@ def feature_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, min, max, mean, step): step = (max-min)/100, or 0.01 when the range is zero."""
     aggs = []
     for i, c in enumerate(cols):
-        x = _c(c).cast("double")
+        x = num(c)
         aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}")]
     agg = df.agg(*aggs)
     rows = []

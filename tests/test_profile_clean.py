@@ -71,3 +71,15 @@ def test_clean_dispatch(spark):
         clean.clean(df, "nope")
     full = spark.createDataFrame([(1.0,), (2.0,)], "x double")
     assert clean.clean(full, "drop") is full
+
+
+def test_raw_nan_is_missing_without_normalizing(spark):
+    rows = [(float(i),) for i in range(20)] + [(float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    assert profile.missing_counts(df).first()["missing"] == 2
+    d = profile.describe(df).first()
+    assert d["count"] == 20 and d["max"] == 19.0 and d["mean"] == pytest.approx(9.5)
+    assert clean.fill_mean(df).where(F.isnan("x") | F.col("x").isNull()).count() == 0
+    assert clean.remove_outliers(df, ["x"], "iqr").count() == 20
+    assert clean.outlier_rows(df, "x", "iqr").count() == 0
+    assert profile.extrema_flags(df, ["x"]).where("x_is_max").count() == 1
