@@ -12,13 +12,28 @@ def _c(name: str) -> Column:
     return num(name)
 
 
+WIDE = 40            # above this many columns the matrix is not one expression list
+BATCH = 400          # coefficients per aggregate for wide tables with missing values
+
+
+def _long_from_matrix(spark, cols: list[str], value) -> DataFrame:
+    rows = [(i, j, a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(rows, "i int, j int, a string, b string, corr double")
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Long form (a, b, corr) of the pairwise-complete Pearson matrix, all p*p cells.
+    """Long form (i, j, a, b, corr) of the pairwise-complete Pearson matrix, all p*p cells;
+    a constant column gives NULL.
 
-    The p(p+1)/2 distinct coefficients are computed in one aggregate (one scan,
-    partial aggregation per partition); a constant column gives NULL.
+    Up to ``WIDE`` columns: the p(p+1)/2 coefficients are one aggregate (one
+    scan).  Wider tables without missing values use ``ml.stat.Correlation`` on
+    an assembled vector (one distributed pass, p x p result); wider tables with
+    missing values keep pairwise-complete semantics in batches of ``BATCH``
+    coefficients per scan.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
+    if len(cols) > WIDE:
+        return _corr_wide(df, cols)
     aggs, cells = [], []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -33,6 +48,34 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return agg.select(F.inline(F.array(*cells)))
 
 
+def _corr_wide(df: DataFrame, cols: list[str]) -> DataFrame:
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    spark = df.sparkSession
+    stats = df.agg(*[F.count_if(_c(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_samp(_c(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    if all(stats[f"m{i}"] == 0 for i in range(len(cols))):
+        vec = VectorAssembler(inputCols=[f"_w{i}" for i in range(len(cols))], outputCol="_v").transform(
+            df.select(*[_c(c).alias(f"_w{i}") for i, c in enumerate(cols)]))
+        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+        const = {i for i in range(len(cols)) if not stats[f"s{i}"]}
+
+        def value(i, j):
+            if i in const or j in const or math.isnan(m[i, j]):
+                return None
+            return float(m[i, j])
+        return _long_from_matrix(spark, cols, value)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    found = {}
+    for start in range(0, len(pairs), BATCH):
+        chunk = pairs[start:start + BATCH]
+        r = df.agg(*[safe_corr(_c(cols[i]), _c(cols[j])).alias(f"r{i}_{j}") for i, j in chunk]).first()
+        found.update({(i, j): r[f"r{i}_{j}"] for i, j in chunk})
+    return _long_from_matrix(spark, cols, lambda i, j: found[(min(i, j), max(i, j))])
+
+
 def corr_with_target(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:
     """|corr| of every numeric column with the target (target included), descending;
     missing coefficients last, ties by table position."""

@@ -83,3 +83,26 @@ def test_raw_nan_is_missing_without_normalizing(spark):
     assert clean.remove_outliers(df, ["x"], "iqr").count() == 20
     assert clean.outlier_rows(df, "x", "iqr").count() == 0
     assert profile.extrema_flags(df, ["x"]).where("x_is_max").count() == 1
+
+
+def test_corr_matrix_wide_paths_agree(spark):
+    import numpy as np
+    from tabflow.operators import correlation as K
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(300, 6))
+    X[:, 5] = 1.0                                            # constant column
+    df = spark.createDataFrame([tuple(map(float, r)) for r in X], ", ".join(f"c{i} double" for i in range(6)))
+    narrow = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(df).collect()}
+    old = K.WIDE
+    try:
+        K.WIDE = 2
+        wide = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(df).collect()}
+        with_null = df.withColumn("c0", F.when(F.col("c1") > 2.5, None).otherwise(F.col("c0")))
+        pairwise = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(with_null).collect()}
+    finally:
+        K.WIDE = old
+    ref = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(with_null).collect()}
+    for k, v in narrow.items():
+        assert (v is None and wide[k] is None) or wide[k] == pytest.approx(v, abs=1e-9)
+        assert (ref[k] is None and pairwise[k] is None) or pairwise[k] == pytest.approx(ref[k], abs=1e-12)
+    assert narrow[("c5", "c1")] is None and wide[("c5", "c5")] is None
