@@ -138,6 +138,20 @@ def problem_type(df: DataFrame, target: str) -> DataFrame:
     return agg.select(F.lit(target).alias("target"), n.alias("n_distinct"), kind.alias("problem_type"))
 
 
+def problem_types(df: DataFrame, targets: list[str]) -> DataFrame:
+    """``problem_type`` for several candidate targets in one scan."""
+    aggs, rows = [], []
+    for i, t in enumerate(targets):
+        numeric = is_numeric(df.schema[t].dataType)
+        x = num(t) if numeric else _c(t)
+        aggs.append((F.count_distinct(x) + F.max(x.isNull().cast("int"))).alias(f"d{i}"))
+        n = F.coalesce(F.col(f"d{i}"), F.lit(0)).cast("long")
+        rows.append(F.struct(F.lit(t).alias("target"), n.alias("n_distinct"),
+                             F.when(F.lit(numeric) & (n > 10), "regression").otherwise("classification")
+                             .alias("problem_type")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def problem_type_of(df: DataFrame, target: str) -> str:
     return problem_type(df, target).first()["problem_type"]
 

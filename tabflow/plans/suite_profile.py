@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tabflow.operators import clean, profile
@@ -113,8 +111,7 @@ _pt_cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "
     f"+ max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) > 10 THEN 'regression' ELSE 'classification' END AS problem_type "
     f"FROM lineitem" for c in _pt_cols))
 def problem_type_lineitem(spark, sf):
-    li = load_table(spark, sf, "lineitem")
-    return reduce(lambda a, b: a.unionByName(b), [profile.problem_type(li, c) for c in _pt_cols])
+    return profile.problem_types(load_table(spark, sf, "lineitem"), _pt_cols)
 
 
 @register("class_counts_labels", sql="SELECT quality AS class, count(*) AS n FROM labels GROUP BY quality")
