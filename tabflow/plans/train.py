@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from tabflow.models import catalog
 from tabflow.models.base import FittedModel
 from tabflow.models.tune import cross_validate, grid_search, random_search
-from tabflow.operators.encode import ScaleStats, fit_scale, apply_scale, shift_labels
+from tabflow.functions.columns import is_numeric, num
+from tabflow.operators.encode import ScaleStats, apply_scale
 from tabflow.operators.evaluate import classification_metrics, regression_metrics, roc_auc
-from tabflow.operators.profile import problem_type_of
 from tabflow.operators.split import stratified_split, train_test_split
 
 REG_SCHEMA = ("position int, model string, r2 double, mse double, rmse double, mae double, mape double, "
@@ -46,13 +46,24 @@ def prepare_split(df: DataFrame, key: str, features: list[str], label: str, test
     """Scale on all cleaned rows, decide the problem type, shift class labels to start at 0,
     split (stratified for classification with fewer than 10 classes)."""
     base = df.select(key, *features, label)
-    kind = problem_type_of(base, label)
-    stats = fit_scale(base, features)
+    y = F.col(f"`{label}`")
+    numeric = is_numeric(base.schema[label].dataType)
+    # one scan: scaling statistics, distinct labels (+1 when missing), smallest label
+    r = base.agg(*[F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(features)],
+                 *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(features)],
+                 F.count_distinct(y).alias("k"), F.max(y.isNull().cast("int")).alias("has_null"),
+                 F.min(y).alias("ymin")).first()
+    n_distinct = (r["k"] or 0) + (r["has_null"] or 0)
+    kind = "regression" if numeric and n_distinct > 10 else "classification"
+    stats = ScaleStats(list(features), [r[f"m{i}"] for i in range(len(features))],
+                       [r[f"s{i}"] if r[f"s{i}"] not in (None, 0.0) else 1.0 for i in range(len(features))])
     scaled = apply_scale(base, stats)
     offset = 0
     if kind == "classification":
-        scaled, offset = shift_labels(scaled, label)
-        n_classes = scaled.agg(F.count_distinct(label).alias("k")).first()["k"]
+        if numeric and r["ymin"] not in (None, 0):
+            offset = int(r["ymin"]) if float(r["ymin"]).is_integer() else r["ymin"]
+            scaled = scaled.withColumn(label, y - F.lit(offset))
+        n_classes = r["k"] or 0
         if n_classes < 10:
             split = stratified_split(scaled, key, label, test_size, seed)
         else:
