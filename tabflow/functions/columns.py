@@ -68,7 +68,8 @@ def safe_corr(a: Column, b: Column) -> Column:
     a_pair = F.when(b.isNotNull(), a)
     b_pair = F.when(a.isNotNull(), b)
     r = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a_pair) * F.stddev_samp(b_pair))
-    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))        # rounding can step past +-1
+    # rounding can step past +-1; greatest/least skip NULLs, so keep NULL explicitly
+    return F.when(r.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
 def format_fixed(c: Column, decimals: int = 4) -> Column:
