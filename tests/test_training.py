@@ -69,3 +69,15 @@ def test_knn_stream_uses_foreach_batch(spark, tmp_dir):
     q.stop()
     batch = {r["k"]: r["prediction"] for r in model.transform(df).collect()}
     assert len(got) == 160 and all(batch[r["k"]] == r["prediction"] for r in got)
+
+
+def test_flows_explore_and_train(spark):
+    from tabflow.plans.analysis import explore, train_and_evaluate
+    df = _cls_frame(spark)
+    a = explore(df, ["a", "b"], order_by=["k"])
+    assert a["histogram"].count() == 60 and a["line"].count() == 320 and a["describe"].count() == 4
+    c = train_and_evaluate(df, "k", ["a", "b"], "y", models=["naive_bayes"])
+    assert c["best_model"] == "naive_bayes" and c["metrics"].first()["accuracy"] > 0.7
+    assert c["roc_curve"].count() >= 2 and c["confusion_matrix"].count() == 4
+    preds = {r["prediction"] for r in c["scorer"](df.select("k", "a", "b")).collect()}
+    assert preds <= {1, 2}                                   # labels shifted back
