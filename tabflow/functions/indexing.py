@@ -15,7 +15,6 @@ well-spread key (a hash fraction, a unique key or a distinct score).
 
 from __future__ import annotations
 
-import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, Window

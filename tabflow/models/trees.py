@@ -130,6 +130,7 @@ def feature_importance(model: FittedModel, spark=None) -> DataFrame:
         raise TypeError(f"{model.name} has no feature importances")
     values = imp.toArray()
     rows = [(i, f, float(v)) for i, (f, v) in enumerate(zip(model.features, values))]
-    spark = spark or m._sc and __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
     return (spark.createDataFrame(rows, "position int, feature string, importance double")
                  .orderBy(F.col("importance").desc(), "position"))

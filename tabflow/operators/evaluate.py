@@ -6,10 +6,10 @@ curves use ``running_total`` over distinct scores instead of a global window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.functions.indexing import running_total, with_index
+from tabflow.functions.indexing import running_total
 from tabflow.session import cut_lineage
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabflow.functions.columns import (categorical_columns, column_class, format_fixed, is_missing,
                                        is_numeric, num, numeric_columns)

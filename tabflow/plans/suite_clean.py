@@ -3,8 +3,6 @@ and the flagship preparation chain."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tabflow.operators import clean, correlation
 from tabflow.plans.fixtures import PART_N, part_with_nulls
 from tabflow.plans.prepare import prepare
