@@ -16,13 +16,17 @@ def fit_naive_bayes(train: DataFrame, features: list[str], label: str, var_smoot
     variance + var_smoothing * (largest feature variance over all rows)."""
     xs = [F.col(f"`{f}`").cast("double") for f in features]
     y = F.col(f"`{label}`")
-    overall = train.agg(*[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(xs)]).first()
-    eps = var_smoothing * max([overall[f"v{i}"] or 0.0 for i in range(len(features))] or [0.0])
     rows = (train.where(y.isNotNull()).groupBy(y.alias("c"))
                  .agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
                       *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(xs)])
-                 .orderBy("c").collect())
+                 .orderBy("c").collect())                      # one grouped scan; classes x features values
     total = sum(r["n"] for r in rows)
+    # overall variance of every feature from the class statistics (law of total variance)
+    overall = []
+    for i in range(len(features)):
+        mean = sum(r["n"] * r[f"m{i}"] for r in rows) / total
+        overall.append(sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mean) ** 2) for r in rows) / total)
+    eps = var_smoothing * max(overall or [0.0])
     classes = [r["c"] for r in rows]
     stats = [{"prior": r["n"] / total,
               "mean": [r[f"m{i}"] for i in range(len(features))],

@@ -27,7 +27,10 @@ def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
     """
     from tabflow.functions.indexing import with_index
     distinct = df.select(F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN)).alias("value")).distinct()
-    return with_index(distinct, ["value"], name="code").select("value", F.col("code").cast("int").alias("code"))
+    n = distinct.count()
+    codes = with_index(distinct, ["value"], name="code", n_rows=n).select("value", F.col("code").cast("int").alias("code"))
+    codes._tabflow_rows = n             # known size: lets apply_label_codes choose the join without a job
+    return codes
 
 
 CODES_BROADCAST_ROWS = 1_000_000
@@ -38,7 +41,8 @@ def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | N
     has at most ``CODES_BROADCAST_ROWS`` rows, otherwise it is a shuffle join."""
     target = target or col
     key = F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN))
-    small = codes.limit(CODES_BROADCAST_ROWS + 1).count() <= CODES_BROADCAST_ROWS
+    n = getattr(codes, "_tabflow_rows", None)
+    small = (n if n is not None else codes.limit(CODES_BROADCAST_ROWS + 1).count()) <= CODES_BROADCAST_ROWS
     side = codes.select(F.col("value").alias(f"__v_{col}"), F.col("code").alias(f"__code_{col}"))
     joined = df.join(F.broadcast(side) if small else side, key == F.col(f"__v_{col}"), "left")
     out = [F.col(f"__code_{col}").alias(target) if c == col and target == col else _c(c) for c in df.columns]
