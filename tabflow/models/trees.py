@@ -22,6 +22,15 @@ MAX_DEPTH = 30
 SEED = 42
 
 
+def _xgboost_spark():
+    """The XGBoost Spark estimators when the optional package is installed, else None."""
+    try:
+        from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
+        return SparkXGBRegressor, SparkXGBClassifier
+    except ImportError:
+        return None
+
+
 def _depth(v):
     return MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
 
@@ -35,6 +44,8 @@ def _subset(colsample):
 def _deep(est, train):
     """Deep trees: cache node ids and checkpoint them in the shared checkpoint folder."""
     from tabflow.session import checkpoint_dir
+    if not est.hasParam("maxDepth") or not est.hasParam("cacheNodeIds"):
+        return est
     if est.getOrDefault("maxDepth") > 10:
         checkpoint_dir(train.sparkSession)
         est.setCacheNodeIds(True).setCheckpointInterval(10)
@@ -86,6 +97,13 @@ def fit_gbt_regression(train, features, label, variant="a", n_estimators=100, le
     depth = max_depth if max_depth is not None else (6 if variant == "a" else 5)
     if num_leaves is not None:          # leaves bound the depth of a balanced tree
         depth = min(depth, int(math.ceil(math.log2(num_leaves))))
+    xgb = _xgboost_spark()
+    if variant == "a" and xgb is not None:
+        est = xgb[0](features_col=FEATURES, label_col=label, n_estimators=int(n_estimators), learning_rate=lr,
+                     max_depth=depth, subsample=subsample, colsample_bytree=colsample_bytree, random_state=SEED)
+        return _regressor(est, "boosted_trees_a_regression", train, features, label,
+                          {"n_estimators": n_estimators, "learning_rate": lr, "max_depth": depth,
+                           "subsample": subsample, "colsample_bytree": colsample_bytree})
     est = GBTRegressor(featuresCol=FEATURES, labelCol=label,
                        **_gbt_params(n_estimators, lr, depth, subsample, colsample_bytree))
     return _regressor(est, f"boosted_trees_{variant}_regression", train, features, label,
