@@ -133,6 +133,13 @@ def fit_gbt_classification(train, features, label, variant="a", n_estimators=100
     depth = max_depth if max_depth is not None else (6 if variant == "a" else 5)
     if num_leaves is not None:
         depth = min(depth, int(math.ceil(math.log2(num_leaves))))
+    xgb = _xgboost_spark()
+    if variant == "a" and xgb is not None:          # native multi-class, probabilities included
+        est = xgb[1](features_col=FEATURES, label_col=LABEL_IDX, n_estimators=int(n_estimators), learning_rate=lr,
+                     max_depth=depth, subsample=subsample, colsample_bytree=colsample_bytree, random_state=SEED)
+        return _classifier(est, "boosted_trees_a_classification", train, features, label,
+                           {"n_estimators": n_estimators, "learning_rate": lr, "max_depth": depth,
+                            "subsample": subsample, "colsample_bytree": colsample_bytree})
     est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL_IDX,
                         **_gbt_params(n_estimators, lr, depth, subsample, colsample_bytree))
     return _classifier(est, f"boosted_trees_{variant}_classification", train, features, label,
