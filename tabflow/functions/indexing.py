@@ -76,7 +76,7 @@ def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | N
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return F.coalesce(build(0, len(cuts)), F.lit(0)), len(cuts) + 1
+    return F.when(k.isNull(), F.lit(0)).otherwise(build(0, len(cuts))), len(cuts) + 1   # NULLs sort first
 
 
 SAMPLE_PER_BUCKET = 50
@@ -102,7 +102,7 @@ def _sampled_buckets(df: DataFrame, first_key: str, rows_per_bucket: int, n_rows
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return F.coalesce(build(0, len(cuts)), F.lit(0)), len(cuts) + 1
+    return F.when(k.isNull(), F.lit(0)).otherwise(build(0, len(cuts))), len(cuts) + 1   # NULLs sort first
 
 
 def _offsets(sizes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -65,6 +65,8 @@ def stratified_split(df: DataFrame, key: str, y: str, test_size: float = 0.2, se
               .limit(MAX_CLASSES + 1).collect()}
     if len(counts) > MAX_CLASSES:
         raise ValueError("too many classes to stratify")
+    if None in counts:
+        raise ValueError(f"{y} has missing class labels; fill or drop them before stratifying")
     small = [c for c, k in counts.items() if k < 2]
     if small:
         raise ValueError(f"the least populated class in {y} has only 1 member: {small[0]!r}")

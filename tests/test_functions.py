@@ -72,3 +72,11 @@ def test_label_encode_codes(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", 4)], "s string, k int")
     got = {r["k"]: r["s"] for r in label_encode(df, ["s"]).collect()}
     assert got == {1: 1, 2: 0, 3: 2, 4: 1}        # a < b < nan
+
+
+def test_with_index_null_keys_sort_first(spark):
+    rows = [(i, None if i % 10 == 0 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = with_index(df, ["v", "k"], rows_per_bucket=40)
+    want = df.withColumn("i2", F.row_number().over(Window.orderBy("v", "k")) - 1)
+    assert got.join(want, "k").where("index != i2").count() == 0
