@@ -39,6 +39,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
                       *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, fcols)])
     te = test.select(F.col(f"`{key}`").alias("_qkey"),
                      *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, fcols)])
+    te = te.persist()        # read once per chunk below; released after the loop (results hold broadcasts)
     n_test = te.count()
     chunks = max(1, math.ceil(n_test / chunk_rows))
     frac = hash_fraction(F.col("_qkey"), 7)
@@ -81,6 +82,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
                                 "_tkey": best_k.reshape(-1), "_tlabel": best_l.reshape(-1)})
 
         parts.append(tr.mapInPandas(local_best, schema))
+    te.unpersist()
     if not parts:
         return test.withColumn("prediction", F.lit(None).cast(label_type))
     cands = parts[0]
