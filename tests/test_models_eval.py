@@ -149,3 +149,22 @@ def test_every_model_fits(spark):
         m = catalog.fit(name, cls, ["x1", "x2"], "c", key="k", **kw)
         acc = evaluate.classification_metrics(m.transform(cls), "c").first()["accuracy"]
         assert acc > 0.7, name
+
+
+def test_logistic_matches_newton(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 2))
+    y = (X @ [1.5, -1.0] + 0.3 + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(X, y)], "a double, b double, y int")
+    m = catalog.fit("logistic_regression", df, ["a", "b"], "y", C=1.0)
+    sm = m.spark_model
+    got = np.r_[sm.coefficients.toArray(), sm.intercept]
+    # Newton on 0.5 |w|^2 + C sum logloss, intercept not penalised
+    A = np.c_[X, np.ones(len(y))]
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-A @ w))
+        grad = A.T @ (p - y) + np.r_[w[:2], 0.0]
+        H = (A * (p * (1 - p))[:, None]).T @ A + np.diag([1.0, 1.0, 0.0])
+        w -= np.linalg.solve(H, grad)
+    assert np.allclose(got, w, atol=1e-3)
