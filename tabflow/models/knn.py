@@ -1,9 +1,10 @@
 """Exact k nearest neighbours without a cross join.
 
 The training side stays distributed.  The rows to classify are taken in chunks
-of at most ``chunk_rows`` (split by hash fraction of their key, every row is
-processed), each chunk is broadcast, and every training partition computes its
-local k best (distance, training key) per chunk row with numpy; a ``groupBy``
+sized to a fixed broadcast budget (split by hash fraction of their key, every
+row is processed), each chunk is broadcast, and every training partition
+computes its local k best (distance, training key) per chunk row with numpy in
+fixed-size blocks; a ``groupBy``
 on the row key merges the partition-local lists into the global k best, and
 the vote happens in Spark.  Work per task is bounded by chunk x partition size,
 and only k candidates per (row, partition) are shuffled.
@@ -21,9 +22,15 @@ from pyspark.sql import functions as F
 from tabflow.functions.columns import hash_fraction
 from tabflow.models.base import FittedModel
 
-CHUNK_ROWS = 4_096
-TRAIN_BLOCK = 2_048
-_MARGIN = 8   # extra candidates re-checked with exact differences
+BROADCAST_BYTES = 64 << 20   # a query chunk is broadcast only up to this size
+TRAIN_BLOCK = 2_048          # training rows per distance block inside a task
+QUERY_BLOCK = 2_048          # query rows per distance block inside a task
+_MARGIN = 8                  # extra candidates re-checked with exact differences
+
+
+def chunk_rows_for(n_features: int) -> int:
+    """Query rows per broadcast chunk: as many as fit the broadcast budget (at least 1024)."""
+    return max(1_024, BROADCAST_BYTES // (8 * max(1, n_features) + 64))
 
 
 def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -32,7 +39,7 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str,
                 k: int = 5, weights: str = "uniform", classes: list | None = None,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int | None = None) -> DataFrame:
     spark = train.sparkSession
     fcols = [f"_x{i}" for i in range(len(features))]
     tr = train.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"),
@@ -41,6 +48,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
                      *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, fcols)])
     te = te.persist()        # read once per chunk below; released after the loop (results hold broadcasts)
     n_test = te.count()
+    chunk_rows = chunk_rows or chunk_rows_for(len(features))
     chunks = max(1, math.ceil(n_test / chunk_rows))
     frac = hash_fraction(F.col("_qkey"), 7)
     label_type = train.schema[label].dataType.simpleString()
@@ -56,27 +64,37 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
 
         def local_best(batches, bq=bq):
             qkeys, qx = bq.value
-            best_d = np.full((len(qkeys), 0), np.inf)
-            best_k, best_l = np.empty((len(qkeys), 0), dtype=object), np.empty((len(qkeys), 0), dtype=object)
+            nq = len(qkeys)
+            best_d = np.full((nq, 0), np.inf)
+            best_k, best_l = np.empty((nq, 0), dtype=object), np.empty((nq, 0), dtype=object)
             for pdf in batches:
                 for start in range(0, len(pdf), TRAIN_BLOCK):
                     blk = pdf.iloc[start:start + TRAIN_BLOCK]
                     tx = _matrix(blk, fcols)
-                    # fast screen with the expanded form, exact differences for the survivors
-                    d2 = (qx * qx).sum(1)[:, None] + (tx * tx).sum(1)[None, :] - 2.0 * qx @ tx.T
+                    tk = blk["_tkey"].to_numpy(dtype=object)
+                    tl = blk["_tlabel"].to_numpy(dtype=object)
                     m = min(tx.shape[0], k + _MARGIN)
-                    cand = (np.argpartition(d2, m - 1, axis=1)[:, :m] if m < tx.shape[0]
-                            else np.tile(np.arange(tx.shape[0]), (len(qkeys), 1)))
-                    exact = ((qx[:, None, :] - tx[cand]) ** 2).sum(2)
-                    best_d = np.concatenate([best_d, exact], 1)
-                    best_k = np.concatenate([best_k, blk["_tkey"].to_numpy(dtype=object)[cand]], 1)
-                    best_l = np.concatenate([best_l, blk["_tlabel"].to_numpy(dtype=object)[cand]], 1)
+                    cd = np.empty((nq, m))
+                    ck, cl = np.empty((nq, m), dtype=object), np.empty((nq, m), dtype=object)
+                    tn = (tx * tx).sum(1)
+                    for qs in range(0, nq, QUERY_BLOCK):     # memory per step: QUERY_BLOCK x TRAIN_BLOCK
+                        q = qx[qs:qs + QUERY_BLOCK]
+                        # fast screen with the expanded form, exact differences for the survivors
+                        d2 = (q * q).sum(1)[:, None] + tn[None, :] - 2.0 * q @ tx.T
+                        cand = (np.argpartition(d2, m - 1, axis=1)[:, :m] if m < tx.shape[0]
+                                else np.tile(np.arange(tx.shape[0]), (len(q), 1)))
+                        cd[qs:qs + len(q)] = ((q[:, None, :] - tx[cand]) ** 2).sum(2)
+                        ck[qs:qs + len(q)] = tk[cand]
+                        cl[qs:qs + len(q)] = tl[cand]
+                    best_d = np.concatenate([best_d, cd], 1)
+                    best_k = np.concatenate([best_k, ck], 1)
+                    best_l = np.concatenate([best_l, cl], 1)
                     if best_d.shape[1] > 4 * (k + _MARGIN):
                         best_d, best_k, best_l = _trim(best_d, best_k, best_l, k)
             if best_d.shape[1] == 0:
                 return
             best_d, best_k, best_l = _trim(best_d, best_k, best_l, k)
-            rows = len(qkeys) * best_d.shape[1]
+            rows = nq * best_d.shape[1]
             yield pd.DataFrame({"_qkey": np.repeat(qkeys, best_d.shape[1])[:rows],
                                 "_dist": np.sqrt(best_d.reshape(-1)),
                                 "_tkey": best_k.reshape(-1), "_tlabel": best_l.reshape(-1)})

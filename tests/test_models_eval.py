@@ -168,3 +168,18 @@ def test_logistic_matches_newton(spark):
         H = (A * (p * (1 - p))[:, None]).T @ A + np.diag([1.0, 1.0, 0.0])
         w -= np.linalg.solve(H, grad)
     assert np.allclose(got, w, atol=1e-3)
+
+
+def test_knn_small_blocks_equal_default(spark, monkeypatch):
+    import tabflow.models.knn as K
+    rng = np.random.default_rng(12)
+    tr = [(i, float(a), float(b), int(c)) for i, (a, b, c) in
+          enumerate(zip(rng.normal(size=200), rng.normal(size=200), rng.integers(0, 4, 200)))]
+    te = [(500 + i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(size=30), rng.normal(size=30)))]
+    train = spark.createDataFrame(tr, "k long, a double, b double, y int")
+    test = spark.createDataFrame(te, "k long, a double, b double")
+    want = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=7).collect()}
+    monkeypatch.setattr(K, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(K, "TRAIN_BLOCK", 23)
+    got = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=7, chunk_rows=11).collect()}
+    assert got == want
