@@ -164,7 +164,8 @@ def feature_importance_part(spark, sf):
 def leaderboard_regression_part(spark, sf):
     p = load_table(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("double").alias("f_partkey"),
                                               F.col("p_size").cast("double").alias("f_size"), "p_retailprice")
-    return train_all(p, "p_partkey", _F, "p_retailprice", models=list(catalog.REGRESSION)).table.drop("seconds")
+    return train_all(p, "p_partkey", _F, "p_retailprice", models=list(catalog.REGRESSION),
+                     model_parallelism=4).table.drop("seconds")
 
 
 @register("learning_curve_part")
@@ -306,8 +307,8 @@ def score_proba_docs(spark, sf):
 def leaderboard_classification_docs(spark, sf):
     from tabflow.plans.fixtures import documents_labeled
     d = documents_labeled(spark, sf)
-    return train_all(d, "doc_id", ["n_chars", "lang_code"], "quality",
-                     models=[m for m in catalog.CLASSIFICATION]).table.drop("seconds")
+    return train_all(d, "doc_id", ["n_chars", "lang_code"], "quality", models=list(catalog.CLASSIFICATION),
+                     model_parallelism=4).table.drop("seconds")
 
 
 # ---------- ten classes on embeddings: k nearest neighbours ----------

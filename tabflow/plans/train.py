@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -88,57 +89,74 @@ class Leaderboard:
 
 def train_all(df: DataFrame, key: str, features: list[str], label: str, models: list[str] | None = None,
               test_size: float = 0.2, search: str | None = None, n_iter: int = 10, cv_folds: int = 3,
-              cross_validation: bool = False, seed: int = 42, parallelism: int = 4) -> Leaderboard:
+              cross_validation: bool = False, seed: int = 42, parallelism: int = 4,
+              model_parallelism: int = 1) -> Leaderboard:
+    """Fit every model on the training part and score it on both parts.
+
+    ``model_parallelism`` > 1 trains that many models at once (independent Spark
+    jobs from driver threads); results are identical, only ``seconds`` then
+    overlap.  ``parallelism`` is the concurrency inside searches and CV.
+    """
     prep = prepare_split(df, key, features, label, test_size, seed)
     kind = prep.problem_type
     names = models if models is not None else catalog.default_selection(kind)
     data = prep.data.persist()
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    rows, fitted, cv_tables = [], {}, []
-    best_name, best_score = None, None
+
+    def run(pos: int, name: str):
+        t0 = time.time()
+        try:
+            params, cv_score, cv_table = {}, None, None
+            if search in ("grid", "random"):
+                res = (grid_search(train, key, features, label, name, kind, k=cv_folds, seed=seed,
+                                   parallelism=parallelism) if search == "grid" else
+                       random_search(train, key, features, label, name, kind, n_iter=n_iter, k=cv_folds,
+                                     seed=seed, parallelism=parallelism))
+                model, params, cv_score, cv_table = res.best_model, res.best_params, res.best_score, res.cv_results
+            else:
+                model = catalog.fit(name, train, features, label, key=key)
+                if cross_validation:
+                    cv_table = cross_validate(train, key, features, label, name, kind, k=cv_folds, seed=seed,
+                                              parallelism=parallelism)
+                    cv_score = cv_table.first()["mean_test_score"]
+            seconds = time.time() - t0
+            te, tr = model.transform(test), model.transform(train)
+            if kind == "regression":
+                m, mt = regression_metrics(te, label).first(), regression_metrics(tr, label).first()
+                row = (pos, name, m["r2"], m["mse"], m["rmse"], m["mae"], m["mape"], mt["r2"], mt["mse"],
+                       cv_score, seconds, json.dumps(params, default=str), None)
+                score = m["r2"]
+            else:
+                m, mt = classification_metrics(te, label).first(), classification_metrics(tr, label).first()
+                auc = None
+                if model.has_probability and model.classes and len(model.classes) == 2:
+                    auc = roc_auc(te.withColumn("_s", F.col("probability")[1]), label, "_s",
+                                  model.classes[1]).first()["roc_auc"]
+                row = (pos, name, m["accuracy"], m["f1"], m["precision"], m["recall"], auc,
+                       mt["accuracy"], mt["f1"], cv_score, seconds, json.dumps(params, default=str), None)
+                score = m["accuracy"]
+            return row, model, score, cv_table
+        except Exception as e:  # noqa: BLE001 - a failing model becomes an error row
+            return (pos, name, *([None] * 8), time.time() - t0, None, f"{type(e).__name__}: {e}"[:500]), None, None, None
+
     try:
-        for pos, name in enumerate(names):
-            t0 = time.time()
-            try:
-                params, cv_score = {}, None
-                if search in ("grid", "random"):
-                    res = (grid_search(train, key, features, label, name, kind, k=cv_folds, seed=seed,
-                                       parallelism=parallelism) if search == "grid" else
-                           random_search(train, key, features, label, name, kind, n_iter=n_iter, k=cv_folds,
-                                         seed=seed, parallelism=parallelism))
-                    model, params, cv_score = res.best_model, res.best_params, res.best_score
-                    cv_tables.append(res.cv_results)
-                else:
-                    model = catalog.fit(name, train, features, label, key=key)
-                    if cross_validation:
-                        cv = cross_validate(train, key, features, label, name, kind, k=cv_folds, seed=seed,
-                                            parallelism=parallelism)
-                        cv_tables.append(cv)
-                        cv_score = cv.first()["mean_test_score"]
-                seconds = time.time() - t0
-                fitted[name] = model
-                te, tr = model.transform(test), model.transform(train)
-                if kind == "regression":
-                    m, mt = regression_metrics(te, label).first(), regression_metrics(tr, label).first()
-                    score = m["r2"]
-                    rows.append((pos, name, m["r2"], m["mse"], m["rmse"], m["mae"], m["mape"], mt["r2"], mt["mse"],
-                                 cv_score, seconds, json.dumps(params, default=str), None))
-                else:
-                    m, mt = classification_metrics(te, label).first(), classification_metrics(tr, label).first()
-                    auc = None
-                    if model.has_probability and model.classes and len(model.classes) == 2:
-                        auc = roc_auc(te.withColumn("_s", F.col("probability")[1]), label, "_s",
-                                      model.classes[1]).first()["roc_auc"]
-                    score = m["accuracy"]
-                    rows.append((pos, name, m["accuracy"], m["f1"], m["precision"], m["recall"], auc,
-                                 mt["accuracy"], mt["f1"], cv_score, seconds, json.dumps(params, default=str), None))
-                if best_score is None or (score is not None and score > best_score):
-                    best_name, best_score = name, score
-            except Exception as e:  # noqa: BLE001 - a failing model becomes an error row
-                empty = [None] * 8
-                rows.append((pos, name, *empty, time.time() - t0, None, f"{type(e).__name__}: {e}"[:500]))
+        if model_parallelism > 1:
+            with ThreadPoolExecutor(model_parallelism) as pool:
+                results = list(pool.map(lambda a: run(*a), enumerate(names)))
+        else:
+            results = [run(pos, name) for pos, name in enumerate(names)]
     finally:
         data.unpersist()
+    rows, fitted, cv_tables = [], {}, []
+    best_name, best_score = None, None
+    for (row, model, score, cv_table), name in zip(results, names):     # in position order: first best wins
+        rows.append(row)
+        if model is not None:
+            fitted[name] = model
+        if cv_table is not None:
+            cv_tables.append(cv_table)
+        if score is not None and (best_score is None or score > best_score):
+            best_name, best_score = name, score
     schema = REG_SCHEMA if kind == "regression" else CLS_SCHEMA
     table = df.sparkSession.createDataFrame(rows, schema)
     return Leaderboard(table, fitted, best_name, cv_tables, prep)

@@ -81,3 +81,11 @@ def test_flows_explore_and_train(spark):
     assert c["roc_curve"].count() >= 2 and c["confusion_matrix"].count() == 4
     preds = {r["prediction"] for r in c["scorer"](df.select("k", "a", "b")).collect()}
     assert preds <= {1, 2}                                   # labels shifted back
+
+
+def test_parallel_models_same_leaderboard(spark):
+    df = _cls_frame(spark)
+    names = ["naive_bayes", "logistic_regression", "decision_tree_classification"]
+    seq = train_all(df, "k", ["a", "b"], "y", models=names).table.drop("seconds")
+    par = train_all(df, "k", ["a", "b"], "y", models=names, model_parallelism=3).table.drop("seconds")
+    assert sorted(map(tuple, seq.collect())) == sorted(map(tuple, par.collect()))
