@@ -80,3 +80,21 @@ def test_with_index_null_keys_sort_first(spark):
     got = with_index(df, ["v", "k"], rows_per_bucket=40)
     want = df.withColumn("i2", F.row_number().over(Window.orderBy("v", "k")) - 1)
     assert got.join(want, "k").where("index != i2").count() == 0
+
+
+def test_hot_class_is_spread_over_buckets(spark):
+    from tabflow.functions.columns import hash_fraction
+    from tabflow.operators.split import stratified_kfold
+    # one class holds 80 % of the rows
+    rows = [(i, 0 if i % 5 else 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, y int").withColumn("_f", hash_fraction(F.col("k")))
+    indexed = with_index(df, ["_f", "k"], ["y"], rows_per_bucket=200)
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    want = df.withColumn("i2", F.row_number().over(Window.partitionBy("y").orderBy("_f", "k")) - 1)
+    assert indexed.join(want, ["k", "y"]).where("index != i2").count() == 0
+    folds = stratified_kfold(df.drop("_f"), "k", "y", 5).groupBy("y", "fold").count().collect()
+    sizes = {}
+    for r in folds:
+        sizes.setdefault(r["y"], []).append(r["count"])
+    assert all(max(v) - min(v) <= 1 for v in sizes.values())
