@@ -168,13 +168,40 @@ def leaderboard_regression_part(spark, sf):
                      model_parallelism=4).table.drop("seconds")
 
 
-@register("learning_curve_part")
+_CURVE = f"""d AS (SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS x1, CAST(p_size AS DOUBLE) AS x2, p_retailprice AS y,
+    {hash_frac('p_partkey')} AS f1, {hash_frac('p_partkey', 43)} AS f2 FROM part),
+ fd AS (SELECT *, (row_number() OVER (ORDER BY f1, p_partkey) - 1) % 5 AS fold,
+    CASE WHEN f2 < 0.1 THEN 0.1 WHEN f2 < 0.325 THEN 0.325 WHEN f2 < 0.55 THEN 0.55 WHEN f2 < 0.775 THEN 0.775
+         WHEN f2 < 1.0 THEN 1.0 END AS subset FROM d),
+ g AS (SELECT v.fr, f.j FROM (VALUES (0.1), (0.325), (0.55), (0.775), (1.0)) v(fr), (SELECT DISTINCT fold AS j FROM fd) f),
+ m AS (SELECT g.fr, g.j, count(*) AS n, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12,
+    covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my
+    FROM g JOIN fd ON fd.fold <> g.j AND fd.subset <= g.fr GROUP BY g.fr, g.j),
+ c AS (SELECT fr, j, n, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+    (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM m),
+ pv AS (SELECT c.fr, c.j, fd.y, c.my + c.b1 * (fd.x1 - c.m1) + c.b2 * (fd.x2 - c.m2) AS p,
+    fd.fold = c.j AS is_val, fd.fold <> c.j AND fd.subset <= c.fr AS is_tr FROM c JOIN fd ON TRUE),
+ sc AS (SELECT fr, j, 1 - sum(pow(y - p, 2)) FILTER (WHERE is_tr) / (var_pop(y) FILTER (WHERE is_tr) * count(*) FILTER (WHERE is_tr)) AS r2_tr,
+    1 - sum(pow(y - p, 2)) FILTER (WHERE is_val) / (var_pop(y) FILTER (WHERE is_val) * count(*) FILTER (WHERE is_val)) AS r2_val
+    FROM pv GROUP BY fr, j),
+ curve AS (SELECT CAST(sc.fr AS DOUBLE) AS fraction, CAST(round(avg(c.n)) AS BIGINT) AS train_size,
+    avg(r2_tr) AS train_mean, stddev_pop(r2_tr) AS train_std, avg(r2_val) AS val_mean, stddev_pop(r2_val) AS val_std
+    FROM sc JOIN c ON sc.fr = c.fr AND sc.j = c.j GROUP BY sc.fr)"""
+
+
+@register("learning_curve_part", sql=f"WITH {_CURVE} SELECT * FROM curve",
+          round={k: 6 for k in ("train_mean", "train_std", "val_mean", "val_std")})
 def learning_curve_part(spark, sf):
     data, _ = part_regression(spark, sf)
     return curves.learning_curve(data, "p_partkey", _F, "p_retailprice", "linear_regression", "regression")
 
 
-@register("learning_diagnosis_part")
+@register("learning_diagnosis_part", sql=f"""WITH {_CURVE},
+ l AS (SELECT *, lag(val_mean, 2) OVER (ORDER BY train_size) AS v2, lag(train_size, 2) OVER (ORDER BY train_size) AS s2 FROM curve),
+ a AS (SELECT avg(train_mean - val_mean) AS gap, arg_max(val_mean, train_size) AS final_val,
+    arg_max((val_mean - v2) / (train_size - s2), train_size) AS slope FROM l)
+SELECT gap, final_val, slope, CASE WHEN gap > 0.1 THEN 'overfit' WHEN final_val < 0.7 THEN 'underfit' ELSE 'ok' END AS fit_status,
+  coalesce(slope > 0.01, FALSE) AS more_data_helps FROM a""", round={"gap": 6, "final_val": 6, "slope": 9})
 def learning_diagnosis_part(spark, sf):
     return curves.learning_diagnosis(learning_curve_part(spark, sf))
 
