@@ -386,7 +386,44 @@ def score_test_part(spark, sf):
     return score.score_test(models, test, "ridge").select("p_partkey", "prediction")
 
 
-@register("grid_search_ridge_part")
+# fixed values: the ridge search space (alpha x fit_intercept) and its JSON rendering
+_RIDGE_GRID = """
+  (0.001, TRUE, '{"alpha": 0.001, "fit_intercept": true}'),
+  (0.001, FALSE, '{"alpha": 0.001, "fit_intercept": false}'),
+  (0.01, TRUE, '{"alpha": 0.01, "fit_intercept": true}'),
+  (0.01, FALSE, '{"alpha": 0.01, "fit_intercept": false}'),
+  (0.1, TRUE, '{"alpha": 0.1, "fit_intercept": true}'),
+  (0.1, FALSE, '{"alpha": 0.1, "fit_intercept": false}'),
+  (1.0, TRUE, '{"alpha": 1.0, "fit_intercept": true}'),
+  (1.0, FALSE, '{"alpha": 1.0, "fit_intercept": false}'),
+  (10.0, TRUE, '{"alpha": 10.0, "fit_intercept": true}'),
+  (10.0, FALSE, '{"alpha": 10.0, "fit_intercept": false}'),
+  (100.0, TRUE, '{"alpha": 100.0, "fit_intercept": true}'),
+  (100.0, FALSE, '{"alpha": 100.0, "fit_intercept": false}')
+"""
+
+_GRID_SQL = f"""WITH {_PD}, {_SCALED_PART},
+ zt AS (SELECT *, (row_number() OVER (ORDER BY frac, p_partkey) - 1) % 3 AS fold FROM z WHERE frac >= 0.2),
+ g AS (SELECT * FROM (VALUES {_RIDGE_GRID}) v(alpha, fi, params), (SELECT DISTINCT fold AS j FROM zt) f),
+ mo AS (SELECT g.alpha, g.fi, g.params, g.j, count(*) AS n, sum(z1 * z1) AS q11, sum(z2 * z2) AS q22, sum(z1 * z2) AS q12,
+    sum(z1 * y) AS q1y, sum(z2 * y) AS q2y, avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my
+    FROM g JOIN zt ON zt.fold <> g.j GROUP BY g.alpha, g.fi, g.params, g.j),
+ a AS (SELECT *, CASE WHEN fi THEN q11 - n * m1 * m1 ELSE q11 END + alpha AS a11,
+    CASE WHEN fi THEN q22 - n * m2 * m2 ELSE q22 END + alpha AS a22,
+    CASE WHEN fi THEN q12 - n * m1 * m2 ELSE q12 END AS a12,
+    CASE WHEN fi THEN q1y - n * m1 * my ELSE q1y END AS r1, CASE WHEN fi THEN q2y - n * m2 * my ELSE q2y END AS r2 FROM mo),
+ w AS (SELECT alpha, fi, params, j, (a22 * r1 - a12 * r2) / (a11 * a22 - a12 * a12) AS w1,
+    (a11 * r2 - a12 * r1) / (a11 * a22 - a12 * a12) AS w2, m1, m2, my FROM a),
+ pv AS (SELECT w.params, w.j, zt.y, CASE WHEN w.fi THEN w.my - w.w1 * w.m1 - w.w2 * w.m2 ELSE 0 END
+    + w.w1 * zt.z1 + w.w2 * zt.z2 AS p, zt.fold = w.j AS is_val FROM w JOIN zt ON TRUE),
+ sc AS (SELECT params, j, is_val, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2 FROM pv GROUP BY params, j, is_val)
+SELECT 'ridge' AS model, params, avg(r2) FILTER (WHERE is_val) AS mean_test_score,
+  stddev_pop(r2) FILTER (WHERE is_val) AS std_test_score, avg(r2) FILTER (WHERE NOT is_val) AS mean_train_score,
+  stddev_pop(r2) FILTER (WHERE NOT is_val) AS std_train_score FROM sc GROUP BY params"""
+
+
+@register("grid_search_ridge_part", sql=_GRID_SQL,
+          round={"mean_test_score": 5, "std_test_score": 5, "mean_train_score": 5, "std_train_score": 5})
 def grid_search_ridge_part(spark, sf):
     data, _ = part_regression(spark, sf)
     res = tune.grid_search(data.where(F.col("split") == "train"), "p_partkey", _F, "p_retailprice", "ridge",
