@@ -447,7 +447,10 @@ def model_params_part(spark, sf):
     return catalog.model_params(m, spark, all_params=True)
 
 
-@register("model_summary_docs")
+@register("model_summary_docs", sql=f"""WITH {_DS}
+SELECT 'classification' AS problem_type, 'logistic_regression' AS model, 'LogisticRegressionModel' AS model_class,
+  'n_chars, lang_code' AS features, count(*) FILTER (WHERE split = 'train') AS n_train,
+  count(*) FILTER (WHERE split = 'test') AS n_test FROM sp""")
 def model_summary_docs(spark, sf):
     data, _ = docs_classification(spark, sf)
     counts = {r["split"]: r["n"] for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
