@@ -39,7 +39,7 @@ def _is_orderable_number(df: DataFrame, c) -> bool:
 GRID = 1_000
 
 
-def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | None = None) -> tuple[Column, int]:
+def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | None = None):
     """Bucket number of each row from explicit cut points on the first order key.
 
     One aggregate returns the row count and a sketch of the key at ``GRID``
@@ -70,13 +70,7 @@ def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | N
     cuts = sorted(set(c for c in cuts if c is not None))
     if not cuts:
         return F.lit(0), 1
-
-    def build(lo: int, hi: int) -> Column:       # bucket = number of cut points <= key
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return F.when(k.isNull(), F.lit(0)).otherwise(build(0, len(cuts))), len(cuts) + 1   # NULLs sort first
+    return _BucketSplits(cuts), len(cuts) + 1
 
 
 SAMPLE_PER_BUCKET = 50
@@ -105,6 +99,29 @@ def _sampled_buckets(df: DataFrame, first_key: str, rows_per_bucket: int, n_rows
     return F.when(k.isNull(), F.lit(0)).otherwise(build(0, len(cuts))), len(cuts) + 1   # NULLs sort first
 
 
+class _BucketSplits:
+    """Numeric cut points; applied with ``Bucketizer`` (a JVM binary search per row, so
+    thousands of buckets stay one cheap expression).  NULL keys go to the first bucket and
+    NaN to the last, as Spark sorts them."""
+
+    def __init__(self, cuts: list[float]):
+        self.cuts = cuts
+
+    def apply(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        from pyspark.ml.feature import Bucketizer
+        k = F.col(f"`{key}`").cast("double")
+        staged = df.withColumn("_bkey", F.coalesce(F.nanvl(k, F.lit(float("inf"))), F.lit(float("-inf"))))
+        b = Bucketizer(splits=[float("-inf"), *self.cuts, float("inf")], inputCol="_bkey", outputCol="_bnum")
+        return b.transform(staged).withColumn(out, F.col("_bnum").cast("int")).drop("_bkey", "_bnum")
+
+
+def _with_bucket(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | None) -> tuple[DataFrame, int]:
+    bucket, n = _bucket_expr(df, first_key, rows_per_bucket, n_rows)
+    if isinstance(bucket, _BucketSplits):
+        return bucket.apply(df, first_key, "_bkt"), n
+    return df.withColumn("_bkt", bucket), n
+
+
 def _offsets(sizes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Exclusive running sums of ``values`` over buckets per group, from the small sizes table.
 
@@ -128,8 +145,7 @@ def with_index(df: DataFrame, order_by: list, group_by: list[str] | None = None,
     Order keys must be unique (within a group) for a deterministic result."""
     group_by = list(group_by or [])
     keys = [col_or_name(c) for c in order_by]
-    bucket, n_buckets = _bucket_expr(df, order_by[0], rows_per_bucket, n_rows)
-    b = df.withColumn("_bkt", bucket)
+    b, n_buckets = _with_bucket(df, order_by[0], rows_per_bucket, n_rows)
     local = Window.partitionBy(*group_by, "_bkt").orderBy(*keys)
     numbered = b.withColumn("_local", F.row_number().over(local) - 1)
     if n_buckets == 1:                                  # every offset is zero
@@ -145,8 +161,7 @@ def running_total(df: DataFrame, order_by: list, values: list[str], suffix: str
                   rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order_by`` order over the whole table."""
     keys = [col_or_name(c) for c in order_by]
-    bucket, n_buckets = _bucket_expr(df, order_by[0], rows_per_bucket, n_rows)
-    b = df.withColumn("_bkt", bucket)
+    b, n_buckets = _with_bucket(df, order_by[0], rows_per_bucket, n_rows)
     local = Window.partitionBy("_bkt").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     numbered = b.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
     if n_buckets == 1:
