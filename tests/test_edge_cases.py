@@ -46,3 +46,17 @@ def test_one_row_describe_and_single_class(spark):
 def test_mape_legacy_and_zero_targets(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "label double, prediction double")
     assert evaluate.mape_legacy(df).first()["mape_legacy"] == pytest.approx(100 * (1e8 + 0.5) / 2, rel=1e-6)
+
+
+def test_kde_truncated_kernel_equals_dense(spark):
+    import numpy as np
+    from tabflow.operators.plotdata import kde
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=200_000)
+    df = spark.createDataFrame([(float(x),) for x in v], "x double").repartition(4)
+    got = {r["j"]: r["density"] for r in kde(df, "x", points=101).collect()}
+    n, h = len(v), v.std(ddof=1) * len(v) ** -0.2
+    grid = v.min() + np.arange(101) * ((v.max() - v.min()) / 100)
+    dense = np.array([np.exp(-0.5 * ((g - v) / h) ** 2).sum() for g in grid]) / (n * h * np.sqrt(2 * np.pi))
+    assert 40 * h < (v.max() - v.min()) / 2                 # the reach really cuts the sums
+    assert np.allclose([got[j] for j in range(101)], dense, rtol=1e-10, atol=1e-15)
