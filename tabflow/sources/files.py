@@ -15,7 +15,13 @@ LISTING_SCHEMA = "name string, path string, bytes long, modified timestamp"
 
 
 def is_valid_directory(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists and is a directory (any Hadoop file system)."""
+    """True when ``path`` exists and is a directory: local paths through the OS, other
+    schemes (hdfs://, s3a://, ...) through the session's Hadoop file system."""
+    import os
+    from urllib.parse import urlparse
+    scheme = urlparse(path).scheme
+    if scheme in ("", "file"):
+        return os.path.isdir(urlparse(path).path if scheme else path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
