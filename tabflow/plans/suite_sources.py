@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tabflow.plans.fixtures import PART_N, part_with_nulls
 from tabflow.plans.registry import register
+from tabflow.sources.files import list_csv, read_csv, scratch_path, write_csv
 from tabflow.sources.parquet import load_table
 from tabflow.sources.sql import sql, table_preview
 
@@ -34,3 +36,19 @@ def sql_text_customer_nation(spark, sf):
 @register("table_preview_lineitem", sql="SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000")
 def table_preview_lineitem(spark, sf):
     return table_preview(load_table(spark, sf, "lineitem"), 1000, ["l_orderkey", "l_linenumber"])
+
+
+@register("read_csv_part", sql=f"""WITH {PART_N}
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part_n""")
+def read_csv_part(spark, sf):
+    """part (with injected missing values) exported as CSV into the shared folder, read back
+    with missing markers and type inference."""
+    path = write_csv(part_with_nulls(spark, sf), scratch_path(spark, "part_csv"))
+    return read_csv(spark, path)
+
+
+@register("list_csv_part_export")
+def list_csv_part_export(spark, sf):
+    """The .csv files of a fresh export of part (file names carry random ids: rows-only)."""
+    path = write_csv(part_with_nulls(spark, sf), scratch_path(spark, "part_csv"))
+    return list_csv(spark, path).select("name", "bytes")

@@ -85,3 +85,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def _as_text_schema(spark, path, schema):
     target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in target.fields])
+
+
+def write_csv(df: DataFrame, path: str) -> str:
+    """Distributed CSV export with a header row (missing values as empty fields)."""
+    df.write.mode("error").option("header", True).csv(path)
+    return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a machine-local default)."""
+    import uuid
+    from tabflow.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex}"
