@@ -36,6 +36,19 @@ def _is_orderable_number(df: DataFrame, c) -> bool:
     return isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
+def _order_value(df: DataFrame, name: str) -> Column:
+    """An order-preserving double for a numeric, date or timestamp key (ANSI-safe casts)."""
+    c = F.col(f"`{name}`")
+    dt = df.schema[name].dataType
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    return c.cast("double")
+
+
 GRID = 1_000
 
 
@@ -54,7 +67,7 @@ def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | N
         return F.lit(0), 1
     if not _is_orderable_number(df, first_key):
         return _sampled_buckets(df, first_key, rows_per_bucket, n_rows)
-    k = F.col(f"`{first_key}`").cast("double")
+    k = _order_value(df, first_key)
     grid = [i / GRID for i in range(1, GRID)]
     r = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(k, grid, 10 * GRID).alias("g")).first()
     n = r["n"]
@@ -109,7 +122,7 @@ class _BucketSplits:
 
     def apply(self, df: DataFrame, key: str, out: str) -> DataFrame:
         from pyspark.ml.feature import Bucketizer
-        k = F.col(f"`{key}`").cast("double")
+        k = _order_value(df, key)
         staged = df.withColumn("_bkey", F.coalesce(F.nanvl(k, F.lit(float("inf"))), F.lit(float("-inf"))))
         b = Bucketizer(splits=[float("-inf"), *self.cuts, float("inf")], inputCol="_bkey", outputCol="_bnum")
         return b.transform(staged).withColumn(out, F.col("_bnum").cast("int")).drop("_bkey", "_bnum")

@@ -98,3 +98,15 @@ def test_hot_class_is_spread_over_buckets(spark):
     for r in folds:
         sizes.setdefault(r["y"], []).append(r["count"])
     assert all(max(v) - min(v) <= 1 for v in sizes.values())
+
+
+def test_with_index_date_and_timestamp_keys(spark):
+    import datetime as dt
+    base = dt.date(2020, 1, 1)
+    rows = [(i, base + dt.timedelta(days=(i * 37) % 900), dt.datetime(2020, 1, 1) + dt.timedelta(minutes=(i * 53) % 7000))
+            for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, d date, t timestamp")
+    for key in ("d", "t"):
+        got = with_index(df, [key, "k"], rows_per_bucket=100)
+        want = df.withColumn("i2", F.row_number().over(Window.orderBy(key, "k")) - 1)
+        assert got.join(want, "k").where("index != i2").count() == 0
