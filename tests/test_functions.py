@@ -110,3 +110,21 @@ def test_with_index_date_and_timestamp_keys(spark):
         got = with_index(df, [key, "k"], rows_per_bucket=100)
         want = df.withColumn("i2", F.row_number().over(Window.orderBy(key, "k")) - 1)
         assert got.join(want, "k").where("index != i2").count() == 0
+
+
+def test_positions_do_not_depend_on_physical_partitioning(spark):
+    from tabflow.operators.split import stratified_kfold
+    rows = [(i, i % 3, float((i * 7919) % 1000)) for i in range(3000)]
+    base = spark.createDataFrame(rows, "k long, g int, v double")
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, layout in ((3, 1), (11, 7), (5, 13)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            df = base.repartition(layout)
+            idx = {r["k"]: r["index"] for r in with_index(df, ["v", "k"], ["g"], rows_per_bucket=150).collect()}
+            folds = {r["k"]: r["fold"] for r in stratified_kfold(df, "k", "g", 4).collect()}
+            results.append((idx, folds))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert all(r == results[0] for r in results[1:])
