@@ -76,6 +76,15 @@ def _corr_wide(df: DataFrame, cols: list[str]) -> DataFrame:
     return _long_from_matrix(spark, cols, lambda i, j: found[(min(i, j), max(i, j))])
 
 
+def corr_matrix_wide(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The same matrix wide: one row per column ``a`` with one correlation column per ``b``
+    (the pivot values are the known column list, so no extra job finds them)."""
+    cols = list(cols) if cols is not None else numeric_columns(df)
+    long = corr_matrix(df, cols)
+    return (long.groupBy("i", "a").pivot("b", cols).agg(F.first("corr"))
+                .orderBy("i").drop("i").withColumnRenamed("a", "feature"))
+
+
 def corr_with_target(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:
     """|corr| of every numeric column with the target (target included), descending;
     missing coefficients last, ties by table position."""

@@ -106,3 +106,10 @@ def test_corr_matrix_wide_paths_agree(spark):
         assert (v is None and wide[k] is None) or wide[k] == pytest.approx(v, abs=1e-9)
         assert (ref[k] is None and pairwise[k] is None) or pairwise[k] == pytest.approx(ref[k], abs=1e-12)
     assert narrow[("c5", "c1")] is None and wide[("c5", "c5")] is None
+
+
+def test_corr_matrix_wide(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.1, 3.0), (3.0, 6.2, 4.0)], "x double, y double, z double")
+    wide = correlation.corr_matrix_wide(df).collect()
+    assert [r["feature"] for r in wide] == ["x", "y", "z"]
+    assert wide[0]["x"] == pytest.approx(1.0) and wide[1]["x"] == pytest.approx(wide[0]["y"])
