@@ -99,7 +99,9 @@ def extrema_flags_part(spark, sf):
 
 @register("column_classes_lineitem", sql="""SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column",
   CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-    WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS dtype,
+    WHEN 'VARCHAR' THEN 'string'
+    ELSE CASE WHEN data_type LIKE 'TIMESTAMP%' AND data_type NOT LIKE '%TIME ZONE%' THEN 'timestamp_ntz'
+              ELSE lower(data_type) END END AS dtype,
   CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT') THEN 'numeric'
     WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'other' END AS column_class
 FROM information_schema.columns WHERE table_name = 'lineitem'""")
