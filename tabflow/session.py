@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",   # shuffle partitions sized by AQE
     "spark.sql.files.maxPartitionBytes": "256m",                  # scan splits
     "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # drop checkpoint files no longer referenced
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
