@@ -46,9 +46,22 @@ def residual_stats(scored: DataFrame, label: str = "label", prediction: str = "p
                       .alias("explained_variance_ratio"), "residual_std", "residual_mean")
 
 
+LOCAL_COUNT_ROWS = 1_000_000   # confusion cells kept as a local relation up to this many
+
+
 def confusion_counts(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return (scored.groupBy(_c(label).alias("actual"), _c(prediction).alias("predicted"))
-                  .agg(F.count(F.lit(1)).alias("n")))
+    """(actual, predicted, n) for the non-empty cells: one scan of the scored table.
+
+    The cells (at most classes^2, and never more than rows) are collected once when
+    within ``LOCAL_COUNT_ROWS`` and re-enter as a local relation, so the metrics
+    built on them do not re-run the scoring plan; otherwise they stay distributed.
+    """
+    counts = (scored.groupBy(_c(label).alias("actual"), _c(prediction).alias("predicted"))
+                    .agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.limit(LOCAL_COUNT_ROWS + 1).collect()
+    if len(rows) <= LOCAL_COUNT_ROWS:
+        return scored.sparkSession.createDataFrame(rows, counts.schema)
+    return counts
 
 
 def _per_class(counts: DataFrame) -> DataFrame:
