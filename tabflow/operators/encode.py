@@ -34,6 +34,7 @@ def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
 
 
 CODES_BROADCAST_ROWS = 1_000_000
+CODES_LOCAL_ROWS = 100_000
 
 
 def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | None = None) -> DataFrame:
@@ -42,7 +43,10 @@ def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | N
     target = target or col
     key = F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN))
     n = getattr(codes, "_tabflow_rows", None)
-    small = (n if n is not None else codes.limit(CODES_BROADCAST_ROWS + 1).count()) <= CODES_BROADCAST_ROWS
+    n = n if n is not None else codes.limit(CODES_BROADCAST_ROWS + 1).count()
+    small = n <= CODES_BROADCAST_ROWS
+    if n <= CODES_LOCAL_ROWS:          # tiny code table: materialise once, the plan no longer rebuilds it
+        codes = df.sparkSession.createDataFrame(codes.collect(), codes.schema)
     side = codes.select(F.col("value").alias(f"__v_{col}"), F.col("code").alias(f"__code_{col}"))
     joined = df.join(F.broadcast(side) if small else side, key == F.col(f"__v_{col}"), "left")
     out = [F.col(f"__code_{col}").alias(target) if c == col and target == col else _c(c) for c in df.columns]
