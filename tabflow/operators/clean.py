@@ -109,13 +109,16 @@ def fill_mode(df: DataFrame) -> DataFrame:
     return _fill(df, mode_values(df, cols), as_double=False)
 
 
-def clean(df: DataFrame, strategy: str = "drop") -> DataFrame:
-    """Missing-value strategy dispatcher; a table without missing values is returned unchanged."""
+def clean(df: DataFrame, strategy: str = "drop", exact: bool = True) -> DataFrame:
+    """Missing-value strategy dispatcher; a table without missing values is returned unchanged.
+    ``exact=False`` uses approximate medians (one scan)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     if sum(_missing_by_column(df, df.columns).values()) == 0:
         return df
-    return {"drop": drop_missing, "mean": fill_mean, "median": fill_median, "mode": fill_mode}[strategy](df)
+    if strategy == "median":
+        return fill_median(df, exact=exact)
+    return {"drop": drop_missing, "mean": fill_mean, "mode": fill_mode}[strategy](df)
 
 
 def _within(df: DataFrame, col: str, lo: float, hi: float) -> Column:

@@ -20,16 +20,17 @@ from tabflow.plans.train import Leaderboard, train_all
 
 
 def explore(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None,
-            bins: int = 30) -> dict[str, DataFrame]:
+            bins: int = 30, exact: bool = True) -> dict[str, DataFrame]:
     """Flow A: shape, types, validation, statistics and chart data for the chosen numeric
-    columns (all numeric columns when none are given)."""
+    columns (all numeric columns when none are given).  ``exact=False`` uses approximate
+    quantiles for the statistics and box plots."""
     numeric = numeric_columns(df)
     cols = [c for c in (columns or numeric) if c in numeric]
     out = {"data_info": profile.data_info(df), "validation": profile.validate(df),
            "missing": profile.missing_counts(df)}
-    out["describe"] = profile.describe(df, numeric) if numeric else profile.describe_categorical(df)
+    out["describe"] = profile.describe(df, numeric, exact=exact) if numeric else profile.describe_categorical(df)
     if cols:
-        out["box"] = plotdata.box_stats(df, cols)
+        out["box"] = plotdata.box_stats(df, cols, exact=exact)
         out["histogram"] = plotdata.histogram(df, cols, bins)
         out["correlation"] = correlation.corr_matrix(df, cols)
         if order_by:

@@ -89,3 +89,13 @@ def test_parallel_models_same_leaderboard(spark):
     seq = train_all(df, "k", ["a", "b"], "y", models=names).table.drop("seconds")
     par = train_all(df, "k", ["a", "b"], "y", models=names, model_parallelism=3).table.drop("seconds")
     assert sorted(map(tuple, seq.collect())) == sorted(map(tuple, par.collect()))
+
+
+def test_approximate_paths(spark):
+    from tabflow.plans.analysis import explore
+    from tabflow.plans.prepare import prepare
+    df = _cls_frame(spark).withColumn("a", F.when(F.col("k") % 9 == 0, None).otherwise(F.col("a")))
+    a = explore(df, ["a", "b"], exact=False)
+    assert a["describe"].count() == 4 and a["box"].count() == 2
+    cleaned, rec = prepare(df, "y", strategy="median", outlier_cols=["a", "b"], exact=False)
+    assert cleaned.where(F.col("a").isNull()).count() == 0 and rec.count() >= 1
