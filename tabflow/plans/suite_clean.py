@@ -161,3 +161,10 @@ def prepare_part_flagship(spark, sf):
     _, rec = prepare(part_with_nulls(spark, sf), "p_retailprice", strategy="mean",
                      outlier_cols=["p_size", "p_retailprice"], method="iqr")
     return rec
+
+
+@register("outliers_iqr_events_approx")
+def outliers_iqr_events_approx(spark, sf):
+    """IQR outlier removal with approximate quartiles (one scan per column): rows-only check."""
+    ev = load_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return clean.remove_outliers(ev, ["value", "user_id"], "iqr", exact=False)

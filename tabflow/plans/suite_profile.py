@@ -169,3 +169,10 @@ def row_counts_events(spark, sf):
 def format_fixed_events(spark, sf):
     ev = load_table(spark, sf, "events").select("event_id", "value")
     return profile.format_column(ev, "value", 4).drop("value")
+
+
+@register("describe_lineitem_approx")
+def describe_lineitem_approx(spark, sf):
+    """describe with approximate quartiles (one scan): rows-only check."""
+    return profile.describe(load_table(spark, sf, "lineitem"),
+                            ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], exact=False)
