@@ -195,6 +195,3 @@ def test_class_counts(split_df: DataFrame, label: str, split_col: str = "split")
     return (split_df.where(_c(split_col) == "test").groupBy(_c(label).alias("class"))
                     .agg(F.count(F.lit(1)).alias("n")).orderBy("class"))
 
-
-def score_of(metrics_row, problem_type: str) -> float:
-    return metrics_row["r2"] if problem_type == "regression" else metrics_row["accuracy"]

@@ -17,10 +17,6 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def data_info(df: DataFrame) -> DataFrame:
     """One row per column: position, type, class, table shape and missing count (one scan)."""
     fields = df.schema.fields

@@ -60,3 +60,14 @@ def test_kde_truncated_kernel_equals_dense(spark):
     dense = np.array([np.exp(-0.5 * ((g - v) / h) ** 2).sum() for g in grid]) / (n * h * np.sqrt(2 * np.pi))
     assert 40 * h < (v.max() - v.min()) / 2                 # the reach really cuts the sums
     assert np.allclose([got[j] for j in range(101)], dense, rtol=1e-10, atol=1e-15)
+
+
+def test_small_apis(spark):
+    from tabflow.operators.correlation import recommended_list
+    from tabflow.sources.sql import list_views, sql
+    df = spark.createDataFrame([(1, 0.5, 1.0), (2, None, 3.0), (3, 0.9, 2.0)], "k int, s double, y double")
+    assert [r["k"] for r in reshape.sort_desc(df, "s", ["k"]).collect()] == [3, 1, 2]    # missing last
+    assert reshape.is_binary(df.withColumn("b", F.col("k") % 2), "b")
+    assert recommended_list(df, "y", min_corr=0.0) == ["s", "k"]     # |corr| 1.0 (pairwise complete) then 0.5
+    sql(spark, {"small_t": df}, "SELECT count(*) AS n FROM small_t").first()
+    assert "small_t" in [r["name"] for r in list_views(spark).collect()]
