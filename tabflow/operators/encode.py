@@ -27,6 +27,12 @@ def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
     """
     from tabflow.functions.indexing import with_index
     distinct = df.select(F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN)).alias("value")).distinct()
+    few = distinct.limit(CODES_LOCAL_ROWS + 1).collect()
+    if len(few) <= CODES_LOCAL_ROWS:    # small domain: ranked once, kept as a local relation
+        values = sorted(r["value"] for r in few)
+        codes = df.sparkSession.createDataFrame(list(zip(values, range(len(values)))), "value string, code int")
+        codes._tabflow_rows, codes._tabflow_local = len(values), True
+        return codes
     n = distinct.count()
     codes = with_index(distinct, ["value"], name="code", n_rows=n).select("value", F.col("code").cast("int").alias("code"))
     codes._tabflow_rows = n             # known size: lets apply_label_codes choose the join without a job
@@ -45,8 +51,8 @@ def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | N
     n = getattr(codes, "_tabflow_rows", None)
     n = n if n is not None else codes.limit(CODES_BROADCAST_ROWS + 1).count()
     small = n <= CODES_BROADCAST_ROWS
-    if n <= CODES_LOCAL_ROWS:          # tiny code table: materialise once, the plan no longer rebuilds it
-        codes = df.sparkSession.createDataFrame(codes.collect(), codes.schema)
+    if n <= CODES_LOCAL_ROWS and not getattr(codes, "_tabflow_local", False):
+        codes = df.sparkSession.createDataFrame(codes.collect(), codes.schema)   # materialise once
     side = codes.select(F.col("value").alias(f"__v_{col}"), F.col("code").alias(f"__code_{col}"))
     joined = df.join(F.broadcast(side) if small else side, key == F.col(f"__v_{col}"), "left")
     out = [F.col(f"__code_{col}").alias(target) if c == col and target == col else _c(c) for c in df.columns]

@@ -128,3 +128,11 @@ def test_positions_do_not_depend_on_physical_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert all(r == results[0] for r in results[1:])
+
+
+def test_label_encode_distributed_path(spark, monkeypatch):
+    import tabflow.operators.encode as E
+    monkeypatch.setattr(E, "CODES_LOCAL_ROWS", 2)
+    df = spark.createDataFrame([("d",), ("b",), (None,), ("a",), ("b",), ("c",)], "s string")
+    got = sorted(r["s"] for r in E.label_encode(df, ["s"]).collect())
+    assert got == [0, 1, 1, 2, 3, 4]                      # a b b c d nan
