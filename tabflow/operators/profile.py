@@ -148,6 +148,12 @@ def problem_types(df: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def problem_type_of(df: DataFrame, target: str) -> str:
+    """Only the decision: a HyperLogLog estimate of 1000 or more settles 'more than 10
+    distinct values' without an exact distinct count (no shuffle of every value)."""
+    if is_numeric(df.schema[target].dataType):
+        est = df.agg(F.approx_count_distinct(num(target), 0.05).alias("e")).first()["e"] or 0
+        if est >= 1_000:
+            return "regression"
     return problem_type(df, target).first()["problem_type"]
 
 
