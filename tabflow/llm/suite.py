@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from tabflow.llm.chunk_codec import op5_chunk_codec
+from tabflow.llm.packing import op2_retrieval_packing
 from tabflow.llm.token_counts import op3_token_counts
+from tabflow.llm.topk_search import OP8_SQL, op8_topk_search
 
 QUERIES = {
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_token_counts": op3_token_counts,
+    "op5_chunk_codec": op5_chunk_codec,
+    "op8_topk_search": op8_topk_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_topk_search": OP8_SQL,
+}
