@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from tabflow.llm.chunk_codec import op5_chunk_codec
 from tabflow.llm.packing import op2_retrieval_packing
+from tabflow.llm.sharding import op4_minimax_shards
+from tabflow.llm.stream_dedup import OP9_SQL, op9_stream_dedup
 from tabflow.llm.token_counts import op3_token_counts
 from tabflow.llm.topk_search import OP8_SQL, op8_topk_search
 
 QUERIES = {
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_minimax_shards": op4_minimax_shards,
     "op5_chunk_codec": op5_chunk_codec,
     "op8_topk_search": op8_topk_search,
+    "op9_stream_dedup": op9_stream_dedup,
 }
 
 ORACLE_SQL = {
     "op8_topk_search": OP8_SQL,
+    "op9_stream_dedup": OP9_SQL,
 }
