@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tabflow.llm.chunk_codec import op5_chunk_codec
+from tabflow.llm.near_dedup import OP1_SQL, op1_minhash_forest
 from tabflow.llm.packing import op2_retrieval_packing
 from tabflow.llm.sharding import op4_minimax_shards
 from tabflow.llm.stream_dedup import OP9_SQL, op9_stream_dedup
@@ -10,6 +11,7 @@ from tabflow.llm.token_counts import op3_token_counts
 from tabflow.llm.topk_search import OP8_SQL, op8_topk_search
 
 QUERIES = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_token_counts": op3_token_counts,
     "op4_minimax_shards": op4_minimax_shards,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash_forest": OP1_SQL,
     "op8_topk_search": OP8_SQL,
     "op9_stream_dedup": OP9_SQL,
 }
