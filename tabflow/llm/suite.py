@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabflow.llm.archives import OP7_SQL, op7_arc_to_warc
 from tabflow.llm.chunk_codec import op5_chunk_codec
 from tabflow.llm.near_dedup import OP1_SQL, op1_minhash_forest
 from tabflow.llm.packing import op2_retrieval_packing
@@ -16,12 +17,14 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_minimax_shards": op4_minimax_shards,
     "op5_chunk_codec": op5_chunk_codec,
+    "op7_arc_to_warc": op7_arc_to_warc,
     "op8_topk_search": op8_topk_search,
     "op9_stream_dedup": op9_stream_dedup,
 }
 
 ORACLE_SQL = {
     "op1_minhash_forest": OP1_SQL,
+    "op7_arc_to_warc": OP7_SQL,
     "op8_topk_search": OP8_SQL,
     "op9_stream_dedup": OP9_SQL,
 }
