@@ -29,8 +29,12 @@ from tabflow.sources.parquet import load_table
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 #: files of the arrival log read by one micro-batch
 FILES_PER_BATCH = 2000
+#: rows of the log to a state partition; the number is fixed for the stream's life, and every
+#: partition costs some MB of disk even when nearly empty, so it follows the log, not the session
+ROWS_PER_STATE = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -43,14 +47,19 @@ def digest_of(text: Column) -> Column:
 
 
 @contextmanager
-def disk_state(spark: SparkSession):
-    """RocksDB as the provider of the streams started inside."""
-    before = spark.conf.get(_PROVIDER)
+def disk_state(spark: SparkSession, partitions: int):
+    """RocksDB as the provider of the streams started inside, with so many state partitions."""
+    before = {k: spark.conf.get(k, None) for k in (_PROVIDER, _PARTITIONS)}
     spark.conf.set(_PROVIDER, _ROCKS)
+    spark.conf.set(_PARTITIONS, str(partitions))
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stream_state(spark: SparkSession, log_path: str, schema, checkpoint: str) -> DataFrame:
@@ -59,7 +68,9 @@ def stream_state(spark: SparkSession, log_path: str, schema, checkpoint: str) ->
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(log_path)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "arrival", "bytes"))
     state = log.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    with disk_state(spark):
+    rows = spark.read.schema(schema).parquet(log_path).count()
+    width = max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_STATE))
+    with disk_state(spark, width):
         query = state.writeStream.format("noop").outputMode("update").trigger(availableNow=True) \
             .option("checkpointLocation", checkpoint).start()
         query.awaitTermination()
