@@ -10,6 +10,7 @@ from tabflow.llm.sharding import op4_minimax_shards
 from tabflow.llm.stream_dedup import OP9_SQL, op9_stream_dedup
 from tabflow.llm.token_counts import op3_token_counts
 from tabflow.llm.topk_search import OP8_SQL, op8_topk_search
+from tabflow.llm.toxicity import op10_toxic_spans
 
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_arc_to_warc": op7_arc_to_warc,
     "op8_topk_search": op8_topk_search,
     "op9_stream_dedup": op9_stream_dedup,
+    "op10_toxic_spans": op10_toxic_spans,
 }
 
 ORACLE_SQL = {
