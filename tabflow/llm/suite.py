@@ -5,6 +5,7 @@ from __future__ import annotations
 from tabflow.llm.archives import OP7_SQL, op7_arc_to_warc
 from tabflow.llm.chunk_codec import op5_chunk_codec
 from tabflow.llm.near_dedup import OP1_SQL, op1_minhash_forest
+from tabflow.llm.ngram_model import op6_kneser_ney
 from tabflow.llm.packing import op2_retrieval_packing
 from tabflow.llm.sharding import op4_minimax_shards
 from tabflow.llm.stream_dedup import OP9_SQL, op9_stream_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_minimax_shards": op4_minimax_shards,
     "op5_chunk_codec": op5_chunk_codec,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_arc_to_warc": op7_arc_to_warc,
     "op8_topk_search": op8_topk_search,
     "op9_stream_dedup": op9_stream_dedup,
