@@ -49,8 +49,10 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), node (128-bit key of the set, null if empty) and sig (minhash values)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, mark (hash of the text), n (set size), node (128-bit key of the set, null if empty) and sig
+    (minhash values)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
+                       F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         factors, shifts = permutations(TREES * DEPTH)
@@ -58,12 +60,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for batch in text_slices(big):
                 sets = shingle_sets(*utf8_buffer(batch))
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "id": batch.column("id"), "mark": batch.column("mark"), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()),
                     "sig": pa.array([signature(s, factors, shifts).tobytes() if len(s) else None for s in sets],
                                     pa.binary())})
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, node binary, sig binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark long, n long, node binary, "
+                                "sig binary")
 
 
 def _prefixes(sigs: DataFrame, depth: int) -> DataFrame:
@@ -275,7 +278,8 @@ def confirmed_links(docs: DataFrame, units: DataFrame, ids: DataFrame, id_col: s
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_shingles, component_id, kept of every row."""
+    """``id_col``, n_shingles, component_id, kept of every row; further ``component``, a key that is
+    the component's alone, and ``mark``, a hash of the text that tells rows of one id apart."""
     rows = written(sketch(docs, id_col, text_col), "sketch")
     ids = written(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
     classes = rows.where("n > 0").join(ids.withColumnRenamed("id", "rid"),
@@ -298,17 +302,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = written(components(links), "groups")
 
     label = groups.join(ids, "node").groupBy("root").agg(F.min("id").alias("component_id"))
-    named = written(groups.join(label, "root").select("node", "component_id"), "labels")
+    named = written(groups.join(label, "root").select("node", "root", "component_id"), "labels")
     first = written(ids.withColumnRenamed("id", "own").join(named, "node", "left")
-                    .select("node", F.coalesce("component_id", "own").alias("component_id")), "class-labels")
-    out = rows.select("id", "n", "node").join(first, "node", "left")
+                    .select("node", F.coalesce("root", "node").alias("root"),
+                            F.coalesce("component_id", "own").alias("component_id")), "class-labels")
+    out = rows.select("id", "mark", "n", "node").join(first, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+                      F.col("id").eqNullSafe(component).alias("kept"),
+                      F.coalesce("root", F.unhex(F.hex("mark"))).alias("component"), "mark")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component the smallest id stays (null ids
+    last), and of several rows of that id one.  Rows without words all stay but for repeated ones."""
+    found = near_duplicates(docs, id_col, text_col)
+    stay = found.groupBy("component").agg(
+        F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("stay_id"), "mark")).alias("s"))
+    stay = written(stay.select("s.stay_id", F.col("s.mark").alias("stay_mark")), "stays")
+    marked = docs.withColumn("_mark", F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked["_mark"] == stay["stay_mark"]),
+                       "left_semi")
+    return kept.dropDuplicates([id_col, "_mark"]).select(*docs.columns)
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load_table(spark, sf_dir, "documents"))
+    return near_duplicates(load_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP1_SQL = r"""

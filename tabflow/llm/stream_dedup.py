@@ -121,6 +121,16 @@ def _regrouped(members: DataFrame, hits: DataFrame, other: DataFrame) -> DataFra
     return left.unionByName(right)
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without exact duplicates; of rows that repeat an id and a text one stays."""
+    stay = written(exact_groups(docs, id_col, text_col).where("kept")
+                   .select(F.col(id_col).alias("stay_id"), F.unhex("text_sha256").alias("stay_digest")), "stays")
+    marked = docs.withColumn("_digest", digest_of(F.col(text_col)))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked["_digest"] == stay["stay_digest"]),
+                       "left_semi")
+    return kept.dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+
+
 def op9_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load_table(spark, sf_dir, "documents"))
 

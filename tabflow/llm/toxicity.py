@@ -240,6 +240,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         .withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    def run(batches):
+        scorer = Scorer(model)
+        for big in batches:
+            for batch in text_slices(big, text_col):
+                clean = scorer.scores(scorer.features(texts(batch, text_col))) < threshold
+                yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels")
     scored = score(docs, learn(docs, labels))
