@@ -69,6 +69,20 @@ class Crf:
             out[i] = marg[row, :len(seqs[i])]
         return out
 
+    def plain_tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Forward states by position and backward states by distance from the end, for tokens of
+        feature 0: position t of a sequence of length L has both at t and L - 1 - t."""
+        one = np.array([1.0, np.exp(np.clip(self.unary[0], -30, 30))])
+        a = np.exp(np.clip(self.trans, -30, 30))
+        fwd, back = np.ones((n, 2)), np.ones((n, 2))
+        fwd[0] = one * [1.0, np.exp(np.clip(self.start, -30, 30))]
+        fwd[0] /= fwd[0].sum()
+        for t in range(1, n):
+            f = (fwd[t - 1] @ a) * one
+            b = (back[t - 1] * one) @ a.T
+            fwd[t], back[t] = f / f.sum(), b / b.sum()
+        return fwd, back
+
 
 def fit(seqs: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, features: int,
         ridge: float = 0.05, rounds: int = 120, rate: float = 0.3) -> Crf:

@@ -3,9 +3,10 @@
 Labels say which documents are toxic; tokens are labelled from them.  On a bounded sample of the
 training rows (``SAMPLE_ROWS``, the smallest hashes of their ids) Spark counts for every word in
 how many distinct contexts (word before, word after) it stands in toxic and in clean documents, so
-that copies count once.  Words whose contexts are significantly and mostly toxic form the lexicon;
-inside toxic documents they are the positive tokens.  The field is fitted on the sample's distinct
-sentences, weighted by their counts.  Scoring runs forward and backward over every sentence of every
+that copies count once; the first ``STEM`` letters of longer words are counted likewise.  Words and stems whose
+contexts are significantly and mostly toxic form the lexicon; inside toxic documents they are the
+positive tokens.  The field is fitted on the sample's distinct
+sentences (longer ones in parts of ``FIT_TOKENS``), weighted by their counts.  Scoring runs forward and backward over every sentence of every
 whole text, in tasks; a document's score is a logistic function, fitted on the same sample, of its
 largest marginal and of the expected number of offending tokens.  Tokens with a marginal of one half or
 more are its offending offsets.
@@ -37,6 +38,9 @@ from tabflow.sources.parquet import load_table
 SAMPLE_ROWS = 6000
 #: words of the lexicon at most, the most significant first
 LEXICON = 5000
+#: letters of a stem, and tokens of a sequence that the field is fitted on
+STEM = 5
+FIT_TOKENS = 64
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _BREAKS = (".", "!", "?", "\n")
 
@@ -47,7 +51,7 @@ def held_out(id_col: str) -> Column:
 
 @dataclass
 class Model:
-    lexicon: dict[str, int]         # word -> feature (1..); sentence breaks -> -1
+    lexicon: dict[str, int]         # word or stem followed by "*" -> feature (1..); sentence breaks -> -1
     crf: Crf
     weights: np.ndarray             # of the logistic: intercept, largest marginal, log1p of expected tokens
 
@@ -66,11 +70,17 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.plain: dict[int, tuple[float, float]] = {}
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+        self.stems = {k[:-1]: v for k, v in model.lexicon.items() if k[-1] == "*"}
+
+    def features_of(self, tokens: list[str]) -> np.ndarray:
+        """Feature of every token: its word's, else its stem's, else 0."""
+        get, stem = self.model.lexicon.get, self.stems.get
+        return np.fromiter((get(t) or stem(t[:STEM], 0) if len(t) > STEM else get(t, 0) for t in tokens),
+                           dtype=np.int64, count=len(tokens))
 
     def ids(self, text: str) -> np.ndarray:
-        tokens = TOKEN.findall(text.lower())
-        get = self.model.lexicon.get
-        return np.fromiter((get(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
+        return self.features_of(TOKEN.findall(text.lower()))
 
     def _plain(self, lengths: np.ndarray) -> tuple[float, float]:
         """(largest marginal, expected tokens) over sentences of other words only."""
@@ -78,7 +88,10 @@ class Scorer:
         for n, times in zip(*np.unique(lengths, return_counts=True)):
             n = int(n)
             if n not in self.plain:
-                marg = self.model.crf.marginals([np.zeros(n, dtype=np.int64)])[0]
+                if self.tables is None or len(self.tables[0]) < n:
+                    self.tables = self.model.crf.plain_tables(1 << (n - 1).bit_length())
+                joint = self.tables[0][:n] * self.tables[1][n - 1::-1][:n]
+                marg = joint[:, 1] / joint.sum(axis=1)
                 self.plain[n] = (float(marg.max()), float(marg.sum()))
             most = max(most, self.plain[n][0])
             total += self.plain[n][1] * int(times)
@@ -113,7 +126,7 @@ class Scorer:
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Character offsets (start, end) of the tokens with a marginal of at least one half."""
         found = [m for m in TOKEN.finditer(text)]
-        ids = np.array([self.model.lexicon.get(m[0].lower(), 0) for m in found], dtype=np.int64)
+        ids = self.features_of([m[0].lower() for m in found])
         out = []
         edges = _sentences(ids)
         for (a, b), marg in zip(edges, self.model.crf.marginals([ids[a:b] for a, b in edges])):
@@ -131,6 +144,8 @@ def _contexts(sample: DataFrame) -> DataFrame:
                 for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
                     tokens = ["", *TOKEN.findall(text.lower()), ""]
                     rows.update(zip(tokens, tokens[1:], tokens[2:], [toxic] * len(tokens)))
+                    rows.update((b, w[:STEM] + "*", a, toxic) for b, w, a in zip(tokens, tokens[1:], tokens[2:])
+                                if len(w) > STEM)
                 before, word, after, toxic = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_pydict({
                     "word": pa.array(word, pa.string()), "before": pa.array(before, pa.string()),
@@ -196,9 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seqs, marks, weights = [], [], []
     for seq, toxic, n in _sequences(sample, lexicon):
         ids = np.zeros(int(seq[1:]), dtype=np.int64) if seq[0] == "*" else np.array(seq.split(" "), dtype=np.int64)
-        seqs.append(ids)
-        marks.append(((ids > 0) & (toxic == 1)).astype(np.float64))
-        weights.append(n)
+        for i in range(0, len(ids), FIT_TOKENS):
+            part = ids[i:i + FIT_TOKENS]
+            seqs.append(part)
+            marks.append(((part > 0) & (toxic == 1)).astype(np.float64))
+            weights.append(n)
     model = Model(lexicon, fit(seqs, marks, np.array(weights, dtype=np.float64), len(words) + 1), np.zeros(3))
     rows = np.array([tuple(r) for r in _features(sample, model, ["toxic"]).collect()], dtype=np.float64).reshape(-1, 3)
     model.weights = fit_logistic(rows[:, 1:], rows[:, 0]) if len(rows) else np.array([-1.0, 0.0, 0.0])
