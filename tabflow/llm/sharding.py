@@ -70,9 +70,9 @@ class Ranges:
                 lo = mid + 1
         return lo
 
-    def doubtful(self, low: int, high: int, shards: int) -> list[tuple[int, int]]:
-        """Key intervals of ranges of several groups in which a cut can fall, the capacity being
-        between ``low`` and ``high``; touching intervals are joined."""
+    def doubtful(self, low: int, high: int, shards: int) -> list[tuple[int, int, int]]:
+        """(first key, last key, ranges) of the runs of ranges of several groups in which a cut can fall,
+        the capacity being between ``low`` and ``high``."""
         hit = []
         for a, z in zip(self.cuts(low, shards, False), self.cuts(high, shards, True)):
             i = bisect_right(self.before, a) - 1
@@ -84,22 +84,23 @@ class Ranges:
         last = None
         for i in sorted(set(hit)):
             if last is not None and i == last + 1:
-                out[-1][1] = self.rows[i][1]
+                out[-1][1:] = [self.rows[i][1], out[-1][2] + 1]
             else:
-                out.append([self.rows[i][0], self.rows[i][1]])
+                out.append([self.rows[i][0], self.rows[i][1], 1])
             last = i
         return [tuple(x) for x in out]
 
 
-def range_totals(groups: DataFrame, intervals: list[tuple[int, int]], pieces: int) -> list[tuple[int, int, int, int]]:
-    """Each closed key interval cut into at most ``pieces`` ranges of equal width, with totals."""
-    key = F.col("key")
+def range_totals(groups: DataFrame, intervals: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Each closed key interval (first, last, pieces) cut into ranges of equal width, with totals."""
+    key, done = F.col("key"), 0
     wide = key.cast("decimal(20,0)")
     cell, inside = F.lit(None).cast("long"), F.lit(False)
-    for n, (a, z) in enumerate(intervals):
+    for a, z, pieces in intervals:
         within = (key >= F.lit(a)) & (key <= F.lit(z))
         step = max(1, -(-(z - a + 1) // pieces))
-        place = F.floor((wide - F.lit(a)) / F.lit(step)).cast("long") + F.lit(n * pieces)
+        place = F.floor((wide - F.lit(a)) / F.lit(step)).cast("long") + F.lit(done)
+        done += pieces
         cell = F.when(within, place).otherwise(cell)
         inside = inside | within
     rows = groups.where(inside).groupBy(cell.alias("cell")) \
@@ -113,14 +114,16 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
     ends = groups.agg(F.min("key"), F.max("key")).first()
     if ends[0] is None:
         return []
-    ranges = Ranges(range_totals(groups, [(ends[0], ends[1])], FIRST_RANGES))
+    ranges = Ranges(range_totals(groups, [(ends[0], ends[1], FIRST_RANGES)]))
     while True:
         low, high = ranges.smallest(shards, True), ranges.smallest(shards, False)
         refine = ranges.doubtful(low, high, shards) if low < high else []
         if not refine:
             break
-        kept = [r for r in ranges.rows if not any(a <= r[0] and r[1] <= z for a, z in refine)]
-        ranges = Ranges(kept + range_totals(groups, refine, REFINED_RANGES))
+        kept = [r for r in ranges.rows if not any(a <= r[0] and r[1] <= z for a, z, _ in refine)]
+        # more pieces than ranges before, so that every round is finer than the last
+        finer = [(a, z, max(REFINED_RANGES, 4 * n)) for a, z, n in refine]
+        ranges = Ranges(kept + range_totals(groups, finer))
     starts = dict(zip(ranges.before, (r[0] for r in ranges.rows)))
     return [starts[b] for b in ranges.cuts(high, shards, False)[:-1] if b < ranges.total]
 
