@@ -139,7 +139,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
 
     def run(batches):
         for big in batches:
-            for batch in text_slices(big):
+            for batch in text_slices(big, limit=1 << 20):     # a set of tuples takes many times its text
                 rows = set()
                 for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
                     tokens = ["", *TOKEN.findall(text.lower()), ""]
