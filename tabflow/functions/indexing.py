@@ -2,15 +2,16 @@
 
 ``row_number()`` / ``sum() over (order by ...)`` without ``partitionBy`` puts a
 whole table into one task, and ``partitionBy(group)`` puts a hot group into one
-task.  Both helpers here cut the first order key into buckets of about
-``rows_per_bucket`` rows at explicit cut points (``approx_percentile``, fitted
-once), number rows *inside* (group, bucket) with an ordinary window, and add
-per-(group, bucket) offsets from a small side table (groups x buckets rows).
-
-Every expression is deterministic, so a re-executed task after an executor loss
-produces the same positions; nothing depends on physical partition ids.
-Rows that tie on the first order key share a bucket, so order first by a
-well-spread key (a hash fraction, a unique key or a distinct score).
+task.  Both helpers here work on buckets of about ``rows_per_bucket`` rows,
+however many that takes, and add per-(group, bucket) offsets from a side table
+with one row per bucket:
+
+* an order that starts with a uniform hash fraction (``uniform=True``) is cut at
+  equal fractions: no fit, every expression deterministic;
+* any other order is range-partitioned on the group and *all* order keys, so
+  rows that tie on the first key still spread; the sorted rows get their place
+  once and are checkpointed into the shared folder, so every later step (also a
+  task repeated after an executor loss) sees the same places.
 """
 
 from __future__ import annotations
@@ -19,169 +20,70 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
-MAX_BROADCAST_ROWS = 200_000   # offsets side table: broadcast only below this size
+from tabflow.session import cut_lineage
+
+ROWS_PER_BUCKET = 250_000
 
 
 def col_or_name(c) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def _is_orderable_number(df: DataFrame, c) -> bool:
-    if not isinstance(c, str):
-        return False
-    return isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
-
-
-def _order_value(df: DataFrame, name: str) -> Column:
-    """An order-preserving double for a numeric, date or timestamp key (ANSI-safe casts)."""
-    c = F.col(f"`{name}`")
-    dt = df.schema[name].dataType
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    return c.cast("double")
-
-
-GRID = 1_000
-
-
-def _bucket_expr(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | None = None):
-    """Bucket number of each row from explicit cut points on the first order key.
-
-    One aggregate returns the row count and a sketch of the key at ``GRID``
-    fractions; bucket edges are every (GRID / buckets)-th sketch value.  Only
-    beyond GRID buckets (more than GRID x rows_per_bucket rows) a second,
-    finer sketch is taken.  A caller that knows the row count passes ``n_rows``;
-    a table that fits one bucket then costs no job at all.
-    """
-    if not isinstance(first_key, str):
-        return F.lit(0), 1
-    if n_rows is not None and n_rows <= rows_per_bucket:
-        return F.lit(0), 1
-    if not _is_orderable_number(df, first_key):
-        return _sampled_buckets(df, first_key, rows_per_bucket, n_rows)
-    k = _order_value(df, first_key)
-    grid = [i / GRID for i in range(1, GRID)]
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(k, grid, 10 * GRID).alias("g")).first()
-    n = r["n"]
-    buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / max(1, rows_per_bucket)))))
-    if buckets == 1 or not r["g"]:
-        return F.lit(0), 1
-    if buckets <= GRID:
-        step = GRID / buckets
-        cuts = [r["g"][int(round(i * step)) - 1] for i in range(1, buckets)]
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = df.agg(F.percentile_approx(k, probs, 10 * buckets).alias("c")).first()["c"] or []
-    cuts = sorted(set(c for c in cuts if c is not None))
-    if not cuts:
-        return F.lit(0), 1
-    return _BucketSplits(cuts), len(cuts) + 1
-
-
-SAMPLE_PER_BUCKET = 50
-
-
-def _sampled_buckets(df: DataFrame, first_key: str, rows_per_bucket: int, n_rows: int | None):
-    """Cut points for keys without a numeric sketch (text): a seeded sample of about
-    ``SAMPLE_PER_BUCKET`` keys per bucket (bounded) is sorted on the driver."""
-    k = F.col(f"`{first_key}`")
-    n = n_rows if n_rows is not None else df.count()
-    buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / max(1, rows_per_bucket)))))
-    if buckets == 1:
-        return F.lit(0), 1
-    frac = min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, n))
-    sample = sorted(r[0] for r in df.select(k).where(k.isNotNull()).sample(fraction=frac, seed=17)
-                    .limit(buckets * SAMPLE_PER_BUCKET * 2).collect())
-    if not sample:
-        return F.lit(0), 1
-    cuts = sorted(set(sample[int(i * len(sample) / buckets)] for i in range(1, buckets)))
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(k < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return F.when(k.isNull(), F.lit(0)).otherwise(build(0, len(cuts))), len(cuts) + 1   # NULLs sort first
-
-
-class _BucketSplits:
-    """Numeric cut points; applied with ``Bucketizer`` (a JVM binary search per row, so
-    thousands of buckets stay one cheap expression).  NULL keys go to the first bucket and
-    NaN to the last, as Spark sorts them."""
-
-    def __init__(self, cuts: list[float]):
-        self.cuts = cuts
-
-    def apply(self, df: DataFrame, key: str, out: str) -> DataFrame:
-        from pyspark.ml.feature import Bucketizer
-        k = _order_value(df, key)
-        staged = df.withColumn("_bkey", F.coalesce(F.nanvl(k, F.lit(float("inf"))), F.lit(float("-inf"))))
-        b = Bucketizer(splits=[float("-inf"), *self.cuts, float("inf")], inputCol="_bkey", outputCol="_bnum")
-        return b.transform(staged).withColumn(out, F.col("_bnum").cast("int")).drop("_bkey", "_bnum")
-
-
-def _with_bucket(df: DataFrame, first_key, rows_per_bucket: int, n_rows: int | None) -> tuple[DataFrame, int]:
-    bucket, n = _bucket_expr(df, first_key, rows_per_bucket, n_rows)
-    if isinstance(bucket, _BucketSplits):
-        return bucket.apply(df, first_key, "_bkt"), n
-    return df.withColumn("_bkt", bucket), n
-
-
-def _offsets(sizes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Exclusive running sums of ``values`` over buckets per group, from the small sizes table.
-
-    The table has one row per (group, bucket); when it is within the broadcast
-    bound it is collected once and re-enters the plan as a local relation (no
-    recomputation of the input); otherwise it stays a distributed side of a join.
-    """
-    group_keys = [k for k in keys if k != "_bkt"]
-    w = (Window.partitionBy(*group_keys) if group_keys else Window).orderBy("_bkt") \
+def _buckets(df: DataFrame, rows_per_bucket: int, n_rows: int | None) -> int:
+    n = df.count() if n_rows is None else n_rows
+    return max(1, math.ceil(n / max(1, rows_per_bucket)))
+
+
+def _ranged(df: DataFrame, group_by: list[str], keys: list[Column], buckets: int) -> DataFrame:
+    """The rows in order over ``buckets`` range partitions: ``_bkt`` and a place ``_at`` that ascends."""
+    by = [*[col_or_name(g) for g in group_by], *keys]
+    placed = df.repartitionByRange(buckets, *by).sortWithinPartitions(*by) \
+        .withColumn("_at", F.monotonically_increasing_id())
+    return cut_lineage(placed.withColumn("_bkt", F.shiftright("_at", 33)))
+
+
+def _with_offsets(rows: DataFrame, sizes: DataFrame, group_by: list[str], values: list[str]) -> DataFrame:
+    """``rows`` with ``_o_<value>``: the sum of a value over the earlier buckets of the group.
+    ``sizes`` has one row per (group, bucket)."""
+    w = (Window.partitionBy(*group_by) if group_by else Window).orderBy("_bkt") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(*keys, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_o_{v}") for v in values])
-    rows = offs.limit(MAX_BROADCAST_ROWS + 1).collect()
-    if len(rows) <= MAX_BROADCAST_ROWS:
-        return F.broadcast(sizes.sparkSession.createDataFrame(rows, offs.schema))
-    return offs
+    keep = [c for c in sizes.columns if c not in (*group_by, "_bkt", *values)]
+    offs = sizes.select(F.col("_bkt").alias("_ob"), *[F.col(f"`{g}`").alias(f"_og{i}") for i, g in enumerate(group_by)],
+                        *keep, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_o_{v}") for v in values])
+    same = F.col("_bkt") == F.col("_ob")
+    for i, g in enumerate(group_by):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_og{i}"))
+    return rows.join(offs, same).drop("_ob", *[f"_og{i}" for i in range(len(group_by))])
 
 
-def with_index(df: DataFrame, order_by: list, group_by: list[str] | None = None,
-               name: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
+def with_index(df: DataFrame, order_by: list, group_by: list[str] | None = None, name: str = "index",
+               rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None, uniform: bool = False) -> DataFrame:
     """Add a 0-based position in ``order_by`` order, restarting per ``group_by`` group.
-    Order keys must be unique (within a group) for a deterministic result."""
+    Order keys must be unique (within a group) for a deterministic result.  ``uniform``: the first
+    key is a column of hash fractions in [0, 1)."""
     group_by = list(group_by or [])
     keys = [col_or_name(c) for c in order_by]
-    b, n_buckets = _with_bucket(df, order_by[0], rows_per_bucket, n_rows)
-    local = Window.partitionBy(*group_by, "_bkt").orderBy(*keys)
-    numbered = b.withColumn("_local", F.row_number().over(local) - 1)
-    if n_buckets == 1:                                  # every offset is zero
-        return numbered.withColumn(name, F.col("_local").cast("long")).drop("_bkt", "_local")
-    sizes = b.groupBy(*group_by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _offsets(sizes, [*group_by, "_bkt"], ["_n"])
-    return (numbered.join(offsets, [*group_by, "_bkt"])
-            .withColumn(name, (F.col("_o__n") + F.col("_local")).cast("long"))
-            .drop("_bkt", "_o__n", "_local"))
+    buckets = _buckets(df, rows_per_bucket, n_rows)
+    if uniform:
+        rows = df.withColumn("_bkt", F.floor(keys[0] * F.lit(buckets)).cast("long"))
+        sizes = rows.groupBy(*group_by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*group_by, "_bkt").orderBy(*keys)) - 1)
+        out = _with_offsets(rows, sizes, group_by, ["_n"])
+        return out.withColumn(name, (F.col("_o__n") + F.col("_local")).cast("long")).drop("_bkt", "_o__n", "_local")
+    rows = _ranged(df, group_by, keys, buckets)
+    sizes = rows.groupBy(*group_by, "_bkt").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    out = _with_offsets(rows, sizes, group_by, ["_n"])
+    return out.withColumn(name, (F.col("_o__n") + F.col("_at") - F.col("_first")).cast("long")) \
+        .drop("_bkt", "_at", "_o__n", "_first")
 
 
 def running_total(df: DataFrame, order_by: list, values: list[str], suffix: str = "_cum",
                   rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order_by`` order over the whole table."""
-    keys = [col_or_name(c) for c in order_by]
-    b, n_buckets = _with_bucket(df, order_by[0], rows_per_bucket, n_rows)
-    local = Window.partitionBy("_bkt").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = b.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
-    if n_buckets == 1:
-        return (numbered.select("*", *[F.col(f"_l_{v}").alias(f"{v}{suffix}") for v in values])
-                        .drop("_bkt", *[f"_l_{v}" for v in values]))
-    sizes = b.groupBy("_bkt").agg(*[F.sum(v).alias(v) for v in values])
-    offsets = _offsets(sizes, ["_bkt"], values)
-    out = numbered.join(offsets, ["_bkt"])
-    return (out.select("*", *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}{suffix}") for v in values])
-               .drop("_bkt", *[f"_o_{v}" for v in values], *[f"_l_{v}" for v in values]))
+    rows = _ranged(df, [], [col_or_name(c) for c in order_by], _buckets(df, rows_per_bucket, n_rows))
+    local = Window.partitionBy("_bkt").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy("_bkt").agg(*[F.sum(v).alias(v) for v in values])
+    numbered = rows.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
+    out = _with_offsets(numbered, sizes, [], values)
+    return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}{suffix}") for v in values])

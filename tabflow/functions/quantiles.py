@@ -7,10 +7,10 @@ at scale.  Here exact quantiles are found by *selection*:
 1. one fused pass: ``count``, ``min``, ``max`` and a GK sketch
    (``approx_percentile`` over a grid of fractions) per column, plus any extra
    aggregates the caller wants in the same scan;
-2. while a target order statistic's bracket holds more than ``max_bracket // 2``
-   distinct values (HyperLogLog estimate), narrow it: one pass counts rows below/inside the bracket exactly
-   (``count_if``) and sketches the inside again.  The GK rank error bound makes
-   every pass shrink the bracket by about ``grid/2``; the exact counts verify it;
+2. every bracket is first narrowed by that sketch to about 2 % of the rows, and again, with a new
+   sketch of its inside, while it holds more than ``max_bracket // 2`` distinct values (HyperLogLog
+   estimate).  One pass counts the rows below and inside all brackets exactly (``count_if``): the
+   exact counts verify what the sketch's rank error bound promises;
 3. the rows of each small bracket are grouped by value, a running count over
    the (bounded) bracket picks the order statistic on the executors, and only
    the picked values return to the driver.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000          # GK relative rank error 1/ACCURACY
 GRID = 200                 # sketch fractions per bracket
 MAX_BRACKET = 2_000_000    # a bracket with at most half this many distinct values is picked exactly
-MAX_ROUNDS = 12
 
 
 @dataclass
@@ -48,6 +47,10 @@ class _Target:
     grid: list = field(default_factory=list)
     margin: float = 1.0 / GRID + 2.0 / ACCURACY
     prev: tuple | None = None
+    before: int = 0              # ranks before and after k that the same bracket should hold
+    after: int = 0
+    narrowed: bool = False
+    stuck: bool = False          # the sketch cannot narrow it further (many equal values)
     value: float | None = None
 
 
@@ -112,11 +115,10 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
             h = (n - 1) * float(p)
             lo_k = int(math.floor(h))
             hi_k = min(lo_k + 1, n - 1)
-            for k in (lo_k, hi_k):
+            for k, before, after in ((lo_k, 0, hi_k - lo_k), (hi_k, hi_k - lo_k, 0)):
                 if (c, k) not in targets:
-                    targets[(c, k)] = _Target(len(targets), c, k, inside=n, ndv=row[f"d{i}"],
-                                              mn=row[f"mn{i}"],
-                                              mx=row[f"mx{i}"], grid=list(row[f"g{i}"]))
+                    targets[(c, k)] = _Target(len(targets), c, k, inside=n, ndv=row[f"d{i}"], mn=row[f"mn{i}"],
+                                              mx=row[f"mx{i}"], grid=list(row[f"g{i}"]), before=before, after=after)
             plan[c].append((h, lo_k, hi_k))
     _resolve(df, list(targets.values()), max_bracket)
 
@@ -135,55 +137,70 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
 
 
 def _resolve(df: DataFrame, targets: list[_Target], max_bracket: int) -> None:
-    for _ in range(MAX_ROUNDS):
-        pending = [t for t in targets if t.value is None]
-        if not pending:
-            return
+    """Narrow every bracket by its sketch, count it, and pick once it holds few enough distinct values."""
+    while pending := [t for t in targets if t.value is None]:
         gather, refine = [], []
         for t in pending:
-            r = t.k - t.below
-            if t.mn is not None and t.mn == t.mx and 0 <= r < t.inside:
+            if t.mn is not None and t.mn == t.mx and 0 <= t.k - t.below < t.inside:
                 t.value = t.mn
-            elif t.ndv <= max_bracket // 2:      # the pick groups by value: bounded by distinct values
-                gather.append(t)
+            elif t.narrowed and (t.ndv <= max_bracket // 2 or t.stuck):
+                gather.append(t)          # the pick groups by value: bounded by distinct values
             else:
                 refine.append(t)
         if gather:
             _pick(df, gather)
-        if refine:
-            for t in refine:
-                t.prev = (t.lo, t.hi, t.below, t.inside, t.ndv, t.mn, t.mx, t.grid)
-                f = (t.k - t.below) / t.inside
-                i_lo = int(math.floor((f - t.margin) * GRID))
-                i_hi = int(math.ceil((f + t.margin) * GRID))
-                if i_lo > 0:
-                    t.lo = t.grid[i_lo]
-                if i_hi < GRID:
-                    t.hi = t.grid[i_hi]
-            _count(df, refine)
-            for t in refine:
-                r = t.k - t.below
-                if not (0 <= r < t.inside):       # sketch bound missed: widen and retry
-                    t.lo, t.hi, t.below, t.inside, t.ndv, t.mn, t.mx, t.grid = t.prev
-                    t.margin *= 4
-    if any(t.value is None for t in targets):
-        raise RuntimeError("quantile selection did not converge")
+        if not refine:
+            continue
+        _sketch(df, [t for t in refine if not t.grid])
+        for t in refine:
+            t.prev = (t.lo, t.hi, t.below, t.inside, t.ndv, t.mn, t.mx, t.grid)
+            i_lo = int(math.floor(((t.k - t.before - t.below) / t.inside - t.margin) * GRID))
+            i_hi = int(math.ceil(((t.k + t.after - t.below) / t.inside + t.margin) * GRID))
+            if i_lo > 0:
+                t.lo = t.grid[i_lo]
+            if i_hi < GRID:
+                t.hi = t.grid[i_hi]
+        _count(df, refine)
+        for t in refine:
+            if 0 <= t.k - t.below < t.inside:
+                t.narrowed, t.stuck, t.grid = True, (t.lo, t.hi) == t.prev[:2], []
+            else:                          # sketch bound missed: widen and retry
+                t.lo, t.hi, t.below, t.inside, t.ndv, t.mn, t.mx, t.grid = t.prev
+                t.margin *= 4
+
+
+def _by_bracket(targets: list[_Target]) -> list[list[_Target]]:
+    """Targets that share a bracket (both neighbours of a fraction do): measured once."""
+    out: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        out.setdefault((t.col, t.lo, t.hi), []).append(t)
+    return list(out.values())
 
 
 def _count(df: DataFrame, targets: list[_Target]) -> None:
-    aggs = []
-    for t in targets:
+    aggs, groups = [], _by_bracket(targets)
+    for i, (t, *_) in enumerate(groups):
         c, cond = _colref(t.col), _in_bracket(t)
         below = F.count_if(c < F.lit(t.lo)) if t.lo is not None else F.lit(0)
-        aggs += [below.alias(f"b{t.tid}"), F.count_if(cond).alias(f"i{t.tid}"),
-                 F.approx_count_distinct(F.when(cond, c), 0.02).alias(f"d{t.tid}"),
-                 F.min(F.when(cond, c)).alias(f"mn{t.tid}"), F.max(F.when(cond, c)).alias(f"mx{t.tid}"),
-                 F.percentile_approx(F.when(cond, c), _grid_fractions(), ACCURACY).alias(f"g{t.tid}")]
+        aggs += [below.alias(f"b{i}"), F.count_if(cond).alias(f"i{i}"),
+                 F.approx_count_distinct(F.when(cond, c), 0.02).alias(f"d{i}"),
+                 F.min(F.when(cond, c)).alias(f"mn{i}"), F.max(F.when(cond, c)).alias(f"mx{i}")]
     row = df.agg(*aggs).first()
-    for t in targets:
-        t.below, t.inside, t.ndv = int(row[f"b{t.tid}"]), int(row[f"i{t.tid}"]), int(row[f"d{t.tid}"])
-        t.mn, t.mx = row[f"mn{t.tid}"], row[f"mx{t.tid}"]
-        t.grid = list(row[f"g{t.tid}"] or [])
+    for i, group in enumerate(groups):
+        for t in group:
+            t.below, t.inside, t.ndv = int(row[f"b{i}"]), int(row[f"i{i}"]), int(row[f"d{i}"])
+            t.mn, t.mx = row[f"mn{i}"], row[f"mx{i}"]
+
+
+def _sketch(df: DataFrame, targets: list[_Target]) -> None:
+    groups = _by_bracket(targets)
+    if not groups:
+        return
+    row = df.agg(*[F.percentile_approx(F.when(_in_bracket(g[0]), _colref(g[0].col)), _grid_fractions(), ACCURACY)
+                   .alias(f"g{i}") for i, g in enumerate(groups)]).first()
+    for i, group in enumerate(groups):
+        for t in group:
+            t.grid = list(row[f"g{i}"])
 
 
 def _pick(df: DataFrame, targets: list[_Target]) -> None:

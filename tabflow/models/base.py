@@ -24,18 +24,22 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
                            handleInvalid="keep").transform(cast).drop(*[f"__f_{i}" for i in range(len(features))])
 
 
-def class_list(df: DataFrame, label: str, limit: int = 100_000) -> list:
-    """Sorted distinct labels (one distributed distinct; the list is model state)."""
-    rows = df.select(_c(label).alias("c")).where(F.col("c").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many classes")
+def class_list(df: DataFrame, label: str) -> list:
+    """Sorted distinct labels (one distributed distinct).  The list is model state, like the per-class
+    arrays that the learners themselves keep on the driver."""
+    rows = df.select(_c(label).alias("c")).where(F.col("c").isNotNull()).distinct().collect()
     return sorted(r["c"] for r in rows)
 
 
 def index_labels(df: DataFrame, label: str, classes: list) -> DataFrame:
-    """Label -> 0..K-1 (double) by its position in the sorted class list."""
-    m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    return df.withColumn(LABEL_IDX, m[_c(label)])
+    """Label -> 0..K-1 (double) by its position in the sorted class list; a join, so that many classes
+    cost no search per row."""
+    if not classes:
+        return df.withColumn(LABEL_IDX, F.lit(None).cast("double"))
+    kind = df.schema[label].dataType.simpleString()
+    codes = df.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(classes)],
+                                            f"_class {kind}, {LABEL_IDX} double")
+    return df.join(codes, _c(label) == F.col("_class"), "left").drop("_class")
 
 
 def unindex(pred_idx: Column, classes: list) -> Column:

@@ -90,15 +90,20 @@ def mode_values(df: DataFrame, cols: list[str]) -> dict[str, object]:
     if not cols:
         return {}
     cells = []
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     for i, c in enumerate(cols):
-        numeric = is_numeric(df.schema[c].dataType)
+        kind = df.schema[c].dataType
+        slot = "l" if isinstance(kind, whole) else "d" if is_numeric(kind) else "s"     # integers stay LONG
         cells.append(F.struct(F.lit(i).alias("k"),
-                              (num(c) if numeric else F.lit(None).cast("double")).alias("d"),
-                              (F.lit(None).cast("string") if numeric else _c(c).cast("string")).alias("s")))
-    long = df.select(F.inline(F.array(*cells))).where(F.col("d").isNotNull() | F.col("s").isNotNull())
-    freq = long.groupBy("k", "d", "s").agg(F.count(F.lit(1)).alias("n"))
-    best = freq.groupBy("k").agg(F.min_by(F.struct("d", "s"), F.struct((-F.col("n")).alias("n"), "d", "s")).alias("v"))
-    found = {r["k"]: (r["v"]["d"] if r["v"]["d"] is not None else r["v"]["s"]) for r in best.collect()}
+                              (_c(c).cast("long") if slot == "l" else F.lit(None).cast("long")).alias("l"),
+                              (num(c) if slot == "d" else F.lit(None).cast("double")).alias("d"),
+                              (_c(c).cast("string") if slot == "s" else F.lit(None).cast("string")).alias("s")))
+    long = df.select(F.inline(F.array(*cells))).where(F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull()
+                                                                 | F.col("s").isNotNull(), F.lit(False)))
+    freq = long.groupBy("k", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    best = freq.groupBy("k").agg(F.min_by(F.struct("l", "d", "s"), F.struct((-F.col("n")).alias("n"), "l", "d", "s"))
+                                 .alias("v"))
+    found = {r["k"]: next((x for x in r["v"] if x is not None), None) for r in best.collect()}
     return {c: found.get(i) for i, c in enumerate(cols)}
 
 

@@ -27,34 +27,15 @@ def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
     """
     from tabflow.functions.indexing import with_index
     distinct = df.select(F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN)).alias("value")).distinct()
-    few = distinct.limit(CODES_LOCAL_ROWS + 1).collect()
-    if len(few) <= CODES_LOCAL_ROWS:    # small domain: ranked once, kept as a local relation
-        values = sorted(r["value"] for r in few)
-        codes = df.sparkSession.createDataFrame(list(zip(values, range(len(values)))), "value string, code int")
-        codes._tabflow_rows, codes._tabflow_local = len(values), True
-        return codes
-    n = distinct.count()
-    codes = with_index(distinct, ["value"], name="code", n_rows=n).select("value", F.col("code").cast("int").alias("code"))
-    codes._tabflow_rows = n             # known size: lets apply_label_codes choose the join without a job
-    return codes
-
-
-CODES_BROADCAST_ROWS = 1_000_000
-CODES_LOCAL_ROWS = 100_000
+    return with_index(distinct, ["value"], name="code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | None = None) -> DataFrame:
-    """Replace ``col`` (or add ``target``) by its code; the code table is broadcast only when it
-    has at most ``CODES_BROADCAST_ROWS`` rows, otherwise it is a shuffle join."""
+    """Replace ``col`` (or add ``target``) by its code; Spark broadcasts the code table when its bytes allow."""
     target = target or col
     key = F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN))
-    n = getattr(codes, "_tabflow_rows", None)
-    n = n if n is not None else codes.limit(CODES_BROADCAST_ROWS + 1).count()
-    small = n <= CODES_BROADCAST_ROWS
-    if n <= CODES_LOCAL_ROWS and not getattr(codes, "_tabflow_local", False):
-        codes = df.sparkSession.createDataFrame(codes.collect(), codes.schema)   # materialise once
     side = codes.select(F.col("value").alias(f"__v_{col}"), F.col("code").alias(f"__code_{col}"))
-    joined = df.join(F.broadcast(side) if small else side, key == F.col(f"__v_{col}"), "left")
+    joined = df.join(side, key == F.col(f"__v_{col}"), "left")
     out = [F.col(f"__code_{col}").alias(target) if c == col and target == col else _c(c) for c in df.columns]
     if target != col:
         out.append(F.col(f"__code_{col}").alias(target))
@@ -117,7 +98,8 @@ def standard_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, ScaleStat
 
 def shift_labels(df: DataFrame, y: str) -> tuple[DataFrame, float]:
     """y - min(y) when min(y) != 0 (labels start at 0); returns the offset to shift back."""
-    mn = df.agg(F.min(num(y) if isinstance(df.schema[y].dataType, T.NumericType) else _c(y)).alias("m")).first()["m"]
+    fractional = isinstance(df.schema[y].dataType, (T.FloatType, T.DoubleType))
+    mn = df.agg(F.min(num(y) if fractional else _c(y)).alias("m")).first()["m"]     # integers stay exact
     if mn is None or mn == 0:
         return df, 0
     if isinstance(df.schema[y].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):

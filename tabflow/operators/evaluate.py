@@ -46,22 +46,11 @@ def residual_stats(scored: DataFrame, label: str = "label", prediction: str = "p
                       .alias("explained_variance_ratio"), "residual_std", "residual_mean")
 
 
-LOCAL_COUNT_ROWS = 1_000_000   # confusion cells kept as a local relation up to this many
-
-
 def confusion_counts(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(actual, predicted, n) for the non-empty cells: one scan of the scored table.
-
-    The cells (at most classes^2, and never more than rows) are collected once when
-    within ``LOCAL_COUNT_ROWS`` and re-enter as a local relation, so the metrics
-    built on them do not re-run the scoring plan; otherwise they stay distributed.
-    """
-    counts = (scored.groupBy(_c(label).alias("actual"), _c(prediction).alias("predicted"))
-                    .agg(F.count(F.lit(1)).alias("n")))
-    rows = counts.limit(LOCAL_COUNT_ROWS + 1).collect()
-    if len(rows) <= LOCAL_COUNT_ROWS:
-        return scored.sparkSession.createDataFrame(rows, counts.schema)
-    return counts
+    """(actual, predicted, n) for the non-empty cells: one scan of the scored table, checkpointed into
+    the shared folder so that the metrics built on the cells do not run the scoring plan again."""
+    return cut_lineage(scored.groupBy(_c(label).alias("actual"), _c(prediction).alias("predicted"))
+                             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def _per_class(counts: DataFrame) -> DataFrame:
@@ -166,7 +155,7 @@ def classification_report(scored: DataFrame, label: str = "label", prediction: s
     """One row per class (precision, recall, f1_score; support dropped) plus 'accuracy'
     (repeated over the three columns), 'macro avg' and 'weighted avg'."""
     per = _per_class(confusion_counts(scored, label, prediction))
-    per = scored.sparkSession.createDataFrame(per.collect(), per.schema)    # one row per class
+    per = cut_lineage(per)                                                   # one row per class
     classes = per.select(F.col("class").cast("string").alias("row"), F.lit(0).alias("block"),
                          "class", "precision", "recall", F.col("f1").alias("f1_score"))
     acc = per.agg(F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("a"))

@@ -68,6 +68,9 @@ def _binned(long: DataFrame, edges: dict, bins: int, tag_cols: list[str], featur
     """long has columns k (feature position), feature, v and ``tag_cols``; edges maps k -> (lo, hi);
     features maps k -> name; tag_values lists the tag combinations to report."""
     spark = long.sparkSession
+    schema = ", ".join([f"{t} string" for t in tag_cols] + ["feature string", "bin int", "lo double", "hi double", "n long"])
+    if not edges:                                       # only missing values: no bins
+        return spark.createDataFrame([], schema)
     lo_map = F.create_map(*[x for k, (lo, _) in edges.items() for x in (F.lit(k), F.lit(lo))])
     w_map = F.create_map(*[x for k, (lo, hi) in edges.items() for x in (F.lit(k), F.lit((hi - lo) / bins))])
     b = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo_map[F.col("k")]) / w_map[F.col("k")])).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabflow.functions.columns import (categorical_columns, column_class, format_fixed, is_missing,
                                        is_numeric, num, numeric_columns)
@@ -101,13 +102,19 @@ def describe_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFr
                     F.col("t.value").alias("top"), F.col("t.n").cast("long").alias("freq")))
 
 
+def _exact(df: DataFrame, name: str) -> Column:
+    """The column in its own type (a double cannot hold every LONG); NaN is missing."""
+    c = _c(name)
+    return F.nanvl(c, F.lit(None)) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c
+
+
 def extrema_flags(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Adds ``<col>_is_max`` / ``<col>_is_min`` marking cells equal to the column max / min."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    row = df.agg(*[F.max(num(c)).alias(f"mx{i}") for i, c in enumerate(cols)],
-                 *[F.min(num(c)).alias(f"mn{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.max(_exact(df, c)).alias(f"mx{i}") for i, c in enumerate(cols)],
+                 *[F.min(_exact(df, c)).alias(f"mn{i}") for i, c in enumerate(cols)]).first()
     out = []
     for i, c in enumerate(cols):
         out.append(F.coalesce(_c(c) == F.lit(row[f"mx{i}"]), F.lit(False)).alias(f"{c}_is_max"))
@@ -147,14 +154,31 @@ def problem_types(df: DataFrame, targets: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def few_values(df: DataFrame, col: str, most: int = 11) -> list:
+    """At most ``most`` distinct values of a column (a missing one is None): all of them when it has
+    fewer.  Every task stops after ``most`` values, so a continuous column moves next to nothing."""
+    import pyarrow as pa
+    x = num(col) if is_numeric(df.schema[col].dataType) else _c(col)
+    rows = df.select(x.alias("v"))
+
+    def bounded(batches):
+        import pyarrow.compute as pc
+        seen = None
+        for batch in batches:
+            new = batch.column(0)
+            seen = pc.unique(new if seen is None else pa.concat_arrays([seen, new]))
+            if len(seen) >= most:
+                break
+        if seen is not None:
+            yield pa.RecordBatch.from_arrays([seen.slice(0, most)], names=["v"])
+
+    return [r["v"] for r in rows.mapInArrow(bounded, rows.schema).distinct().limit(most).collect()]
+
+
 def problem_type_of(df: DataFrame, target: str) -> str:
-    """Only the decision: a HyperLogLog estimate of 1000 or more settles 'more than 10
-    distinct values' without an exact distinct count (no shuffle of every value)."""
-    if is_numeric(df.schema[target].dataType):
-        est = df.agg(F.approx_count_distinct(num(target), 0.05).alias("e")).first()["e"] or 0
-        if est >= 1_000:
-            return "regression"
-    return problem_type(df, target).first()["problem_type"]
+    """Only the decision, from at most 11 distinct values."""
+    numeric = is_numeric(df.schema[target].dataType)
+    return "regression" if numeric and len(few_values(df, target)) > 10 else "classification"
 
 
 def class_counts(df: DataFrame, y: str) -> DataFrame:

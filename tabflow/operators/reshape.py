@@ -30,11 +30,13 @@ def sort_desc(df: DataFrame, col: str, tie_break: list[str] | None = None) -> Da
     return df.orderBy(_c(col).desc_nulls_last(), *[_c(t).asc() for t in (tie_break or [])])
 
 
-def top_k(df: DataFrame, k: int, order_by: list, descending: bool = False) -> DataFrame:
-    """First ``k`` rows in a defined order (planned as a per-partition top-k merge)."""
+def top_k(df: DataFrame, k: int, order_by: list, descending: bool | list[bool] = False) -> DataFrame:
+    """First ``k`` rows in a defined order (planned as a per-partition top-k merge); ``descending`` for
+    all keys or key by key."""
     keys = [(_c(c) if isinstance(c, str) else c) for c in order_by]
-    keys = [k_.desc_nulls_last() for k_ in keys] if descending else [k_.asc_nulls_last() for k_ in keys]
-    return df.orderBy(*keys).limit(int(k))
+    down = descending if isinstance(descending, list) else [descending] * len(keys)
+    return df.orderBy(*[c.desc_nulls_last() if d else c.asc_nulls_last() for c, d in zip(keys, down, strict=True)]) \
+             .limit(int(k))
 
 
 def best_of(df: DataFrame, score: str, position: str) -> DataFrame:

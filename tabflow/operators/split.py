@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import hash_fraction
 from tabflow.functions.indexing import with_index
+from tabflow.session import cut_lineage
 
 LEARNING_FRACTIONS = (0.1, 0.325, 0.55, 0.775, 1.0)
-MAX_CLASSES = 10_000      # quotas are computed on the driver from class counts
 
 
 def _c(name: str) -> Column:
@@ -34,7 +34,7 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
         return df.withColumn(split_col, F.when(frac < F.lit(test_size), "test").otherwise("train"))
     n = df.count()
     n_test = math.ceil(n * _ratio(test_size))
-    ranked = with_index(df.withColumn("_frac", frac), ["_frac", key], name="_rank", n_rows=n)
+    ranked = with_index(df.withColumn("_frac", frac), ["_frac", key], name="_rank", n_rows=n, uniform=True)
     return (ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train"))
                   .drop("_frac", "_rank"))
 
@@ -44,45 +44,44 @@ def _ratio(test_size: float) -> Fraction:
     return Fraction(str(test_size))
 
 
-def class_quotas(counts: dict, test_size: float) -> dict:
-    """Test rows per class: floor(n_c * r) plus one for the largest remainders until the
-    total is ceil(n * r); remainder ties go to the smaller class value.  Exact arithmetic."""
+def class_quotas(counts: DataFrame, test_size: float) -> DataFrame:
+    """(class, quota) of ``counts`` (class, n): floor(n_c * r) plus one for the largest remainders
+    until the total is ceil(n * r); remainder ties go to the smaller class.  Exact integer arithmetic,
+    distributed for any number of classes."""
     r = _ratio(test_size)
-    n = sum(counts.values())
-    total = math.ceil(n * r)
-    base = {c: math.floor(k * r) for c, k in counts.items()}
-    rem = sorted(counts, key=lambda c: (-(counts[c] * r - base[c]), c))
-    extra = total - sum(base.values())
-    for c in rem[:max(extra, 0)]:
-        base[c] += 1
-    return base
+    wide = F.col("n").cast("decimal(38,0)") * F.lit(r.numerator)
+    den = F.lit(r.denominator)
+    parts = counts.select("class", "n", F.floor(wide / den).cast("long").alias("base"),
+                          (-(wide % den)).cast("long").alias("neg_rem"))
+    total = parts.agg(F.sum("n").alias("n"), F.sum("base").alias("base"), F.count(F.lit(1)).alias("k")).first()
+    extra = math.ceil(total["n"] * r) - total["base"] if total["n"] else 0
+    ranked = with_index(parts, ["neg_rem", "class"], name="_place", n_rows=total["k"])
+    return ranked.select("class", (F.col("base") + (F.col("_place") < extra).cast("long")).alias("quota"))
 
 
 def stratified_split(df: DataFrame, key: str, y: str, test_size: float = 0.2, seed: int = 42,
                      split_col: str = "split") -> DataFrame:
     """The test ratio inside every class; a class with fewer than two rows is an error."""
-    counts = {r["c"]: r["n"] for r in df.groupBy(_c(y).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-              .limit(MAX_CLASSES + 1).collect()}
-    if len(counts) > MAX_CLASSES:
-        raise ValueError("too many classes to stratify")
-    if None in counts:
+    counts = cut_lineage(df.groupBy(_c(y).alias("class")).agg(F.count(F.lit(1)).alias("n")))
+    if not counts.where(F.col("class").isNull()).isEmpty():
         raise ValueError(f"{y} has missing class labels; fill or drop them before stratifying")
-    small = [c for c, k in counts.items() if k < 2]
-    if small:
-        raise ValueError(f"the least populated class in {y} has only 1 member: {small[0]!r}")
-    quotas = class_quotas(counts, test_size)
-    qmap = F.create_map(*[x for c, q in quotas.items() for x in (F.lit(c), F.lit(q))])
+    small = counts.where(F.col("n") < 2).orderBy("class").first()
+    if small is not None:
+        raise ValueError(f"the least populated class in {y} has only 1 member: {small['class']!r}")
+    n = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    quotas = class_quotas(counts, test_size).withColumnRenamed("class", "_class")
     ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key],
-                        group_by=[y], name="_rank", n_rows=sum(counts.values()))
-    return (ranked.withColumn(split_col, F.when(F.col("_rank") < qmap[_c(y)], "test").otherwise("train"))
-                  .drop("_frac", "_rank"))
+                        group_by=[y], name="_rank", n_rows=n, uniform=True)
+    return (ranked.join(quotas, _c(y) == F.col("_class"))
+                  .withColumn(split_col, F.when(F.col("_rank") < F.col("quota"), "test").otherwise("train"))
+                  .drop("_frac", "_rank", "_class", "quota"))
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
     """Fold number = hash rank mod k (fold sizes differ by at most one)."""
     if not 2 <= k:
         raise ValueError("k must be at least 2")
-    ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key], name="_rank")
+    ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key], name="_rank", uniform=True)
     return ranked.withColumn(fold_col, (F.col("_rank") % k).cast("int")).drop("_frac", "_rank")
 
 
@@ -90,7 +89,7 @@ def stratified_kfold(df: DataFrame, key: str, y: str, k: int = 5, seed: int = 42
                      fold_col: str = "fold") -> DataFrame:
     """Fold number = (hash rank inside the class) mod k: every class spread evenly."""
     ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key],
-                        group_by=[y], name="_rank")
+                        group_by=[y], name="_rank", uniform=True)
     return ranked.withColumn(fold_col, (F.col("_rank") % k).cast("int")).drop("_frac", "_rank")
 
 

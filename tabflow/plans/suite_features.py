@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabflow.functions.indexing import with_index
 from tabflow.operators import encode, reshape
 from tabflow.plans.fixtures import PART_N, part_with_nulls
 from tabflow.plans.registry import register
@@ -48,14 +49,16 @@ def shift_labels_part(spark, sf):
 
 
 @register("assemble_embeddings", sql="""SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_features,
-  list_sum(CAST(embedding AS DOUBLE[])) AS feature_sum FROM embeddings""",
-          round={"feature_sum": 4})
+  list_sum(CAST(embedding AS DOUBLE[])) AS feature_sum,
+  list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * i)) AS weighted_sum FROM embeddings""",
+          round={"feature_sum": 4, "weighted_sum": 4})
 def assemble_embeddings(spark, sf):
     emb = load_table(spark, sf, "embeddings").select("vec_id", "embedding")
     arr = vector_to_array(F.col("features"))
     return encode.assemble(emb, ["embedding"]).select(
         "vec_id", F.size(arr).alias("n_features"),
-        F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("feature_sum"))
+        F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("feature_sum"),
+        F.aggregate(F.transform(arr, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x).alias("weighted_sum"))
 
 
 @register("melt_part", sql="""SELECT p_partkey, 'p_size' AS feature, CAST(p_size AS DOUBLE) AS value FROM part
@@ -79,7 +82,16 @@ def concat_supplier_customer(spark, sf):
 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 1000""")
 def top_k_lineitem(spark, sf):
     li = load_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return li.orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(1000)
+    return reshape.top_k(li, 1000, ["l_extendedprice", "l_orderkey", "l_linenumber"], [True, False, False])
+
+
+@register("sort_desc_customer", sql="""SELECT c_custkey, c_acctbal,
+  CAST(row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) - 1 AS BIGINT) AS position FROM customer""")
+def sort_desc_customer(spark, sf):
+    """sort_desc with each row's place in the sorted order as a column (an order alone is no value)."""
+    c = load_table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    ordered = reshape.sort_desc(c, "c_acctbal", ["c_custkey"])
+    return with_index(ordered, [F.col("c_acctbal").desc_nulls_last(), "c_custkey"], name="position")
 
 
 @register("table_preview_orders", sql="SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")

@@ -22,10 +22,9 @@ from tabflow.models.tune import cross_validate, grid_search, random_search
 from tabflow.functions.columns import is_numeric, num
 from tabflow.operators.encode import ScaleStats, apply_scale
 from tabflow.operators.evaluate import classification_metrics, regression_metrics, roc_auc
+from tabflow.operators.profile import few_values
 from tabflow.operators.split import stratified_split, train_test_split
 
-HLL_CLEARLY_MANY = 1_000     # a HyperLogLog estimate this high cannot hide 10 or fewer values
-
 REG_SCHEMA = ("position int, model string, r2 double, mse double, rmse double, mae double, mape double, "
               "train_r2 double, train_mse double, cv_score double, seconds double, params string, error string")
 CLS_SCHEMA = ("position int, model string, accuracy double, f1 double, precision double, recall double, "
@@ -51,17 +50,12 @@ def prepare_split(df: DataFrame, key: str, features: list[str], label: str, test
     base = df.select(key, *features, label)
     y = F.col(f"`{label}`")
     numeric = is_numeric(base.schema[label].dataType)
-    # one scan: scaling statistics, a distinct-label estimate, missing labels, smallest label
+    # one scan: scaling statistics and the smallest label; a bounded look at the distinct labels
     r = base.agg(*[F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(features)],
                  *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(features)],
-                 F.approx_count_distinct(y, 0.05).alias("k_est"), F.max(y.isNull().cast("int")).alias("has_null"),
                  F.min(y).alias("ymin")).first()
-    if (r["k_est"] or 0) >= HLL_CLEARLY_MANY:
-        k = r["k_est"]                 # far above 10: no exact distinct count (no shuffle of all values)
-    else:
-        k = base.agg(F.count_distinct(y).alias("k")).first()["k"]     # few values: exact and cheap
-    n_distinct = (k or 0) + (r["has_null"] or 0)
-    kind = "regression" if numeric and n_distinct > 10 else "classification"
+    values = few_values(base, label)
+    kind = "regression" if numeric and len(values) > 10 else "classification"
     stats = ScaleStats(list(features), [r[f"m{i}"] for i in range(len(features))],
                        [r[f"s{i}"] if r[f"s{i}"] not in (None, 0.0) else 1.0 for i in range(len(features))])
     scaled = apply_scale(base, stats)
@@ -70,8 +64,7 @@ def prepare_split(df: DataFrame, key: str, features: list[str], label: str, test
         if numeric and r["ymin"] not in (None, 0):
             offset = int(r["ymin"]) if float(r["ymin"]).is_integer() else r["ymin"]
             scaled = scaled.withColumn(label, y - F.lit(offset))
-        n_classes = k or 0
-        if n_classes < 10:
+        if len(values) <= 10 and sum(v is not None for v in values) < 10:
             split = stratified_split(scaled, key, label, test_size, seed)
         else:
             split = train_test_split(scaled, key, test_size, seed)
@@ -143,7 +136,7 @@ def train_all(df: DataFrame, key: str, features: list[str], label: str, models:
                 score = m["accuracy"]
             return row, model, score, cv_table
         except Exception as e:  # noqa: BLE001 - a failing model becomes an error row
-            return (pos, name, *([None] * 8), time.time() - t0, None, f"{type(e).__name__}: {e}"[:500]), None, None, None
+            return (pos, name, *([None] * 8), time.time() - t0, None, f"{type(e).__name__}: {e}"), None, None, None
 
     try:
         if model_parallelism > 1:

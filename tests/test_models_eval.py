@@ -122,8 +122,9 @@ def test_stratified_split_single_member_class_raises(spark):
         split.stratified_split(df, "k", "y")
 
 
-def test_class_quotas():
-    q = split.class_quotas({"a": 10, "b": 5, "c": 6}, 0.2)
+def test_class_quotas(spark):
+    counts = spark.createDataFrame([("a", 10), ("b", 5), ("c", 6)], "class string, n long")
+    q = {r["class"]: r["quota"] for r in split.class_quotas(counts, 0.2).collect()}
     assert sum(q.values()) == math.ceil(21 * 0.2) and q["a"] == 2
 
 
@@ -183,3 +184,31 @@ def test_knn_small_blocks_equal_default(spark, monkeypatch):
     monkeypatch.setattr(K, "TRAIN_BLOCK", 23)
     got = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=7, chunk_rows=11).collect()}
     assert got == want
+
+
+def test_more_classes_than_any_driver_list(spark):
+    df = spark.range(0, 24_000).select(F.col("id").alias("k"), (F.col("id") % 12_000).alias("y"))
+    got = split.stratified_split(df, "k", "y", 0.5).groupBy("y").agg(F.count_if(F.col("split") == "test").alias("t"))
+    assert got.count() == 12_000 and got.where("t <> 1").isEmpty()
+
+
+def test_integers_beyond_doubles_stay_exact(spark):
+    from tabflow.operators import clean, encode, profile
+    big = 2**53
+    df = spark.createDataFrame([(big,), (big + 1,), (big + 1,), (None,)], "v long")
+    assert sorted(r["v"] for r in clean.fill_mode(df).collect()) == [big, big + 1, big + 1, big + 1]
+    flags = {(r["v"], r["v_is_max"], r["v_is_min"]) for r in profile.extrema_flags(df).collect()}
+    assert flags == {(big, False, True), (big + 1, True, False), (None, False, False)}
+    assert encode.shift_labels(df.where("v > 9007199254740992"), "v")[1] == big + 1
+
+
+def test_histogram_of_missing_values_only(spark):
+    from tabflow.operators import plotdata
+    df = spark.createDataFrame([(None,), (None,)], "v double")
+    assert plotdata.histogram(df, ["v"]).collect() == []
+
+
+def test_checkpoint_folder_is_required_off_local_masters():
+    from tabflow import session
+    assert session.is_local("local") and session.is_local("local[4]")
+    assert not session.is_local("local-cluster[3,2,1024]") and not session.is_local("yarn")
