@@ -1,13 +1,12 @@
-"""Exact k nearest neighbours without a cross join.
-
-The training side stays distributed.  The rows to classify are taken in chunks
-sized to a fixed broadcast budget (split by hash fraction of their key, every
-row is processed), each chunk is broadcast, and every training partition
-computes its local k best (distance, training key) per chunk row with numpy in
-fixed-size blocks; a ``groupBy``
-on the row key merges the partition-local lists into the global k best, and
-the vote happens in Spark.  Work per task is bounded by chunk x partition size,
-and only k candidates per (row, partition) are shuffled.
+"""Exact k nearest neighbours, distributed on both sides.
+
+Every row to classify first gets a row id of its own, so repeated or missing keys do not matter.
+Training and query rows are dealt by hash into blocks of bounded size and each pair of blocks meets
+once in a cogrouped task.  There a matrix screen finds, for every query row, all training rows no
+farther than its k-th nearest (ties and rounding included), their distances are recomputed
+exactly, and the k first by (distance, training key) remain.  A windowed rank over the blocks'
+winners gives the global k nearest, and the vote happens in Spark.  Results do not depend on
+partitioning; nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -15,135 +14,108 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.functions.columns import hash_fraction
 from tabflow.models.base import FittedModel
-
-BROADCAST_BYTES = 64 << 20   # a query chunk is broadcast only up to this size
-TRAIN_BLOCK = 2_048          # training rows per distance block inside a task
-QUERY_BLOCK = 2_048          # query rows per distance block inside a task
-_MARGIN = 8                  # extra candidates re-checked with exact differences
-
-
-def chunk_rows_for(n_features: int) -> int:
-    """Query rows per broadcast chunk: as many as fit the broadcast budget (at least 1024)."""
-    return max(1_024, BROADCAST_BYTES // (8 * max(1, n_features) + 64))
-
-
-def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
-    return pdf[features].to_numpy(dtype="float64")
+from tabflow.session import cut_lineage
+
+MAX_BLOCK, MIN_BLOCK = 16_384, 1_024     # rows of a block
+TILE = 256                               # query rows per distance matrix inside a task
+
+
+def _matrix(table: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).to_numpy().astype("float64") for c in columns])
+
+
+def block_winners(train: pa.Table, query: pa.Table, columns: list[str], k: int) -> pa.Table:
+    """(_qid, _dist, _tkey, _tlabel): for every query row its k nearest rows of a training block by
+    (distance, key)."""
+    tx, qx = _matrix(train, columns), _matrix(query, columns)
+    order = train.column("_tkey").combine_chunks()
+    rank = np.empty(len(tx), dtype=np.int64)
+    rank[np.asarray(pa.compute.array_sort_indices(order))] = np.arange(len(tx))    # place of each key in order
+    tn = (tx * tx).sum(1)
+    ids, dists, picks = [], [], []
+    for at in range(0, len(qx), TILE):
+        q = qx[at:at + TILE]
+        qn = (q * q).sum(1)
+        d2 = qn[:, None] + tn[None, :] - 2.0 * q @ tx.T
+        d2 = np.where(np.isnan(d2), np.inf, d2)
+        if k < len(tx):
+            slack = 1e-10 * (qn + tn[np.isfinite(tn)].max(initial=0.0))             # rounding of the screen
+            near = ~(d2 > (np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+        else:
+            near = np.ones(d2.shape, dtype=bool)
+        row, col = np.nonzero(near)
+        dist = np.sqrt(((q[row] - tx[col]) ** 2).sum(1))
+        by = np.lexsort((rank[col], dist, row))
+        row, col, dist = row[by], col[by], dist[by]
+        first = np.searchsorted(row, np.arange(len(q)))
+        keep = np.arange(len(row)) - first[row] < k
+        ids.append(row[keep] + at)
+        dists.append(dist[keep])
+        picks.append(col[keep])
+    pick = pa.array(np.concatenate(picks) if picks else np.zeros(0, dtype=np.int64))
+    return pa.table({"_qid": query.column("_qid").take(pa.array(np.concatenate(ids))) if ids else pa.array([], pa.int64()),
+                     "_dist": np.concatenate(dists) if dists else np.zeros(0),
+                     "_tkey": train.column("_tkey").take(pick), "_tlabel": train.column("_tlabel").take(pick)})
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str,
                 k: int = 5, weights: str = "uniform", classes: list | None = None,
-                chunk_rows: int | None = None) -> DataFrame:
-    spark = train.sparkSession
+                block_rows: int | None = None) -> DataFrame:
     fcols = [f"_x{i}" for i in range(len(features))]
-    tr = train.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"),
-                      *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, fcols)])
-    te = test.select(F.col(f"`{key}`").alias("_qkey"),
-                     *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, fcols)])
-    te = te.persist()        # read once per chunk below; released after the loop (results hold broadcasts)
-    n_test = te.count()
-    chunk_rows = chunk_rows or chunk_rows_for(len(features))
-    chunks = max(1, math.ceil(n_test / chunk_rows))
-    frac = hash_fraction(F.col("_qkey"), 7)
+    test = cut_lineage(test.withColumn("_qid", F.monotonically_increasing_id()))    # ids are drawn once
+    xs = [F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, fcols)]
+    tr = train.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"), *xs)
+    te = test.select("_qid", *xs)
     label_type = train.schema[label].dataType.simpleString()
-    key_type = test.schema[key].dataType.simpleString()
     tkey_type = train.schema[key].dataType.simpleString()
-    schema = f"_qkey {key_type}, _dist double, _tkey {tkey_type}, _tlabel {label_type}"
-    parts = []
-    for c in range(chunks):
-        q = te.where((frac >= c / chunks) & (frac < (c + 1) / chunks)).toPandas()
-        if q.empty:
-            continue
-        bq = spark.sparkContext.broadcast((q["_qkey"].to_numpy(), _matrix(q, fcols)))
-
-        def local_best(batches, bq=bq):
-            qkeys, qx = bq.value
-            nq = len(qkeys)
-            best_d = np.full((nq, 0), np.inf)
-            best_k, best_l = np.empty((nq, 0), dtype=object), np.empty((nq, 0), dtype=object)
-            for pdf in batches:
-                for start in range(0, len(pdf), TRAIN_BLOCK):
-                    blk = pdf.iloc[start:start + TRAIN_BLOCK]
-                    tx = _matrix(blk, fcols)
-                    tk = blk["_tkey"].to_numpy(dtype=object)
-                    tl = blk["_tlabel"].to_numpy(dtype=object)
-                    m = min(tx.shape[0], k + _MARGIN)
-                    cd = np.empty((nq, m))
-                    ck, cl = np.empty((nq, m), dtype=object), np.empty((nq, m), dtype=object)
-                    tn = (tx * tx).sum(1)
-                    for qs in range(0, nq, QUERY_BLOCK):     # memory per step: QUERY_BLOCK x TRAIN_BLOCK
-                        q = qx[qs:qs + QUERY_BLOCK]
-                        # fast screen with the expanded form, exact differences for the survivors
-                        d2 = (q * q).sum(1)[:, None] + tn[None, :] - 2.0 * q @ tx.T
-                        cand = (np.argpartition(d2, m - 1, axis=1)[:, :m] if m < tx.shape[0]
-                                else np.tile(np.arange(tx.shape[0]), (len(q), 1)))
-                        cd[qs:qs + len(q)] = ((q[:, None, :] - tx[cand]) ** 2).sum(2)
-                        ck[qs:qs + len(q)] = tk[cand]
-                        cl[qs:qs + len(q)] = tl[cand]
-                    best_d = np.concatenate([best_d, cd], 1)
-                    best_k = np.concatenate([best_k, ck], 1)
-                    best_l = np.concatenate([best_l, cl], 1)
-                    if best_d.shape[1] > 4 * (k + _MARGIN):
-                        best_d, best_k, best_l = _trim(best_d, best_k, best_l, k)
-            if best_d.shape[1] == 0:
-                return
-            best_d, best_k, best_l = _trim(best_d, best_k, best_l, k)
-            rows = nq * best_d.shape[1]
-            yield pd.DataFrame({"_qkey": np.repeat(qkeys, best_d.shape[1])[:rows],
-                                "_dist": np.sqrt(best_d.reshape(-1)),
-                                "_tkey": best_k.reshape(-1), "_tlabel": best_l.reshape(-1)})
-
-        parts.append(tr.mapInPandas(local_best, schema))
-    te.unpersist()
-    if not parts:
-        return test.withColumn("prediction", F.lit(None).cast(label_type))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    # global k best per row: rank candidates by (distance, training key)
-    top = (cands.groupBy("_qkey")
-                .agg(F.slice(F.sort_array(F.collect_list(F.struct("_dist", "_tkey", "_tlabel"))), 1, k).alias("nn")))
-    votes = top.select("_qkey", F.explode("nn").alias("e")).select("_qkey", "e._dist", "e._tlabel")
+    n_train, n_test = tr.count(), te.count()
+    if n_train == 0:
+        return test.drop("_qid").withColumn("prediction", F.lit(None).cast(label_type))
+    width = train.sparkSession.sparkContext.defaultParallelism
+    block = block_rows or min(MAX_BLOCK, max(MIN_BLOCK, math.ceil(n_train / (2 * width))))
+    n_tb, n_qb = math.ceil(n_train / block), max(1, math.ceil(n_test / (block_rows or MAX_BLOCK)))
+
+    def own(n: int, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = tr.withColumn("_tb", own(n_tb, "_tkey", *fcols)).withColumn("_qb", every(n_qb))
+    right = te.withColumn("_qb", own(n_qb, "_qid")).withColumn("_tb", every(n_tb))
+
+    def meet(t: pa.Table, q: pa.Table) -> pa.Table:
+        return block_winners(t, q, fcols, k)
+
+    cands = left.groupBy("_tb", "_qb").cogroup(right.groupBy("_tb", "_qb")) \
+        .applyInArrow(meet, f"_qid long, _dist double, _tkey {tkey_type}, _tlabel {label_type}")
+    best = Window.partitionBy("_qid").orderBy("_dist", "_tkey")
+    votes = cands.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k).select("_qid", "_dist", "_tlabel")
     if weights == "distance":
-        has_zero = F.max((F.col("_dist") == 0).cast("int")).over(_w("_qkey"))
+        has_zero = F.max((F.col("_dist") == 0).cast("int")).over(_w("_qid"))
         w = F.when(has_zero == 1, (F.col("_dist") == 0).cast("double")).otherwise(1.0 / F.col("_dist"))
     else:
         w = F.lit(1.0)
-    scored = votes.withColumn("_w", w).groupBy("_qkey", "_tlabel").agg(F.sum("_w").alias("_v"))
-    tot = scored.groupBy("_qkey").agg(F.sum("_v").alias("_tot"),
+    scored = votes.withColumn("_w", w).groupBy("_qid", "_tlabel").agg(F.sum("_w").alias("_v"))
+    tot = scored.groupBy("_qid").agg(F.sum("_v").alias("_tot"),
                                       F.min_by("_tlabel", F.struct((-F.col("_v")).alias("v"), F.col("_tlabel"))).alias("prediction"),
                                       F.map_from_entries(F.collect_list(F.struct("_tlabel", "_v"))).alias("_m"))
     if classes:
         prob = F.array(*[F.coalesce(F.col("_m")[F.lit(c)], F.lit(0.0)) / F.col("_tot") for c in classes])
         tot = tot.withColumn("probability", prob)
-    tot = tot.drop("_m", "_tot").withColumnRenamed("_qkey", key)
-    return test.join(tot, key, "left")
+    return test.join(tot.drop("_m", "_tot"), "_qid", "left").drop("_qid")
 
 
 def _w(col):
-    from pyspark.sql import Window
     return Window.partitionBy(col)
 
 
-def _trim(d, keys, labels, k):
-    """Keep the k best columns of every row by (distance, training key)."""
-    try:
-        kk = keys.astype("int64")
-    except (TypeError, ValueError):
-        kk = keys.astype(str)
-    by_key = np.argsort(kk, axis=1, kind="stable")
-    by_dist = np.argsort(np.take_along_axis(d, by_key, 1), axis=1, kind="stable")[:, :k]
-    idx = np.take_along_axis(by_key, by_dist, 1)
-    return (np.take_along_axis(d, idx, 1), np.take_along_axis(keys, idx, 1),
-            np.take_along_axis(labels, idx, 1))
-
-
 def fit_knn(train: DataFrame, features: list[str], label: str, key: str, n_neighbors: int = 5,
             weights: str = "uniform", **_) -> FittedModel:
     from tabflow.models.base import class_list

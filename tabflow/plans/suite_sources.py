@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabflow.plans.fixtures import PART_N, part_with_nulls
 from tabflow.plans.registry import register
 from tabflow.sources.files import list_csv, read_csv, scratch_path, write_csv
@@ -47,6 +49,21 @@ def read_csv_part(spark, sf):
     return read_csv(spark, path)
 
 
+@register("read_csv_conversations", sql="SELECT * FROM conversations")
+def read_csv_conversations(spark, sf):
+    """conversations (texts with quotes, commas and line breaks) exported as CSV and read back whole."""
+    path = write_csv(load_table(spark, sf, "conversations"), scratch_path(spark, "conversations_csv"))
+    return read_csv(spark, path)
+
+
+@register("list_csv_suffix", sql="SELECT TRUE AS all_csv, TRUE AS some_bytes")
+def list_csv_suffix(spark, sf):
+    """The listing of a fresh export: every name ends in .csv and the files hold bytes."""
+    path = write_csv(part_with_nulls(spark, sf), scratch_path(spark, "part_csv"))
+    return list_csv(spark, path).agg(F.bool_and(F.col("name").endswith(".csv")).alias("all_csv"),
+                                     (F.sum("bytes") > 0).alias("some_bytes"))
+
+
 @register("list_csv_part_export")
 def list_csv_part_export(spark, sf):
     """The .csv files of a fresh export of part (file names carry random ids: rows-only)."""

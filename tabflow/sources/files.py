@@ -11,17 +11,15 @@ from pyspark.sql import types as T
 MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+_QUOTING = {"multiLine": True, "quote": '"', "escape": '"', "lineSep": "\n", "maxCharsPerColumn": -1,
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 LISTING_SCHEMA = "name string, path string, bytes long, modified timestamp"
 
 
 def is_valid_directory(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists and is a directory: local paths through the OS, other
-    schemes (hdfs://, s3a://, ...) through the session's Hadoop file system."""
-    import os
-    from urllib.parse import urlparse
-    scheme = urlparse(path).scheme
-    if scheme in ("", "file"):
-        return os.path.isdir(urlparse(path).path if scheme else path)
+    """True when ``path`` exists and is a directory of the session's Hadoop file system (a path
+    without a scheme belongs to its default one)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,25 +40,39 @@ def list_csv(spark: SparkSession, directory: str) -> DataFrame:
                         F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+# fixed values: the texts that pandas' read_csv takes for booleans, and the shapes of its numbers
+TRUE_TEXTS, FALSE_TEXTS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
+INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+
+
+def _double(c: str) -> str:
+    return f"try_cast(regexp_replace(trim(`{c}`), '^([+-]?)(?i:inf|infinity)$', '$1Infinity') AS DOUBLE)"
+
+
 def _infer(df: DataFrame) -> DataFrame:
-    """Per column: bigint when every value parses as an integer, else double when every value
-    parses as a number, else text.  One aggregate decides all columns."""
+    """Per column: boolean when every cell is a boolean text (none missing), bigint when every value is an
+    integer, else double when every value is a number, else text.  One aggregate decides all columns."""
     cols = df.columns
     if not cols:
         return df
-    checks = []
+    checks = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
-        checks += [F.count(x).alias(f"n{i}"), F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"i{i}"),
-                   F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}")]
+        whole = x.rlike(INTEGER_TEXT) & F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").isNotNull()
+        checks += [F.count(x).alias(f"n{i}"), F.count_if(whole).alias(f"i{i}"),
+                   F.count_if(x.rlike(NUMBER_TEXT)).alias(f"d{i}"),
+                   F.count_if(x.isin(TRUE_TEXTS + FALSE_TEXTS)).alias(f"b{i}")]
     r = df.agg(*checks).first()
     out = []
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
-        if n > 0 and r[f"i{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
+        if n > 0 and r[f"b{i}"] == r["rows"]:
+            out.append(F.col(f"`{c}`").isin(TRUE_TEXTS).alias(c))
+        elif n > 0 and r[f"i{i}"] == n:
+            out.append(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").alias(c))
         elif n > 0 and r[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(F.expr(_double(c)).alias(c))
         elif n == 0:
             out.append(F.col(f"`{c}`").cast("double").alias(c))        # all missing: numeric NaN column
         else:
@@ -69,9 +81,11 @@ def _infer(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row.  Missing markers become NULL; without a schema the column
-    types are inferred after that (so a column holding ``NA`` is still numeric)."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    """CSV with a header row, quoted as pandas does: a quoted field may hold line breaks, and a quote
+    inside it is doubled.  Missing markers become NULL; without a schema the column types are inferred
+    after that (so a column holding ``NA`` is still numeric).  Quoted line breaks mean that one
+    file is one task: large data should come as several files."""
+    reader = spark.read.option("header", True).options(**_QUOTING)
     raw = reader.schema(_as_text_schema(spark, path, schema)).csv(path) if schema is not None else reader.csv(path)
     cleaned = raw.select(*[F.when(F.col(f"`{c}`").isin(MISSING_MARKERS), F.lit(None))
                            .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
@@ -89,12 +103,13 @@ def _as_text_schema(spark, path, schema):
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Distributed CSV export with a header row (missing values as empty fields)."""
-    df.write.mode("error").option("header", True).csv(path)
+    df.write.mode("error").option("header", True).option("quote", '"').option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a machine-local default)."""
+    """A fresh folder under the shared checkpoint directory (machine-local only where the master is)."""
     import uuid
     from tabflow.session import checkpoint_dir
     return f"{checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex}"

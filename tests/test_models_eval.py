@@ -76,7 +76,7 @@ def test_knn_brute_force_and_ties(spark):
     te = [(1000 + i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(size=40), rng.normal(size=40)))]
     train = spark.createDataFrame(tr, "k long, a double, b double, y int").repartition(5)
     test = spark.createDataFrame(te, "k long, a double, b double")
-    got = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=5, chunk_rows=16).collect()}
+    got = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=5, block_rows=16).collect()}
     T = np.array([[r[1], r[2]] for r in tr])
     for k, a, b in te:
         d = ((T - [a, b]) ** 2).sum(1)
@@ -180,9 +180,8 @@ def test_knn_small_blocks_equal_default(spark, monkeypatch):
     train = spark.createDataFrame(tr, "k long, a double, b double, y int")
     test = spark.createDataFrame(te, "k long, a double, b double")
     want = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=7).collect()}
-    monkeypatch.setattr(K, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(K, "TRAIN_BLOCK", 23)
-    got = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=7, chunk_rows=11).collect()}
+    monkeypatch.setattr(K, "TILE", 7)
+    got = {r["k"]: r["prediction"] for r in knn_predict(train, test, ["a", "b"], "y", "k", k=7, block_rows=11).collect()}
     assert got == want
 
 
@@ -212,3 +211,25 @@ def test_checkpoint_folder_is_required_off_local_masters():
     from tabflow import session
     assert session.is_local("local") and session.is_local("local[4]")
     assert not session.is_local("local-cluster[3,2,1024]") and not session.is_local("yarn")
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_knn_ties_follow_the_key_in_any_layout(spark, parts):
+    train = spark.createDataFrame([(i, 1.0, 1 if i < 5 else 0) for i in range(200)], "k long, x double, y long")
+    test = spark.createDataFrame([(1, 0.0), (1, 19.0), (None, 1.0)], "k long, x double")
+    for block in (None, 7):
+        got = knn_predict(train.repartition(parts), test, ["x"], "y", "k", k=5, block_rows=block).collect()
+        assert [r["prediction"] for r in got] == [1, 1, 1]
+
+
+def test_knn_repeated_and_missing_query_keys(spark):
+    train = spark.createDataFrame([(i, float(i), int(i >= 10)) for i in range(20)], "k long, x double, y long")
+    test = spark.createDataFrame([(1, 0.0), (1, 19.0), (None, 18.0), (None, 2.0)], "k long, x double")
+    got = {(r["k"], r["x"]): r["prediction"] for r in knn_predict(train, test, ["x"], "y", "k", k=3).collect()}
+    assert got == {(1, 0.0): 0, (1, 19.0): 1, (None, 18.0): 1, (None, 2.0): 0}
+
+
+def test_knn_text_keys_are_ordered_as_text(spark):
+    train = spark.createDataFrame([("10", 0.0, 1), ("9", 0.0, 0)], "k string, x double, y long")
+    test = spark.createDataFrame([("q", 0.0)], "k string, x double")
+    assert knn_predict(train, test, ["x"], "y", "k", k=1).first()["prediction"] == 1

@@ -92,3 +92,19 @@ def test_stream_scoring_equals_batch(spark, tmp_dir):
     batch = score(part, model, stats).select("p_partkey", "prediction")
     assert streamed.count() == part.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_csv_quoting_and_types_as_pandas(spark, tmp_path):
+    import pandas as pd
+
+    from tabflow.sources.files import read_csv, write_csv
+    path = tmp_path / "a.csv"
+    path.write_text('id,text,flag,half,mixed,num\n1,"two\nlines, ""quoted""",True,True,1d,1\n2, padded ,FALSE,,2,-2.5e3\n')
+    got = [tuple(r) for r in read_csv(spark, str(path)).orderBy("id").collect()]
+    want = pd.read_csv(path)
+    assert got[0][:4] == (1, 'two\nlines, "quoted"', True, "True") and got[1][:3] == (2, " padded ", False)
+    assert [r[4] for r in got] == ["1d", "2"] and [r[5] for r in got] == [1.0, -2500.0]
+    assert want["text"].tolist() == [r[1] for r in got] and want["flag"].tolist() == [r[2] for r in got]
+    rows = [(1, 'a "b"\nc,d', None), (2, "x\r\ny", "NA?"), (3, "  spaces  ", "q\"")]
+    out = write_csv(spark.createDataFrame(rows, "id long, a string, b string"), f"{tmp_path}/out")
+    assert sorted(map(tuple, read_csv(spark, out).collect())) == rows
