@@ -2,8 +2,9 @@
 
 ``z(x) = sqrt(2/D) cos(W x + b)`` with ``W ~ N(0, 2 gamma)``, ``b ~ U(0, 2 pi)``
 (seeded) approximates the RBF kernel ``exp(-gamma |x - y|^2)``; the features are
-plain column expressions, so the fit is a linear Spark model on them: an L2
-``LinearRegression`` (normal equations, one distributed pass) for regression, ``LinearSVC`` (one-vs-rest above two
+plain column expressions, so the fit is a linear Spark model on them: a
+``LinearRegression`` with the Huber loss (linear in large residuals, as the support vector loss is)
+for regression, ``LinearSVC`` (one-vs-rest above two
 classes) for classification with Platt-scaled probabilities.  This is an
 approximation of the exact kernel machine, named as such.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tabflow.models.base import FEATURES, LABEL_IDX, FittedModel, assembled, class_list, index_labels, unindex
 
 N_COMPONENTS = 100
+HUBER = 1.35      # residuals beyond this many scales count linearly
 SEED = 42
 
 
@@ -60,8 +62,8 @@ def fit_svr(train: DataFrame, features: list[str], label: str, C: float = 1.0, g
     cols, names = _rff_columns(features, g, n_components)
     n = train.count()
     data = assembled(train.select(F.col(f"`{label}`").cast("double").alias(label), *cols), names)
-    est = LinearRegression(featuresCol=FEATURES, labelCol=label, solver="normal", regParam=1.0 / (C * n),
-                           elasticNetParam=0.0, standardization=False)
+    est = LinearRegression(featuresCol=FEATURES, labelCol=label, loss="huber", epsilon=HUBER, maxIter=200,
+                           regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False)
     model = est.fit(data)
 
     def transform(df: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def fit_svr(train: DataFrame, features: list[str], label: str, C: float = 1.0, g
                                          F.col("prediction").cast("double").alias("prediction"))
 
     return FittedModel("svr", "regression", features, label, {"C": C, "gamma": gamma},
-                       transform_fn=transform, extra={"model_class": "RandomFourierRidgeRegression", "gamma_value": g})
+                       transform_fn=transform, extra={"model_class": "RandomFourierHuberRegression", "gamma_value": g})
 
 
 def fit_svc(train: DataFrame, features: list[str], label: str, C: float = 1.0, gamma="scale",

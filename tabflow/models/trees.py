@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from tabflow.models.base import FEATURES, LABEL_IDX, FittedModel, assembled, class_list, index_labels
 
 MAX_DEPTH = 30
+MIN_LEAF_FRACTION = 1e-5
 SEED = 42
 
 
-def _xgboost_spark():
-    """The XGBoost Spark estimators when the optional package is installed, else None."""
-    try:
-        from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
-        return SparkXGBRegressor, SparkXGBClassifier
-    except ImportError:
+def _xgboost_spark(backend: str):
+    """The XGBoost Spark estimators when asked for by ``backend="xgboost"``, else None.  The learner
+    never depends on what happens to be installed."""
+    if backend == "spark":
         return None
+    if backend != "xgboost":
+        raise ValueError(f"backend must be 'spark' or 'xgboost', not {backend!r}")
+    from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
+    return SparkXGBRegressor, SparkXGBClassifier
 
 
 def _depth(v):
@@ -42,14 +45,15 @@ def _subset(colsample):
 
 
 def _deep(est, train):
-    """Deep trees: cache node ids and checkpoint them in the shared checkpoint folder."""
+    """Deep trees cache node ids, and both they and boosting iterations are checkpointed in the shared
+    folder.  A leaf holds at least ``MIN_LEAF_FRACTION`` of the rows, so a tree, which the driver keeps, has
+    at most 1 / MIN_LEAF_FRACTION leaves however deep it may grow."""
     from tabflow.session import checkpoint_dir
     if not est.hasParam("maxDepth") or not est.hasParam("cacheNodeIds"):
         return est
-    if est.getOrDefault("maxDepth") > 10:
-        checkpoint_dir(train.sparkSession)
-        est.setCacheNodeIds(True).setCheckpointInterval(10)
-    return est
+    checkpoint_dir(train.sparkSession)
+    est.setCheckpointInterval(10).setMinWeightFractionPerNode(MIN_LEAF_FRACTION)
+    return est.setCacheNodeIds(True) if est.getOrDefault("maxDepth") > 10 else est
 
 
 def _regressor(est, name, train, features, label, params):
@@ -92,13 +96,13 @@ def _gbt_params(n_estimators, learning_rate, max_depth, subsample, colsample_byt
 
 
 def fit_gbt_regression(train, features, label, variant="a", n_estimators=100, learning_rate=None, max_depth=None,
-                       subsample=1.0, colsample_bytree=1.0, num_leaves=None, **_):
+                       subsample=1.0, colsample_bytree=1.0, num_leaves=None, backend="spark", **_):
     lr = learning_rate if learning_rate is not None else (0.3 if variant == "a" else 0.1)
     depth = max_depth if max_depth is not None else (6 if variant == "a" else 5)
     if num_leaves is not None:          # leaves bound the depth of a balanced tree
         depth = min(depth, int(math.ceil(math.log2(num_leaves))))
-    xgb = _xgboost_spark()
-    if variant == "a" and xgb is not None:
+    xgb = _xgboost_spark(backend)
+    if xgb is not None:
         est = xgb[0](features_col=FEATURES, label_col=label, n_estimators=int(n_estimators), learning_rate=lr,
                      max_depth=depth, subsample=subsample, colsample_bytree=colsample_bytree, random_state=SEED)
         return _regressor(est, "boosted_trees_a_regression", train, features, label,
@@ -128,13 +132,13 @@ def fit_random_forest_classification(train, features, label, n_estimators=100, m
 
 
 def fit_gbt_classification(train, features, label, variant="a", n_estimators=100, learning_rate=None,
-                           max_depth=None, subsample=1.0, colsample_bytree=1.0, num_leaves=None, **_):
+                           max_depth=None, subsample=1.0, colsample_bytree=1.0, num_leaves=None, backend="spark", **_):
     lr = learning_rate if learning_rate is not None else (0.3 if variant == "a" else 0.1)
     depth = max_depth if max_depth is not None else (6 if variant == "a" else 5)
     if num_leaves is not None:
         depth = min(depth, int(math.ceil(math.log2(num_leaves))))
-    xgb = _xgboost_spark()
-    if variant == "a" and xgb is not None:          # native multi-class, probabilities included
+    xgb = _xgboost_spark(backend)
+    if xgb is not None:          # native multi-class, probabilities included
         est = xgb[1](features_col=FEATURES, label_col=LABEL_IDX, n_estimators=int(n_estimators), learning_rate=lr,
                      max_depth=depth, subsample=subsample, colsample_bytree=colsample_bytree, random_state=SEED)
         return _classifier(est, "boosted_trees_a_classification", train, features, label,

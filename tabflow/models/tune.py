@@ -63,8 +63,8 @@ def cross_validate(train: DataFrame, key: str, features: list[str], label: str,
     """k-fold test and train scores of one setting (population std, like numpy)."""
     folded = add_folds(train, key, label, kind, k, seed).persist()
     try:
-        pool = ThreadPoolExecutor(parallelism) if parallelism > 1 else None
-        s = _summary(_fold_scores(folded, name, features, label, kind, key, params or {}, k, pool))
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            s = _summary(_fold_scores(folded, name, features, label, kind, key, params or {}, k, pool))
     finally:
         folded.unpersist()
     return train.sparkSession.createDataFrame(
@@ -82,7 +82,8 @@ class SearchResult:
 
 def grid_search(train: DataFrame, key: str, features: list[str], label: str, name: str, kind: str,
                 grid: list[dict] | None = None, k: int = 3, seed: int = 42, parallelism: int = 4) -> SearchResult:
-    """Score every grid point by k-fold CV; the first best point wins; refit on all rows."""
+    """Score every grid point by k-fold CV; the first best point wins; refit on all rows.  A point that
+    fails to fit has missing scores and cannot win; only when all fail is that an error."""
     grid = grid if grid is not None else catalog.param_grid(name)
     grid = grid or [{}]
     folded = add_folds(train, key, label, kind, k, seed).persist()
@@ -90,11 +91,20 @@ def grid_search(train: DataFrame, key: str, features: list[str], label: str, nam
     try:
         with ThreadPoolExecutor(max(1, parallelism)) as pool:
             futures = [pool.submit(_fold_scores, folded, name, features, label, kind, key, p, k, None) for p in grid]
+            failure = None
             for p, fut in zip(grid, futures):
-                rows.append((p, _summary(fut.result())))
+                try:
+                    rows.append((p, _summary(fut.result())))
+                except Exception as e:  # noqa: BLE001 - the point failed, not the search
+                    failure = e
+                    rows.append((p, dict.fromkeys(("mean_test_score", "std_test_score", "mean_train_score",
+                                                   "std_train_score"))))
+            if all(s["mean_test_score"] is None for _, s in rows):
+                raise failure
     finally:
         folded.unpersist()
-    best_i = max(range(len(rows)), key=lambda i: (rows[i][1]["mean_test_score"], -i))
+    scored = [i for i in range(len(rows)) if rows[i][1]["mean_test_score"] is not None]
+    best_i = max(scored, key=lambda i: (rows[i][1]["mean_test_score"], -i))
     best_p, best_s = rows[best_i][0], rows[best_i][1]["mean_test_score"]
     table = train.sparkSession.createDataFrame(
         [(name, json.dumps(p, default=str), s["mean_test_score"], s["std_test_score"], s["mean_train_score"],

@@ -25,16 +25,28 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _fraction(key: str | list[str], seed: int) -> Column:
+    """Hash fraction of a row's key; the parts of a composite key are joined by '|'."""
+    keys = _keys(key)
+    if len(keys) == 1:
+        return hash_fraction(_c(keys[0]), seed)
+    return hash_fraction(F.concat_ws("|", *[F.coalesce(_c(k).cast("string"), F.lit("")) for k in keys]), seed)
+
+
+def train_test_split(df: DataFrame, key: str | list[str], test_size: float = 0.2, seed: int = 42,
                      exact: bool = False, split_col: str = "split") -> DataFrame:
     """Adds ``split`` = 'test' / 'train'.  Default: hash fraction < test_size.
     ``exact``: the ceil(n * test_size) rows with the lowest hash are the test part."""
-    frac = hash_fraction(_c(key), seed)
+    frac = _fraction(key, seed)
     if not exact:
         return df.withColumn(split_col, F.when(frac < F.lit(test_size), "test").otherwise("train"))
     n = df.count()
     n_test = math.ceil(n * _ratio(test_size))
-    ranked = with_index(df.withColumn("_frac", frac), ["_frac", key], name="_rank", n_rows=n, uniform=True)
+    ranked = with_index(df.withColumn("_frac", frac), ["_frac", *_keys(key)], name="_rank", n_rows=n, uniform=True)
     return (ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train"))
                   .drop("_frac", "_rank"))
 
@@ -59,7 +71,7 @@ def class_quotas(counts: DataFrame, test_size: float) -> DataFrame:
     return ranked.select("class", (F.col("base") + (F.col("_place") < extra).cast("long")).alias("quota"))
 
 
-def stratified_split(df: DataFrame, key: str, y: str, test_size: float = 0.2, seed: int = 42,
+def stratified_split(df: DataFrame, key: str | list[str], y: str, test_size: float = 0.2, seed: int = 42,
                      split_col: str = "split") -> DataFrame:
     """The test ratio inside every class; a class with fewer than two rows is an error."""
     counts = cut_lineage(df.groupBy(_c(y).alias("class")).agg(F.count(F.lit(1)).alias("n")))
@@ -70,34 +82,34 @@ def stratified_split(df: DataFrame, key: str, y: str, test_size: float = 0.2, se
         raise ValueError(f"the least populated class in {y} has only 1 member: {small['class']!r}")
     n = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     quotas = class_quotas(counts, test_size).withColumnRenamed("class", "_class")
-    ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key],
+    ranked = with_index(df.withColumn("_frac", _fraction(key, seed)), ["_frac", *_keys(key)],
                         group_by=[y], name="_rank", n_rows=n, uniform=True)
     return (ranked.join(quotas, _c(y) == F.col("_class"))
                   .withColumn(split_col, F.when(F.col("_rank") < F.col("quota"), "test").otherwise("train"))
                   .drop("_frac", "_rank", "_class", "quota"))
 
 
-def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
+def kfold(df: DataFrame, key: str | list[str], k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
     """Fold number = hash rank mod k (fold sizes differ by at most one)."""
     if not 2 <= k:
         raise ValueError("k must be at least 2")
-    ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key], name="_rank", uniform=True)
+    ranked = with_index(df.withColumn("_frac", _fraction(key, seed)), ["_frac", *_keys(key)], name="_rank", uniform=True)
     return ranked.withColumn(fold_col, (F.col("_rank") % k).cast("int")).drop("_frac", "_rank")
 
 
-def stratified_kfold(df: DataFrame, key: str, y: str, k: int = 5, seed: int = 42,
+def stratified_kfold(df: DataFrame, key: str | list[str], y: str, k: int = 5, seed: int = 42,
                      fold_col: str = "fold") -> DataFrame:
     """Fold number = (hash rank inside the class) mod k: every class spread evenly."""
-    ranked = with_index(df.withColumn("_frac", hash_fraction(_c(key), seed)), ["_frac", key],
+    ranked = with_index(df.withColumn("_frac", _fraction(key, seed)), ["_frac", *_keys(key)],
                         group_by=[y], name="_rank", uniform=True)
     return ranked.withColumn(fold_col, (F.col("_rank") % k).cast("int")).drop("_frac", "_rank")
 
 
-def learning_subsets(df: DataFrame, key: str, fractions=LEARNING_FRACTIONS, seed: int = 42,
+def learning_subsets(df: DataFrame, key: str | list[str], fractions=LEARNING_FRACTIONS, seed: int = 42,
                      col: str = "subset") -> DataFrame:
     """Smallest fraction f with hash fraction < f; the subset for f is ``subset <= f``,
     so subsets are nested by construction.  Uses an independent hash (seed + 1)."""
-    frac = hash_fraction(_c(key), seed + 1)
+    frac = _fraction(key, seed + 1)
     expr = None
     for f in sorted(fractions):
         cond = frac < F.lit(float(f))

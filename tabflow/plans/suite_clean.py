@@ -113,6 +113,13 @@ def corr_matrix_lineitem(spark, sf):
     return correlation.corr_matrix(load_table(spark, sf, "lineitem"), _LI)
 
 
+@register("corr_matrix_wide_lineitem", sql=" UNION ALL ".join(
+    f"SELECT '{a}' AS feature, " + ", ".join(f"corr({a}, {b}) AS {b}" for b in _LI) + " FROM lineitem" for a in _LI),
+          round={c: 6 for c in _LI})
+def corr_matrix_wide_lineitem(spark, sf):
+    return correlation.corr_matrix_wide(load_table(spark, sf, "lineitem"), _LI)
+
+
 _PART_NUM = [(0, "p_partkey"), (4, "p_size"), (5, "p_retailprice")]
 
 

@@ -60,3 +60,19 @@ def stratified_kfold_orders(spark, sf):
 FROM (SELECT o_orderkey, o_orderstatus, {hash_frac('o_orderkey', 43)} AS f FROM orders)""")
 def learning_subsets_orders(spark, sf):
     return split.learning_subsets(_orders(spark, sf), "o_orderkey", seed=42)
+
+
+_LH = f"""h AS (SELECT l_orderkey, l_linenumber, {hash_frac("CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)")} AS frac FROM lineitem)"""
+_LK = ["l_orderkey", "l_linenumber"]
+
+
+@register("kfold_lineitem", sql=f"""WITH {_LH}
+SELECT l_orderkey, l_linenumber, CAST((row_number() OVER (ORDER BY frac, l_orderkey, l_linenumber) - 1) % 5 AS INTEGER) AS fold FROM h""")
+def kfold_lineitem(spark, sf):
+    return split.kfold(load_table(spark, sf, "lineitem").select(*_LK), _LK, 5, seed=42)
+
+
+@register("split_lineitem_exact", sql=f"""WITH {_LH}, r AS (SELECT *, row_number() OVER (ORDER BY frac, l_orderkey, l_linenumber) AS k FROM h)
+SELECT l_orderkey, l_linenumber, CASE WHEN k <= ceil((SELECT count(*) FROM h) / 5) THEN 'test' ELSE 'train' END AS split FROM r""")
+def split_lineitem_exact(spark, sf):
+    return split.train_test_split(load_table(spark, sf, "lineitem").select(*_LK), _LK, 0.2, seed=42, exact=True)

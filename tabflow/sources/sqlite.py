@@ -21,17 +21,14 @@ def _connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
-def _spark_type(decl: str | None, sample) -> str:
+def _spark_type(decl: str | None, classes: set[str]) -> str:
     if decl:
         base = decl.upper().split("(")[0].strip()
         if base in _SQL_TYPES:
             return _SQL_TYPES[base]
-    if isinstance(sample, bool) or isinstance(sample, int):
-        return "bigint"
-    if isinstance(sample, float):
-        return "double"
-    if isinstance(sample, bytes):
-        return "binary"
+    for storage, kind in (("text", "string"), ("blob", "binary"), ("real", "double"), ("integer", "bigint")):
+        if storage in classes:
+            return kind
     return "string"
 
 
@@ -86,16 +83,17 @@ class SqliteDataSource(DataSource):
         return "tabflow_sqlite"
 
     def schema(self):
+        """Declared types of a table's columns; else the widest storage class over all rows."""
         path, table, query = self.options["path"], self.options.get("table"), self.options.get("query")
         with _connect(path) as con:
-            if table:
-                info = con.execute(f'PRAGMA table_info("{table}")').fetchall()
-                sample = con.execute(f'SELECT * FROM "{table}" LIMIT 1').fetchone() or [None] * len(info)
-                return ", ".join(f"`{r[1]}` {_spark_type(r[2], s)}" for r, s in zip(info, sample))
-            cur = con.execute(query)
-            names = [d[0] for d in cur.description]
-            first = cur.fetchone() or [None] * len(names)
-            return ", ".join(f"`{n}` {_spark_type(None, v)}" for n, v in zip(names, first))
+            source = f'"{table}"' if table else f"({query})"
+            names = [d[0] for d in con.execute(f"SELECT * FROM {source} LIMIT 0").description]
+            declared = {r[1]: r[2] for r in con.execute(f'PRAGMA table_info("{table}")')} if table else {}
+            quoted = ['"' + n.replace('"', '""') + '"' for n in names]
+            held = con.execute("SELECT " + ", ".join(f"group_concat(DISTINCT typeof({q}))" for q in quoted)
+                               + f" FROM {source}").fetchone()
+            return ", ".join(f"`{n}` {_spark_type(declared.get(n), set((h or '').split(',')))}"
+                             for n, h in zip(names, held))
 
     def reader(self, schema: StructType):
         return SqliteReader(self.options, schema)
