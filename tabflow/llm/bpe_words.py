@@ -13,12 +13,12 @@ import re
 import struct
 
 #: words kept per worker; the table is emptied when full, so memory stays bounded
-WORD_TABLE = 400_000
+WORD_TABLE = 1_200_000
 
 # The split pattern of the vocabulary file, on lower-case ASCII and Latin-1 words.
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-_LATIN1 = re.compile(r"[À-ÖØ-öø-ÿ]")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -43,25 +43,35 @@ class WordTable(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.limit = limit
-        self.alphabet = byte_alphabet()
+        self.alphabet = dict(enumerate(byte_alphabet()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
+        out = self.encode_word(word)
         if len(self) >= self.limit:
             self.clear()
-        ids = self.encode_word(word)
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a word; those of its lower-case letter runs come from the table as well."""
+        if word.isalpha() if word.isascii() else _LETTERS.fullmatch(word):
+            low = word.lower()
+            return self.merged(low) if low == word else self[low]
         if _PLAIN.fullmatch(word) and not ("<|" in word and any(s in word for s in self.special)):
-            ids = []
-            for part in _PRE_TOKEN.findall(word.lower()):
-                if _LATIN1.search(part):
-                    part = "".join(map(self.alphabet.__getitem__, part.encode()))
-                ids += [t.id for t in self.model.tokenize(part)]
-            return ids
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+            parts = _PRE_TOKEN.findall(word.lower())
+            if len(parts) == 1 and parts[0] == word:
+                return self.merged(word)
+            return b"".join([self[p] if p.isalpha() else self.merged(p) for p in parts])
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def merged(self, part: str) -> bytes:
+        """Ids of one lower-case pre-token, merged by the library."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as bytes of little-endian unsigned 32-bit integers."""
