@@ -32,11 +32,13 @@ def part_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents inner-joined to labels on doc_id, with a numeric code for ``lang``."""
+    """documents inner-joined to labels on doc_id, with a numeric code for ``lang``; the narrow result is
+    checkpointed, so that fits and scores built on it do not run the join again."""
     from tabflow.operators.encode import label_encode
+    from tabflow.session import cut_lineage
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    joined = docs.join(labels, "doc_id")
+    joined = cut_lineage(docs.join(labels, "doc_id"))
     coded = label_encode(joined, ["lang"], suffix="_code")
     return coded.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
                         F.col("lang_code").cast("double").alias("lang_code"), "quality")
