@@ -15,7 +15,9 @@ links leave the task.  Components over the confirmed links are the result.
 Two classes of similarity 0.85 miss each other in all 20 trees at depth 4 with probability 4e-7, and fall
 below the comparison's threshold of 112 of 160 with less than 1e-7.  A region deeper than 8 values
 does not exist: one that is still larger than ``REGION`` is cut into blocks, and its smallest class is put
-into each of them.
+into each of them.  What the blocks have not joined is compared after that: the region's groups so far
+are dealt into blocks again, and every two blocks meet in one task, except two blocks of one group
+(``cross_units``).  The same follows the confirmation, so a cut region loses no link.
 
 Edge cases: texts that are null, empty or without words have no shingles and link with nothing;
 repeated rows share a class; a component of null ids has a null id; no rows give no rows; further
@@ -94,9 +96,12 @@ def _prefixes(sigs: DataFrame, depth: int) -> DataFrame:
     return sigs.mapInArrow(run, "region long, tree int, node binary")
 
 
-def regions(classes: DataFrame, first_depth: int = FIRST_DEPTH, most: int = REGION) -> DataFrame:
-    """(region, node): for every tree the regions of 2 to ``most`` classes, at the depth each needs."""
-    found = None
+def forest(classes: DataFrame, first_depth: int = FIRST_DEPTH, most: int | None = None) \
+        -> tuple[DataFrame, DataFrame | None]:
+    """(region, node) twice: for every tree the regions of 2 to ``most`` classes, at the depth each needs,
+    and the regions that had to be cut (None without any), for ``cross_units``."""
+    most = REGION if most is None else most
+    found = wide = None
     sigs, depth = classes.select("node", "sig"), first_depth
     while True:
         member = written(_prefixes(sigs, depth), "forest")
@@ -106,18 +111,51 @@ def regions(classes: DataFrame, first_depth: int = FIRST_DEPTH, most: int = REGI
         found = part if found is None else found.unionByName(part)
         large = sized.where(F.col("n") > most)
         if large.isEmpty():
-            return found
+            return found, wide
         if depth == DEPTH:
+            wide = large.select("region", "node")
             blocks = F.ceil(F.col("n") / most)
             block = F.xxhash64("region", F.pmod(F.xxhash64("node"), blocks))
             hubs = large.where(F.col("node") == F.col("least")) \
                 .select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("k"), "region", "node") \
                 .select(F.xxhash64("region", F.col("k")).alias("region"), "node")
-            return found.unionByName(large.select(block.alias("region"), "node")).unionByName(hubs).distinct()
+            return found.unionByName(large.select(block.alias("region"), "node")).unionByName(hubs).distinct(), wide
         sigs = large.select("node", "tree").join(classes.select("node", "sig"), "node")
         depth += 1
 
 
+def regions(classes: DataFrame, first_depth: int = FIRST_DEPTH, most: int | None = None) -> DataFrame:
+    """(region, node): for every tree the regions of 2 to ``most`` classes, at the depth each needs."""
+    return forest(classes, first_depth, most)[0]
+
+
+def cross_units(wide: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """(region, node, root): any two classes of a region of ``wide`` that ``groups`` (node, root) does not
+    join yet stand together in a new region of about ``most`` classes.  A large group is dealt into
+    blocks of its own, small ones share blocks; every two blocks meet but those of one group."""
+    half = max(1, most // 2)
+    rows = wide.join(groups, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
+    rows = written(rows, "wide")
+    sizes = rows.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes, "wide-sizes")
+    open_ = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("roots"),
+                                        F.sum(F.when(F.col("n") <= half, F.col("n"))).alias("few")).where("roots > 1")
+    sizes = sizes.join(open_, "region")
+    own = F.when(F.col("n") > half, F.col("root"))
+    block = F.when(F.col("n") > half, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / half)))) \
+        .otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("few") / half)))
+    dealt = written(rows.join(sizes, ["region", "root"]).select("region", "node", "root", block.alias("block"),
+                                                                own.alias("own")), "wide-blocks")
+    blocks = written(dealt.select("region", "block", "own").distinct(), "blocks")
+    other = blocks.select("region", F.col("block").alias("with"), F.col("own").alias("with_own"))
+    apart = F.coalesce(F.col("own") != F.col("with_own"), F.lit(True))
+    pairs = blocks.join(other, "region").where((F.col("block") <= F.col("with")) & apart)
+    unit = F.xxhash64("region", "block", "with")
+    ends = written(pairs.select("region", unit.alias("unit"), F.explode(F.array_distinct(F.array("block", "with")))
+                                .alias("block")), "block-pairs")
+    return dealt.join(ends, ["region", "block"]).select(F.col("unit").alias("region"), "node", "root")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys in sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -174,8 +212,15 @@ def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
                                        "b": pa.array([y for _, y in found], pa.binary())})
 
 
+def _as_links(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def likely_links(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) of every region's classes that agree in LIKELY of their values at least."""
+    """Spanning links (a, b) of every region's classes that agree in LIKELY of their values at least.
+    With a ``root`` column classes of equal roots are not compared."""
+    if "root" not in member.columns:
+        member = member.withColumn("root", F.col("node"))
     rows = member.join(classes.select("node", "sig"), "node")
 
     def bits(batches):
@@ -184,6 +229,7 @@ def likely_links(member: DataFrame, classes: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).astype(np.uint8)
                 sig = sig.reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_pydict({"region": batch.column("region"), "node": batch.column("node"),
+                                                  "root": batch.column("root"),
                                                   "sig": pa.array([s.tobytes() for s in sig], pa.binary())})
 
     def run(batches):
@@ -192,18 +238,22 @@ def likely_links(member: DataFrame, classes: DataFrame) -> DataFrame:
             nodes = group.column("node").to_pylist()
             if len(nodes) > 1:
                 sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
-                forest = Forest(len(nodes))
-                for i in range(len(nodes) - 1):
-                    alike = (sig[i + 1:] == sig[i]).sum(axis=1)
-                    forest.link(i, (np.flatnonzero(alike >= LIKELY) + i + 1).tolist())
-                out += _spanning(nodes, forest)
+                _, root = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)
+                order = np.argsort(root, kind="stable")
+                nodes, sig, root = [nodes[i] for i in order], sig[order], root[order]
+                after = np.searchsorted(root, root, side="right")    # where the next root begins
+                joined = Forest(len(nodes))
+                for i, k in enumerate(after.tolist()):
+                    alike = (sig[k:] == sig[i]).sum(axis=1)
+                    joined.link(i, (np.flatnonzero(alike >= LIKELY) + k).tolist())
+                out += _spanning(nodes, joined)
             if len(out) > 50_000:
                 yield _edges(out)
                 out = []
         if out:
             yield _edges(out)
 
-    narrow = rows.mapInArrow(bits, "region long, node binary, sig binary")
+    narrow = rows.mapInArrow(bits, "region long, node binary, root binary, sig binary")
     return narrow.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
 
 
@@ -287,19 +337,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(rows["node"], "sig").dropDuplicates(["node"])
     classes = written(classes, "signatures")
 
-    member = written(regions(classes), "regions")
+    member, wide = forest(classes)
+    member = written(member, "regions")
     likely = components(written(likely_links(member, classes), "likely"))
     likely = written(likely, "likely-groups")
+    if wide is not None:
+        rest = written(cross_units(wide, likely, REGION), "rest")
+        more = likely_links(rest, classes).unionByName(_as_links(likely))
+        likely = written(components(written(more, "likely-rest")), "likely-groups")
     sized = likely.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     grouped = written(likely.join(sized, "root"), "likely-sized")
     whole = grouped.where(F.col("n") <= REGION).select(F.col("root").alias("unit"), "node")
-    large = grouped.where(F.col("n") > REGION).select("node")
+    large = grouped.where(F.col("n") > REGION).select("node", F.col("root").alias("likely"))
     units = whole
     if not large.isEmpty():
-        by_region = member.join(large, "node").select(F.unhex(F.hex("region")).alias("unit"), "node")
+        by_region = member.join(large.select("node"), "node").select(F.unhex(F.hex("region")).alias("unit"), "node")
         units = units.unionByName(by_region)
     links = written(confirmed_links(docs, written(units, "units"), ids, id_col, text_col), "links")
     groups = written(components(links), "groups")
+    if wide is not None and not large.isEmpty():
+        within = wide.join(large, "node").select(F.xxhash64("region", "likely").alias("region"), "node")
+        rest = written(cross_units(within, groups, REGION), "units-rest")
+        if not rest.isEmpty():
+            more = confirmed_links(docs, rest.select(F.unhex(F.hex("region")).alias("unit"), "node"), ids, id_col, text_col)
+            more = written(more.unionByName(_as_links(groups)), "links-rest")
+            groups = written(components(more), "groups")
 
     label = groups.join(ids, "node").groupBy("root").agg(F.min("id").alias("component_id"))
     named = written(groups.join(label, "root").select("node", "root", "component_id"), "labels")

@@ -88,6 +88,48 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, region):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def template_rows(groups=60, length=1000):
+    """Variants of one template: pairs of similarity 0.87, and at most 0.84 between the pairs."""
+    rng, rows = np.random.default_rng(1), []
+    for g in range(groups):
+        own = [f"t{k}" for k in range(length)]
+        places = rng.permutation(np.arange(5, length - 5, 5))[:24]
+        for m, some in enumerate((places[:10], places[10:])):
+            for at in some:
+                own[at] = f"g{g}x{m}x{at}"
+            rows.append((2 * g + m, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("first_depth", [near_dedup.DEPTH, near_dedup.FIRST_DEPTH])
+def test_classes_of_a_cut_region_all_meet(spark, first_depth):
+    """Regions of 4: whichever classes share a prefix and are not joined yet stand together in a unit."""
+    classes = near_dedup.sketch(common.docs(spark, template_rows()), "doc_id", "text").select("node", "sig")
+    wide = near_dedup.forest(classes, first_depth, 4)[1]
+    in_region, groups = defaultdict(set), {}
+    for r in wide.collect():
+        in_region[r["region"]].add(r["node"])
+    for n in sorted(set().union(*in_region.values())):
+        groups[n] = min(groups.values(), default=n) if n[0] % 3 else n
+    joined = spark.createDataFrame([(n, r) for n, r in groups.items()], "node binary, root binary")
+    met, units = set(), defaultdict(set)
+    for r in near_dedup.cross_units(wide, joined, 4).collect():
+        units[r["region"]].add(r["node"])
+        assert r["root"] == groups[r["node"]]
+    for u in units.values():
+        met |= {(a, b) for a in u for b in u}
+    assert in_region and all((a, b) in met for u in in_region.values() for a in u for b in u if groups[a] != groups[b])
+
+
+def test_cut_regions_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    rows = template_rows()
+    want, _ = common.near_components(dict(rows))
+    assert want == {i: i - i % 2 for i, _ in rows}
+    got = near_dedup.near_duplicates(common.docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_deeper_regions_are_used_where_needed(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(40)]
     classes = near_dedup.sketch(common.docs(spark, rows), "doc_id", "text").select("node", "sig")
