@@ -15,9 +15,10 @@ links leave the task.  Components over the confirmed links are the result.
 Two classes of similarity 0.85 miss each other in all 20 trees at depth 4 with probability 4e-7, and fall
 below the comparison's threshold of 112 of 160 with less than 1e-7.  A region deeper than 8 values
 does not exist: one that is still larger than ``REGION`` is cut into blocks, and its smallest class is put
-into each of them.  What the blocks have not joined is compared after that: the region's groups so far
-are dealt into blocks again, and every two blocks meet in one task, except two blocks of one group
-(``cross_units``).  The same follows the confirmation, so a cut region loses no link.
+into each of them.  Deeper regions and blocks are only the cheap first pass: what they have not joined
+of a region of depth 4 is compared after that.  The region's groups so far are dealt into blocks,
+and every two blocks meet in one task, except two blocks of one group (``cross_units``).  The same follows the
+confirmation, so the probabilities above hold for regions of any size.
 
 Edge cases: texts that are null, empty or without words have no shingles and link with nothing;
 repeated rows share a class; a component of null ids has a null id; no rows give no rows; further
@@ -112,8 +113,9 @@ def forest(classes: DataFrame, first_depth: int = FIRST_DEPTH, most: int | None
         large = sized.where(F.col("n") > most)
         if large.isEmpty():
             return found, wide
-        if depth == DEPTH:
+        if wide is None:                                     # pairs part on the way down from here
             wide = large.select("region", "node")
+        if depth == DEPTH:
             blocks = F.ceil(F.col("n") / most)
             block = F.xxhash64("region", F.pmod(F.xxhash64("node"), blocks))
             hubs = large.where(F.col("node") == F.col("least")) \
