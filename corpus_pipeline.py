@@ -6,7 +6,7 @@ for the next, so a stage never depends on what executors of an earlier one held.
 
 1. toxicity: documents with a score of one half or more go (``tabflow.llm.toxicity``);
 2. exact dedup: of equal normalised texts the smallest doc_id stays (``tabflow.llm.stream_dedup``);
-3. near dedup: of every near-duplicate component the smallest doc_id stays (``tabflow.llm.near_dedup``);
+3. near dedup: of every near-duplicate component (similarity 0.8) the smallest doc_id stays (``tabflow.llm.near_dedup``);
 4. packing: whole documents into sequences of 2048 tokens (``tabflow.llm.packing``).
 
 All but the last return the columns of ``documents``.  Null and empty texts are clean documents, of
@@ -24,6 +24,9 @@ from tabflow.llm.stream_dedup import first_of_each
 from tabflow.llm.toxicity import learn, without_toxic
 from tabflow.sources.parquet import load_table
 
+#: stages take a similarity of 0.8 or more; op1's own contract has 0.85
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, learn(docs, load_table(spark, sf_dir, "labels")))
@@ -34,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

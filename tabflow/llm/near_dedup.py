@@ -20,6 +20,9 @@ of a region of depth 4 is compared after that.  The region's groups so far are d
 and every two blocks meet in one task, except two blocks of one group (``cross_units``).  The same follows the
 confirmation, so the probabilities above hold for regions of any size.
 
+``percent`` sets the similarity that links (85 if not given).  For another one ``settings`` takes a first
+depth and a threshold that keep the misses rare: at 80, depth 3 (6e-7) and 100 of 160.
+
 Edge cases: texts that are null, empty or without words have no shingles and link with nothing;
 repeated rows share a class; a component of null ids has a null id; no rows give no rows; further
 columns are ignored; texts are read whole, of any length.
@@ -28,6 +31,7 @@ columns are ignored; texts are read whole, of any length.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,21 @@ LIKELY = 112
 PERCENT = 85
 
 
+def settings(percent: int) -> tuple[int, int]:
+    """(first depth, likely values) at which a pair of that similarity is missed no more often than in the
+    docstring: below 1e-6 by the trees, below 1e-7 by the comparison."""
+    if percent == PERCENT:
+        return FIRST_DEPTH, LIKELY
+    p, values = percent / 100, TREES * DEPTH
+    depth = max((d for d in range(1, FIRST_DEPTH + 1) if (1 - p ** d) ** TREES < 1e-6), default=0)
+    if not depth:
+        raise ValueError(f"{TREES} trees do not find pairs of similarity {p}")
+    likely, below = 0, 0.0
+    while (below := below + math.comb(values, likely) * p ** likely * (1 - p) ** (values - likely)) < 1e-7:
+        likely += 1
+    return depth, likely
+
+
 def _set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -218,8 +237,8 @@ def _as_links(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def likely_links(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) of every region's classes that agree in LIKELY of their values at least.
+def likely_links(member: DataFrame, classes: DataFrame, least: int = LIKELY) -> DataFrame:
+    """Spanning links (a, b) of every region's classes that agree in ``least`` of their values at least.
     With a ``root`` column classes of equal roots are not compared."""
     if "root" not in member.columns:
         member = member.withColumn("root", F.col("node"))
@@ -247,7 +266,7 @@ def likely_links(member: DataFrame, classes: DataFrame) -> DataFrame:
                 joined = Forest(len(nodes))
                 for i, k in enumerate(after.tolist()):
                     alike = (sig[k:] == sig[i]).sum(axis=1)
-                    joined.link(i, (np.flatnonzero(alike >= LIKELY) + k).tolist())
+                    joined.link(i, (np.flatnonzero(alike >= least) + k).tolist())
                 out += _spanning(nodes, joined)
             if len(out) > 50_000:
                 yield _edges(out)
@@ -259,8 +278,8 @@ def likely_links(member: DataFrame, classes: DataFrame) -> DataFrame:
     return narrow.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
 
 
-def exact_links(sets: list[np.ndarray]) -> Forest:
-    """Disjoint sets of the sorted sets linked by 100 * intersection >= PERCENT * union, every
+def exact_links(sets: list[np.ndarray], percent: int = PERCENT) -> Forest:
+    """Disjoint sets of the sorted sets linked by 100 * intersection >= percent * union, every
     intersection counted through an inverted index of the shared elements."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -289,12 +308,13 @@ def exact_links(sets: list[np.ndarray]) -> Forest:
         at = np.arange(int(length.sum())) + np.repeat(begin[p] - (np.cumsum(length) - length), length)
         shared = np.bincount(owner[at], minlength=n)
         joined = sorted_sizes[i] + sorted_sizes - shared
-        hit = np.flatnonzero(100 * shared[i + 1:] >= PERCENT * joined[i + 1:]) + i + 1
+        hit = np.flatnonzero(100 * shared[i + 1:] >= percent * joined[i + 1:]) + i + 1
         forest.link(int(order[i]), order[hit].tolist())
     return forest
 
 
-def confirmed_links(docs: DataFrame, units: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed_links(docs: DataFrame, units: DataFrame, ids: DataFrame, id_col: str, text_col: str,
+                    percent: int = PERCENT) -> DataFrame:
     """Spanning confirmed links (a, b) inside every unit of ``units`` (unit binary, node)."""
     wanted = ids.join(units.select("node").distinct(), "node").hint("shuffle_hash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -318,7 +338,7 @@ def confirmed_links(docs: DataFrame, units: DataFrame, ids: DataFrame, id_col: s
             nodes = group.column("node").to_pylist()
             if len(nodes) > 1:
                 members = [np.frombuffer(s, dtype=np.uint64) for s in group.column("shingles").to_pylist()]
-                out += _spanning(nodes, exact_links(members))
+                out += _spanning(nodes, exact_links(members, percent))
             if len(out) > 50_000:
                 yield _edges(out)
                 out = []
@@ -329,9 +349,10 @@ def confirmed_links(docs: DataFrame, units: DataFrame, ids: DataFrame, id_col: s
         .repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept of every row; further ``component``, a key that is
     the component's alone, and ``mark``, a hash of the text that tells rows of one id apart."""
+    depth, least = settings(percent)
     rows = written(sketch(docs, id_col, text_col), "sketch")
     ids = written(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
     classes = rows.where("n > 0").join(ids.withColumnRenamed("id", "rid"),
@@ -339,13 +360,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(rows["node"], "sig").dropDuplicates(["node"])
     classes = written(classes, "signatures")
 
-    member, wide = forest(classes)
+    member, wide = forest(classes, depth)
     member = written(member, "regions")
-    likely = components(written(likely_links(member, classes), "likely"))
+    likely = components(written(likely_links(member, classes, least), "likely"))
     likely = written(likely, "likely-groups")
     if wide is not None:
         rest = written(cross_units(wide, likely, REGION), "rest")
-        more = likely_links(rest, classes).unionByName(_as_links(likely))
+        more = likely_links(rest, classes, least).unionByName(_as_links(likely))
         likely = written(components(written(more, "likely-rest")), "likely-groups")
     sized = likely.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     grouped = written(likely.join(sized, "root"), "likely-sized")
@@ -355,13 +376,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         by_region = member.join(large.select("node"), "node").select(F.unhex(F.hex("region")).alias("unit"), "node")
         units = units.unionByName(by_region)
-    links = written(confirmed_links(docs, written(units, "units"), ids, id_col, text_col), "links")
+    links = written(confirmed_links(docs, written(units, "units"), ids, id_col, text_col, percent), "links")
     groups = written(components(links), "groups")
     if wide is not None and not large.isEmpty():
         within = wide.join(large, "node").select(F.xxhash64("region", "likely").alias("region"), "node")
         rest = written(cross_units(within, groups, REGION), "units-rest")
         if not rest.isEmpty():
-            more = confirmed_links(docs, rest.select(F.unhex(F.hex("region")).alias("unit"), "node"), ids, id_col, text_col)
+            more = confirmed_links(docs, rest.select(F.unhex(F.hex("region")).alias("unit"), "node"), ids, id_col,
+                                   text_col, percent)
             more = written(more.unionByName(_as_links(groups)), "links-rest")
             groups = written(components(more), "groups")
 
@@ -377,10 +399,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce("root", F.unhex(F.hex("mark"))).alias("component"), "mark")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every component the smallest id stays (null ids
     last), and of several rows of that id one.  Rows without words all stay but for repeated ones."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, percent)
     stay = found.groupBy("component").agg(
         F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("stay_id"), "mark")).alias("s"))
     stay = written(stay.select("s.stay_id", F.col("s.mark").alias("stay_mark")), "stays")

@@ -130,6 +130,17 @@ def test_cut_regions_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_the_pipeline_links_from_0_8(spark):
+    import corpus_pipeline
+    assert near_dedup.settings(85) == (4, 112) and near_dedup.settings(80)[0] == 3
+    base = [f"w{k}" for k in range(204)]                       # 200 shingles
+    own = [f"e{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(base)]      # 180 of 220: 0.818
+    rows = [(1, " ".join(base)), (2, " ".join(own)), (3, "something else that is not alike at all")]
+    df = common.docs(spark, rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in near_dedup.one_of_each(df).collect()) == [1, 2, 3]
+
+
 def test_deeper_regions_are_used_where_needed(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(40)]
     classes = near_dedup.sketch(common.docs(spark, rows), "doc_id", "text").select("node", "sig")
