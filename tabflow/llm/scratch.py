@@ -10,8 +10,12 @@ from tabflow.session import checkpoint_dir
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path (not yet made) below the checkpoint folder that all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path (not yet made) below the checkpoint folder that all executors share.  What stands
+    there goes when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    place, fs = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -20,4 +24,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once everything that reads them has been written itself."""
+    for table in tables:
+        place, fs = _file_system(table.sparkSession, table._scratch_path)
+        fs.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

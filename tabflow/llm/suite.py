@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabflow.llm.archives import OP7_SQL, op7_arc_to_warc
 from tabflow.llm.chunk_codec import op5_chunk_codec
+from tabflow.llm.mixing import OP12_SQL, op12_source_mix
 from tabflow.llm.near_dedup import OP1_SQL, op1_minhash_forest
 from tabflow.llm.ngram_model import op6_kneser_ney
 from tabflow.llm.packing import op2_retrieval_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_stream_dedup": op9_stream_dedup,
     "op10_toxic_spans": op10_toxic_spans,
+    "op12_source_mix": op12_source_mix,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op7_arc_to_warc": OP7_SQL,
     "op8_topk_search": OP8_SQL,
     "op9_stream_dedup": OP9_SQL,
+    "op12_source_mix": OP12_SQL,
 }
