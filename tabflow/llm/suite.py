@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tabflow.llm.archives import OP7_SQL, op7_arc_to_warc
 from tabflow.llm.chunk_codec import op5_chunk_codec
+from tabflow.llm.conversation_repair import OP13_SQL, op13_repair
 from tabflow.llm.mixing import OP12_SQL, op12_source_mix
 from tabflow.llm.near_dedup import OP1_SQL, op1_minhash_forest
 from tabflow.llm.ngram_model import op6_kneser_ney
 from tabflow.llm.packing import op2_retrieval_packing
 from tabflow.llm.sharding import op4_minimax_shards
+from tabflow.llm.spelling import OP11_SQL, op11_spelling
 from tabflow.llm.stream_dedup import OP9_SQL, op9_stream_dedup
 from tabflow.llm.token_counts import op3_token_counts
 from tabflow.llm.topk_search import OP8_SQL, op8_topk_search
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_stream_dedup": op9_stream_dedup,
     "op10_toxic_spans": op10_toxic_spans,
+    "op11_spelling": op11_spelling,
     "op12_source_mix": op12_source_mix,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL = {
@@ -33,5 +37,7 @@ ORACLE_SQL = {
     "op7_arc_to_warc": OP7_SQL,
     "op8_topk_search": OP8_SQL,
     "op9_stream_dedup": OP9_SQL,
+    "op11_spelling": OP11_SQL,
     "op12_source_mix": OP12_SQL,
+    "op13_repair": OP13_SQL,
 }
