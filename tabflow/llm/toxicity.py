@@ -6,13 +6,13 @@ how many distinct contexts (word before, word after) it stands in toxic and in c
 that copies count once; the first ``STEM`` letters of longer words are counted likewise.  Words and stems whose
 contexts are significantly and mostly toxic form the lexicon; inside toxic documents they are the
 positive tokens.  The field is fitted on the sample's distinct
-sentences (longer ones in parts of ``FIT_TOKENS``), weighted by their counts.  Scoring runs forward and backward over every sentence of every
+sentences, whole, weighted by their counts.  Scoring runs forward and backward over every sentence of every
 whole text, in tasks; a document's score is a logistic function, fitted on the same sample, of its
 largest marginal and of the expected number of offending tokens.  Tokens with a marginal of one half or
-more are its offending offsets.
+more are its offending offsets.  A sentence may be as long as its text: the field runs it in segments.
 
-Scores use the text alone.  Scoring is map-only; the fitted model (at most ``LEXICON`` words) is
-shipped with the tasks.
+Scores use the text alone.  Scoring is map-only; the fitted model (the significant words of the
+bounded sample) is shipped with the tasks.
 
 Edge cases: null, empty and wordless texts get the score of no offending token; without usable
 labels the score is the base rate 0.5 or below; repeated rows are scored alike; no rows give no rows;
@@ -36,11 +36,10 @@ from tabflow.sources.parquet import load_table
 
 #: labelled rows that the classifier is fitted on, at most
 SAMPLE_ROWS = 6000
-#: words of the lexicon at most, the most significant first
-LEXICON = 5000
-#: letters of a stem, and tokens of a sequence that the field is fitted on
+#: letters of a stem
 STEM = 5
-FIT_TOKENS = 64
+#: tokens of a sentence without lexicon words whose figures are kept by length
+PLAIN = 4096
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _BREAKS = (".", "!", "?", "\n")
 
@@ -89,7 +88,7 @@ class Scorer:
             n = int(n)
             if n not in self.plain:
                 if self.tables is None or len(self.tables[0]) < n:
-                    self.tables = self.model.crf.plain_tables(1 << (n - 1).bit_length())
+                    self.tables = self.model.crf.plain_tables(1 << (n - 1).bit_length())        # PLAIN at most
                 joint = self.tables[0][:n] * self.tables[1][n - 1::-1][:n]
                 marg = joint[:, 1] / joint.sum(axis=1)
                 self.plain[n] = (float(marg.max()), float(marg.sum()))
@@ -109,7 +108,7 @@ class Scorer:
             edges = np.array(spans)
             lengths = edges[:, 1] - edges[:, 0]
             hits = np.searchsorted(edges[:, 0], np.flatnonzero(ids > 0), side="right") - 1
-            marked = np.unique(hits)
+            marked = np.union1d(hits, np.flatnonzero(lengths > PLAIN))
             seqs += [ids[edges[h, 0]:edges[h, 1]] for h in marked]
             owner += [i] * len(marked)
             out[i] = self._plain(np.delete(lengths, marked))
@@ -168,7 +167,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     ratio = F.col("kt") * F.log(share / F.lit(r)) + \
         F.when(F.col("k") > F.col("kt"), (F.col("k") - F.col("kt")) * F.log((1 - share) / F.lit(1 - r))).otherwise(0.0)
     best = counts.where((F.col("kt") > 0) & (share >= 0.8)).withColumn("llr", ratio) \
-        .where(F.col("llr") >= float(np.log(total["v"]) + 2)).orderBy(F.desc("llr"), "word").limit(LEXICON)
+        .where(F.col("llr") >= float(np.log(total["v"]) + 2)).orderBy(F.desc("llr"), "word")
     return [row["word"] for row in best.collect()]
 
 
@@ -211,11 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seqs, marks, weights = [], [], []
     for seq, toxic, n in _sequences(sample, lexicon):
         ids = np.zeros(int(seq[1:]), dtype=np.int64) if seq[0] == "*" else np.array(seq.split(" "), dtype=np.int64)
-        for i in range(0, len(ids), FIT_TOKENS):
-            part = ids[i:i + FIT_TOKENS]
-            seqs.append(part)
-            marks.append(((part > 0) & (toxic == 1)).astype(np.float64))
-            weights.append(n)
+        seqs.append(ids)
+        marks.append(((ids > 0) & (toxic == 1)).astype(np.float64))
+        weights.append(n)
     model = Model(lexicon, fit(seqs, marks, np.array(weights, dtype=np.float64), len(words) + 1), np.zeros(3))
     rows = np.array([tuple(r) for r in _features(sample, model, ["toxic"]).collect()], dtype=np.float64).reshape(-1, 3)
     model.weights = fit_logistic(rows[:, 1:], rows[:, 0]) if len(rows) else np.array([-1.0, 0.0, 0.0])

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,6 +116,39 @@ def test_marginals_equal_enumeration():
         assert np.allclose(joint[:, 1] / joint.sum(axis=1), f.marginals([np.zeros(n, dtype=np.int64)])[0])
 
 
+def test_segments_of_long_sequences_change_nothing(monkeypatch):
+    f, rng = field(1), np.random.default_rng(4)
+    seqs = [rng.integers(0, 4, n) for n in (1, 2, 3, 4, 5, 16, 17, 100, 0, 333)]
+    want = f.marginals(seqs)
+    gold = [(s > 1).astype(float) for s in seqs if len(s)]
+    fitted = crf.fit([s for s in seqs if len(s)], gold, np.arange(1.0, 10.0), 4, rounds=5)
+    monkeypatch.setattr(crf, "SEGMENT", 4)
+    monkeypatch.setattr(crf, "GROUP", 12)
+    for a, b in zip(want, f.marginals(seqs)):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-14)
+    again = crf.fit([s for s in seqs if len(s)], gold, np.arange(1.0, 10.0), 4, rounds=5)
+    assert np.allclose(again.unary, fitted.unary, atol=1e-9) and np.allclose(again.trans, fitted.trans, atol=1e-9)
+
+
+def test_one_endless_sentence_needs_little_memory():
+    """200,000 words without a break beside 2,000 short sentences; one by one the scores are the same."""
+    import tracemalloc
+    lexicon = {"bad": 1, "worse": 2} | dict.fromkeys((".", "!", "?", "\n"), -1)
+    model = toxicity.Model(lexicon, crf.Crf(np.array([-4.0, 12.0, 9.0]), np.array([[1.0, -1.0], [-0.5, 1.0]]), -1.0),
+                           np.array([-2.0, 3.0, 0.5]))
+    batch = ["some words here bad and others " * 33_334, "nothing of note " * 5000] \
+        + ["a bad thing. or not. worse and worse! fine"] * 700
+    scorer = toxicity.Scorer(model)
+    tracemalloc.start()
+    got = scorer.scores(scorer.features(batch))
+    spans = scorer.spans(batch[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000 and len(spans) == 33_334 == len(re.findall("bad", batch[0]))
+    for i in (0, 1, 2):
+        assert abs(toxicity.Scorer(model).scores(scorer.features([batch[i]]))[0] - got[i]) < 1e-12
+
+
 def test_fit_reaches_the_likelihood_of_its_source():
     rng = np.random.default_rng(2)
     source = crf.Crf(np.array([-1.5, 2.0, 0.5]), np.array([[1.0, -1.0], [-0.5, 1.0]]), 0.3)
