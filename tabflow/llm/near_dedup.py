@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tabflow.llm.arrow import text_slices, utf8_buffer
 from tabflow.llm.components import components
-from tabflow.llm.scratch import written
+from tabflow.llm.scratch import fresh, written
 from tabflow.llm.shingles import mix, permutations, shingle_sets, signature
 from tabflow.sources.parquet import load_table
 
@@ -406,10 +406,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = found.groupBy("component").agg(
         F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("stay_id"), "mark")).alias("s"))
     stay = written(stay.select("s.stay_id", F.col("s.mark").alias("stay_mark")), "stays")
-    marked = docs.withColumn("_mark", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked["_mark"] == stay["stay_mark"]),
+    mark = fresh(docs, "_mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[mark] == stay["stay_mark"]),
                        "left_semi")
-    return kept.dropDuplicates([id_col, "_mark"]).select(*docs.columns)
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm.scratch import shared_folder, written
+from tabflow.llm.scratch import fresh, shared_folder, written
 from tabflow.sources.parquet import load_table
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -125,10 +125,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` without exact duplicates; of rows that repeat an id and a text one stays."""
     stay = written(exact_groups(docs, id_col, text_col).where("kept")
                    .select(F.col(id_col).alias("stay_id"), F.unhex("text_sha256").alias("stay_digest")), "stays")
-    marked = docs.withColumn("_digest", digest_of(F.col(text_col)))
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked["_digest"] == stay["stay_digest"]),
+    mark = fresh(docs, "_digest")
+    marked = docs.withColumn(mark, digest_of(F.col(text_col)))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[mark] == stay["stay_digest"]),
                        "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
 
 
 def op9_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

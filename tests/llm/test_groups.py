@@ -309,3 +309,11 @@ def test_first_of_each(spark):
             for _, t in common.CASES}
     got = [(r["doc_id"], normal(r["text"])) for r in kept.collect()]
     assert kept.columns == df.columns and len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("stage", [near_dedup.one_of_each, stream_dedup.first_of_each])
+def test_columns_named_like_the_operators_own_come_back(spark, stage):
+    rows = [(1, "a b c d e f g", 7, "x", 1.5), (2, "a b c d e f g", 8, "y", 2.5), (3, None, 9, "z", 3.5)]
+    for names in (("_mark", "_digest"), ("_MARK", "_DIGEST"), ("__mark", "stay_id")):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} long, {names[1]} string, n double")
+        assert sorted(map(tuple, stage(df).collect())) == [rows[0], rows[2]] and stage(df).columns == df.columns
