@@ -75,7 +75,9 @@ _GRIDS = {
 }
 
 # parameters with no meaning for the Spark implementation; dropped before fitting
-_NO_SPARK_MEANING = {"solver", "algorithm", "min_samples_split", "normalize"}
+_NO_SPARK_MEANING = {"solver", "algorithm", "normalize"}
+#: parameters that a learner leaves out
+_UNUSED = {"random_forest": {"min_samples_split"}}
 
 
 def _grid_key(name: str) -> str | None:
@@ -101,9 +103,10 @@ def param_grid(name: str) -> list[dict]:
     if not space:
         return []
     keys = list(space)
+    unused = _NO_SPARK_MEANING | _UNUSED.get(_grid_key(name), set())
     seen, out = set(), []
     for combo in itertools.product(*[space[k] for k in keys]):
-        point = {k: v for k, v in zip(keys, combo) if k not in _NO_SPARK_MEANING}
+        point = {k: v for k, v in zip(keys, combo) if k not in unused}
         sig = json.dumps(point, sort_keys=True, default=str)
         if sig not in seen:
             seen.add(sig)

@@ -1,25 +1,28 @@
 """Tree models: decision trees, random forests and two gradient-boosted variants.
 
-sklearn's unlimited depth maps to Spark's maximum (30); ``min_samples_leaf`` to
-``minInstancesPerNode``; ``n_estimators`` to ``numTrees`` / ``maxIter``;
-``learning_rate`` to ``stepSize``; ``subsample`` to ``subsamplingRate``;
-``colsample_bytree`` to a fractional ``featureSubsetStrategy``.
+Decision trees and boosting grow over binned cells (``models.cells``, ``models.boosting``), random forests are Spark
+ML's.  sklearn's unlimited depth maps to Spark's maximum (30) for forests and is unlimited elsewhere;
+``min_samples_leaf`` bounds a leaf's rows, ``min_samples_split`` the rows of a node that is split (trees);
+``num_leaves`` counts leaves, which variant b grows best first; ``subsample`` draws groups of rows a round,
+``colsample_bytree`` features a tree.
 """
 
 from __future__ import annotations
 
-import math
+from functools import partial
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.models.base import FEATURES, LABEL_IDX, FittedModel, assembled, class_list, index_labels
+from tabflow.models import boosting as bo
+from tabflow.models import cells as cl
+from tabflow.models.base import FEATURES, LABEL_IDX, FittedModel, assembled, class_list, index_labels, unindex
+from tabflow.models.growth import Rules, Tree
 
 MAX_DEPTH = 30
-MIN_LEAF_FRACTION = 1e-5
 SEED = 42
 
 
@@ -38,126 +41,245 @@ def _depth(v):
     return MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
 
 
-def _subset(colsample):
-    if colsample is None or colsample >= 1.0:
-        return "all"
-    return str(float(colsample))
-
-
-def _deep(est, train):
-    """Deep trees cache node ids, and both they and boosting iterations are checkpointed in the shared
-    folder.  A leaf holds at least ``MIN_LEAF_FRACTION`` of the rows, so a tree, which the driver keeps, has
-    at most 1 / MIN_LEAF_FRACTION leaves however deep it may grow."""
+def _deep(est, train, min_leaf_fraction):
+    """Deep trees cache node ids and are checkpointed in the shared folder.  ``min_leaf_fraction`` of the rows in
+    every leaf bounds the trees, which the driver keeps; 0 sets no such bound."""
     from tabflow.session import checkpoint_dir
     if not est.hasParam("maxDepth") or not est.hasParam("cacheNodeIds"):
         return est
     checkpoint_dir(train.sparkSession)
-    est.setCheckpointInterval(10).setMinWeightFractionPerNode(MIN_LEAF_FRACTION)
+    est.setCheckpointInterval(10).setMinWeightFractionPerNode(float(min_leaf_fraction))
     return est.setCacheNodeIds(True) if est.getOrDefault("maxDepth") > 10 else est
 
 
-def _regressor(est, name, train, features, label, params):
-    est = _deep(est, train)
+def _regressor(est, name, train, features, label, params, min_leaf_fraction=0.0):
+    est = _deep(est, train, min_leaf_fraction)
     data = assembled(train.withColumn(label, F.col(f"`{label}`").cast("double")), features)
     return FittedModel(name, "regression", features, label, params, spark_model=est.fit(data))
 
 
-def _classifier(est, name, train, features, label, params, multiclass_ovr=False):
-    est = _deep(est, train)
+def _classifier(est, name, train, features, label, params, min_leaf_fraction=0.0):
+    est = _deep(est, train, min_leaf_fraction)
     classes = class_list(train, label)
     data = assembled(index_labels(train, label, classes), features)
-    has_prob = True
-    if multiclass_ovr and len(classes) > 2:
-        est = OneVsRest(classifier=est, featuresCol=FEATURES, labelCol=LABEL_IDX)
-        has_prob = False
     return FittedModel(name, "classification", features, label, params, classes=classes,
-                       spark_model=est.fit(data), has_probability=has_prob)
-
-
-def fit_decision_tree_regression(train, features, label, max_depth=None, min_samples_leaf=1, **_):
-    est = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=label, maxDepth=_depth(max_depth),
-                                minInstancesPerNode=int(min_samples_leaf), maxBins=256, seed=SEED)
-    return _regressor(est, "decision_tree_regression", train, features, label,
-                      {"max_depth": max_depth, "min_samples_leaf": min_samples_leaf})
+                       spark_model=est.fit(data), has_probability=True)
+
+
+RAW = "_raw"
+
+
+def _scored(df: DataFrame, features, scorer, loss: str, classes) -> DataFrame:
+    """prediction (and probability) from summed scores."""
+    rows = bo.raw_scores(df, features, scorer, RAW)
+    raw = F.col(RAW)
+    if classes is None:
+        return rows.withColumn("prediction", raw[0]).drop(RAW)
+    if loss == "logistic":
+        p = 1 / (1 + F.exp(-raw[0]))
+        chance, best = F.array(1 - p, p), F.when(raw[0] > 0, 1.0).otherwise(0.0)
+    else:
+        chance = raw
+        if loss == "softmax":
+            powers = F.transform(raw, lambda v: F.exp(v - F.array_max(raw)))
+            chance = F.transform(powers, lambda v: v / F.aggregate(powers, F.lit(0.0), lambda s, w: s + w))
+        best = (F.array_position(raw, F.array_max(raw)) - 1).cast("double")
+    if len(classes) == 1:
+        chance, best = F.array(F.lit(1.0)), F.lit(0.0)
+    return rows.withColumn("prediction", unindex(best, classes)).withColumn("probability", chance).drop(RAW)
+
+
+def _cells(train: DataFrame, features, label, classes, grouped=False, fold=None):
+    """(cuts, table of cells, the cells themselves where they may be broadcast)."""
+    cuts = cl.bin_cuts(train, features)
+    outputs = len(classes) if classes is not None else 1
+    if classes is not None:
+        train, label = index_labels(train, label, classes), LABEL_IDX
+    table = cl.cell_table(train, features, label, cuts, len(classes) if classes is not None else 0, fold, grouped)
+    small = cl.size_of(table, len(features), outputs) <= cl.LOCAL_ENTRIES
+    return cuts, table, cl.collected(table, len(features), outputs) if small else None
+
+
+def _fitted(name, features, label, params, classes, cuts, model, loss, importances) -> FittedModel:
+    return FittedModel(name, "regression" if classes is None else "classification", features, label, params, classes=classes,
+                       transform_fn=partial(_scored, features=features, scorer=bo.Scorer.of(model, cuts), loss=loss,
+                                            classes=classes),
+                       has_probability=classes is not None,
+                       extra={"model_class": type(model).__name__, "trees": model, "cuts": cuts,
+                              "importances": importances})
+
+
+def tree_rules(max_depth=None, min_samples_leaf=1, min_samples_split=2, **_) -> Rules:
+    return Rules(max_depth=None if max_depth is None else int(max_depth), min_leaf=float(min_samples_leaf),
+                 min_split=float(min_samples_split))
+
+
+def _decision_tree(name, train, features, label, classes, **params) -> FittedModel:
+    rules = tree_rules(**params)
+    cuts, table, cells = _cells(train, features, label, classes)
+    if cells is not None:
+        tree, = bo.fit_many(train.sparkSession, cells, [rules], bo.tree_local)
+    else:
+        tree = bo.tree_spark(table, rules, 1 if classes is None else len(classes))
+    gain = np.zeros(len(features))
+    for f, g in zip(tree.feature, tree.gain):
+        if f >= 0:
+            gain[f] += g
+    return _fitted(name, features, label, params, classes, cuts, tree, "share", gain / gain.sum() if gain.sum() else gain)
+
+
+def fit_decision_tree_regression(train, features, label, max_depth=None, min_samples_leaf=1, min_samples_split=2, **_):
+    return _decision_tree("decision_tree_regression", train, features, label, None, max_depth=max_depth,
+                          min_samples_leaf=min_samples_leaf, min_samples_split=min_samples_split)
 
 
 def fit_random_forest_regression(train, features, label, n_estimators=100, max_depth=None,
-                                 min_samples_leaf=1, **_):
+                                 min_samples_leaf=1, min_leaf_fraction=0.0, **_):
     est = RandomForestRegressor(featuresCol=FEATURES, labelCol=label, numTrees=int(n_estimators),
                                 maxDepth=_depth(max_depth), minInstancesPerNode=int(min_samples_leaf),
                                 featureSubsetStrategy="all", maxBins=256, seed=SEED)
     return _regressor(est, "random_forest_regression", train, features, label,
-                      {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_leaf": min_samples_leaf})
-
-
-def _gbt_params(n_estimators, learning_rate, max_depth, subsample, colsample_bytree):
-    return dict(maxIter=int(n_estimators), stepSize=float(learning_rate), maxDepth=_depth(max_depth),
-                subsamplingRate=float(subsample), featureSubsetStrategy=_subset(colsample_bytree), seed=SEED)
+                      {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_leaf": min_samples_leaf},
+                      min_leaf_fraction)
+
+
+def boost_plan(variant: str, classes, n_estimators=100, learning_rate=None, max_depth=None, subsample=1.0,
+               colsample_bytree=1.0, num_leaves=None, **_) -> bo.Plan:
+    """The fit of a variant; classes None: regression."""
+    k = 1 if classes is None else len(classes)
+    kind, outputs = ("squared", 1) if classes is None else ("logistic", 1) if k <= 2 else ("softmax", k)
+    if variant == "a":
+        rules = Rules(max_depth=6 if max_depth is None else int(max_depth), num_leaves=num_leaves, ridge=1.0, min_hessian=1.0)
+        rate, loss = 0.3, bo.Loss(kind, outputs, 2.0, "zero")
+    else:
+        rules = Rules(max_depth=None if max_depth is None else int(max_depth), num_leaves=31 if num_leaves is None else int(num_leaves),
+                      min_hessian=1e-3, min_leaf=20.0)
+        rate, loss = 0.1, bo.Loss(kind, outputs, k / max(1, k - 1))
+    return bo.Plan(loss, rules, int(n_estimators), float(rate if learning_rate is None else learning_rate), float(subsample),
+                   float(colsample_bytree), SEED)
+
+
+def _boosted(variant, train, features, label, classes, params) -> FittedModel:
+    name = f"boosted_trees_{variant}_{'regression' if classes is None else 'classification'}"
+    plan = boost_plan(variant, classes, **params)
+    cuts, table, cells = _cells(train, features, label, classes, grouped=plan.subsample < 1)
+    if classes is not None and len(classes) == 1:
+        plan = bo.Plan(bo.Loss("softmax", 1), plan.rules, 0)
+    if cells is not None:
+        model, = bo.fit_many(train.sparkSession, cells, [plan], bo.boost_local)
+    else:
+        model = bo.boost_spark(table, plan, len(features))
+    return _fitted(name, features, label, params, classes, cuts, model, plan.loss.kind,
+                   model.importance(len(features), variant == "b"))
 
 
 def fit_gbt_regression(train, features, label, variant="a", n_estimators=100, learning_rate=None, max_depth=None,
                        subsample=1.0, colsample_bytree=1.0, num_leaves=None, backend="spark", **_):
-    lr = learning_rate if learning_rate is not None else (0.3 if variant == "a" else 0.1)
-    depth = max_depth if max_depth is not None else (6 if variant == "a" else 5)
-    if num_leaves is not None:          # leaves bound the depth of a balanced tree
-        depth = min(depth, int(math.ceil(math.log2(num_leaves))))
+    params = {"n_estimators": n_estimators, "learning_rate": learning_rate, "max_depth": max_depth,
+              "subsample": subsample, "colsample_bytree": colsample_bytree, "num_leaves": num_leaves}
     xgb = _xgboost_spark(backend)
     if xgb is not None:
-        est = xgb[0](features_col=FEATURES, label_col=label, n_estimators=int(n_estimators), learning_rate=lr,
-                     max_depth=depth, subsample=subsample, colsample_bytree=colsample_bytree, random_state=SEED)
-        return _regressor(est, "boosted_trees_a_regression", train, features, label,
-                          {"n_estimators": n_estimators, "learning_rate": lr, "max_depth": depth,
-                           "subsample": subsample, "colsample_bytree": colsample_bytree})
-    est = GBTRegressor(featuresCol=FEATURES, labelCol=label,
-                       **_gbt_params(n_estimators, lr, depth, subsample, colsample_bytree))
-    return _regressor(est, f"boosted_trees_{variant}_regression", train, features, label,
-                      {"n_estimators": n_estimators, "learning_rate": lr, "max_depth": depth,
-                       "subsample": subsample, "colsample_bytree": colsample_bytree})
+        given = {k: v for k, v in params.items() if v is not None and k != "num_leaves"}
+        est = xgb[0](features_col=FEATURES, label_col=label, random_state=SEED, **given)
+        return _regressor(est, "boosted_trees_a_regression", train, features, label, given)
+    return _boosted(variant, train, features, label, None, params)
 
 
-def fit_decision_tree_classification(train, features, label, max_depth=None, min_samples_leaf=1, **_):
-    est = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL_IDX, maxDepth=_depth(max_depth),
-                                 minInstancesPerNode=int(min_samples_leaf), maxBins=256, seed=SEED)
-    return _classifier(est, "decision_tree_classification", train, features, label,
-                       {"max_depth": max_depth, "min_samples_leaf": min_samples_leaf})
+def fit_decision_tree_classification(train, features, label, max_depth=None, min_samples_leaf=1, min_samples_split=2, **_):
+    return _decision_tree("decision_tree_classification", train, features, label, class_list(train, label),
+                          max_depth=max_depth, min_samples_leaf=min_samples_leaf, min_samples_split=min_samples_split)
 
 
 def fit_random_forest_classification(train, features, label, n_estimators=100, max_depth=None,
-                                     min_samples_leaf=1, **_):
+                                     min_samples_leaf=1, min_leaf_fraction=0.0, **_):
     est = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL_IDX, numTrees=int(n_estimators),
                                  maxDepth=_depth(max_depth), minInstancesPerNode=int(min_samples_leaf),
                                  featureSubsetStrategy="sqrt", maxBins=256, seed=SEED)
     return _classifier(est, "random_forest_classification", train, features, label,
-                       {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_leaf": min_samples_leaf})
+                       {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_leaf": min_samples_leaf},
+                       min_leaf_fraction)
 
 
 def fit_gbt_classification(train, features, label, variant="a", n_estimators=100, learning_rate=None,
                            max_depth=None, subsample=1.0, colsample_bytree=1.0, num_leaves=None, backend="spark", **_):
-    lr = learning_rate if learning_rate is not None else (0.3 if variant == "a" else 0.1)
-    depth = max_depth if max_depth is not None else (6 if variant == "a" else 5)
-    if num_leaves is not None:
-        depth = min(depth, int(math.ceil(math.log2(num_leaves))))
+    params = {"n_estimators": n_estimators, "learning_rate": learning_rate, "max_depth": max_depth,
+              "subsample": subsample, "colsample_bytree": colsample_bytree, "num_leaves": num_leaves}
     xgb = _xgboost_spark(backend)
     if xgb is not None:          # native multi-class, probabilities included
-        est = xgb[1](features_col=FEATURES, label_col=LABEL_IDX, n_estimators=int(n_estimators), learning_rate=lr,
-                     max_depth=depth, subsample=subsample, colsample_bytree=colsample_bytree, random_state=SEED)
-        return _classifier(est, "boosted_trees_a_classification", train, features, label,
-                           {"n_estimators": n_estimators, "learning_rate": lr, "max_depth": depth,
-                            "subsample": subsample, "colsample_bytree": colsample_bytree})
-    est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL_IDX,
-                        **_gbt_params(n_estimators, lr, depth, subsample, colsample_bytree))
-    return _classifier(est, f"boosted_trees_{variant}_classification", train, features, label,
-                       {"n_estimators": n_estimators, "learning_rate": lr, "max_depth": depth,
-                        "subsample": subsample, "colsample_bytree": colsample_bytree}, multiclass_ovr=True)
+        given = {k: v for k, v in params.items() if v is not None and k != "num_leaves"}
+        est = xgb[1](features_col=FEATURES, label_col=LABEL_IDX, random_state=SEED, **given)
+        return _classifier(est, "boosted_trees_a_classification", train, features, label, given)
+    return _boosted(variant, train, features, label, class_list(train, label), params)
+
+
+# ---- searches: one table of cells for all points and folds
+
+def search_scores(folded: DataFrame, name: str, features, label, kind: str, points: list[dict], folds: int):
+    """[(test, train) by fold] of every point, or None where points must be fitted one by one.  Points that differ only
+    in rounds or depth are read off one fit: earlier rounds and cut depths of it."""
+    if not name.startswith(("decision_tree", "boosted_trees")) or any(p.get("backend", "spark") != "spark" for p in points):
+        return None
+    boosted = name.startswith("boosted")
+    classes = class_list(folded, label) if kind == "classification" else None
+    if classes is not None and len(classes) < 2:
+        return None
+    _, _, cells = _cells(folded, features, label, classes, any(p.get("subsample", 1.0) < 1 for p in points), "fold")
+    if cells is None:
+        return None
+    nested = "n_estimators" if boosted else "max_depth"
+    fits: dict[str, tuple[dict, list[int]]] = {}
+    for i, p in enumerate(points):
+        rest = {k: v for k, v in p.items() if k != nested}
+        fits.setdefault(repr(sorted(rest.items(), key=lambda x: x[0])), (rest, []))[1].append(i)
+    variant = name.split("_")[2] if boosted else ""
+    jobs = [(rest, ids, [points[i].get(nested, 100 if boosted else None) for i in ids], fold)
+            for rest, ids in fits.values() for fold in range(folds)]
+    out: list[list] = [[None] * folds for _ in points]
+    one = partial(_search_one, kind=kind, classes=classes, variant=variant)
+    for (_, ids, _, fold), scores in zip(jobs, bo.fit_many(folded.sparkSession, cells, jobs, one)):
+        for i, s in zip(ids, scores):
+            out[i][fold] = s
+    return out
+
+
+def _search_one(cells: cl.Cells, job, kind: str, classes, variant: str) -> list[tuple]:
+    """(test, train) scores of the nested points of one fit, with one fold held out."""
+    rest, _, sizes, fold = job
+    held = cells.fold == fold
+    own, other = cells.where(~held), cells.where(held)
+
+    def scores(predict) -> tuple:
+        return bo.cell_score(other, predict(other), kind), bo.cell_score(own, predict(own), kind)
+
+    if not variant:
+        tree: Tree = bo.tree_local(own, tree_rules(**rest))
+
+        def at_depth(c, d):
+            values = tree.values[tree.leaf_of(c.bins, None if d is None else int(d))]
+            return values[:, 0] if classes is None else values.argmax(axis=1)
+        return [scores(lambda c, d=d: at_depth(c, d)) for d in sizes]
+    plan = boost_plan(variant, classes, **{**rest, "n_estimators": max(map(int, sizes))})
+    model = bo.boost_local(own, plan)
+    found = {}
+    for t in sorted(set(map(int, sizes))):
+        def predict(c, t=t):
+            raw = np.tile(model.base, (len(c.n), 1))
+            for trees in model.rounds[:t]:
+                raw += plan.rate * np.column_stack([tree.values[tree.leaf_of(c.bins), 0] for tree in trees])
+            return raw[:, 0] if classes is None else bo.classes_of(raw, plan.loss.kind)
+        found[t] = scores(predict)
+    return [found[int(t)] for t in sizes]
 
 
 def feature_importance(model: FittedModel, spark=None) -> DataFrame:
     """(feature, importance) in descending order; tree models only."""
-    m = model.spark_model
-    imp = getattr(m, "featureImportances", None)
+    imp = model.extra.get("importances")
     if imp is None:
-        raise TypeError(f"{model.name} has no feature importances")
-    values = imp.toArray()
+        imp = getattr(model.spark_model, "featureImportances", None)
+        if imp is None:
+            raise TypeError(f"{model.name} has no feature importances")
+        imp = imp.toArray()
+    values = imp
     rows = [(i, f, float(v)) for i, (f, v) in enumerate(zip(model.features, values))]
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()

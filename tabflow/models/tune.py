@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.models import catalog
+from tabflow.models import catalog, trees
 from tabflow.models.base import FittedModel
 from tabflow.operators.evaluate import classification_metrics, regression_metrics
 from tabflow.operators.split import kfold, stratified_kfold
@@ -47,6 +47,12 @@ def _fold_scores(folded: DataFrame, name, features, label, kind, key, params, k,
     return list(pool.map(one, range(k)))
 
 
+def shared_scores(folded: DataFrame, name: str, features: list[str], label: str, kind: str, points: list[dict],
+                  k: int) -> list[list[tuple]] | None:
+    """Scores of every point and fold from statistics gathered once, for learners that have such; else None."""
+    return trees.search_scores(folded, name, features, label, kind, points, k)
+
+
 def _summary(scores: list[tuple]) -> dict:
     test = [s[0] for s in scores]
     train = [s[1] for s in scores]
@@ -89,6 +95,10 @@ def grid_search(train: DataFrame, key: str, features: list[str], label: str, nam
     folded = add_folds(train, key, label, kind, k, seed).persist()
     rows = []
     try:
+        together = shared_scores(folded, name, features, label, kind, grid, k)
+        if together is not None:
+            rows = [(p, _summary(s)) for p, s in zip(grid, together)]
+            grid = []
         with ThreadPoolExecutor(max(1, parallelism)) as pool:
             futures = [pool.submit(_fold_scores, folded, name, features, label, kind, key, p, k, None) for p in grid]
             failure = None
@@ -99,7 +109,7 @@ def grid_search(train: DataFrame, key: str, features: list[str], label: str, nam
                     failure = e
                     rows.append((p, dict.fromkeys(("mean_test_score", "std_test_score", "mean_train_score",
                                                    "std_train_score"))))
-            if all(s["mean_test_score"] is None for _, s in rows):
+            if failure is not None and all(s["mean_test_score"] is None for _, s in rows):
                 raise failure
     finally:
         folded.unpersist()
