@@ -6,7 +6,9 @@ error, two classes the logistic loss with one tree a round, more classes the sof
 class and round in one model, so probabilities come for any number of classes.  Row samples are groups of
 rows (``cells.GROUPS``), drawn anew for every round; column samples are drawn for every tree.
 
-A decision tree is one tree on class counts (Gini impurity) or sums of y (squared error).
+A decision tree is one tree on class counts (Gini impurity) or sums of y (squared error).  A forest's trees are
+grown likewise, each on a bootstrap: the number of times a cell's rows are drawn is a Poisson variate, read
+off a hash of the cell, so it is the same wherever and however often it is asked for.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabflow.models import cells as cl
-from tabflow.models.growth import LocalNodes, Rules, Split, Tree, grow
+from tabflow.models.growth import LocalNodes, Rules, Split, Tree, drawn_ranks, grow, grow_levels
 from tabflow.session import cut_lineage, ship_package
 
 
@@ -112,9 +114,11 @@ def boost_local(c: cl.Cells, plan: Plan, seen=None) -> Boosted:
         steps = np.zeros_like(raw)
         for k in range(plan.loss.outputs):
             g, h = plan.loss.descent(c.n, c.sums, raw, k)
-            nodes = LocalNodes(c.bins, flat, width, np.where(inside, g, 0.0)[:, None], np.where(inside, h, 0.0), n,
-                               plan.rules, plan.features(t, k, p))
-            tree = grow(nodes, plan.rules)
+            g, h, features = np.where(inside, g, 0.0)[:, None], np.where(inside, h, 0.0), plan.features(t, k, p)
+            if plan.rules.num_leaves is None and features is None:
+                tree = grow_levels(c.bins, g, h, n, plan.rules)
+            else:
+                tree = grow(LocalNodes(c.bins, flat, width, g, h, n, plan.rules, features), plan.rules)
             trees.append(tree)
             steps[:, k] = tree.values[tree.leaf_of(c.bins), 0]
         raw += plan.rate * steps
@@ -126,18 +130,73 @@ def boost_local(c: cl.Cells, plan: Plan, seen=None) -> Boosted:
 
 def tree_local(c: cl.Cells, rules: Rules) -> Tree:
     """One tree on the cells' target sums; values are means of y or class shares."""
-    p = c.bins.shape[1]
-    width = int(c.bins.max(initial=0)) + 1
-    flat = c.bins.astype(np.int64) + np.arange(p) * width
-    return grow(LocalNodes(c.bins, flat, width, c.sums, c.n, c.n, rules), rules)
+    return grow_levels(c.bins, c.sums, c.n, c.n, rules).arrays()
+
+
+@dataclass(frozen=True)
+class Forest:
+    """What a forest is fitted with; ``tried`` features a node (None: all)."""
+    rules: Rules
+    trees: int = 100
+    tried: int | None = None
+    counts: bool = False            # sums are class counts, each drawn on its own
+    seed: int = 42
+
+    def drawn(self, t: int, bins: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, n) of tree ``t``'s bootstrap of cells."""
+        h = np.full(len(n), np.uint64(0x9E3779B97F4A7C15 * (self.seed * 1_000_003 + t + 1) & (2**64 - 1)))
+        for col in bins.T:
+            h = _mixed(h ^ col.astype(np.int64).astype(np.uint64))
+        if self.counts:
+            sums = np.column_stack([_poisson(_mixed(h + np.uint64(k + 1)), sums[:, k]) for k in range(sums.shape[1])])
+            return sums, sums.sum(axis=1)
+        w = _poisson(_mixed(h ^ np.ascontiguousarray(sums[:, 0] / n).view(np.uint64)), n)
+        return sums * (w / n)[:, None], w
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _poisson(h: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson variates of the given means from hashes: by inversion, above 64 by the rounded normal."""
+    u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    few = mean <= 64
+    out = np.zeros(len(mean))
+    term = np.exp(-np.where(few, mean, 0.0))
+    below, k = term.copy(), 0
+    more = few & (u > below)
+    while more.any() and k < 400:
+        k += 1
+        term = term * mean / k
+        below = below + term
+        out[more] = k
+        more &= u > below
+    v = ((_mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+    return np.where(few, out, np.maximum(0, np.rint(mean + z * np.sqrt(mean))))
+
+
+def forest_local(c: cl.Cells, job: tuple[Forest, list[int]]) -> list[Tree]:
+    """Trees of the given numbers."""
+    plan, numbers = job
+    out = []
+    for t in numbers:
+        sums, n = plan.drawn(t, c.bins, c.n, c.sums)
+        out.append(grow_levels(c.bins, sums, n, n, plan.rules, plan.tried, (plan.seed, t)).arrays())
+    return out
 
 
 class SparkNodes:
     """Evaluator over distributed cells: one job sums the histograms of all asked nodes by (node, feature, bin) and
     takes the best split of each; a row per node comes back.  ``weigh`` gives (g, h, n) of a batch's cells."""
 
-    def __init__(self, state: DataFrame, weigh, outputs: int, rules: Rules, features: np.ndarray | None = None):
+    def __init__(self, state: DataFrame, weigh, outputs: int, rules: Rules, features: np.ndarray | None = None,
+                 tried: int | None = None, seed: tuple = (), width: int = 0):
         self.state, self.weigh, self.outputs, self.rules, self.features = state, weigh, outputs, rules, features
+        self.tried, self.seed, self.width = tried if tried is not None and tried < width else None, seed, width
 
     def done(self, node: tuple) -> None:
         pass
@@ -193,6 +252,12 @@ class SparkNodes:
         gain = F.when(low_fits & high_fits & (F.col("n") >= r.min_split), low + high - base)
         gain = F.when(gain > 1e-9 * F.greatest(F.lit(1.0), F.abs(base)), gain)
         top = F.struct(F.col("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
+        if self.tried is not None:
+            # drawn features first; one of the others, in drawn order, only where these give no split
+            ranks = drawn_ranks(self.seed, len(nodes[0]), len(nodes), self.width)
+            rank = F.element_at(F.element_at(F.lit([[int(x) for x in r] for r in ranks]), F.col("node") + 1), F.col("feature") + 1)
+            cut = cut.withColumn("late", F.when(rank < self.tried, 0).otherwise(rank))
+            top = F.struct((-F.col("late")).alias("late"), F.col("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
         found = {row["node"]: row for row in cut.withColumn("gain", gain).groupBy("node").agg(
             F.max(F.when(F.col("gain").isNotNull(), top)).alias("best"), *[F.first(c).alias(c) for c in names]).collect()}
         out = []
@@ -252,7 +317,17 @@ def boost_spark(table: DataFrame, plan: Plan, p: int) -> Boosted:
 
 
 def tree_spark(table: DataFrame, rules: Rules, outputs: int) -> Tree:
-    return grow(SparkNodes(table, lambda x: (x["sums"], x["n"], x["n"]), outputs, rules), rules)
+    return grow(SparkNodes(table, lambda x: (x["sums"], x["n"], x["n"]), outputs, rules), rules).arrays()
+
+
+def forest_spark(table: DataFrame, plan: Forest, outputs: int, p: int) -> list[Tree]:
+    out = []
+    for t in range(plan.trees):
+        def weigh(x, t=t):
+            sums, n = plan.drawn(t, x["bins"], x["n"], x["sums"])
+            return sums, n, n
+        out.append(grow(SparkNodes(table, weigh, outputs, plan.rules, None, plan.tried, (plan.seed, t), p), plan.rules).arrays())
+    return out
 
 
 def fit_many(spark: SparkSession, cells: cl.Cells, jobs: list, one) -> list:
@@ -276,15 +351,23 @@ class Scorer:
     base: np.ndarray
     trees: list[tuple]                  # (output, feature, threshold, left, right, values)
     outputs: int
+    sent: object = None                 # the broadcast model
 
     @classmethod
-    def of(cls, model: Boosted | Tree, cuts: list[np.ndarray]) -> Scorer:
+    def of(cls, model: Boosted | list[Tree], cuts: list[np.ndarray]) -> Scorer:
+        """Of a boosted model, or of the mean of some trees."""
+        most = max((len(c) for c in cuts), default=0) + 2
+        place = np.full((len(cuts), most), np.inf)
+        for f, c in enumerate(cuts):
+            place[f, :len(c)] = c
+
         def flat(tree: Tree, scale: float):
-            at = [cuts[f][b] if f >= 0 and b < len(cuts[f]) else np.inf for f, b in zip(tree.feature, tree.bin)]
-            return (np.array(tree.feature), np.array(at), np.array(tree.left), np.array(tree.right), tree.values * scale)
+            return (np.array(tree.feature), place[np.array(tree.feature), np.array(tree.bin)], np.array(tree.left),
+                    np.array(tree.right), tree.values * scale)
 
-        if isinstance(model, Tree):
-            return cls(np.zeros(model.values.shape[1]), [(None, *flat(model, 1.0))], model.values.shape[1])
+        if isinstance(model, list):
+            outputs = model[0].values.shape[1]
+            return cls(np.zeros(outputs), [(None, *flat(tree, 1 / len(model))) for tree in model], outputs)
         return cls(model.base, [(k, *flat(tree, model.rate)) for r in model.rounds for k, tree in enumerate(r)],
                    len(model.base))
 
@@ -308,11 +391,14 @@ class Scorer:
 def raw_scores(df: DataFrame, features: list[str], scorer: Scorer, name: str) -> DataFrame:
     """``df`` with the array of summed scores, a row at a time of Arrow batches."""
     ship_package(df.sparkSession)
+    if scorer.sent is None:
+        scorer.sent = df.sparkSession.sparkContext.broadcast((scorer.base, scorer.trees, scorer.outputs))
+    sent = scorer.sent
 
     @F.pandas_udf("array<double>")
     def raw(x: pd.Series) -> pd.Series:
         rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(features)))
-        return pd.Series(list(scorer.raw(rows.astype(np.float64))))
+        return pd.Series(list(Scorer(*sent.value).raw(rows.astype(np.float64))))
 
     return df.withColumn(name, raw(F.array(*[cl.num(f) for f in features])))
 

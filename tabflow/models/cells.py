@@ -74,9 +74,9 @@ class Cells:
 
 
 def cell_table(df: DataFrame, features: list[str], label: str, cuts: list[np.ndarray], classes: int = 0,
-               fold: str | None = None, grouped: bool = False) -> DataFrame:
+               fold: str | None = None, grouped: bool = False, apart: bool = False) -> DataFrame:
     """(bins, group, fold, n, sums, squares), checkpointed; ``label`` is a class index if ``classes``.  Rows without a
-    label are left out.  ``grouped``: rows of a cell are kept apart by group."""
+    label are left out.  ``grouped``: rows of a cell are kept apart by group; ``apart``: by y."""
     y = F.col(f"`{label}`").cast("double")
     group = F.pmod(F.xxhash64(*[num(f) for f in features], y), F.lit(GROUPS)).cast("int") if grouped else F.lit(0)
     keep = [y.alias("y"), group.alias("group"), (F.col(f"`{fold}`").cast("int") if fold else F.lit(-1)).alias("fold")]
@@ -86,7 +86,7 @@ def cell_table(df: DataFrame, features: list[str], label: str, cuts: list[np.nda
         squares = F.lit(0.0)
     else:
         sums, squares = F.array(F.sum("y")), F.sum(F.col("y") * F.col("y"))
-    return cut_lineage(rows.groupBy("bins", "group", "fold").agg(
+    return cut_lineage(rows.groupBy("bins", "group", "fold", *(["y"] if apart else [])).agg(
         F.count(F.lit(1)).cast("double").alias("n"), sums.alias("sums"), squares.alias("squares")))
 
 
@@ -106,5 +106,5 @@ def collected(table: DataFrame, features: int, outputs: int) -> Cells:
     bins = wide("bins", features).astype(np.int16)
     cells = Cells(bins, t["n"].to_numpy(), wide("sums", outputs).astype(np.float64), t["squares"].to_numpy(),
                   t["group"].to_numpy(), t["fold"].to_numpy())
-    order = np.lexsort([cells.fold, cells.group, *bins.T[::-1]])
+    order = np.lexsort([*cells.sums.T, cells.fold, cells.group, *bins.T[::-1]])
     return cells.where(order)

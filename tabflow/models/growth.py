@@ -3,7 +3,8 @@
 A node is the path to it, a tuple of (feature, bin, side): side 0 holds the bins up to that one.  ``grow`` asks an
 *evaluator* for the best split of nodes, several at a time, and expands either every node that gains (by levels) or
 the leaf that gains most until there are ``num_leaves`` (leaf by leaf).  In memory a node's histogram is its parent's
-minus its sibling's.  The gain of a split is the drop of sum g^2 / (h + ridge); with g = class counts or sums of y
+minus its sibling's; ``grow_levels`` gives the trees by levels from sorted cells, a level at a time, without
+histograms of its many small nodes.  The gain of a split is the drop of sum g^2 / (h + ridge); with g = class counts or sums of y
 and h = rows that is the drop of the squared error, for class counts of the Gini impurity.
 """
 
@@ -48,6 +49,11 @@ class Tree:
             col.append(x)
         return len(self.feature) - 1
 
+    def arrays(self) -> Tree:
+        """The same with numpy columns, which are small to ship."""
+        return Tree(np.array(self.feature, dtype=np.int32), np.array(self.bin, dtype=np.int32), np.array(self.left, dtype=np.int32),
+                    np.array(self.right, dtype=np.int32), np.array(self.depth, dtype=np.int32), np.array(self.gain), self.values)
+
     def leaf_of(self, bins: np.ndarray, max_depth: int | None = None) -> np.ndarray:
         """Node that each row of ``bins`` ends in, at ``max_depth`` at the latest."""
         feature, cut = np.array(self.feature), np.array(self.bin)
@@ -93,6 +99,99 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, rules: Rules, total:
     return Split(float(gain[f, b]), int(f), int(b))
 
 
+def drawn_ranks(seed: tuple, depth: int, nodes: int, features: int) -> np.ndarray:
+    """Random order of the features for each node of a level (nodes x features, ranks from 0)."""
+    return np.random.default_rng([*seed, depth]).random((nodes, features)).argsort(axis=1).argsort(axis=1)
+
+
+def grow_levels(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, rules: Rules, tried: int | None = None,
+                seed: tuple = ()) -> Tree:
+    """The tree of ``grow`` by levels, for cells in memory.  ``tried``: features that a node may be split by, drawn for
+    each node; more of them in drawn order only while none of these gives a split."""
+    p, m = bins.shape[1], g.shape[1]
+    tree = Tree()
+    used = np.flatnonzero(n > 0)
+    node = np.full(len(n), -1, dtype=np.int64)          # place of a cell's node in the present level
+    node[used] = 0
+    sorted_by = [used[np.argsort(bins[used, f], kind="stable")] for f in range(p)]
+    numbers = None
+    depth = 0
+    while True:
+        size = 1 if numbers is None else len(numbers)
+        at = node[used]
+        gt = np.column_stack([np.bincount(at, weights=g[used, k], minlength=size) for k in range(m)])
+        ht, nt = np.bincount(at, weights=h[used], minlength=size), np.bincount(at, weights=n[used], minlength=size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            values = np.where((ht + rules.ridge > 0)[:, None], gt / (ht + rules.ridge)[:, None], 0.0)
+            base = np.where(ht + rules.ridge > 0, (gt**2).sum(axis=1) / (ht + rules.ridge), 0.0)
+        if numbers is None:
+            numbers = np.array([tree.add(values[0], 0)])
+        else:
+            for i, number in enumerate(numbers.tolist()):
+                tree.value[number] = values[i]
+        if rules.max_depth is not None and depth >= rules.max_depth or not len(used):
+            return tree
+        tops = np.full((p, size), -np.inf)
+        found = []
+        for f in range(p):
+            order = sorted_by[f]
+            order = order[np.argsort(node[order], kind="stable")]
+            sorted_by[f] = order
+            own, b = node[order], bins[order, f]
+            last = np.flatnonzero((own[1:] == own[:-1]) & (b[1:] != b[:-1]))
+            of = own[last]
+            first = np.searchsorted(own, np.arange(size))
+
+            def left(w):
+                sums = np.concatenate([[0.0], np.cumsum(w[order])])
+                return sums[last + 1] - sums[first[of]]
+            gl = np.column_stack([left(g[:, k]) for k in range(m)]) if len(last) else np.zeros((0, m))
+            hl, nl = left(h), left(n)
+            gr, hr, nr = gt[of] - gl, ht[of] - hl, nt[of] - nl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = (gl**2).sum(axis=1) / (hl + rules.ridge) + (gr**2).sum(axis=1) / (hr + rules.ridge) - base[of]
+            ok = (nl >= rules.min_leaf) & (nr >= rules.min_leaf) & (hl >= rules.min_hessian) & (hr >= rules.min_hessian) \
+                & (nt[of] >= rules.min_split) & (gain > 1e-9 * np.maximum(1.0, np.abs(base[of]))) & np.isfinite(gain)
+            of, gain, cut = of[ok], gain[ok], b[last][ok]
+            if len(of):
+                np.maximum.at(tops[f], of, gain)
+            found.append((of, gain, cut))
+        if tried is not None and tried < p:
+            ranks = drawn_ranks(seed, depth, size, p).T
+            allowed = ranks < tried
+            none = ~(allowed & np.isfinite(tops)).any(axis=0)
+            rest = np.where(np.isfinite(tops), ranks, p).argmin(axis=0)
+            allowed[rest[none], np.flatnonzero(none)] = True
+            tops[~allowed] = -np.inf
+        best = tops.max(axis=0)
+        feature, cuts, gains = np.full(size, -1), np.zeros(size, dtype=np.int64), np.zeros(size)
+        enough = best - 1e-12 * np.maximum(1.0, np.abs(best))
+        for f, (of, gain, cut) in enumerate(found):
+            ok = (gain >= enough[of]) & (feature[of] < 0) & np.isfinite(tops[f][of])
+            who, at = np.unique(of[ok], return_index=True)
+            feature[who], cuts[who], gains[who] = f, cut[ok][at], gain[ok][at]
+        split = np.flatnonzero(feature >= 0)
+        if not len(split):
+            return tree
+        below = np.full(size, -1, dtype=np.int64)
+        below[split] = 2 * np.arange(len(split))
+        children = []
+        for i in split.tolist():
+            number = int(numbers[i])
+            tree.feature[number], tree.bin[number], tree.gain[number] = int(feature[i]), int(cuts[i]), float(gains[i])
+            tree.left[number], tree.right[number] = tree.add(values[i], depth + 1), tree.add(values[i], depth + 1)
+            children += [tree.left[number], tree.right[number]]
+        at = node[used]
+        go = below[at] >= 0
+        moved = used[go]
+        right = bins[moved, feature[at[go]]] > cuts[at[go]]
+        node[used[~go]] = -1
+        node[moved] = below[at[go]] + right
+        if len(moved) < len(used):
+            sorted_by = [o[node[o] >= 0] for o in sorted_by]
+        used, numbers, depth = moved, np.array(children), depth + 1
+
+
 class LocalNodes:
     """Evaluator over cells in memory: ``g`` (cells x outputs), ``h`` and ``n`` by cell, ``flat`` the cells' places in a
     histogram of ``width`` bins a feature."""

@@ -1,8 +1,7 @@
 """Tree models: decision trees, random forests and two gradient-boosted variants.
 
-Decision trees and boosting grow over binned cells (``models.cells``, ``models.boosting``), random forests are Spark
-ML's.  sklearn's unlimited depth maps to Spark's maximum (30) for forests and is unlimited elsewhere;
-``min_samples_leaf`` bounds a leaf's rows, ``min_samples_split`` the rows of a node that is split (trees);
+All grow over binned cells (``models.cells``, ``models.boosting``), to any depth.  ``min_samples_leaf`` bounds a
+leaf's rows, ``min_samples_split`` the rows of a node that is split (of a forest's tree: drawn rows);
 ``num_leaves`` counts leaves, which variant b grows best first; ``subsample`` draws groups of rows a round,
 ``colsample_bytree`` features a tree.
 """
@@ -12,8 +11,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +19,9 @@ from tabflow.models import cells as cl
 from tabflow.models.base import FEATURES, LABEL_IDX, FittedModel, assembled, class_list, index_labels, unindex
 from tabflow.models.growth import Rules, Tree
 
-MAX_DEPTH = 30
 SEED = 42
+#: trees of a forest grown by one task
+TREES_A_TASK = 5
 
 
 def _xgboost_spark(backend: str):
@@ -37,29 +35,12 @@ def _xgboost_spark(backend: str):
     return SparkXGBRegressor, SparkXGBClassifier
 
 
-def _depth(v):
-    return MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
-
-
-def _deep(est, train, min_leaf_fraction):
-    """Deep trees cache node ids and are checkpointed in the shared folder.  ``min_leaf_fraction`` of the rows in
-    every leaf bounds the trees, which the driver keeps; 0 sets no such bound."""
-    from tabflow.session import checkpoint_dir
-    if not est.hasParam("maxDepth") or not est.hasParam("cacheNodeIds"):
-        return est
-    checkpoint_dir(train.sparkSession)
-    est.setCheckpointInterval(10).setMinWeightFractionPerNode(float(min_leaf_fraction))
-    return est.setCacheNodeIds(True) if est.getOrDefault("maxDepth") > 10 else est
-
-
-def _regressor(est, name, train, features, label, params, min_leaf_fraction=0.0):
-    est = _deep(est, train, min_leaf_fraction)
+def _regressor(est, name, train, features, label, params):
     data = assembled(train.withColumn(label, F.col(f"`{label}`").cast("double")), features)
     return FittedModel(name, "regression", features, label, params, spark_model=est.fit(data))
 
 
-def _classifier(est, name, train, features, label, params, min_leaf_fraction=0.0):
-    est = _deep(est, train, min_leaf_fraction)
+def _classifier(est, name, train, features, label, params):
     classes = class_list(train, label)
     data = assembled(index_labels(train, label, classes), features)
     return FittedModel(name, "classification", features, label, params, classes=classes,
@@ -89,13 +70,13 @@ def _scored(df: DataFrame, features, scorer, loss: str, classes) -> DataFrame:
     return rows.withColumn("prediction", unindex(best, classes)).withColumn("probability", chance).drop(RAW)
 
 
-def _cells(train: DataFrame, features, label, classes, grouped=False, fold=None):
+def _cells(train: DataFrame, features, label, classes, grouped=False, fold=None, apart=False):
     """(cuts, table of cells, the cells themselves where they may be broadcast)."""
     cuts = cl.bin_cuts(train, features)
     outputs = len(classes) if classes is not None else 1
     if classes is not None:
         train, label = index_labels(train, label, classes), LABEL_IDX
-    table = cl.cell_table(train, features, label, cuts, len(classes) if classes is not None else 0, fold, grouped)
+    table = cl.cell_table(train, features, label, cuts, len(classes) if classes is not None else 0, fold, grouped, apart)
     small = cl.size_of(table, len(features), outputs) <= cl.LOCAL_ENTRIES
     return cuts, table, cl.collected(table, len(features), outputs) if small else None
 
@@ -105,7 +86,7 @@ def _fitted(name, features, label, params, classes, cuts, model, loss, importanc
                        transform_fn=partial(_scored, features=features, scorer=bo.Scorer.of(model, cuts), loss=loss,
                                             classes=classes),
                        has_probability=classes is not None,
-                       extra={"model_class": type(model).__name__, "trees": model, "cuts": cuts,
+                       extra={"model_class": name.title().replace("_", ""), "trees": model, "cuts": cuts,
                               "importances": importances})
 
 
@@ -121,11 +102,35 @@ def _decision_tree(name, train, features, label, classes, **params) -> FittedMod
         tree, = bo.fit_many(train.sparkSession, cells, [rules], bo.tree_local)
     else:
         tree = bo.tree_spark(table, rules, 1 if classes is None else len(classes))
-    gain = np.zeros(len(features))
-    for f, g in zip(tree.feature, tree.gain):
-        if f >= 0:
-            gain[f] += g
-    return _fitted(name, features, label, params, classes, cuts, tree, "share", gain / gain.sum() if gain.sum() else gain)
+    return _fitted(name, features, label, params, classes, cuts, [tree], "share", _importances([tree], len(features)))
+
+
+def _importances(grown: list[Tree], p: int) -> np.ndarray:
+    """Mean over the trees of each feature's share of the gain."""
+    shares = []
+    for tree in grown:
+        inner = tree.feature >= 0
+        gain = np.bincount(tree.feature[inner], weights=tree.gain[inner], minlength=p)
+        shares.append(gain / gain.sum() if gain.sum() else gain)
+    total = np.mean(shares, axis=0)
+    return total / total.sum() if total.sum() else total
+
+
+def forest_plan(classes, features: int, n_estimators=100, max_depth=None, min_samples_leaf=1, min_samples_split=2, **_) -> bo.Forest:
+    """All features at a split of a regression tree, the square root of their number for classes."""
+    tried = None if classes is None else max(1, int(np.sqrt(features)))
+    return bo.Forest(tree_rules(max_depth, min_samples_leaf, min_samples_split), int(n_estimators), tried, classes is not None, SEED)
+
+
+def _random_forest(name, train, features, label, classes, **params) -> FittedModel:
+    plan = forest_plan(classes, len(features), **params)
+    cuts, table, cells = _cells(train, features, label, classes, apart=classes is None)
+    if cells is not None:
+        jobs = [(plan, list(range(i, min(i + TREES_A_TASK, plan.trees)))) for i in range(0, plan.trees, TREES_A_TASK)]
+        grown = [t for made in bo.fit_many(train.sparkSession, cells, jobs, bo.forest_local) for t in made]
+    else:
+        grown = bo.forest_spark(table, plan, 1 if classes is None else len(classes), len(features))
+    return _fitted(name, features, label, params, classes, cuts, grown, "share", _importances(grown, len(features)))
 
 
 def fit_decision_tree_regression(train, features, label, max_depth=None, min_samples_leaf=1, min_samples_split=2, **_):
@@ -133,14 +138,10 @@ def fit_decision_tree_regression(train, features, label, max_depth=None, min_sam
                           min_samples_leaf=min_samples_leaf, min_samples_split=min_samples_split)
 
 
-def fit_random_forest_regression(train, features, label, n_estimators=100, max_depth=None,
-                                 min_samples_leaf=1, min_leaf_fraction=0.0, **_):
-    est = RandomForestRegressor(featuresCol=FEATURES, labelCol=label, numTrees=int(n_estimators),
-                                maxDepth=_depth(max_depth), minInstancesPerNode=int(min_samples_leaf),
-                                featureSubsetStrategy="all", maxBins=256, seed=SEED)
-    return _regressor(est, "random_forest_regression", train, features, label,
-                      {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_leaf": min_samples_leaf},
-                      min_leaf_fraction)
+def fit_random_forest_regression(train, features, label, n_estimators=100, max_depth=None, min_samples_leaf=1,
+                                 min_samples_split=2, **_):
+    return _random_forest("random_forest_regression", train, features, label, None, n_estimators=n_estimators,
+                          max_depth=max_depth, min_samples_leaf=min_samples_leaf, min_samples_split=min_samples_split)
 
 
 def boost_plan(variant: str, classes, n_estimators=100, learning_rate=None, max_depth=None, subsample=1.0,
@@ -190,14 +191,11 @@ def fit_decision_tree_classification(train, features, label, max_depth=None, min
                           max_depth=max_depth, min_samples_leaf=min_samples_leaf, min_samples_split=min_samples_split)
 
 
-def fit_random_forest_classification(train, features, label, n_estimators=100, max_depth=None,
-                                     min_samples_leaf=1, min_leaf_fraction=0.0, **_):
-    est = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL_IDX, numTrees=int(n_estimators),
-                                 maxDepth=_depth(max_depth), minInstancesPerNode=int(min_samples_leaf),
-                                 featureSubsetStrategy="sqrt", maxBins=256, seed=SEED)
-    return _classifier(est, "random_forest_classification", train, features, label,
-                       {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_leaf": min_samples_leaf},
-                       min_leaf_fraction)
+def fit_random_forest_classification(train, features, label, n_estimators=100, max_depth=None, min_samples_leaf=1,
+                                     min_samples_split=2, **_):
+    return _random_forest("random_forest_classification", train, features, label, class_list(train, label),
+                          n_estimators=n_estimators, max_depth=max_depth, min_samples_leaf=min_samples_leaf,
+                          min_samples_split=min_samples_split)
 
 
 def fit_gbt_classification(train, features, label, variant="a", n_estimators=100, learning_rate=None,
@@ -217,58 +215,74 @@ def fit_gbt_classification(train, features, label, variant="a", n_estimators=100
 def search_scores(folded: DataFrame, name: str, features, label, kind: str, points: list[dict], folds: int):
     """[(test, train) by fold] of every point, or None where points must be fitted one by one.  Points that differ only
     in rounds or depth are read off one fit: earlier rounds and cut depths of it."""
-    if not name.startswith(("decision_tree", "boosted_trees")) or any(p.get("backend", "spark") != "spark" for p in points):
+    if not name.startswith(("decision_tree", "random_forest", "boosted_trees")) or any(p.get("backend", "spark") != "spark" for p in points):
         return None
-    boosted = name.startswith("boosted")
+    learner = name.split("_")[0]
     classes = class_list(folded, label) if kind == "classification" else None
     if classes is not None and len(classes) < 2:
         return None
-    _, _, cells = _cells(folded, features, label, classes, any(p.get("subsample", 1.0) < 1 for p in points), "fold")
+    _, _, cells = _cells(folded, features, label, classes, any(p.get("subsample", 1.0) < 1 for p in points), "fold",
+                         learner == "random" and classes is None)
     if cells is None:
         return None
-    nested = "n_estimators" if boosted else "max_depth"
+    nested = {"boosted": ("n_estimators",), "random": ("n_estimators", "max_depth"), "decision": ("max_depth",)}[learner]
     fits: dict[str, tuple[dict, list[int]]] = {}
     for i, p in enumerate(points):
-        rest = {k: v for k, v in p.items() if k != nested}
+        rest = {k: v for k, v in p.items() if k not in nested}
         fits.setdefault(repr(sorted(rest.items(), key=lambda x: x[0])), (rest, []))[1].append(i)
-    variant = name.split("_")[2] if boosted else ""
-    jobs = [(rest, ids, [points[i].get(nested, 100 if boosted else None) for i in ids], fold)
+    usual = {"n_estimators": 100, "max_depth": None}
+    jobs = [(rest, ids, [tuple(points[i].get(c, usual[c]) for c in nested) for i in ids], fold)
             for rest, ids in fits.values() for fold in range(folds)]
     out: list[list] = [[None] * folds for _ in points]
-    one = partial(_search_one, kind=kind, classes=classes, variant=variant)
+    one = partial(_search_one, kind=kind, classes=classes, learner=learner,
+                  variant=name.split("_")[2] if learner == "boosted" else "", features=len(features))
     for (_, ids, _, fold), scores in zip(jobs, bo.fit_many(folded.sparkSession, cells, jobs, one)):
         for i, s in zip(ids, scores):
             out[i][fold] = s
     return out
 
 
-def _search_one(cells: cl.Cells, job, kind: str, classes, variant: str) -> list[tuple]:
+def _search_one(cells: cl.Cells, job, kind: str, classes, learner: str, variant: str, features: int) -> list[tuple]:
     """(test, train) scores of the nested points of one fit, with one fold held out."""
     rest, _, sizes, fold = job
     held = cells.fold == fold
-    own, other = cells.where(~held), cells.where(held)
+    parts = cells.where(held), cells.where(~held)
+    own = parts[1]
 
-    def scores(predict) -> tuple:
-        return bo.cell_score(other, predict(other), kind), bo.cell_score(own, predict(own), kind)
+    def scores(predicted) -> tuple:
+        return tuple(bo.cell_score(c, p, kind) for c, p in zip(parts, predicted))
 
-    if not variant:
-        tree: Tree = bo.tree_local(own, tree_rules(**rest))
+    def best(values):
+        return values[:, 0] if classes is None else values.argmax(axis=1)
 
-        def at_depth(c, d):
-            values = tree.values[tree.leaf_of(c.bins, None if d is None else int(d))]
-            return values[:, 0] if classes is None else values.argmax(axis=1)
-        return [scores(lambda c, d=d: at_depth(c, d)) for d in sizes]
-    plan = boost_plan(variant, classes, **{**rest, "n_estimators": max(map(int, sizes))})
-    model = bo.boost_local(own, plan)
-    found = {}
-    for t in sorted(set(map(int, sizes))):
-        def predict(c, t=t):
-            raw = np.tile(model.base, (len(c.n), 1))
-            for trees in model.rounds[:t]:
-                raw += plan.rate * np.column_stack([tree.values[tree.leaf_of(c.bins), 0] for tree in trees])
-            return raw[:, 0] if classes is None else bo.classes_of(raw, plan.loss.kind)
-        found[t] = scores(predict)
-    return [found[int(t)] for t in sizes]
+    def depth_of(d):
+        return None if d is None else int(d)
+
+    if learner == "decision":
+        tree: Tree = bo.tree_local(own, tree_rules(**rest))
+        return [scores([best(tree.values[tree.leaf_of(c.bins, depth_of(d))]) for c in parts]) for d, in sizes]
+    if learner == "random":
+        most = max(int(n) for n, _ in sizes)
+        plan = forest_plan(classes, features, **{**rest, "n_estimators": most})
+        found, depths = {}, {d for _, d in sizes}
+        sums = {d: [0.0, 0.0] for d in depths}
+        for t in range(most):
+            tree, = bo.forest_local(own, (plan, [t]))
+            for d in depths:
+                sums[d] = [s + tree.values[tree.leaf_of(c.bins, depth_of(d))] for s, c in zip(sums[d], parts)]
+                if any(int(n) == t + 1 and e == d for n, e in sizes):
+                    found[t + 1, d] = scores([best(s / (t + 1)) for s in sums[d]])
+        return [found[int(n), d] for n, d in sizes]
+    rounds = sorted({int(n) for n, in sizes})
+    plan = boost_plan(variant, classes, **{**rest, "n_estimators": rounds[-1]})
+    model, found = bo.boost_local(own, plan), {}
+    raws = [np.tile(model.base, (len(c.n), 1)) for c in parts]
+    for t, grown in enumerate(model.rounds, 1):
+        for raw, c in zip(raws, parts):
+            raw += plan.rate * np.column_stack([tree.values[tree.leaf_of(c.bins), 0] for tree in grown])
+        if t in rounds:
+            found[t] = scores([raw[:, 0] if classes is None else bo.classes_of(raw, plan.loss.kind) for raw in raws])
+    return [found[int(n)] for n, in sizes]
 
 
 def feature_importance(model: FittedModel, spark=None) -> DataFrame:

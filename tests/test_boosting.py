@@ -144,7 +144,9 @@ def test_boosting_equals_plain_version(spark, variant, classes, params):
     ("boosted_trees_a_regression", 0, {"n_estimators": 2, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.7}),
     ("boosted_trees_b_classification", 3, {"n_estimators": 1, "num_leaves": 4}),
     ("decision_tree_classification", 3, {"max_depth": 4, "min_samples_split": 10}),
-    ("decision_tree_regression", 0, {"min_samples_leaf": 30})])
+    ("decision_tree_regression", 0, {"min_samples_leaf": 30}),
+    ("random_forest_regression", 0, {"n_estimators": 2, "min_samples_leaf": 30}),
+    ("random_forest_classification", 3, {"n_estimators": 2, "max_depth": 3})])
 def test_distributed_growth_equals_growth_in_a_task(spark, name, classes, params, monkeypatch):
     df = frame(spark, 300, classes)
     cuts = cells.bin_cuts(df, FEATURES, 16)
@@ -187,6 +189,8 @@ def test_decision_tree_equals_plain_version(spark, classes):
 @pytest.mark.parametrize("name,classes,points", [
     ("decision_tree_regression", 0, [{"max_depth": d, "min_samples_split": s, "min_samples_leaf": 2} for d in (None, 2, 5) for s in (2, 30)]),
     ("decision_tree_classification", 3, [{"max_depth": d} for d in (1, 3, None)]),
+    ("random_forest_classification", 3, [{"max_depth": d, "n_estimators": n} for d in (2, None) for n in (3, 5)]),
+    ("random_forest_regression", 0, [{"min_samples_split": s, "n_estimators": n} for s in (2, 20) for n in (4, 2)]),
     ("boosted_trees_a_classification", 2, [{"n_estimators": n, "max_depth": 2, "learning_rate": 0.2} for n in (1, 3)]),
     ("boosted_trees_b_regression", 0, [{"n_estimators": n, "num_leaves": v} for n in (2, 1) for v in (4, 6)])])
 def test_shared_search_equals_separate_fits(spark, name, classes, points, monkeypatch):
@@ -222,3 +226,21 @@ def test_quality_and_edges(spark):
     got = catalog.fit("boosted_trees_a_regression", flat, FEATURES, "y", n_estimators=2).transform(flat)
     mean = df.agg(F.avg("y")).first()[0]
     assert all(r["prediction"] == pytest.approx(mean) for r in got.limit(5).collect())
+
+
+def test_forest_bootstrap_and_quality(spark):
+    from tabflow.models.boosting import _poisson
+    rng = np.random.default_rng(1)
+    for mean in (0.5, 1.0, 7.0, 64.0, 500.0):
+        w = _poisson(rng.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.full(40_000, mean))
+        assert w.mean() == pytest.approx(mean, rel=0.03) and w.var() == pytest.approx(mean, rel=0.05)
+    df = frame(spark, 2000, seed=3)
+    model = catalog.fit("random_forest_regression", df, FEATURES, "y", n_estimators=20)
+    assert regression_metrics(model.transform(df), "y").first()["r2"] > 0.95
+    sizes = [int(t.value.shape[0]) for t in model.extra["trees"]]
+    assert len(sizes) == 20 and len(set(sizes)) > 1                     # bootstraps differ
+    many = frame(spark, 2000, 4, seed=3)
+    model = catalog.fit("random_forest_classification", many, FEATURES, "y", n_estimators=20)
+    got = model.transform(many)
+    assert classification_metrics(got, "y").first()["accuracy"] > 0.9
+    assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in got.limit(20).collect())
