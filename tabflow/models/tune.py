@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.models import catalog, trees
+from tabflow.models import catalog, gram, trees
 from tabflow.models.base import FittedModel
 from tabflow.operators.evaluate import classification_metrics, regression_metrics
 from tabflow.operators.split import kfold, stratified_kfold
@@ -50,7 +50,8 @@ def _fold_scores(folded: DataFrame, name, features, label, kind, key, params, k,
 def shared_scores(folded: DataFrame, name: str, features: list[str], label: str, kind: str, points: list[dict],
                   k: int) -> list[list[tuple]] | None:
     """Scores of every point and fold from statistics gathered once, for learners that have such; else None."""
-    return trees.search_scores(folded, name, features, label, kind, points, k)
+    return gram.search_scores(folded, name, features, label, points, k) \
+        or trees.search_scores(folded, name, features, label, kind, points, k)
 
 
 def _summary(scores: list[tuple]) -> dict:
@@ -69,8 +70,11 @@ def cross_validate(train: DataFrame, key: str, features: list[str], label: str,
     """k-fold test and train scores of one setting (population std, like numpy)."""
     folded = add_folds(train, key, label, kind, k, seed).persist()
     try:
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            s = _summary(_fold_scores(folded, name, features, label, kind, key, params or {}, k, pool))
+        together = shared_scores(folded, name, features, label, kind, [params or {}], k)
+        if together is None:
+            with ThreadPoolExecutor(max(1, parallelism)) as pool:
+                together = [_fold_scores(folded, name, features, label, kind, key, params or {}, k, pool)]
+        s = _summary(together[0])
     finally:
         folded.unpersist()
     return train.sparkSession.createDataFrame(

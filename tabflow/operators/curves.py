@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.models import catalog
+from tabflow.models import catalog, gram
 from tabflow.models.tune import add_folds, score
 from tabflow.operators.split import LEARNING_FRACTIONS, learning_subsets
 
@@ -31,8 +31,10 @@ def learning_curve(df: DataFrame, key: str, features: list[str], label: str, nam
             m = catalog.fit(name, tr, features, label, key=key, **(params or {}))
             return f, j, tr.count(), score(m, tr, kind), score(m, va, kind)
         jobs = [(f, j) for f in fractions for j in range(folds)]
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            res = list(pool.map(one, jobs))
+        res = _from_moments(staged, features, label, name, jobs, params or {})
+        if res is None:
+            with ThreadPoolExecutor(max(1, parallelism)) as pool:
+                res = list(pool.map(one, jobs))
     finally:
         staged.unpersist()
     rows = []
@@ -44,6 +46,20 @@ def learning_curve(df: DataFrame, key: str, features: list[str], label: str, nam
     return df.sparkSession.createDataFrame(rows, CURVE_SCHEMA)
 
 
+def _from_moments(staged: DataFrame, features, label, name: str, jobs: list[tuple], params: dict) -> list[tuple] | None:
+    """(fraction, fold, rows, train score, validation score) of linear models, from moments by fold and subset."""
+    moments = gram.gather(staged, features, label, ["fold", "subset"]) if name in gram.NAMES else None
+    if moments is None:
+        return None
+    out = []
+    for f, j in jobs:
+        own = moments.total(lambda k: k[0] != j and k[1] <= f)
+        direction = gram.solve(own, moments.shift, name, **params)
+        out.append((f, j, int(round(own[0, 0])), gram.r2(own, direction),
+                    gram.r2(moments.total(lambda k: k[0] == j), direction)))
+    return out
+
+
 def learning_diagnosis(curve: DataFrame) -> DataFrame:
     """gap = mean(train - val) > 0.1 -> overfit; else last val < 0.7 -> underfit; else ok.
     slope = (val[-1] - val[-3]) / (size[-1] - size[-3]) > 0.01 -> more data helps.
