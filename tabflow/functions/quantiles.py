@@ -2,18 +2,20 @@
 
 Spark's exact ``percentile`` aggregate keeps a value->count map that, for a
 global aggregate, is merged in a single task: unbounded for a continuous column
-at scale.  Here exact quantiles are found by *selection*:
+at scale.  Here exact order statistics are found by radix selection:
 
-1. one fused pass: ``count``, ``min``, ``max`` and a GK sketch
-   (``approx_percentile`` over a grid of fractions) per column, plus any extra
+1. one fused pass: ``count``, ``min`` and ``max`` of every column, plus any extra
    aggregates the caller wants in the same scan;
-2. every bracket is first narrowed by that sketch to about 2 % of the rows, and again, with a new
-   sketch of its inside, while it holds more than ``max_bracket // 2`` distinct values (HyperLogLog
-   estimate).  One pass counts the rows below and inside all brackets exactly (``count_if``): the
-   exact counts verify what the sketch's rank error bound promises;
-3. the rows of each small bracket are grouped by value, a running count over
-   the (bounded) bracket picks the order statistic on the executors, and only
-   the picked values return to the driver.
+2. the range that holds a wanted rank is cut into ``BUCKETS`` ordered buckets, whose counts, smallest and
+   largest values come from one grouped aggregate for all columns and ranks together (partial
+   aggregation: a task hands on a row per bucket).  The bucket with the rank is the next range, its ends being
+   values of the data, until it holds one value or the rank is its first or last.
+
+Buckets are of equal width; where that left most rows in one bucket and the range spans many powers of two or zero,
+they are of equal width in signed logarithms.  Any cut whose bucket number rises with the value is right, so the
+result does not depend on rounding; every pass splits a range's ends, so it terminates.  Two passes do
+for a range of 16 million steps; seven do for any doubles.  No row order, no sketch, no retry, and the driver sees at
+most ``DRIVER_ROWS`` buckets.
 
 The answer equals pandas ``quantile`` / Spark ``percentile`` / DuckDB
 ``quantile_cont``: ``h=(n-1)p``, ``x[floor h] + (h-floor h)(x[floor h+1]-x[floor h])``.
@@ -24,57 +26,33 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000          # GK relative rank error 1/ACCURACY
-GRID = 200                 # sketch fractions per bracket
-MAX_BRACKET = 2_000_000    # a bracket with at most half this many distinct values is picked exactly
+BUCKETS = 4096
+#: buckets of all ranges of a pass
+DRIVER_ROWS = 1 << 20
 
 
 @dataclass
-class _Target:
-    tid: int
+class _Range:
+    """Values of a column from lo to hi, ``inside`` of them, behind ``below`` smaller ones."""
     col: str
-    k: int                       # 0-based rank among non-null values
-    lo: float | None = None      # bracket, inclusive; None = unbounded
-    hi: float | None = None
-    below: int = 0               # exact count of values < lo
-    inside: int = 0              # exact count of values in [lo, hi]
-    ndv: int = 0                 # approximate distinct values in [lo, hi]
-    mn: float | None = None
-    mx: float | None = None
-    grid: list = field(default_factory=list)
-    margin: float = 1.0 / GRID + 2.0 / ACCURACY
-    prev: tuple | None = None
-    before: int = 0              # ranks before and after k that the same bracket should hold
-    after: int = 0
-    narrowed: bool = False
-    stuck: bool = False          # the sketch cannot narrow it further (many equal values)
-    value: float | None = None
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    ranks: list = field(default_factory=list)       # wanted 0-based ranks among the column's values
+    logarithmic: bool = False
 
 
 def _colref(name: str) -> Column:
     return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))     # NaN is missing
 
 
-def _in_bracket(t: _Target) -> Column:
-    c = _colref(t.col)
-    cond = c.isNotNull()
-    if t.lo is not None:
-        cond = cond & (c >= F.lit(t.lo))
-    if t.hi is not None:
-        cond = cond & (c <= F.lit(t.hi))
-    return cond
-
-
-def _grid_fractions() -> Column:
-    return F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-
-
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-              extra: dict[str, Column] | None = None,
-              max_bracket: int = MAX_BRACKET) -> tuple[dict[str, list], dict]:
+              extra: dict[str, Column] | None = None, buckets: int = BUCKETS) -> tuple[dict[str, list], dict]:
     """Quantiles of every column in ``cols`` at every fraction in ``probs``.
 
     Returns ``({col: [q(p) for p in probs]}, {name: value for extra aggregates})``.
@@ -83,7 +61,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
     """
     extra = extra or {}
     if not exact:
-        aggs = [F.percentile_approx(_colref(c), [float(p) for p in probs], ACCURACY).alias(f"q{i}")
+        aggs = [F.percentile_approx(_colref(c), [float(p) for p in probs], 10_000).alias(f"q{i}")
                 for i, c in enumerate(cols)]
         aggs += [e.alias(f"x_{n}") for n, e in extra.items()]
         row = df.agg(*aggs).first() if aggs else None
@@ -93,34 +71,31 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
 
     first = []
     for i, c in enumerate(cols):
-        first += [F.count(_colref(c)).alias(f"n{i}"), F.min(_colref(c)).alias(f"mn{i}"),
-                  F.max(_colref(c)).alias(f"mx{i}"),
-                  F.percentile_approx(_colref(c), _grid_fractions(), ACCURACY).alias(f"g{i}"),
-                  F.approx_count_distinct(_colref(c), 0.02).alias(f"d{i}")]
+        first += [F.count(_colref(c)).alias(f"n{i}"), F.min(_colref(c)).alias(f"mn{i}"), F.max(_colref(c)).alias(f"mx{i}")]
     first += [e.alias(f"x_{n}") for n, e in extra.items()]
     if not first:
         return {}, {}
     row = df.agg(*first).first()
     extras = {n: row[f"x_{n}"] for n in extra}
 
-    targets: dict[tuple[str, int], _Target] = {}
     plan: dict[str, list] = {}
+    ranges = []
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
         plan[c] = []
+        ranks = set()
         for p in probs:
             if n == 0:
                 plan[c].append(None)
                 continue
             h = (n - 1) * float(p)
-            lo_k = int(math.floor(h))
-            hi_k = min(lo_k + 1, n - 1)
-            for k, before, after in ((lo_k, 0, hi_k - lo_k), (hi_k, hi_k - lo_k, 0)):
-                if (c, k) not in targets:
-                    targets[(c, k)] = _Target(len(targets), c, k, inside=n, ndv=row[f"d{i}"], mn=row[f"mn{i}"],
-                                              mx=row[f"mx{i}"], grid=list(row[f"g{i}"]), before=before, after=after)
-            plan[c].append((h, lo_k, hi_k))
-    _resolve(df, list(targets.values()), max_bracket)
+            low = int(math.floor(h))
+            high = min(low + 1, n - 1) if h > low else low
+            plan[c].append((h, low, high))
+            ranks |= {low, high}
+        if ranks:
+            ranges.append(_Range(c, row[f"mn{i}"], row[f"mx{i}"], 0, n, sorted(ranks)))
+    found = _select(df, ranges, buckets)
 
     out = {}
     for c in cols:
@@ -129,102 +104,91 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
             if item is None:
                 vals.append(None)
                 continue
-            h, lo_k, hi_k = item
-            a, b = targets[(c, lo_k)].value, targets[(c, hi_k)].value
-            vals.append(a if a == b else a + (h - lo_k) * (b - a))
+            h, low, high = item
+            a, b = found[c, low], found[c, high]
+            vals.append(a if a == b else a + (h - low) * (b - a))
         out[c] = vals
     return out, extras
 
 
-def _resolve(df: DataFrame, targets: list[_Target], max_bracket: int) -> None:
-    """Narrow every bracket by its sketch, count it, and pick once it holds few enough distinct values."""
-    while pending := [t for t in targets if t.value is None]:
-        gather, refine = [], []
-        for t in pending:
-            if t.mn is not None and t.mn == t.mx and 0 <= t.k - t.below < t.inside:
-                t.value = t.mn
-            elif t.narrowed and (t.ndv <= max_bracket // 2 or t.stuck):
-                gather.append(t)          # the pick groups by value: bounded by distinct values
-            else:
-                refine.append(t)
-        if gather:
-            _pick(df, gather)
-        if not refine:
-            continue
-        _sketch(df, [t for t in refine if not t.grid])
-        for t in refine:
-            t.prev = (t.lo, t.hi, t.below, t.inside, t.ndv, t.mn, t.mx, t.grid)
-            i_lo = int(math.floor(((t.k - t.before - t.below) / t.inside - t.margin) * GRID))
-            i_hi = int(math.ceil(((t.k + t.after - t.below) / t.inside + t.margin) * GRID))
-            if i_lo > 0:
-                t.lo = t.grid[i_lo]
-            if i_hi < GRID:
-                t.hi = t.grid[i_hi]
-        _count(df, refine)
-        for t in refine:
-            if 0 <= t.k - t.below < t.inside:
-                t.narrowed, t.stuck, t.grid = True, (t.lo, t.hi) == t.prev[:2], []
-            else:                          # sketch bound missed: widen and retry
-                t.lo, t.hi, t.below, t.inside, t.ndv, t.mn, t.mx, t.grid = t.prev
-                t.margin *= 4
-
-
-def _by_bracket(targets: list[_Target]) -> list[list[_Target]]:
-    """Targets that share a bracket (both neighbours of a fraction do): measured once."""
-    out: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        out.setdefault((t.col, t.lo, t.hi), []).append(t)
-    return list(out.values())
-
-
-def _count(df: DataFrame, targets: list[_Target]) -> None:
-    aggs, groups = [], _by_bracket(targets)
-    for i, (t, *_) in enumerate(groups):
-        c, cond = _colref(t.col), _in_bracket(t)
-        below = F.count_if(c < F.lit(t.lo)) if t.lo is not None else F.lit(0)
-        aggs += [below.alias(f"b{i}"), F.count_if(cond).alias(f"i{i}"),
-                 F.approx_count_distinct(F.when(cond, c), 0.02).alias(f"d{i}"),
-                 F.min(F.when(cond, c)).alias(f"mn{i}"), F.max(F.when(cond, c)).alias(f"mx{i}")]
-    row = df.agg(*aggs).first()
-    for i, group in enumerate(groups):
-        for t in group:
-            t.below, t.inside, t.ndv = int(row[f"b{i}"]), int(row[f"i{i}"]), int(row[f"d{i}"])
-            t.mn, t.mx = row[f"mn{i}"], row[f"mx{i}"]
-
-
-def _sketch(df: DataFrame, targets: list[_Target]) -> None:
-    groups = _by_bracket(targets)
-    if not groups:
-        return
-    row = df.agg(*[F.percentile_approx(F.when(_in_bracket(g[0]), _colref(g[0].col)), _grid_fractions(), ACCURACY)
-                   .alias(f"g{i}") for i, g in enumerate(groups)]).first()
-    for i, group in enumerate(groups):
-        for t in group:
-            t.grid = list(row[f"g{i}"])
-
-
-def _pick(df: DataFrame, targets: list[_Target]) -> None:
-    """Exact order statistics inside small brackets, computed on the executors."""
-    spark = df.sparkSession
-    brackets: dict[tuple, int] = {}
-    for t in targets:
-        brackets.setdefault((t.col, t.lo, t.hi), len(brackets))
-    conds = []
-    for (col, lo, hi), bid in brackets.items():
-        probe = _Target(-1, col, 0, lo=lo, hi=hi)
-        conds.append(F.when(_in_bracket(probe), F.struct(F.lit(bid).alias("bid"),
-                                                         _colref(col).alias("v"))))
-    tagged = (df.select(F.explode(F.filter(F.array(*conds), lambda e: e.isNotNull())).alias("e"))
-                .select("e.bid", "e.v"))
-    counts = tagged.groupBy("bid", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("upto", F.sum("cnt").over(w))
-    wanted = spark.createDataFrame(
-        [(brackets[(t.col, t.lo, t.hi)], t.tid, t.k - t.below) for t in targets],
-        "bid int, tid int, r long")
-    picked = (cum.join(F.broadcast(wanted), "bid")
-                 .where((F.col("r") >= F.col("upto") - F.col("cnt")) & (F.col("r") < F.col("upto")))
-                 .select("tid", "v").collect())
-    by_id = {r["tid"]: r["v"] for r in picked}
-    for t in targets:
-        t.value = by_id[t.tid]
+def _select(df: DataFrame, ranges: list[_Range], buckets: int) -> dict[tuple[str, int], float]:
+    """The value of every wanted (column, rank)."""
+    found: dict[tuple[str, int], float] = {}
+
+    def settle(r: _Range) -> bool:
+        """Note the ranks that the range's ends answer; whether others are left."""
+        for k in r.ranks:
+            if k == r.below or r.lo == r.hi:
+                found[r.col, k] = r.lo
+            elif k == r.below + r.inside - 1:
+                found[r.col, k] = r.hi
+        r.ranks = [k for k in r.ranks if (r.col, k) not in found]
+        return bool(r.ranks)
+
+    open_ranges = [r for r in ranges if settle(r)]
+    while open_ranges:
+        many = max(2, min(buckets, DRIVER_ROWS // len(open_ranges)))
+        counts = _counted(df, open_ranges, many)
+        after = []
+        for i, r in enumerate(open_ranges):
+            own = counts["range"] == i
+            order = np.argsort(counts["bucket"][own], kind="stable")
+            n, lo, hi = (counts[c][own][order] for c in ("n", "lo", "hi"))
+            upto = r.below + np.cumsum(n)
+            parts: dict[int, _Range] = {}
+            for k in r.ranks:
+                j = int(np.searchsorted(upto, k, side="right"))
+                if j not in parts:
+                    parts[j] = _Range(r.col, float(lo[j]), float(hi[j]), int(upto[j] - n[j]), int(n[j]),
+                                      logarithmic=not r.logarithmic and n[j] * 16 > r.inside and _wide(float(lo[j]), float(hi[j])))
+                parts[j].ranks.append(k)
+            after += [p for p in parts.values() if settle(p)]
+        open_ranges = after
+    return found
+
+
+def _wide(lo: float, hi: float) -> bool:
+    """Whether a range spans zero or many powers of two."""
+    small, large = sorted((abs(lo), abs(hi)))
+    return lo < 0 < hi or small == 0 or large / small > 1 << 20
+
+
+def _signed_log(x):
+    """Rises with x: 0 for 0, then the logarithm of the size (from -745 to 710) moved away from 0."""
+    if isinstance(x, Column):
+        size = F.least(F.ln(F.abs(x)), F.lit(710.0)) + 746.0
+        return F.when(x == 0, 0.0).otherwise(F.signum(x) * size)
+    return 0.0 if x == 0 else math.copysign(min(math.log(abs(x)) if math.isfinite(x) else 710.0, 710.0) + 746.0, x)
+
+
+def _bucket(x: Column, r: _Range, buckets: int) -> Column:
+    lo, hi = r.lo, r.hi
+    if r.logarithmic or not math.isfinite(hi / 2 - lo / 2):
+        x, lo, hi = _signed_log(x), _signed_log(lo), _signed_log(hi)
+    # a power of two keeps the width of the range, and what is divided by it, among the finite doubles
+    size = 2.0**500 if max(abs(lo), abs(hi)) < 1e-150 else 0.5
+    place = (x * F.lit(size) - F.lit(lo * size)) * F.lit(buckets / (hi * size - lo * size))
+    return F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+
+def _counted(df: DataFrame, ranges: list[_Range], buckets: int) -> dict[str, np.ndarray]:
+    """(range, bucket, n, lo, hi) of the buckets of all ranges that hold values."""
+    by_col: dict[str, list[tuple[int, _Range]]] = {}
+    for i, r in enumerate(ranges):
+        by_col.setdefault(r.col, []).append((i, r))
+    hits = []
+    for col, own in by_col.items():
+        x = _colref(col)
+        hit = None                          # the ranges of a column do not overlap
+        for i, r in own:
+            inside = (x >= F.lit(r.lo)) & (x <= F.lit(r.hi))
+            entry = F.struct(F.lit(i).alias("range"), _bucket(x, r, buckets).alias("bucket"), x.alias("v"))
+            hit = F.when(inside, entry) if hit is None else hit.when(inside, entry)
+        hits.append(hit)
+    if len(hits) == 1:
+        rows = df.select(hits[0].alias("e")).where("e is not null")
+    else:
+        rows = df.select(F.explode(F.array(*hits)).alias("e")).where("e is not null")
+    t = rows.groupBy("e.range", "e.bucket").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"),
+                                                F.max("e.v").alias("hi")).toArrow()
+    return {c: t[c].to_numpy() for c in t.column_names}

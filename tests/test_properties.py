@@ -18,7 +18,7 @@ values = st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float),
 @given(vals=values, p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]))
 def test_quantile_property(spark, vals, p):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = quantiles(df, ["x"], [p], max_bracket=8)[0]["x"][0]
+    got = quantiles(df, ["x"], [p], buckets=8)[0]["x"][0]
     clean = [v for v in vals if v is not None]
     if not clean:
         assert got is None
