@@ -18,6 +18,8 @@ import numpy as np
 #: tokens of a segment, and of a group of segments with their padding
 SEGMENT = 256
 GROUP = 1 << 17
+#: the same in fitting, which runs on a bounded sample
+FIT_GROUP = 1 << 20
 
 
 @dataclass
@@ -82,14 +84,14 @@ class Crf:
         yield from self.long_groups(seqs)
 
     @staticmethod
-    def short_groups(seqs: list[np.ndarray]) -> Iterator[Segments]:
+    def short_groups(seqs: list[np.ndarray], group: int | None = None) -> Iterator[Segments]:
         """Sequences of one segment; nothing about them depends on the weights."""
         lengths = np.array([len(s) for s in seqs], dtype=np.int64)
         whole = np.flatnonzero((lengths > 0) & (lengths <= SEGMENT))
         whole = whole[np.argsort(-lengths[whole], kind="stable")]
         i = 0
         while i < len(whole):
-            rows = whole[i:i + max(1, GROUP // int(lengths[whole[i]]))]
+            rows = whole[i:i + max(1, (group or GROUP) // int(lengths[whole[i]]))]
             i += len(rows)
             ids = np.zeros((len(rows), int(lengths[rows[0]])), dtype=np.int64)
             for r, s in enumerate(rows.tolist()):
@@ -175,7 +177,7 @@ def fit(seqs: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, f
         pair_gold += w * np.bincount(2 * y[:-1] + y[1:], minlength=4).reshape(2, 2)
         np.add.at(gold_unary, np.asarray(seq)[y == 1], w)
         gold_start += w * float(y[:1].sum())
-    short = list(Crf.short_groups(seqs))
+    short = list(Crf.short_groups(seqs, FIT_GROUP))
     theta = np.zeros(features + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):

@@ -6,7 +6,7 @@ how many distinct contexts (word before, word after) it stands in toxic and in c
 that copies count once; the first ``STEM`` letters of longer words are counted likewise.  Words and stems whose
 contexts are significantly and mostly toxic form the lexicon; inside toxic documents they are the
 positive tokens.  The field is fitted on the sample's distinct
-sentences, whole, weighted by their counts.  Scoring runs forward and backward over every sentence of every
+sentences (longer ones in parts of ``FIT_TOKENS``), weighted by their counts.  Scoring runs forward and backward over every sentence of every
 whole text, in tasks; a document's score is a logistic function, fitted on the same sample, of its
 largest marginal and of the expected number of offending tokens.  Tokens with a marginal of one half or
 more are its offending offsets.  A sentence may be as long as its text: the field runs it in segments.
@@ -36,8 +36,9 @@ from tabflow.sources.parquet import load_table
 
 #: labelled rows that the classifier is fitted on, at most
 SAMPLE_ROWS = 6000
-#: letters of a stem
+#: letters of a stem, and tokens of a sequence that the field is fitted on
 STEM = 5
+FIT_TOKENS = 64
 #: tokens of a sentence without lexicon words whose figures are kept by length
 PLAIN = 4096
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -210,9 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seqs, marks, weights = [], [], []
     for seq, toxic, n in _sequences(sample, lexicon):
         ids = np.zeros(int(seq[1:]), dtype=np.int64) if seq[0] == "*" else np.array(seq.split(" "), dtype=np.int64)
-        seqs.append(ids)
-        marks.append(((ids > 0) & (toxic == 1)).astype(np.float64))
-        weights.append(n)
+        for i in range(0, len(ids), FIT_TOKENS):
+            part = ids[i:i + FIT_TOKENS]
+            seqs.append(part)
+            marks.append(((part > 0) & (toxic == 1)).astype(np.float64))
+            weights.append(n)
     model = Model(lexicon, fit(seqs, marks, np.array(weights, dtype=np.float64), len(words) + 1), np.zeros(3))
     rows = np.array([tuple(r) for r in _features(sample, model, ["toxic"]).collect()], dtype=np.float64).reshape(-1, 3)
     model.weights = fit_logistic(rows[:, 1:], rows[:, 0]) if len(rows) else np.array([-1.0, 0.0, 0.0])
