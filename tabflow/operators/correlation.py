@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,68 +14,88 @@ def _c(name: str) -> Column:
     return num(name)
 
 
-WIDE = 40            # above this many columns the matrix is not one expression list
-BATCH = 400          # coefficients per aggregate for wide tables with missing values
-
-
-def _long_from_matrix(spark, cols: list[str], value) -> DataFrame:
-    rows = [(i, j, a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return spark.createDataFrame(rows, "i int, j int, a string, b string, corr double")
+#: columns of a block: a task holds a few matrices of BLOCK x BLOCK numbers
+BLOCK = 1024
+#: a variance below this share of the second moment about the column's mean is rounding: the column is constant
+FLAT = 1e-12
+
+#: sums over the rows that have both columns of a pair, about the columns' means
+SUMS = ("n", "si", "sj", "qi", "qj", "p", "bad")
+
+
+def _pair_sums(df: DataFrame, rows: list[int], cols: list[int], names: list[str], shift: np.ndarray) -> DataFrame:
+    """(i, j, ``SUMS``) of every pair of a column of ``rows`` and one of ``cols``, one row per pair and task."""
+    both = sorted({*rows, *cols})
+    at = {c: k for k, c in enumerate(both)}
+    left, right = [at[c] for c in rows], [at[c] for c in cols]
+    i, j = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
+    upper = i <= j
+    c = shift[both]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([v.to_numpy(zero_copy_only=False) for v in batch.columns]).astype(float)
+            has = ~np.isnan(x)
+            wild = np.isinf(x)
+            x = np.where(has & ~wild, x - c, 0.0)
+            a, b, ha, hb = x[:, left], x[:, right], has[:, left].astype(float), has[:, right].astype(float)
+            with np.errstate(over="ignore", invalid="ignore"):
+                part = [ha.T @ hb, a.T @ hb, ha.T @ b, (a * a).T @ hb, ha.T @ (b * b), a.T @ b]
+            part.append(wild[:, left].T.astype(float) @ hb + ha.T @ wild[:, right].astype(float)
+                        if wild.any() else np.zeros((len(left), len(right))))
+            total = part if total is None else [s + t for s, t in zip(total, part)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i[upper].astype(np.int32)), pa.array(j[upper].astype(np.int32)),
+                 *[pa.array(t.ravel()[upper]) for t in total]], names=["i", "j", *SUMS])
+
+    values = df.select(*[_c(names[k]).alias(f"x{k}") for k in both])
+    return values.mapInArrow(run, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
+
+
+def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, ``SUMS``) of every pair i <= j of columns over its pairwise-complete rows.
+
+    A task adds up matrix products of its Arrow batches and sends one row per pair; Spark sums them by
+    pair.  Tables wider than ``BLOCK`` columns are read once for each pair of blocks.  The sums are taken
+    about the columns' means (one aggregate before), which keeps squares from cancelling.
+    """
+    p = len(cols)
+    finite = [F.when(F.abs(_c(c)) < float("inf"), _c(c)) for c in cols]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(finite)]).first()
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    blocks = [list(range(s, min(s + BLOCK, p))) for s in range(0, p, BLOCK)]
+    pair = (F.col("id") / p).cast("int"), (F.col("id") % p).cast("int")
+    sums = df.sparkSession.range(p * p).select(pair[0].alias("i"), pair[1].alias("j"), *[F.lit(0.0).alias(s) for s in SUMS]) \
+        .where("i <= j")                                    # pairs of an empty table
+    for a, rows in enumerate(blocks):
+        for right in blocks[a:]:
+            sums = sums.unionByName(_pair_sums(df, rows, right, cols, shift))
+    return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Long form (i, j, a, b, corr) of the pairwise-complete Pearson matrix, all p*p cells;
-    a constant column gives NULL.
-
-    Up to ``WIDE`` columns: the p(p+1)/2 coefficients are one aggregate (one
-    scan).  Wider tables without missing values use ``ml.stat.Correlation`` on
-    an assembled vector (one distributed pass, p x p result); wider tables with
-    missing values keep pairwise-complete semantics in batches of ``BATCH``
-    coefficients per scan.
+    """Long form (i, j, a, b, corr) of the pairwise-complete Pearson matrix, all p*p cells.
+
+    A cell is NULL where fewer than two rows have both values, where a column is constant on those rows,
+    or where one of them is infinite.  Any width takes the same way (``pair_moments``): two scans and
+    one shuffle up to ``BLOCK`` columns; nothing but the columns' means comes to the driver.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    if len(cols) > WIDE:
-        return _corr_wide(df, cols)
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j >= i:
-                aggs.append(safe_corr(_c(a), _c(b)).alias(f"r{i}_{j}"))
-    agg = df.agg(*aggs)
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("a"),
-                                  F.lit(b).alias("b"), F.col(f"r{lo}_{hi}").alias("corr")))
-    return agg.select(F.inline(F.array(*cells)))
-
-
-def _corr_wide(df: DataFrame, cols: list[str]) -> DataFrame:
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    spark = df.sparkSession
-    stats = df.agg(*[F.count_if(_c(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_samp(_c(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    if all(stats[f"m{i}"] == 0 for i in range(len(cols))):
-        vec = VectorAssembler(inputCols=[f"_w{i}" for i in range(len(cols))], outputCol="_v").transform(
-            df.select(*[_c(c).alias(f"_w{i}") for i, c in enumerate(cols)]))
-        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-        const = {i for i in range(len(cols)) if not stats[f"s{i}"]}
-
-        def value(i, j):
-            if i in const or j in const or math.isnan(m[i, j]):
-                return None
-            return float(m[i, j])
-        return _long_from_matrix(spark, cols, value)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    found = {}
-    for start in range(0, len(pairs), BATCH):
-        chunk = pairs[start:start + BATCH]
-        r = df.agg(*[safe_corr(_c(cols[i]), _c(cols[j])).alias(f"r{i}_{j}") for i, j in chunk]).first()
-        found.update({(i, j): r[f"r{i}_{j}"] for i, j in chunk})
-    return _long_from_matrix(spark, cols, lambda i, j: found[(min(i, j), max(i, j))])
+    if not cols:
+        return df.sparkSession.createDataFrame([], "i int, j int, a string, b string, corr double")
+    cov = F.col("p") - F.try_divide(F.col("si") * F.col("sj"), F.col("n"))
+    var = {s: F.col(f"q{s}") - F.try_divide(F.col(f"s{s}") * F.col(f"s{s}"), F.col("n")) for s in "ij"}
+    r = F.try_divide(cov, F.sqrt(var["i"]) * F.sqrt(var["j"]))
+    known = (F.col("n") >= 2) & (F.col("bad") == 0) & ~F.isnan(r) \
+        & (var["i"] > FLAT * F.col("qi")) & (var["j"] > FLAT * F.col("qj"))
+    r = F.when(known, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    half = pair_moments(df, cols).select("i", "j", r.alias("corr"))
+    cells = half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("c"), "corr")
+    name = F.array(*[F.lit(c) for c in cols])
+    return cells.select("c.i", "c.j", name[F.col("c.i")].alias("a"), name[F.col("c.j")].alias("b"), "corr")
 
 
 def corr_matrix_wide(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
     """
     from tabflow.functions.indexing import with_index
     distinct = df.select(F.coalesce(_c(col).cast("string"), F.lit(MISSING_TOKEN)).alias("value")).distinct()
-    return with_index(distinct, ["value"], name="code").select("value", F.col("code").cast("int").alias("code"))
+    return with_index(distinct, ["value"], name="code").select("value", F.col("code").cast("long").alias("code"))
 
 
 def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, target: str | None = None) -> DataFrame:

@@ -3,7 +3,10 @@ and the flagship preparation chain."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabflow.operators import clean, correlation
+from tabflow.operators.encode import expand_arrays
 from tabflow.plans.fixtures import PART_N, part_with_nulls
 from tabflow.plans.prepare import prepare
 from tabflow.plans.registry import register
@@ -120,6 +123,19 @@ def corr_matrix_wide_lineitem(spark, sf):
     return correlation.corr_matrix_wide(load_table(spark, sf, "lineitem"), _LI)
 
 
+@register("corr_matrix_embeddings_nulls", sql="""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+k AS (SELECT vec_id, i, x FROM e WHERE (vec_id + 3 * i) % 7 <> 0), n AS (SELECT DISTINCT i FROM e)
+SELECT CAST(g.i AS INTEGER) AS i, CAST(g.j AS INTEGER) AS j, 'embedding_' || g.i AS a, 'embedding_' || g.j AS b, c.corr
+FROM (SELECT n.i, m.i AS j FROM n, n AS m) g
+LEFT JOIN (SELECT p.i, q.i AS j, corr(p.x, q.x) AS corr FROM k p JOIN k q USING (vec_id) GROUP BY ALL) c ON g.i = c.i AND g.j = c.j""",
+          round={"corr": 6})
+def corr_matrix_embeddings_nulls(spark, sf):
+    """All elements of the vectors as columns, a seventh of the cells missing: pairwise-complete coefficients."""
+    e, names = expand_arrays(load_table(spark, sf, "embeddings").select("vec_id", "embedding"), ["embedding"])
+    holes = [F.when((F.col("vec_id") + 3 * i) % 7 != 0, F.col(c)).alias(c) for i, c in enumerate(names)]
+    return correlation.corr_matrix(e.select(*holes), names)
+
+
 _PART_NUM = [(0, "p_partkey"), (4, "p_size"), (5, "p_retailprice")]
 
 

@@ -17,7 +17,8 @@ SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_
        CAST(dense_rank() OVER (ORDER BY coalesce(p_brand, 'nan')) - 1 AS INTEGER) AS p_brand FROM part_n""")
 def label_encode_part(spark, sf):
     p = part_with_nulls(spark, sf).select("p_partkey", "p_type", "p_brand")
-    return encode.label_encode(p, ["p_type", "p_brand"])
+    coded = encode.label_encode(p, ["p_type", "p_brand"])
+    return coded.select("p_partkey", *[F.col(c).cast("int").alias(c) for c in ("p_type", "p_brand")])
 
 
 _SCALE_COLS = ["p_partkey", "p_size", "p_retailprice"]

@@ -85,27 +85,43 @@ def test_raw_nan_is_missing_without_normalizing(spark):
     assert profile.extrema_flags(df, ["x"]).where("x_is_max").count() == 1
 
 
-def test_corr_matrix_wide_paths_agree(spark):
+def test_corr_matrix_blocks_agree_with_pandas(spark, monkeypatch):
     import numpy as np
+    import pandas as pd
     from tabflow.operators import correlation as K
     rng = np.random.default_rng(8)
-    X = rng.normal(size=(300, 6))
-    X[:, 5] = 1.0                                            # constant column
-    df = spark.createDataFrame([tuple(map(float, r)) for r in X], ", ".join(f"c{i} double" for i in range(6)))
-    narrow = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(df).collect()}
-    old = K.WIDE
-    try:
-        K.WIDE = 2
-        wide = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(df).collect()}
-        with_null = df.withColumn("c0", F.when(F.col("c1") > 2.5, None).otherwise(F.col("c0")))
-        pairwise = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(with_null).collect()}
-    finally:
-        K.WIDE = old
-    ref = {(r["a"], r["b"]): r["corr"] for r in K.corr_matrix(with_null).collect()}
-    for k, v in narrow.items():
-        assert (v is None and wide[k] is None) or wide[k] == pytest.approx(v, abs=1e-9)
-        assert (ref[k] is None and pairwise[k] is None) or pairwise[k] == pytest.approx(ref[k], abs=1e-12)
-    assert narrow[("c5", "c1")] is None and wide[("c5", "c5")] is None
+    X = rng.normal(size=(300, 7)) * [1, 1e-6, 1e6, 1, 1, 1, 1] + [0, 1e3, 1e9, 0, 0, 0, 0]
+    X[:, 5] = 1.0 / 3                                        # constant column
+    X[:, 6] = np.where(X[:, 0] > 0, 7.3, X[:, 6])            # constant only where c4 is known
+    full = pd.DataFrame(X, columns=[f"c{i}" for i in range(7)])
+    holes = full.mask(rng.random(X.shape) < 0.2)
+    holes.loc[full["c0"] <= 0, "c4"] = np.nan
+    schema = ", ".join(f"c{i} double" for i in range(7))
+    for table in (full, holes):
+        df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in table.to_numpy()], schema)
+        want = (table - table.mean()).corr(min_periods=2).to_numpy()    # centred: pandas keeps its digits
+        want[5], want[:, 5] = np.nan, np.nan
+        if table is holes:
+            want[4, 6] = want[6, 4] = np.nan
+        for block in (1024, 3, 1):
+            monkeypatch.setattr(K, "BLOCK", block)
+            got = {(r["i"], r["j"]): r for r in K.corr_matrix(df).collect()}
+            assert len(got) == 49
+            for (i, j), r in got.items():
+                assert (r["a"], r["b"]) == (f"c{i}", f"c{j}")
+                assert r["corr"] is None if np.isnan(want[i, j]) else r["corr"] == pytest.approx(want[i, j], abs=1e-9), (i, j)
+
+
+def test_corr_matrix_infinite_missing_and_no_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 1.0, None), (3.0, 5.0, inf), (nan, 9.0, 4.0)],
+                               "x double, y double, z double")
+    got = {(r["a"], r["b"]): r["corr"] for r in correlation.corr_matrix(df).collect()}
+    assert got["x", "y"] == pytest.approx(0.7205766921228921)      # the infinite z of a row does not touch x and y
+    assert got["x", "z"] is None and got["y", "z"] is None and got["z", "z"] is None and got["y", "y"] == 1.0
+    none = correlation.corr_matrix(df.where("x > 100")).collect()
+    assert len(none) == 9 and all(r["corr"] is None for r in none)
+    assert correlation.corr_matrix(df, []).collect() == []
 
 
 def test_corr_matrix_wide(spark):
