@@ -5,7 +5,8 @@ Counting is two passes over the training rows.  The first counts words: tasks se
 arrays of 64-bit word hashes with counts, delta-coded and compressed, to shards of the hash range; each
 shard merges them and writes its sorted array to the shared folder.  A word's place in all shards is
 its number.  The second pass counts pairs of numbers (context, word) in the same manner, dealt by a hash
-of the pair, so that a very frequent word is spread over all shards.  The pair shards also sum, for
+of the pair, so that a very frequent word is spread over all shards.  A shard is one task's partition and
+stands for ``SHARD_BYTES`` of text, however many that takes; of a shard a few numbers come to the driver.  The pair shards also sum, for
 each number, what the smoothing needs: followers seen once, twice and more often, the total as a
 context, and distinct contexts as a word; a last step adds these up over the shards.
 
@@ -35,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,12 @@ END = _U(0x5EED0E0D5EED0E0D)        # stands for the end token among word hashes
 #: entries that a task holds before it sends them, and bytes of training text to a shard
 HELD = 6_000_000
 SHARD_BYTES = 24 << 20
-MAX_SHARDS = 4096
+#: arrays that a worker keeps mapped
+KEPT = 16_384
+#: counts from here on do not fit the 32 bits that pair counts are stored in
+LARGE = 2**32
+#: field of the row with a pair shard's own figures, beside the five fields of sums
+OF_PAIRS = 5
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -85,11 +92,11 @@ def _sent(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordB
     order = np.argsort(shard, kind="stable")
     keys, counts, shard = keys[order], counts[order], shard[order]
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-    ends = np.r_[cut[1:], len(keys)]
+    ends = np.r_[cut[1:], len(keys)]            # counts take 64 bits: their empty high bytes compress to nothing
     return pa.RecordBatch.from_pydict({
         "shard": pa.array(shard[cut], pa.int32()),
         "keys": pa.array([_pack(np.diff(keys[a:b], prepend=_U(0))) for a, b in zip(cut, ends)], pa.binary()),
-        "counts": pa.array([_pack(counts[a:b].astype(np.uint32)) for a, b in zip(cut, ends)], pa.binary())})
+        "counts": pa.array([_pack(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())})
 
 
 class _Counter:
@@ -118,20 +125,24 @@ def _by_shard(batches):
                 yield last, *_summed(*(np.concatenate(x) for x in zip(*held)))
                 held = []
             last = shard
-            held.append((np.cumsum(_unpack(keys, np.uint64), dtype=np.uint64), _unpack(counts, np.uint32).astype(np.int64)))
+            held.append((np.cumsum(_unpack(keys, np.uint64), dtype=np.uint64), _unpack(counts, np.int64)))
     if held:
         yield last, *_summed(*(np.concatenate(x) for x in zip(*held)))
 
 
 def save(folder: str, name: str, values: np.ndarray) -> None:
-    """An array as a raw file of the shared folder; appears under its name only when whole."""
+    """An array as a raw file of the shared folder.  Names hold the attempt that wrote them, and only
+    those of finished tasks reach the model, so a lost or repeated task leaves nothing that is read."""
     from pyarrow import fs
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    draft = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(f"{path}/{name}") as out:
         out.write(memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b"")
-    store.move(draft, f"{path}/{name}")
+
+
+def _attempt() -> int:
+    """A number of its own for a task attempt."""
+    return uuid.uuid4().int >> 65
 
 
 _MAPPED: dict[tuple[str, str], np.ndarray] = {}
@@ -154,7 +165,7 @@ def mapped(folder: str, name: str, kind) -> np.ndarray:
                     out.write(block)
             array = np.memmap(copy, dtype=kind, mode="r")
             os.unlink(copy)
-        if len(_MAPPED) > 4 * MAX_SHARDS:
+        if len(_MAPPED) >= KEPT:
             _MAPPED.clear()
         _MAPPED[folder, name] = array
     return _MAPPED[folder, name]
@@ -166,10 +177,12 @@ class Model:
 
     folder: str
     shards: int = 1
-    present: tuple = ()             # word shards that have words
-    first: tuple = ()               # number of the first word of each word shard, and V at the end
+    first: np.ndarray | None = None     # number of the first word of each word shard, and V at the end
     tokens: int = 0                 # N
-    pair_shards: frozenset = frozenset()
+    word_files: np.ndarray | None = None    # attempt that wrote each word shard, -1 where there is none
+    pair_files: np.ndarray | None = None
+    sum_files: np.ndarray | None = None
+    wide: np.ndarray | None = None  # pair shards with a count above 32 bits
     low: tuple = (0.0, 0.0, 0.0)    # discounts of the distinct contexts of words
     high: tuple = (0.0, 0.0, 0.0)   # discounts of pair counts
     low_mass: float = 0.0           # share left to the uniform distribution
@@ -178,19 +191,20 @@ class Model:
 
     @property
     def words(self) -> int:
-        return self.first[-1] if self.first else 0
+        return int(self.first[-1]) if self.first is not None else 0
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, training count) of sorted distinct word hashes."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         for s, a, b in _runs(_shard_of(hashes, self.shards)):
-            if s not in self.present:
+            if self.word_files is None or self.word_files[s] < 0:
                 continue
-            keys = mapped(self.folder, f"word-{s}.keys", np.uint64)
+            name = f"word-{s}-{self.word_files[s]}"
+            keys = mapped(self.folder, f"{name}.keys", np.uint64)
             at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
             known = keys[at] == hashes[a:b]
             number[a:b] = np.where(known, at + self.first[s], -1)
-            count[a:b] = np.where(known, mapped(self.folder, f"word-{s}.counts", np.int64)[at], 0)
+            count[a:b] = np.where(known, mapped(self.folder, f"{name}.counts", np.int64)[at], 0)
         return number, count
 
     def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
@@ -199,12 +213,13 @@ class Model:
         shard = _shard_of(mix(pairs), self.shards)
         order = np.argsort(shard, kind="stable")
         for s, a, b in _runs(shard[order]):
-            if s not in self.pair_shards:
+            if self.pair_files[s] < 0:
                 continue
-            keys = mapped(self.folder, f"pair-{s}.keys", np.uint64)
+            name, kind = f"pair-{s}-{self.pair_files[s]}", np.int64 if self.wide[s] else np.uint32
+            keys = mapped(self.folder, f"{name}.keys", np.uint64)
             wanted = pairs[order[a:b]]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            out[order[a:b]] = np.where(keys[at] == wanted, mapped(self.folder, f"pair-{s}.counts", np.uint32)[at], 0)
+            out[order[a:b]] = np.where(keys[at] == wanted, mapped(self.folder, f"{name}.counts", kind)[at], 0)
         return out
 
     def sums(self, numbers: np.ndarray) -> np.ndarray:
@@ -212,7 +227,7 @@ class Model:
         out = np.zeros((len(numbers), 5), dtype=np.int64)
         width = self.extra["sum_width"]
         for s, a, b in _runs(numbers // width):
-            table = mapped(self.folder, f"sums-{s}", np.int64).reshape(-1, 5)
+            table = mapped(self.folder, f"sums-{s}-{self.sum_files[s]}", np.int64).reshape(-1, 5)
             out[a:b] = table[numbers[a:b] - s * width]
         return out
 
@@ -265,7 +280,7 @@ def train(rows: DataFrame) -> Model:
     spark = rows.sparkSession
     folder = shared_folder(spark, "bigrams")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))))
+    shards = int(max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES)))
     kind = "shard int, keys binary, counts binary"
 
     def send_words(batches):
@@ -282,20 +297,26 @@ def train(rows: DataFrame) -> Model:
 
     def merge_words(batches):
         for shard, keys, counts in _by_shard(batches):
-            save(folder, f"word-{shard}.keys", keys)
-            save(folder, f"word-{shard}.counts", counts)
+            attempt = _attempt()
+            save(folder, f"word-{shard}-{attempt}.keys", keys)
+            save(folder, f"word-{shard}-{attempt}.counts", counts)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(keys)],
-                                              "total": [int(counts.sum())]})
+                                              "total": [int(counts.sum())], "attempt": [attempt]})
+
+    def numbered(table: pa.Table, column: str, fill: int) -> np.ndarray:
+        out = np.full(shards, fill, dtype=np.int64)
+        out[table.column("shard").to_numpy()] = table.column(column).to_numpy()
+        return out
 
-    sent = rows.mapInArrow(send_words, kind).repartition(shards, "shard").sortWithinPartitions("shard")
-    found = {r["shard"]: r for r in sent.mapInArrow(merge_words, "shard int, n long, total long").collect()}
-    first = np.cumsum([0] + [found[s]["n"] if s in found else 0 for s in range(shards)]).tolist()
+    sent = rows.mapInArrow(send_words, kind).repartitionById(shards, F.col("shard"))
+    found = sent.mapInArrow(merge_words, "shard int, n long, total long, attempt long").toArrow()    # one row a shard
+    if found.num_rows == 0:
+        return Model(folder, shards)
+    first = np.r_[0, np.cumsum(numbered(found, "n", 0))]
     if first[-1] > 2**32 - 2:
         raise ValueError("more distinct words than a pair can number")
-    model = Model(folder, shards, tuple(sorted(found)), tuple(first), sum(r["total"] for r in found.values()))
-    if not found:
-        return model
-    width = max(1, -(-(first[-1] + 1) // shards))
+    model = Model(folder, shards, first, int(found.column("total").to_numpy().sum()), numbered(found, "attempt", -1))
+    width = max(1, -(-(model.words + 1) // shards))
 
     def send_pairs(batches):
         counter = _Counter()
@@ -313,8 +334,9 @@ def train(rows: DataFrame) -> Model:
 
     def merge_pairs(batches):
         for shard, keys, counts in _by_shard(batches):
-            save(folder, f"pair-{shard}.keys", keys)
-            save(folder, f"pair-{shard}.counts", counts.astype(np.uint32))
+            attempt, wide = _attempt(), len(counts) > 0 and int(counts.max()) >= LARGE
+            save(folder, f"pair-{shard}-{attempt}.keys", keys)
+            save(folder, f"pair-{shard}-{attempt}.counts", counts if wide else counts.astype(np.uint32))
             context, word = (keys >> _U(32)).astype(np.int64), (keys & _U(2**32 - 1)).astype(np.int64)
             totals = []
             for numbers, values in ((word, np.ones(len(keys), dtype=np.int64)), (context, counts), (context, counts == 1),
@@ -329,26 +351,26 @@ def train(rows: DataFrame) -> Model:
                     out["field"].append(f)
                     out["ids"].append(_pack(np.diff(ids[a:b], prepend=0).astype(np.uint64)))
                     out["sums"].append(_pack(sums[a:b].astype(np.uint64)))
-            out["part"].append(-1 - shard)      # what the driver needs of this shard
-            out["field"].append(0)
+            out["part"].append(shard)           # what the driver needs of this shard
+            out["field"].append(OF_PAIRS)
             out["ids"].append(b"")
-            out["sums"].append(np.array(stats, dtype=np.int64).tobytes())
+            out["sums"].append(np.array([*stats, int(wide), attempt], dtype=np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["field"], pa.int32()),
                                               pa.array(out["ids"], pa.binary()), pa.array(out["sums"], pa.binary())],
                                              names=list(out))
 
     def merge_sums(batches):
         def flush(part, table):
-            held = table[:max(0, min(width, model.words + 1 - part * width))]
-            save(folder, f"sums-{part}", held.reshape(-1))
+            held, attempt = table[:max(0, min(width, model.words + 1 - part * width))], _attempt()
+            save(folder, f"sums-{part}-{attempt}", held.reshape(-1))
             a = held[:, 0]
-            return (part, *_count_of_counts(a), int(a.sum()))
+            return (part, False, *_count_of_counts(a), int(a.sum()), attempt)
 
         rows_out, table, last = [], None, None
         for batch in batches:
             for part, f, ids, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "field", "ids", "sums"))):
-                if part < 0:
-                    rows_out.append((part, *np.frombuffer(sums, dtype=np.int64).tolist(), 0))
+                if f == OF_PAIRS:
+                    rows_out.append((part, True, *np.frombuffer(sums, dtype=np.int64).tolist()))
                     continue
                 if part != last:
                     if last is not None:
@@ -360,17 +382,19 @@ def train(rows: DataFrame) -> Model:
             rows_out.append(flush(last, table))
         if rows_out:
             yield pa.RecordBatch.from_pydict(dict(zip(
-                ("part", "n1", "n2", "n3", "n4", "more", "total"), (list(c) for c in zip(*rows_out)))))
+                ("shard", "of_pairs", "n1", "n2", "n3", "n4", "more", "extra", "attempt"), (list(c) for c in zip(*rows_out)))))
 
-    sent = rows.mapInArrow(send_pairs, kind).repartition(shards, "shard").sortWithinPartitions("shard")
+    sent = rows.mapInArrow(send_pairs, kind).repartitionById(shards, F.col("shard"))
     partial = sent.mapInArrow(merge_pairs, "part int, field int, ids binary, sums binary")
-    done = partial.repartition(shards, "part").sortWithinPartitions("part") \
-        .mapInArrow(merge_sums, "part long, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()
-    high = np.sum([r[1:6] for r in done if r["part"] < 0], axis=0)
-    low = np.sum([r[1:6] for r in done if r["part"] >= 0], axis=0)
-    model.pair_shards = frozenset(-1 - r["part"] for r in done if r["part"] < 0)
+    done = partial.repartitionById(shards, F.col("part")).sortWithinPartitions("part") \
+        .mapInArrow(merge_sums, "shard long, of_pairs boolean, n1 long, n2 long, n3 long, n4 long, more long, extra long, "
+                                "attempt long").toArrow()
+    of_pairs, of_sums = (done.filter(m) for m in (done.column("of_pairs"), pc.invert(done.column("of_pairs"))))
+    high, low = (np.array([t.column(c).to_numpy().sum() for c in ("n1", "n2", "n3", "n4", "more")]) for t in (of_pairs, of_sums))
+    model.pair_files, model.wide = numbered(of_pairs, "attempt", -1), numbered(of_pairs, "extra", 0).astype(bool)
+    model.sum_files = numbered(of_sums, "attempt", -1)
     model.high, model.low = discounts(high[:4].tolist()), discounts(low[:4].tolist())
-    model.contexts = sum(r["total"] for r in done if r["part"] >= 0)
+    model.contexts = int(of_sums.column("extra").to_numpy().sum())
     model.low_mass = float(np.dot(model.low, [low[0], low[1], low[4]])) / model.contexts
     model.extra["sum_width"] = width
     return model

@@ -77,6 +77,13 @@ def test_kneser_ney_equals_brute_force_and_sums_to_one(spark, monkeypatch):
         assert sum(want.p(v, w) for w in want.uni) + want.p(v, b"unknown word") == pytest.approx(1.0)
 
 
+def test_kneser_ney_counts_above_the_stored_width(spark, monkeypatch):
+    """Pair shards with a count that the narrow width does not hold are stored wide; workers drop and map
+    arrays again."""
+    rows = [(i, "a b a b a b c" if i % 2 else f"w{i} w{i + 1}") for i in range(60)]
+    check_lm(spark, monkeypatch, rows, HELD=10, SHARD_BYTES=64, LARGE=3, KEPT=2)
+
+
 def test_kneser_ney_tiny_and_empty(spark, monkeypatch):
     check_lm(spark, monkeypatch, [(0, "one two one two"), (1, None), (2, "one")])
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
