@@ -119,3 +119,34 @@ def test_warc_fields_are_synthesised():
     a = archives.record_id("f", 10, "http://x", "2020")
     assert a == archives.record_id("f", 10, "http://x", "2020") != archives.record_id("f", 11, "http://x", "2020")
     assert a.startswith("urn:uuid:") and len(a) == 45
+
+
+def test_records_of_other_crawlers(spark, tmp_path):
+    """Name lookups, bodies without HTTP, any bytes, spaces in URLs, bare line feeds, headers that never end."""
+    def record(url, kind, body):
+        return url + b" 1.2.3.4 20061103120501 " + kind + b" %d\n" % len(body) + body + b"\n"
+
+    latin = b"HTTP/1.0 200 OK\nX-Name: caf\xe9\n\n\xff\xfe\x00\r\n\r\nbytes"
+    bodies = [(b"dns:a.example", b"text/dns", b"20061103120501\na.example. 60 IN A 1.2.3.4\n"),
+              (b"http://a.example/b c", b"text/html", latin), (b"http://a.example/\xe9", b"text/html", latin + b"!"),
+              (b"ftp://a.example/f", b"application/octet-stream", bytes(range(256))),
+              (b"http://a.example/twin", b"text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: x\r\n\r\n" + latin.split(b"\n\n", 1)[1]),
+              (b"http://a.example/cut", b"text/html", b"HTTP/1.1 204 No Content\r\nContent-Length: 0")]
+    arc, warc = tmp_path / "arc", f"file://{tmp_path}/warc"
+    arc.mkdir()
+    (arc / "one.arc.gz").write_bytes(gzip.compress(archives.arc_start(1, "one", "20061103120501")
+                                                   + b"".join(record(*b) for b in bodies)))
+    archives.convert_to_warc(spark, f"file://{arc}", warc)
+    payloads = [b[2] if not b[2].startswith(b"HTTP/") else b[2].split(b"\n\n", 1)[-1] for b in bodies]
+    payloads[4], payloads[5] = payloads[1], b""
+    got = archives.resolved(spark, warc).collect()
+    assert sorted((r["payload_bytes"], r["payload_digest"]) for r in got) == \
+        sorted((len(p), archives.sha1_base32(p)) for p in payloads)
+    assert sorted(r["record_type"] for r in got) == ["resource"] * 2 + ["response"] * 3 + ["revisit"]
+    assert all(r["page_id"] is None and r["refers_to"] is None for r in got)
+    found = {h["WARC-Target-URI"]: (h, b) for f in (tmp_path / "warc").glob("*.gz")
+             for h, b in archives.read_warc(gzip.decompress(f.read_bytes())) if h["WARC-Type"] != "warcinfo"}
+    assert set(found) == {"dns:a.example", "http://a.example/b%20c", "http://a.example/%E9", "ftp://a.example/f",
+                          "http://a.example/twin", "http://a.example/cut"}
+    assert found["dns:a.example"][0]["Content-Type"] == "text/dns" and found["ftp://a.example/f"][1] == bytes(range(256))
+    assert found["http://a.example/%E9"][1] == latin + b"!"
