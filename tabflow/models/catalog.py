@@ -75,7 +75,7 @@ _GRIDS = {
 }
 
 # parameters with no meaning for the Spark implementation; dropped before fitting
-_NO_SPARK_MEANING = {"solver", "algorithm", "normalize"}
+_NO_SPARK_MEANING = {"normalize"}
 
 
 def _grid_key(name: str) -> str | None:

@@ -30,7 +30,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabflow.models.base import FittedModel
@@ -188,6 +188,7 @@ def nearest(train: DataFrame, test: DataFrame, width: int, k: int, block_rows: i
     ``cells``: with (True), without (False), or as ``auto`` does (None).  ``report`` receives the number
     of cells, of pairs of rows that met, and of all pairs."""
     spark = train.sparkSession
+    test = test.select("_qid", "_x").toDF("_qid", "_x")             # both sides may come from one table
     types = ", ".join(f"{c} {train.schema[c].dataType.simpleString()}" for c in ("_tkey", "_tlabel"))
     train = cut_lineage(train.withColumn("_tid", F.monotonically_increasing_id()))      # ids are drawn once
     n_train, n_test = train.count(), test.count()
@@ -278,11 +279,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     rows = train.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"), x)
     votes = nearest(rows, test.select("_qid", x), len(features), k, block_rows, cells, report) \
         .select("_qid", "_dist", "_tlabel")
-    if weights == "distance":
-        has_zero = F.max((F.col("_dist") == 0).cast("int")).over(Window.partitionBy("_qid"))
-        w = F.when(has_zero == 1, (F.col("_dist") == 0).cast("double")).otherwise(1.0 / F.col("_dist"))
-    else:
-        w = F.lit(1.0)
+    w = _by_distance() if weights == "distance" else F.lit(1.0)
     scored = votes.withColumn("_w", w).groupBy("_qid", "_tlabel").agg(F.sum("_w").alias("_v"))
     tot = scored.groupBy("_qid").agg(F.sum("_v").alias("_tot"),
                                       F.min_by("_tlabel", F.struct((-F.col("_v")).alias("v"), F.col("_tlabel"))).alias("prediction"),
@@ -293,6 +290,46 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     return test.join(tot.drop("_m", "_tot"), "_qid", "left").drop("_qid")
 
 
+def _by_distance() -> Column:
+    """1 / distance; where a neighbour is at distance 0, only such ones count."""
+    has_zero = F.max((F.col("_dist") == 0).cast("int")).over(Window.partitionBy("_qid"))
+    return F.when(has_zero == 1, (F.col("_dist") == 0).cast("double")).otherwise(1.0 / F.col("_dist"))
+
+
+def search_scores(folded: DataFrame, name: str, features: list[str], label: str, points: list[dict], k: int,
+                  key: str | None) -> list[list[tuple]] | None:
+    """(test, train) accuracy of every point and fold from one search of the most neighbours per fold: fewer
+    neighbours and other weights are read off it.  None for other learners and for missing labels."""
+    if name != "knn" or key is None or any(set(p) - {"n_neighbors", "weights", "algorithm"} for p in points):
+        return None
+    if not folded.where(F.col(f"`{label}`").isNull()).isEmpty():
+        return None
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x")
+    rows = cut_lineage(folded.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"),
+                                     F.col("fold").alias("_fold"), x, F.monotonically_increasing_id().alias("_qid")))
+    of = [(p.get("n_neighbors", 5), p.get("weights", "uniform")) for p in points]
+    settings = sorted(set(of))
+    cells = False if all(p.get("algorithm") == "brute" for p in points) else None
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(w == "distance").alias("far"))
+                               for i, (n, w) in enumerate(settings)]))
+    scores = []
+    for f in range(k):
+        found = nearest(rows.where(F.col("_fold") != f).select("_tkey", "_tlabel", "_x"), rows.select("_qid", "_x"),
+                        len(features), max(n for n, _ in settings), cells=cells)
+        votes = found.withColumn("_far", _by_distance()).select("_qid", "_nth", "_tlabel", "_far", each.alias("s")) \
+            .where(F.col("_nth") <= F.col("s.n"))
+        tally = votes.groupBy("_qid", F.col("s.i").alias("i"), "_tlabel") \
+            .agg(F.sum(F.when(F.col("s.far"), F.col("_far")).otherwise(1.0)).alias("v"))
+        picked = tally.groupBy("_qid", "i").agg(F.min_by("_tlabel", F.struct(-F.col("v"), "_tlabel")).alias("_picked"))
+        right = picked.join(rows.select("_qid", "_tlabel", "_fold"), "_qid") \
+            .groupBy("i", (F.col("_fold") == f).alias("test")).agg(F.avg((F.col("_picked") == F.col("_tlabel")).cast("double")).alias("a"))
+        scores.append({(r["i"], r["test"]): r["a"] for r in right.collect()})
+    if any(len(s) < 2 * len(settings) for s in scores):
+        return None
+    at = {s: i for i, s in enumerate(settings)}
+    return [[(s[at[o], True], s[at[o], False]) for s in scores] for o in of]
+
+
 def fit_knn(train: DataFrame, features: list[str], label: str, key: str, n_neighbors: int = 5,
             weights: str = "uniform", algorithm: str = "auto", **_) -> FittedModel:
     from tabflow.models.base import class_list

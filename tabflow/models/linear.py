@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.models.base import FEATURES, LABEL_IDX, FittedModel, assembled, class_list, index_labels
+from tabflow.models.newton import fit_one_vs_rest
 
 
 def _y(label: str):
@@ -97,14 +98,19 @@ def fit_lasso(train: DataFrame, features: list[str], label: str, alpha: float =
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, C: float = 1.0, max_iter: int = 100,
-                 **_) -> FittedModel:
+                 solver: str = "lbfgs", **_) -> FittedModel:
+    """``lbfgs``: free intercept, softmax above two classes; ``liblinear``: the intercept is penalised
+    like a weight, one class against the rest."""
+    if solver == "liblinear":
+        return fit_one_vs_rest(train, features, label, C, max_iter)
     classes = class_list(train, label)
     n = train.count()
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL_IDX, regParam=1.0 / (C * n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                             family="binomial" if len(classes) <= 2 else "multinomial")
     data = assembled(index_labels(train, label, classes), features)
-    return FittedModel("logistic_regression", "classification", features, label, {"C": C, "max_iter": max_iter},
+    return FittedModel("logistic_regression", "classification", features, label,
+                       {"C": C, "max_iter": max_iter, "solver": solver},
                        classes=classes, spark_model=lr.fit(data), has_probability=True)
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.models import catalog, gram, trees
+from tabflow.models import catalog, gram, knn, newton, trees
 from tabflow.models.base import FittedModel
 from tabflow.operators.evaluate import classification_metrics, regression_metrics
 from tabflow.operators.split import kfold, stratified_kfold
@@ -48,9 +48,11 @@ def _fold_scores(folded: DataFrame, name, features, label, kind, key, params, k,
 
 
 def shared_scores(folded: DataFrame, name: str, features: list[str], label: str, kind: str, points: list[dict],
-                  k: int) -> list[list[tuple]] | None:
+                  k: int, key: str | None = None) -> list[list[tuple]] | None:
     """Scores of every point and fold from statistics gathered once, for learners that have such; else None."""
     return gram.search_scores(folded, name, features, label, points, k) \
+        or newton.search_scores(folded, name, features, label, points, k) \
+        or knn.search_scores(folded, name, features, label, points, k, key) \
         or trees.search_scores(folded, name, features, label, kind, points, k)
 
 
@@ -70,7 +72,7 @@ def cross_validate(train: DataFrame, key: str, features: list[str], label: str,
     """k-fold test and train scores of one setting (population std, like numpy)."""
     folded = add_folds(train, key, label, kind, k, seed).persist()
     try:
-        together = shared_scores(folded, name, features, label, kind, [params or {}], k)
+        together = shared_scores(folded, name, features, label, kind, [params or {}], k, key)
         if together is None:
             with ThreadPoolExecutor(max(1, parallelism)) as pool:
                 together = [_fold_scores(folded, name, features, label, kind, key, params or {}, k, pool)]
@@ -99,7 +101,7 @@ def grid_search(train: DataFrame, key: str, features: list[str], label: str, nam
     folded = add_folds(train, key, label, kind, k, seed).persist()
     rows = []
     try:
-        together = shared_scores(folded, name, features, label, kind, grid, k)
+        together = shared_scores(folded, name, features, label, kind, grid, k, key)
         if together is not None:
             rows = [(p, _summary(s)) for p, s in zip(grid, together)]
             grid = []

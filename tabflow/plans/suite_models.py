@@ -466,6 +466,39 @@ def model_summary_docs(spark, sf):
     return catalog.model_summary(m, "classification", counts.get("train", 0), counts.get("test", 0), spark)
 
 
+def _newton_sql(steps: int) -> str:
+    """Undamped Newton steps on the training documents for each (c, free) of ``p``, 3 x 3 systems by Cramer's rule."""
+    out = ["""pr AS (SELECT * FROM (VALUES (0.01), (1.0), (100.0)) a(c), (VALUES (0), (1)) b(free)),
+ z AS MATERIALIZED (SELECT n_chars AS x, lang_code AS v, quality AS y FROM tr),
+ w0 AS (SELECT c, free, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS d FROM pr)"""]
+    for i in range(steps):
+        out.append(f""" s{i} AS (SELECT c, free, a, b, d, c * sum((p - y) * x) + a AS g1, c * sum((p - y) * v) + b AS g2,
+    c * sum(p - y) + (1 - free) * d AS g3, c * sum(h * x * x) + 1 AS h11, c * sum(h * x * v) AS h12, c * sum(h * x) AS h13,
+    c * sum(h * v * v) + 1 AS h22, c * sum(h * v) AS h23, c * sum(h) + 1 - free AS h33
+    FROM (SELECT *, p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-(a * x + b * v + d))) AS p FROM z, w{i})) GROUP BY c, free, a, b, d),
+ w{i + 1} AS MATERIALIZED (SELECT c, free,
+    a - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det AS a,
+    b - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det AS b,
+    d - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det AS d
+    FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM s{i}))""")
+    return ",\n".join(out)
+
+
+@register("logistic_newton_docs", sql=f"""WITH {_DS}, {_newton_sql(15)}
+SELECT CAST(c AS DOUBLE) AS c, CAST(free AS INTEGER) AS free_intercept, a AS n_chars, b AS lang_code, d AS intercept FROM w15""",
+          round={"n_chars": 6, "lang_code": 6, "intercept": 6})
+def logistic_newton_docs(spark, sf):
+    """Coefficients for three strengths, with a penalised and with a free intercept, solved together."""
+    from tabflow.models import newton
+    data, _ = docs_classification(spark, sf)
+    rows = newton.rows_of(data.where(F.col("split") == "train"), ["n_chars", "lang_code"], "quality", [0, 1])
+    problems = [newton.Problem(c, free, 1) for c in (0.01, 1.0, 100.0) for free in (False, True)]
+    w = newton.solve(rows.persist(), 2, problems)
+    rows.unpersist()
+    return spark.createDataFrame([(p.C, int(p.free_intercept), *map(float, r)) for p, r in zip(problems, w)],
+                                 "c double, free_intercept int, n_chars double, lang_code double, intercept double")
+
+
 @register("class_counts_test_docs", sql=f"""WITH {_DS} SELECT quality AS class, count(*) AS n FROM sp WHERE split = 'test' GROUP BY quality""")
 def class_counts_test_docs(spark, sf):
     data, _ = docs_classification(spark, sf)

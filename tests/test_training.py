@@ -27,7 +27,7 @@ def test_leaderboard_with_grid_search_and_best(spark):
     best = max(rows, key=lambda r: (r["accuracy"], -r["position"]))
     assert lb.best_name == best["model"]
     assert lb.prepared.label_offset == 1
-    assert sum(t.count() for t in lb.cv_tables) == 4 + 18      # naive Bayes 4 points, logistic 18
+    assert sum(t.count() for t in lb.cv_tables) == 4 + 36      # naive Bayes 4 points, logistic 36
 
 
 def test_leaderboard_error_row(spark):
