@@ -138,15 +138,12 @@ def curve_auc(curve: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(actual, predicted, n) for every pair of the sorted union of labels, zeros kept.
-    The pair grid is generated from the (bounded) label list, not by a join."""
+    """(actual, predicted, n) for every pair of the sorted union of labels, zeros kept.  The grid unfolds
+    from one array of the labels inside the plan: labels x labels rows are the result's own size."""
     counts = confusion_counts(scored, label, prediction)
-    labels = sorted({r["v"] for r in counts.select(F.col("actual").alias("v"))
-                     .union(counts.select(F.col("predicted").alias("v"))).distinct().collect()
-                     if r["v"] is not None})
-    arr = F.array(*[F.lit(v) for v in labels])
-    grid = (scored.sparkSession.range(1)
-            .select(F.explode(arr).alias("actual")).select("actual", F.explode(arr).alias("predicted")))
+    both = counts.select(F.explode(F.array("actual", "predicted")).alias("v"))
+    rows = both.agg(F.array_sort(F.collect_set("v")).alias("v")).select("v", F.explode("v").alias("actual"))
+    grid = rows.repartition("actual").select("actual", F.explode("v").alias("predicted"))
     return (grid.join(counts, ["actual", "predicted"], "left")
                 .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
