@@ -189,6 +189,12 @@ def forest_local(c: cl.Cells, job: tuple[Forest, list[int]]) -> list[Tree]:
     return out
 
 
+#: rows kept apart by y whose draws are added up at once
+DRAW_ROWS = 1 << 18
+#: cells whose scores a Python worker keeps
+KNOWN_CELLS = 1 << 16
+
+
 class SparkNodes:
     """Evaluator over distributed cells: one job sums the histograms of all asked nodes by (node, feature, bin) and
     takes the best split of each; a row per node comes back.  ``weigh`` gives (g, h, n) of a batch's cells."""
@@ -330,6 +336,60 @@ def forest_spark(table: DataFrame, plan: Forest, outputs: int, p: int) -> list[T
     return out
 
 
+def drawn_cells(table: DataFrame, plan: Forest, merged: cl.Cells, outputs: int) -> DataFrame:
+    """(tree, cell, n, sums) of every tree's bootstrap: the draws of rows kept apart by y, added up by the cells of
+    equal bins, whose bins ``merged`` holds.  Chunks of ``DRAW_ROWS`` rows are added up before they are shuffled."""
+    sent = table.sparkSession.sparkContext.broadcast(merged.bins)
+    names = [f"s{k}" for k in range(outputs)]
+
+    def run(batches):
+        place = {b.tobytes(): i for i, b in enumerate(sent.value)}
+        held, rows = [], 0
+
+        def added():
+            x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            own, of = np.unique(np.array([place[b.tobytes()] for b in x["bins"].astype(np.int16)]), return_inverse=True)
+            for t in range(plan.trees):
+                sums, n = plan.drawn(t, x["bins"], x["n"], x["sums"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), t, dtype=np.int32)), pa.array(own.astype(np.int32)),
+                     *[pa.array(np.bincount(of, v, len(own))) for v in (n, *sums.T)]], names=["tree", "cell", "n", *names])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(_arrays(batch))
+                rows += batch.num_rows
+            if rows >= DRAW_ROWS:
+                yield from added()
+                held, rows = [], 0
+        if held:
+            yield from added()
+
+    spread = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // DRAW_ROWS))
+    return table.select("bins", "n", "sums").repartition(spread, "bins", "sums", "n") \
+        .mapInArrow(run, "tree int, cell int, n double, " + ", ".join(f"{c} double" for c in names))
+
+
+def forest_drawn(table: DataFrame, plan: Forest, merged: cl.Cells, outputs: int) -> list[Tree]:
+    """The trees of ``forest_spark`` where the cells of equal bins are few though those kept apart by y are many: one
+    job draws and adds up the cells of all trees, and a task each grows them."""
+    ship_package(table.sparkSession)
+    names = [f"s{k}" for k in range(outputs)]
+    sent = table.sparkSession.sparkContext.broadcast(merged.bins)
+
+    def grown(rows: pa.Table) -> pa.Table:
+        bins, cell = sent.value, rows["cell"].to_numpy()
+        n, *sums = [np.bincount(cell, rows[c].to_numpy(), len(bins)) for c in ("n", *names)]
+        t = rows["tree"][0].as_py()
+        tree = grow_levels(bins, np.column_stack(sums), n, n, plan.rules, plan.tried, (plan.seed, t)).arrays()
+        return pa.table({"tree": pa.array([t], pa.int32()), "made": [pickle.dumps(tree)]})
+
+    whole = drawn_cells(table, plan, merged, outputs).groupBy("tree", "cell").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    made = whole.repartition(plan.trees, "tree").groupBy("tree").applyInArrow(grown, "tree int, made binary").collect()
+    sent.unpersist()
+    return [pickle.loads(r["made"]) for r in sorted(made, key=lambda r: r["tree"])]
+
+
 def fit_many(spark: SparkSession, cells: cl.Cells, jobs: list, one) -> list:
     """``one(cells, job)`` of every job, a task each; the cells, of checked size, are broadcast."""
     ship_package(spark)
@@ -351,7 +411,9 @@ class Scorer:
     base: np.ndarray
     trees: list[tuple]                  # (output, feature, threshold, left, right, values)
     outputs: int
-    sent: object = None                 # the broadcast model
+    cuts: list[np.ndarray] = field(default_factory=list)
+    sent: object = None                 # the broadcast scorer
+    known: dict[bytes, np.ndarray] = field(default_factory=dict)       # scores of cells met, at most KNOWN_CELLS
 
     @classmethod
     def of(cls, model: Boosted | list[Tree], cuts: list[np.ndarray]) -> Scorer:
@@ -367,9 +429,22 @@ class Scorer:
 
         if isinstance(model, list):
             outputs = model[0].values.shape[1]
-            return cls(np.zeros(outputs), [(None, *flat(tree, 1 / len(model))) for tree in model], outputs)
+            return cls(np.zeros(outputs), [(None, *flat(tree, 1 / len(model))) for tree in model], outputs, cuts)
         return cls(model.base, [(k, *flat(tree, model.rate)) for r in model.rounds for k, tree in enumerate(r)],
-                   len(model.base))
+                   len(model.base), cuts)
+
+    def by_cells(self, x: np.ndarray) -> np.ndarray:
+        """``raw`` of rows; rows of equal bins take the same way through every tree, so each cell is scored once."""
+        bins = np.column_stack([np.where(np.isnan(v), len(c) + 1, np.searchsorted(c, v, side="right"))
+                                for v, c in zip(x.T, self.cuts)]).astype(np.int32)
+        _, first, of = np.unique(bins.view(np.dtype((np.void, bins.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+        names = [b.tobytes() for b in bins[first]]
+        new = [i for i, b in enumerate(names) if b not in self.known]
+        if len(self.known) + len(new) > KNOWN_CELLS:
+            self.known.clear()
+            new = list(range(len(names)))
+        self.known.update(zip([names[i] for i in new], self.raw(x[first[new]])))
+        return np.array([self.known[b] for b in names])[of.ravel()]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.tile(self.base, (len(x), 1))
@@ -392,13 +467,14 @@ def raw_scores(df: DataFrame, features: list[str], scorer: Scorer, name: str) ->
     """``df`` with the array of summed scores, a row at a time of Arrow batches."""
     ship_package(df.sparkSession)
     if scorer.sent is None:
-        scorer.sent = df.sparkSession.sparkContext.broadcast((scorer.base, scorer.trees, scorer.outputs))
+        scorer.sent = df.sparkSession.sparkContext.broadcast(Scorer(scorer.base, scorer.trees, scorer.outputs, scorer.cuts))
     sent = scorer.sent
 
     @F.pandas_udf("array<double>")
     def raw(x: pd.Series) -> pd.Series:
-        rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(features)))
-        return pd.Series(list(Scorer(*sent.value).raw(rows.astype(np.float64))))
+        if not len(x):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(sent.value.by_cells(np.stack(x.to_numpy()).astype(np.float64))))
 
     return df.withColumn(name, raw(F.array(*[cl.num(f) for f in features])))
 

@@ -108,3 +108,15 @@ def collected(table: DataFrame, features: int, outputs: int) -> Cells:
                   t["group"].to_numpy(), t["fold"].to_numpy())
     order = np.lexsort([*cells.sums.T, cells.fold, cells.group, *bins.T[::-1]])
     return cells.where(order)
+
+
+def merged(table: DataFrame, features: int, outputs: int) -> Cells | None:
+    """The cells of equal bins, whatever their y and group, of a table that keeps them apart; None where these are too
+    many to be broadcast."""
+    whole = table.groupBy("bins").agg(
+        F.lit(0).alias("group"), F.lit(-1).alias("fold"), F.sum("n").alias("n"),
+        F.array(*[F.sum(F.col("sums")[k]) for k in range(outputs)]).alias("sums"), F.sum("squares").alias("squares")).persist()
+    try:
+        return collected(whole, features, outputs) if size_of(whole, features, outputs) <= LOCAL_ENTRIES else None
+    finally:
+        whole.unpersist()

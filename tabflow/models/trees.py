@@ -128,6 +128,8 @@ def _random_forest(name, train, features, label, classes, **params) -> FittedMod
     if cells is not None:
         jobs = [(plan, list(range(i, min(i + TREES_A_TASK, plan.trees)))) for i in range(0, plan.trees, TREES_A_TASK)]
         grown = [t for made in bo.fit_many(train.sparkSession, cells, jobs, bo.forest_local) for t in made]
+    elif classes is None and (few := cl.merged(table, len(features), 1)) is not None:
+        grown = bo.forest_drawn(table, plan, few, 1)
     else:
         grown = bo.forest_spark(table, plan, 1 if classes is None else len(classes), len(features))
     return _fitted(name, features, label, params, classes, cuts, grown, "share", _importances(grown, len(features)))

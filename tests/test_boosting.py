@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabflow.models import catalog, cells, trees, tune
+from tabflow.models import boosting, catalog, cells, trees, tune
 from tabflow.operators.evaluate import classification_metrics, regression_metrics
 
 FEATURES = ["a", "b", "c"]
@@ -163,6 +163,35 @@ def test_distributed_growth_equals_growth_in_a_task(spark, name, classes, params
     assert np.allclose(own.extra["importances"], far.extra["importances"], atol=1e-9)
 
 
+def test_forest_of_many_targets_in_few_cells_needs_no_job_a_level(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(a), float(b), float(y)) for a, b, y in
+                                zip(rng.integers(0, 5, 600), rng.integers(0, 4, 600), rng.normal(size=600))], "a double, b double, y double")
+    own = catalog.fit("random_forest_regression", df, ["a", "b"], "y", n_estimators=4)
+    monkeypatch.setattr(cells, "LOCAL_ENTRIES", 1000)           # 600 cells of equal y, 20 of equal bins
+    monkeypatch.setattr(boosting, "DRAW_ROWS", 64)
+    monkeypatch.setattr(boosting, "forest_spark", None)
+    far = catalog.fit("random_forest_regression", df, ["a", "b"], "y", n_estimators=4)
+    for s, t in zip(own.extra["trees"], far.extra["trees"], strict=True):
+        assert s.feature.tolist() == t.feature.tolist() and s.bin.tolist() == t.bin.tolist()
+        assert np.allclose(s.values, t.values, atol=1e-12)
+
+
+def test_scores_of_cells_equal_scores_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "KNOWN_CELLS", 40)
+    df = frame(spark, 300)
+    model = catalog.fit("boosted_trees_a_regression", df, FEATURES, "y", n_estimators=3)
+    scorer = boosting.Scorer.of(model.extra["trees"], model.extra["cuts"])
+    x = np.vstack([np.random.default_rng(2).normal(size=(200, 3)).round(1) * 9, np.diag([math.nan, math.inf, -math.inf]), matrix(df)[0]])
+    met = []
+    raw = scorer.raw
+    monkeypatch.setattr(scorer, "raw", lambda z: met.append(len(z)) or raw(z))
+    got = [scorer.by_cells(z) for z in (x[:30], x[:30], x)]
+    assert met[1] == 0 and met[0] <= 30 and len(met) == 3
+    for g, z in zip(got, (x[:30], x[:30], x)):
+        assert (g == raw(z)).all()
+
+
 def test_num_leaves_counts_leaves(spark):
     df = frame(spark, 3000)
     for leaves in (31, 50, 100):
