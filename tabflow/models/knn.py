@@ -10,6 +10,9 @@ All bounds carry the rounding of their own arithmetic, so the neighbours are tho
 single one (every row meets every row), ``auto`` takes cells for tables of more than one block with at
 most ``AUTO_FEATURES`` features, where balls are still apart.  The result is the same with each.
 
+Training rows at the same point are equally far from any query, so only the k first of them by key take
+part; query rows at the same point have the same neighbours and are searched once.  Hot points cost no more than others.
+
 Every row gets an id of its own, so repeated or missing keys do not matter.  Cells are dealt by that id
 into blocks of bounded size, and so are the queries that visit a cell; a pair of blocks meets once in a
 cogrouped task.  There a matrix screen finds, for every query row, all training rows no
@@ -180,6 +183,23 @@ def _meet(spark: SparkSession, train: DataFrame, visits: DataFrame, asked: dict,
         .applyInArrow(winners, f"_qid long, _dist double, {types}")
 
 
+def _point(x: Column) -> Column:
+    """Equal for rows at the same point: a missing element is NaN, and there is one zero."""
+    return F.transform(x, lambda v: F.coalesce(v, F.lit(float("nan"))) + F.lit(0.0))
+
+
+def _firsts(train: DataFrame, k: int) -> DataFrame:
+    """The k first rows by key of every point; no other can be among k nearest."""
+    order = Window.partitionBy("_x").orderBy(F.col("_tkey").asc_nulls_last(), "_tlabel")
+    return train.withColumn("_x", _point(F.col("_x"))).withColumn("_nth", F.row_number().over(order)) \
+        .where(F.col("_nth") <= k).drop("_nth")
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """(_qid, _x): the points of ``rows`` (_x), each with a number of its own."""
+    return cut_lineage(rows.select("_x").distinct().withColumn("_qid", F.monotonically_increasing_id()).select("_qid", "_x"))
+
+
 def nearest(train: DataFrame, test: DataFrame, width: int, k: int, block_rows: int | None = None,
             cells: bool | None = None, report: dict | None = None) -> DataFrame:
     """(_qid, _dist, _tkey, _tlabel, _nth): the k nearest rows of ``train`` (_tkey, _tlabel, _x) of every
@@ -190,8 +210,9 @@ def nearest(train: DataFrame, test: DataFrame, width: int, k: int, block_rows: i
     spark = train.sparkSession
     test = test.select("_qid", "_x").toDF("_qid", "_x")             # both sides may come from one table
     types = ", ".join(f"{c} {train.schema[c].dataType.simpleString()}" for c in ("_tkey", "_tlabel"))
-    train = cut_lineage(train.withColumn("_tid", F.monotonically_increasing_id()))      # ids are drawn once
-    n_train, n_test = train.count(), test.count()
+    n_all, n_test = train.count(), test.count()
+    train = cut_lineage(_firsts(train, k).withColumn("_tid", F.monotonically_increasing_id()))      # ids are drawn once
+    n_train = train.count()
     block = block_rows or min(MAX_BLOCK, max(MIN_BLOCK, math.ceil(n_train / (2 * spark.sparkContext.defaultParallelism))))
     if cells is None:
         cells = width <= AUTO_FEATURES and n_train > MAX_BLOCK
@@ -221,7 +242,7 @@ def nearest(train: DataFrame, test: DataFrame, width: int, k: int, block_rows: i
         return _meet(spark, train, visits, asked, block, block_rows or MAX_BLOCK, width, k, types, rows_of)
 
     def first_k(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("_qid").orderBy("_dist", "_tkey")
+        order = Window.partitionBy("_qid").orderBy("_dist", F.col("_tkey").asc_nulls_last())
         return found.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k)
 
     work = n_test * n_train
@@ -261,7 +282,7 @@ def nearest(train: DataFrame, test: DataFrame, width: int, k: int, block_rows: i
         found = first_k(found)
         work = sum(rows_of.get(c, 0) * n for part in (asked, more) for c, n in part.items())
     if report is not None:
-        report.update(cells=n_cells, pairs_met=work, pairs=n_test * n_train)
+        report.update(cells=n_cells, pairs_met=work, pairs=n_test * n_all)
     return found
 
 
@@ -270,14 +291,15 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
                 block_rows: int | None = None, algorithm: str = "auto", report: dict | None = None) -> DataFrame:
     """``test`` with ``prediction`` (and ``probability`` by ``classes``): the vote of its k nearest rows of ``train``."""
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x")
-    test = cut_lineage(test.withColumn("_qid", F.monotonically_increasing_id()))    # ids are drawn once
     label_type = train.schema[label].dataType.simpleString()
     if train.isEmpty():
-        out = test.drop("_qid").withColumn("prediction", F.lit(None).cast(label_type))
+        out = test.withColumn("prediction", F.lit(None).cast(label_type))
         return out.withColumn("probability", F.lit(None).cast("array<double>")) if classes else out
     cells = {"auto": None, "brute": False, "kd_tree": True, "ball_tree": True}[algorithm]
     rows = train.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"), x)
-    votes = nearest(rows, test.select("_qid", x), len(features), k, block_rows, cells, report) \
+    test = cut_lineage(test.withColumn("_x", _point(F.array(*[F.col(f"`{f}`").cast("double") for f in features]))))
+    points = _points(test)
+    votes = nearest(rows, points, len(features), k, block_rows, cells, report) \
         .select("_qid", "_dist", "_tlabel")
     w = _by_distance() if weights == "distance" else F.lit(1.0)
     scored = votes.withColumn("_w", w).groupBy("_qid", "_tlabel").agg(F.sum("_w").alias("_v"))
@@ -287,7 +309,8 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     if classes:
         prob = F.array(*[F.coalesce(F.col("_m")[F.lit(c)], F.lit(0.0)) / F.col("_tot") for c in classes])
         tot = tot.withColumn("probability", prob)
-    return test.join(tot.drop("_m", "_tot"), "_qid", "left").drop("_qid")
+    answers = points.join(tot.drop("_m", "_tot"), "_qid").drop("_qid")
+    return test.join(answers, "_x", "left").drop("_x")
 
 
 def _by_distance() -> Column:
@@ -304,9 +327,11 @@ def search_scores(folded: DataFrame, name: str, features: list[str], label: str,
         return None
     if not folded.where(F.col(f"`{label}`").isNull()).isEmpty():
         return None
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x")
+    x = _point(F.array(*[F.col(f"`{f}`").cast("double") for f in features])).alias("_x")
     rows = cut_lineage(folded.select(F.col(f"`{key}`").alias("_tkey"), F.col(f"`{label}`").alias("_tlabel"),
-                                     F.col("fold").alias("_fold"), x, F.monotonically_increasing_id().alias("_qid")))
+                                     F.col("fold").alias("_fold"), x))
+    places = _points(rows)
+    alike = cut_lineage(rows.groupBy("_x", "_tlabel", "_fold").agg(F.count(F.lit(1)).alias("n")).join(places, "_x").drop("_x"))
     of = [(p.get("n_neighbors", 5), p.get("weights", "uniform")) for p in points]
     settings = sorted(set(of))
     cells = False if all(p.get("algorithm") == "brute" for p in points) else None
@@ -314,15 +339,15 @@ def search_scores(folded: DataFrame, name: str, features: list[str], label: str,
                                for i, (n, w) in enumerate(settings)]))
     scores = []
     for f in range(k):
-        found = nearest(rows.where(F.col("_fold") != f).select("_tkey", "_tlabel", "_x"), rows.select("_qid", "_x"),
+        found = nearest(rows.where(F.col("_fold") != f).select("_tkey", "_tlabel", "_x"), places,
                         len(features), max(n for n, _ in settings), cells=cells)
         votes = found.withColumn("_far", _by_distance()).select("_qid", "_nth", "_tlabel", "_far", each.alias("s")) \
             .where(F.col("_nth") <= F.col("s.n"))
         tally = votes.groupBy("_qid", F.col("s.i").alias("i"), "_tlabel") \
             .agg(F.sum(F.when(F.col("s.far"), F.col("_far")).otherwise(1.0)).alias("v"))
         picked = tally.groupBy("_qid", "i").agg(F.min_by("_tlabel", F.struct(-F.col("v"), "_tlabel")).alias("_picked"))
-        right = picked.join(rows.select("_qid", "_tlabel", "_fold"), "_qid") \
-            .groupBy("i", (F.col("_fold") == f).alias("test")).agg(F.avg((F.col("_picked") == F.col("_tlabel")).cast("double")).alias("a"))
+        right = picked.join(alike, "_qid").groupBy("i", (F.col("_fold") == f).alias("test")) \
+            .agg((F.sum(F.when(F.col("_picked") == F.col("_tlabel"), F.col("n")).otherwise(0)) / F.sum("n")).alias("a"))
         scores.append({(r["i"], r["test"]): r["a"] for r in right.collect()})
     if any(len(s) < 2 * len(settings) for s in scores):
         return None

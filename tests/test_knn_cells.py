@@ -1,5 +1,7 @@
 """Cells of the neighbour search: the same neighbours as a full search, fewer pairs met."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -107,3 +109,20 @@ def test_empty_sides(spark):
     for algorithm in ("brute", "kd_tree"):
         assert knn.knn_predict(df, none, ["a"], "y", "k", algorithm=algorithm).collect() == []
         assert knn.knn_predict(none, df, ["a"], "y", "k", algorithm=algorithm).first()["prediction"] is None
+
+
+def test_copies_of_a_point_meet_once(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (600, 2))
+    df = spark.createDataFrame([(i, float(a), None if i % 50 == 7 else float(b), i % 4) for i, (a, b) in enumerate(x.tolist())],
+                               "k long, a double, b double, y int")
+    train, test = df.where("k >= 200"), df.where("k < 200")
+    report = {}
+    got = {r["k"]: r["prediction"] for r in knn.knn_predict(train, test, ["a", "b"], "y", "k", 5, report=report).collect()}
+    rows = [(r["k"], np.array([r["a"], math.nan if r["b"] is None else r["b"]]), r["y"]) for r in df.collect()]
+    for key, q, _ in (r for r in rows if r[0] < 200):
+        far = {r[0]: np.sqrt(((r[1] - q) ** 2).sum()) for r in rows if r[0] >= 200}
+        near = sorted((r for r in rows if r[0] >= 200), key=lambda r: (math.isnan(far[r[0]]), 0 if math.isnan(far[r[0]]) else far[r[0]], r[0]))[:5]
+        votes = [r[2] for r in near]
+        assert got[key] == min(set(votes), key=lambda v: (-votes.count(v), v))
+    assert len(got) == 200 and report["pairs_met"] <= 12 * 60       # points of the queries, five rows of a point each
