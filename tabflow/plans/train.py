@@ -32,6 +32,10 @@ CLS_SCHEMA = ("position int, model string, accuracy double, f1 double, precision
               "params string, error string")
 
 
+#: rows that one partition of the table may hold where cores are free
+SPREAD_ROWS = 50_000
+
+
 @dataclass
 class Prepared:
     data: DataFrame            # scaled features, label, key and split column
@@ -86,6 +90,13 @@ class Leaderboard:
         return self.models.get(self.best_name)
 
 
+def _spread(data: DataFrame) -> DataFrame:
+    """Enough partitions for the fits: a small file of many rows comes in one or two, which iterations over it do
+    not outgrow.  Tables of at most ``SPREAD_ROWS`` rows stay as they are."""
+    wanted = min(2 * data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // SPREAD_ROWS))
+    return data.repartition(wanted) if wanted > data.rdd.getNumPartitions() else data
+
+
 def train_all(df: DataFrame, key: str, features: list[str], label: str, models: list[str] | None = None,
               test_size: float = 0.2, search: str | None = None, n_iter: int = 10, cv_folds: int = 3,
               cross_validation: bool = False, seed: int = 42, parallelism: int = 4,
@@ -99,7 +110,7 @@ def train_all(df: DataFrame, key: str, features: list[str], label: str, models:
     prep = prepare_split(df, key, features, label, test_size, seed)
     kind = prep.problem_type
     names = models if models is not None else catalog.default_selection(kind)
-    data = prep.data.persist()
+    data = _spread(prep.data).persist()
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
 
     def run(pos: int, name: str):

@@ -99,3 +99,13 @@ def test_approximate_paths(spark):
     assert a["describe"].count() == 4 and a["box"].count() == 2
     cleaned, rec = prepare(df, "y", strategy="median", outlier_cols=["a", "b"], exact=False)
     assert cleaned.where(F.col("a").isNull()).count() == 0 and rec.count() >= 1
+
+
+def test_a_table_in_one_partition_is_spread_for_the_fits(spark, monkeypatch):
+    from tabflow.plans import train
+    df = spark.range(0, 400, 1, 1)
+    assert train._spread(df).rdd.getNumPartitions() == 1            # few rows stay as they are
+    monkeypatch.setattr(train, "SPREAD_ROWS", 50)
+    wide = train._spread(df)
+    assert wide.rdd.getNumPartitions() == min(8, 2 * spark.sparkContext.defaultParallelism)
+    assert sorted(r["id"] for r in wide.collect()) == list(range(400))
