@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm.arrow import text_slices, texts
+from tabflow.llm.arrow import text_slices
 from tabflow.llm.bpe_words import word_table
 from tabflow.sources.parquet import load_table
 
@@ -57,6 +57,12 @@ class Bm25Index:
         self.own = np.repeat(np.arange(len(df)), df)[order]
         self.own_start = np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
+    def forget(self, gone: np.ndarray) -> None:
+        """Leave out the postings of documents that are used up; the others keep their weights and scores."""
+        kept = ~gone[self.doc]
+        self.start = np.concatenate([[0], np.cumsum(kept)])[self.start]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the distinct terms of one of them."""
         t = self.own[self.own_start[seed]:self.own_start[seed + 1]]
@@ -102,9 +108,14 @@ class Packer:
         index = Bm25Index([ids for _, ids, _ in self.pool])
         seeds = iter(np.argsort(-left, kind="stable").tolist())
         seed = next(seeds)
+        indexed = len(left)
         while waiting >= self.window:
             while left[seed] == 0:
                 seed = next(seeds)
+            open_docs = np.count_nonzero(left)
+            if open_docs < 0.8 * indexed:
+                index.forget(left == 0)
+                indexed = open_docs
             ranked = index.scores(seed)
             ranked[left == 0] = -1.0
             ranked[seed] = np.inf
@@ -172,13 +183,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         from pyspark import TaskContext
         words = word_table(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId(), window)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype="<u4")
         shard, held, kind = [], 0, pa.int64()
         for big in batches:
             kind = big.schema.field("id").type
             for batch in text_slices(big):
-                for doc_id, text in zip(batch.column("id").to_pylist(), texts(batch)):
-                    ids = np.frombuffer(words.encode(text) + end, dtype="<u4")
+                flat, bounds = words.encode_many(batch.column("text"))
+                for doc_id, start, stop in zip(batch.column("id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = np.concatenate([flat[start:stop], end])
                     shard.append((doc_id, ids))
                     held += len(ids)
                     if held >= shard_tokens:

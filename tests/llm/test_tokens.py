@@ -30,6 +30,32 @@ def test_word_table_equals_the_library_and_stays_bounded(tokenizer):
         assert len(table) <= 50
 
 
+def test_many_texts_are_encoded_word_by_distinct_word(tokenizer):
+    import pyarrow as pa
+    table = WordTable(common.WORD_BPE, limit=40)
+    texts = [t for _, t in common.CASES] + [None, "", "  ", "a\x1cb c\xa0d\u2003e", "\u0130stanbul a\u0301 <|endoftext|>x", "DON'T don't. 12,5"]
+    texts += [r[1] for r in common.small_table("documents")[:60]]
+    ids, bounds = table.encode_many(pa.array(texts, pa.string()))
+    assert len(bounds) == len(texts) + 1 and len(table) + len(table.before) <= 40
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == ids_of(tokenizer, text)
+    ids, bounds = table.encode_many(pa.array([], pa.string()))
+    assert len(ids) == 0 and bounds.tolist() == [0]
+    ids, bounds = table.encode_many(pa.array([None, "..."], pa.string()))
+    assert bounds[1] == 0 and ids.tolist() == ids_of(tokenizer, "...")
+
+
+def test_used_up_documents_leave_the_index_without_changing_scores():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 40, rng.integers(1, 30)).astype("<u4") for _ in range(30)]
+    whole, less = packing.Bm25Index(docs), packing.Bm25Index(docs)
+    gone = np.arange(30) % 3 == 0
+    less.forget(gone)
+    assert len(less.doc) < len(whole.doc)
+    for seed in np.flatnonzero(~gone):
+        assert (less.scores(seed)[~gone] == whole.scores(seed)[~gone]).all() and not less.scores(seed)[gone].any()
+
+
 def test_token_counts(spark):
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=common.PIECE_BPE)
